@@ -128,9 +128,9 @@ ALNUM = byte_table(lambda b: 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or
 
 
 class Words:
-    """All words of some texts: hash, first and last byte, and the text each is of."""
+    """All words of some texts: hash, first and last byte, and the text each is of. With most, longer words are cut to pieces of as many bytes."""
 
-    def __init__(self, texts: pa.Array, table: np.ndarray = ALNUM):
+    def __init__(self, texts: pa.Array, table: np.ndarray = ALNUM, most: int = 0):
         raw, self.ends_of = utf8(texts)
         self.x = x = table[raw]
         n = len(x)
@@ -140,6 +140,11 @@ class Words:
         first[self.ends_of] = True
         self.start = np.flatnonzero(word[1:-1] & (~word[:-2] | first[:n]))
         self.end = np.flatnonzero(word[1:-1] & (~word[2:] | first[1:])) + 1
+        if most and len(self.start) and int((self.end - self.start).max()) > most:
+            pieces = -(-(self.end - self.start) // most)
+            nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            self.start, self.end = np.repeat(self.start, pieces) + nth * most, np.repeat(self.end, pieces)
+            self.end = np.minimum(self.start + most, self.end)
         up, down = powers(n)
         total = np.zeros(n + 1, np.uint64)
         np.cumsum((x.astype(np.uint64) + np.uint64(1)) * up[:n], dtype=np.uint64, out=total[1:])

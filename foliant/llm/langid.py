@@ -4,7 +4,7 @@ The pieces are those of a fixed public vocabulary. Each language has a probabili
 probability is the sum over all ways to cut it into pieces, by the forward algorithm over its bytes,
 and a text's is the product over its words, since no piece crosses a word. The probabilities come from
 expectation-maximisation (forward and backward sums) over the words of a bounded sample of labelled
-texts: SAMPLE whole texts of each language, those with the least hash of the key. Words are scored once
+texts: SAMPLE whole texts of each language, those with the least hash. Words are scored once
 a batch for all languages, all words of one length at a time.
 """
 
@@ -180,22 +180,22 @@ class Scorer:
         return best, score
 
 
-def train(docs: DataFrame, path: str, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE, rounds: int = ROUNDS) -> Model:
-    """Fits to at most sample texts of each of the at most LANGUAGES most frequent languages: those with the least hash of key and text.
+def train(docs: DataFrame, path: str, text: str = "text", lang: str = "lang", sample: int = SAMPLE, rounds: int = ROUNDS) -> Model:
+    """Fits to at most sample texts of each of the at most LANGUAGES most frequent languages: those with the least hash of the text.
 
-    Rows without a language or a letter don't count. Rows alike in key and text are one.
+    Rows without a language or a letter don't count. Repeated texts are one.
     """
-    own = docs.select(column(key).cast("string").alias("k"), column(lang).alias("g"), column(text).alias("t")).filter("g is not null and t is not null")
+    own = docs.select(column(lang).cast("string").alias("g"), column(text).alias("t")).filter("g is not null and t is not null")
     most = [r.g for r in own.groupBy("g").count().orderBy(F.desc("count"), "g").limit(LANGUAGES).collect()]
     if not most:
         return Model([], tables([]), np.zeros((0, 0)))
     # the sample is chosen by hashes alone; only then are its texts read
-    hashed = own.select("g", F.xxhash64("k", "t").alias("h"))
+    hashed = own.select("g", F.xxhash64("t").alias("h"))
     first = hashed.withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy("h"))).filter(F.col("n") <= sample)
     least = {r.g: r.h for r in first.groupBy("g").agg(F.max("h").alias("h")).filter(F.col("g").isin(most)).collect()}
     chosen = F.lit(False)
     for g, h in least.items():
-        chosen = chosen | ((F.col("g") == g) & (F.xxhash64("k", "t") <= h))
+        chosen = chosen | ((F.col("g") == g) & (F.xxhash64("t") <= h))
     counts: dict[str, Counter] = {g: Counter() for g in most}
     for g, t in own.filter(chosen).select("g", "t").distinct().toLocalIterator():
         counts[g].update(parts(t))
@@ -223,7 +223,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", carry: tuple[str
 
 def language(docs: DataFrame, path: str, text: str = "text", lang: str = "lang", key: str = "doc_id", carry: tuple[str, ...] | None = None, sample: int = SAMPLE) -> DataFrame:
     """Learns from the rows that are not held out (crc32 of the key modulo 5 is not 0) and predicts all: doc_id, held_out, lang_pred, score."""
-    model = train(docs.filter(~held_out(key)), path, text, lang, key, sample)
+    model = train(docs.filter(~held_out(key)), path, text, lang, sample)
     own = docs.select(column(key).alias("doc_id"), column(text).alias("_text"), held_out(key).alias("held_out"))
     if carry is None:
         return identify(own, model, "_text", ("doc_id", "held_out"))
