@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm import decontam, langid, mixing, secrets, simhash
+from foliant.session import ship
 
 #: Least posterior of the predicted language.
 SURE = 0.5
@@ -16,18 +17,20 @@ SURE = 0.5
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that could be learned; those without letters, null and unsure ones go."""
+    ship(spark)
     known = langid.language(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), carry=tuple(docs.columns))
     return known.filter((F.col("lang_pred") != "und") & (F.col("score") >= SURE)).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component stays: the one with the least doc_id (a null one first)."""
+    ship(spark)
     return simhash.one_of_each(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
-    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    bench = ship(spark).read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontam.contamination(docs, bench, carry=tuple(docs.columns)).filter(~F.col("contaminated")).select(*docs.columns)
 
 
