@@ -1,38 +1,16 @@
-"""All registered queries of the engine, each with the SQL that gives the same rows."""
+"""All registered queries of the engine and their SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from foliant.plans import answers, evaluation, pages, search, texts
+from foliant.plans.registry import QUERIES, SQL, Query
 
-from pyspark.sql import DataFrame, SparkSession
-
-from foliant.session import ship
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Registers a function under its name, with its SQL."""
-
-    def put(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql is not None:
-            _SQL[f.__name__] = sql
-        return f
-
-    return put
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+MODULES = (search, texts, pages, answers, evaluation)
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(SQL)
