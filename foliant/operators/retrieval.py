@@ -74,7 +74,7 @@ def top_k(
     for b in range(n_blocks):
         block = (q if n_blocks == 1 else q.filter(F.pmod(F.xxhash64("q"), F.lit(n_blocks)) == b)).toArrow()
         sent = points.sparkSession.sparkContext.broadcast({c: block.column(c).to_pylist() for c in "qvdcn"})
-        near = p.mapInArrow(_nearest(sent, per_document, threshold), schema)
+        near = p.mapInArrow(_nearest(sent, (q.schema["q"].dataType, p.schema["p"].dataType, p.schema["d"].dataType), per_document, threshold), schema)
         out = near if out is None else out.union(near)
     best = out.withColumn("rank", F.row_number().over(own)).filter("rank <= n")
     return best.select(F.col("q").alias("query_id"), F.col("p").alias("point_id"), F.col("d").alias("document_id"), "score", "rank")
@@ -87,9 +87,11 @@ def _clean(name: str | None) -> Column:
     return F.when(F.size(kept) > 0, kept)
 
 
-def _nearest(sent, per_document: bool, threshold: float | None):
+def _nearest(sent, kinds_of: tuple, per_document: bool, threshold: float | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q = sent.value
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        q, types_of = sent.value, [*map(to_arrow_type, kinds_of), pa.float64(), pa.int32()]
         dim = max(map(len, q["v"]), default=0)
         unit = matrix(pa.array(q["v"], pa.list_(pa.float64())), dim) if q["v"] else None
         restricted = any(x is not None for x in (*q["d"], *q["c"]))
@@ -126,7 +128,7 @@ def _nearest(sent, per_document: bool, threshold: float | None):
                             rows = rows[s >= np.partition(s, len(s) - k)[len(s) - k]]
                         for x, v in zip(found, ([q["q"][j]] * len(rows), [names_of[r] for r in rows], [said[r] for r in rows], scores[rows, j].tolist(), [k] * len(rows)), strict=True):
                             x += v
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(found, (pa.array(q["q"]).type if q["q"] else pa.int64(), batch.schema.field("p").type, batch.schema.field("d").type, pa.float64(), pa.int32()), strict=True)], names=["q", "p", "d", "score", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(found, types_of, strict=True)], names=["q", "p", "d", "score", "n"])
 
     return run
 
