@@ -30,10 +30,17 @@ def column(name: str) -> Column:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder of spark.checkpoint.dir; a folder of our own only where that is unset."""
-    sc = df.sparkSession.sparkContext
+    """Cut the lineage in the shared folder of spark.checkpoint.dir.
+
+    Where that is unset, as in tests, a local session gets a temporary folder of its own and a cluster one in
+    its warehouse, which machines share.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint"))
+        given = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        local = sc.master.startswith("local") and not sc.master.startswith("local-cluster")
+        sc.setCheckpointDir(given or (tempfile.mkdtemp(prefix="checkpoint") if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"))
     return df.checkpoint(eager=True)
 
 
