@@ -25,6 +25,8 @@ SAMPLE, RIDGE = 4000, 1e-3
 #: Bounds of the strength of a prior, in documents, and of a rate.
 STRENGTH, EDGE = (1.0, 1e4), 1e-3
 KEPT = 0.5
+#: Parts into which the rows of one path are dealt when they meet its prior.
+SALTS = 64
 TOKENS = byte_table(lambda b: b != 32 and not 9 <= b <= 13 and b > 0)
 
 
@@ -130,7 +132,9 @@ def quality(docs: DataFrame, labels: DataFrame, site: str = "source", path: str
     sites = sites.select("s", F.col("n").alias("site_n"), F.col("good").alias("site_good")).withColumn("rate", (F.col("site_good") + k_site * rate) / (F.col("site_n") + k_site))
     paths = paths.join(sites, "s")
     k_path = strength(paths, "rate")
-    rows = seen.join(paths.withColumnsRenamed({"n": "path_n", "good": "path_good"}), ["s", "p"])
+    # a hot path is dealt by a salt that each row has and each path has all values of
+    salted = paths.withColumnsRenamed({"n": "path_n", "good": "path_good"}).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = seen.withColumn("salt", F.pmod(F.xxhash64("doc_id", "llr"), F.lit(SALTS)).cast("int")).join(salted, ["s", "p", "salt"])
     site_prior = (F.col("site_good") - F.col("good") + k_site * rate) / (F.col("site_n") - 1 + k_site)
     path_prior = (F.col("path_good") - F.col("good") + k_path * F.col("site_prior")) / (F.col("path_n") - 1 + k_path)
     rows = rows.withColumn("site_prior", site_prior).withColumn("path_prior", path_prior)
