@@ -63,22 +63,23 @@ def letters(x: Column) -> Column:
     return F.length(F.regexp_replace(x, r"\P{L}", ""))
 
 
-def meaningful_title(x: Column | str) -> Column:
-    t = collapse(x)
+def meaningful_title(x: Column | str, clean: bool = False) -> Column:
+    """Whether a text may be a title; clean says that it is collapsed already."""
+    t = _c(x) if clean else collapse(x)
     digits = F.length(F.regexp_replace(t, r"\P{Nd}", ""))
     return (F.length(t).between(1, 160)) & (letters(t) > 0) & ~((letters(t) <= 1) & (digits == 0) & (F.length(t) <= 2))
 
 
-def heading_like(x: Column | str, n_lines: Column | int = 1) -> Column:
-    t = collapse(x)
-    n = F.size(words(t))
+def heading_like(x: Column | str, n_lines: Column | int = 1, clean: bool = False) -> Column:
+    t = _c(x) if clean else collapse(x)
+    n = F.when(t == "", 0).otherwise(F.size(F.split(t, " ")))
     upper = F.length(F.regexp_replace(t, r"\P{Lu}", "")) / F.greatest(letters(t), F.lit(1))
     lines = F.lit(n_lines) if isinstance(n_lines, int) else n_lines
-    return meaningful_title(t) & (F.length(t) <= 140) & n.between(1, 14) & ~t.rlike(r"[.!?]$") & (lines <= 3) & ((n <= 8) | (upper >= 0.55))
+    return (F.length(t) <= 140) & meaningful_title(t, clean=True) & n.between(1, 14) & ~t.rlike(r"[.!?]$") & (lines <= 3) & ((n <= 8) | (upper >= 0.55))
 
 
-def text_heavy(x: Column | str) -> Column:
-    return (F.length(_c(x)) >= 180) | (F.size(words(x)) >= 25)
+def text_heavy(x: Column | str, clean: bool = False) -> Column:
+    return (F.length(_c(x)) >= 180) | (F.size(F.split(_c(x), " ") if clean else words(x)) >= 25)
 
 
 def filled_lines(x: Column | str) -> Column:

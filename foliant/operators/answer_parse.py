@@ -50,9 +50,8 @@ def _group(x: Column, pattern: str, i: int) -> Column:
     return F.regexp_extract(x, pattern, i)
 
 
-def resource(line: Column) -> Column:
-    """company, source_file, page_label, raw of one line; null for blank and None."""
-    t = collapse(F.regexp_replace(line, ITEM, ""))
+def resource(t: Column) -> Column:
+    """company, source_file, page_label, raw of one line without its mark; null for blank and None."""
     whole = t.rlike(RESOURCE)
     file = F.when(whole, _group(t, RESOURCE, 2)).otherwise(_group(t, ANY_FILE, 1))
     before = F.regexp_replace(F.call_function("substring_index", t, file, F.lit(1)), "[, ]+$", "")
@@ -62,7 +61,7 @@ def resource(line: Column) -> Column:
 
 
 def resources(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, r"\r\n|\r|\n"), resource), lambda x: x.isNotNull())
+    return F.filter(F.transform(F.transform(F.split(text, r"\r\n|\r|\n"), lambda x: collapse(F.regexp_replace(x, ITEM, ""))), resource), lambda x: x.isNotNull())
 
 
 def blocks(text: Column) -> Column:
@@ -81,11 +80,15 @@ def _starts(line: Column) -> Column:
     return t.rlike(ITEM) | t.rlike(PAGE_PREFIX) | t.rlike(PREFIX_CITATION)
 
 
-def evidence_item(block: Column) -> Column:
+def evidence_form(block: Column) -> Column:
+    """A block without its mark, and which of the citation forms it has first (0 for none)."""
+    return F.struct(block.alias("t"), F.when(block.rlike(PREFIX_CITATION), 1).when(block.rlike(PAGE_PREFIX), 2).when(block.rlike(SUFFIX_CITATION), 3).when(block.rlike(PAGE_SUFFIX), 4).otherwise(0).alias("form"))
+
+
+def evidence_item(x: Column) -> Column:
     """text, page_label, company, source_file, raw of one block; null for None, company headers and empty texts."""
-    t = stripped(F.regexp_replace(stripped(block), ITEM, ""))
-    a, b, c, d = (t.rlike(p) for p in (PREFIX_CITATION, PAGE_PREFIX, SUFFIX_CITATION, PAGE_SUFFIX))
-    pick = lambda w, x, y, z, rest: F.when(a, w).when(b, x).when(c, y).when(d, z).otherwise(rest)
+    t, form = x["t"], x["form"]
+    pick = lambda w, x, y, z, rest: F.when(form == 1, w).when(form == 2, x).when(form == 3, y).when(form == 4, z).otherwise(rest)
     none = F.lit("")
     text = collapse(pick(_group(t, PREFIX_CITATION, 4), _group(t, PAGE_PREFIX, 2), _group(t, SUFFIX_CITATION, 1), _group(t, PAGE_SUFFIX, 1), t))
     page = page_label(pick(_group(t, PREFIX_CITATION, 3), _group(t, PAGE_PREFIX, 1), _group(t, SUFFIX_CITATION, 4), _group(t, PAGE_SUFFIX, 2), none))
@@ -96,7 +99,9 @@ def evidence_item(block: Column) -> Column:
 
 
 def evidence(text: Column) -> Column:
-    return F.filter(F.transform(blocks(text), evidence_item), lambda x: x.isNotNull())
+    # each step binds what the next uses often, else Catalyst would write it out as often
+    plain = F.transform(F.transform(blocks(text), stripped), lambda b: stripped(F.regexp_replace(b, ITEM, "")))
+    return F.filter(F.transform(F.transform(plain, evidence_form), evidence_item), lambda x: x.isNotNull())
 
 
 def _key(r: Column) -> Column:
@@ -107,13 +112,14 @@ def _named(r: Column) -> Column:
     return _key(r) != "\x01\x01"
 
 
-def merged(given: Column, items: Column) -> Column:
-    """Resources of the answer that name something, then those of the evidence that add one; what names nothing only if there is nothing else."""
-    derived = F.filter(F.transform(items, lambda e: F.struct(e["company"].alias("company"), e["source_file"].alias("source_file"), e["page_label"].alias("page_label"), e["raw"].alias("raw"))), _named)
-    firsts = F.filter(derived, lambda r, i: ~F.exists(F.slice(derived, 1, i), lambda q: _key(q) == _key(r)))
-    own = F.filter(given, _named)
-    more = F.filter(firsts, lambda r: ~F.exists(own, lambda q: _key(q) == _key(r)))
-    return F.when(F.size(own) > 0, F.concat(own, more)).when(F.size(firsts) > 0, firsts).otherwise(given)
+def _with_resources(d: DataFrame) -> DataFrame:
+    """d with _res: resources of the answer (_given) that name something, then those of the evidence (_items) that add one; what names nothing only if there is nothing else."""
+    derived = F.filter(F.transform("_items", lambda e: F.struct(e["company"].alias("company"), e["source_file"].alias("source_file"), e["page_label"].alias("page_label"), e["raw"].alias("raw"))), _named)
+    d = d.withColumn("_own", F.filter("_given", _named)).withColumn("_all", F.concat("_own", derived))
+    d = d.withColumn("_keys", F.transform("_all", _key))
+    # one that is derived stays if its key is new; the answer's own all stay
+    fresh = F.filter(F.transform("_all", lambda r, i: F.struct(r.alias("r"), ((i < F.size("_own")) | (F.array_position("_keys", F.get("_keys", i)) == i + 1)).alias("new"))), lambda x: x["new"])
+    return d.withColumn("_fresh", F.transform(fresh, lambda x: x["r"])).withColumn("_res", F.when(F.size("_fresh") > 0, F.col("_fresh")).otherwise(F.col("_given")))
 
 
 def parse_answers(responses: DataFrame, response: str = "response") -> DataFrame:
@@ -121,21 +127,23 @@ def parse_answers(responses: DataFrame, response: str = "response") -> DataFrame
 
     A refusal has no sections. A single resource fills what an item of evidence leaves open. Null is an empty answer.
     """
-    r = F.coalesce(F.col(response), F.lit(""))
-    d = responses.withColumn("_r", r).withColumn("_plain", stripped(r)).withColumn("_special", F.col("_plain").isin(*REFUSALS))
+    d = responses.withColumn("_r", F.coalesce(F.col(response), F.lit(""))).withColumn("_plain", stripped("_r")).withColumn("_special", F.col("_plain").isin(*REFUSALS))
     d = d.withColumn("_s", sections(F.col("_r")))
     get = lambda k: F.coalesce(F.try_element_at(F.col("_s"), F.lit(k)), F.lit(""))
-    d = d.withColumn("_given", resources(get("Resources"))).withColumn("_items", evidence(get("Evidence"))).withColumn("_res", merged(F.col("_given"), F.col("_items")))
-    one = F.when(F.size("_res") == 1, F.col("_res")[0])
-    fill = lambda own, other: F.when((own.isNull()) | (own == ""), F.coalesce(other, own)).otherwise(own)
-    filled = F.transform("_items", lambda e: F.struct(e["text"].alias("text"), fill(e["page_label"], one["page_label"]).alias("page_label"), fill(e["company"], one["company"]).alias("company"), fill(e["source_file"], one["source_file"]).alias("source_file"), e["raw"].alias("raw")))
-    numbered_e = F.transform(filled, lambda e: F.struct(e["text"].alias("text"), e["page_label"].alias("page_label"), page_number(e["page_label"]).alias("page_number"), e["company"].alias("company"), e["source_file"].alias("source_file"), e["raw"].alias("raw")))
-    numbered_r = F.transform("_res", lambda e: F.struct(e["company"].alias("company"), e["source_file"].alias("source_file"), e["page_label"].alias("page_label"), page_number(e["page_label"]).alias("page_number"), e["raw"].alias("raw")))
-    special = F.col("_special")
+    d = d.withColumn("_given", resources(get("Resources"))).withColumn("_items", evidence(get("Evidence")))
+    d = _with_resources(d).withColumn("_one", F.when(F.size("_res") == 1, F.get("_res", F.lit(0))))
+    fill = lambda own, k: F.when((own[k].isNull()) | (own[k] == ""), F.coalesce(F.col("_one")[k], own[k])).otherwise(own[k]).alias(k)
+    d = d.withColumn("_items", F.transform("_items", lambda e: F.struct(e["text"].alias("text"), fill(e, "page_label"), fill(e, "company"), fill(e, "source_file"), e["raw"].alias("raw"))))
+    number = lambda e: page_number(e["page_label"]).alias("page_number")
+    plain = lambda e, *names: [e[k].alias(k) for k in names]
+    usual = ~F.col("_special")
+    d = d.withColumns({
+        "_items": F.transform(F.filter("_items", lambda e: usual), lambda e: F.struct(*plain(e, "text", "page_label"), number(e), *plain(e, "company", "source_file", "raw"))),
+        "_res": F.transform(F.filter("_res", lambda e: usual), lambda e: F.struct(*plain(e, "company", "source_file", "page_label"), number(e), e["raw"].alias("raw"))),
+    })
     return d.withColumns({
-        "mode": F.when(special, "special_refusal").otherwise("grounded_answer"),
-        "answer": F.when(special, F.col("_plain")).otherwise(F.coalesce(F.try_element_at(F.col("_s"), F.lit("Answer")), F.col("_plain"))),
-        "reporting_period": F.when(~special, F.nullif(F.try_element_at(F.col("_s"), F.lit("Reporting Period")), F.lit(""))),
-        "resources": F.when(special, F.slice(numbered_r, 1, 0)).otherwise(numbered_r),
-        "evidence": F.when(special, F.slice(numbered_e, 1, 0)).otherwise(numbered_e),
-    }).drop("_r", "_plain", "_special", "_s", "_given", "_items", "_res")
+        "mode": F.when(usual, "grounded_answer").otherwise("special_refusal"),
+        "answer": F.when(usual, F.coalesce(F.try_element_at(F.col("_s"), F.lit("Answer")), F.col("_plain"))).otherwise(F.col("_plain")),
+        "reporting_period": F.when(usual, F.nullif(F.try_element_at(F.col("_s"), F.lit("Reporting Period")), F.lit(""))),
+        "resources": F.col("_res"), "evidence": F.col("_items"),
+    }).drop("_r", "_plain", "_special", "_s", "_given", "_items", "_own", "_all", "_keys", "_fresh", "_res", "_one")

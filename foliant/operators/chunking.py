@@ -297,8 +297,9 @@ def chunk_documents(layout: Layout, sizes: Sizes = Sizes()) -> DataFrame:
     """The chunks of all documents, numbered through each document: texts of a page, then its tables that no page before had."""
     pages = layout.pages.join(paragraph_units(layout), ["source_file", "page_number"], "left").join(kept_lines(layout), ["source_file", "page_number"], "left")
     pages = pages.withColumn("usable", F.coalesce("usable", F.lit(False)))
-    folded = pages.select("source_file", "page_number", "page_type", "height", "unit", "usable", F.col("units").cast(f"array<{_UNIT}>").alias("units"), F.col("lines").cast(f"array<{_LINE}>").alias("lines"))
-    folded = folded.mapInPandas(_page_fold(sizes), f"source_file string, page_number int, usable boolean, chunks {_CHUNK}, headings array<string>")
+    pages = pages.select("source_file", "page_number", "page_type", "height", "unit", "usable", F.col("units").cast(f"array<{_UNIT}>").alias("units"), F.col("lines").cast(f"array<{_LINE}>").alias("lines"))
+    fold_pages = lambda p: p.mapInPandas(_page_fold(sizes), f"source_file string, page_number int, usable boolean, chunks {_CHUNK}, headings array<string>")
+    folded = fold_pages(pages)
     flags = layout.flagged.select("source_file", "page_number").distinct().withColumn("flag", F.lit(True))
     about = layout.pages.select("source_file", "page_number", "page_type").join(flags, ["source_file", "page_number"], "left").withColumn("flag", F.coalesce("flag", F.lit(False)))
     texts = folded.join(about, ["source_file", "page_number"]).select("source_file", "page_number", "page_type", "flag", F.posexplode("chunks").alias("i", "c"))
@@ -315,7 +316,9 @@ def chunk_documents(layout: Layout, sizes: Sizes = Sizes()) -> DataFrame:
     every = t.select("source_file", "table_index", "page_type", F.posexplode("on_pages").alias("i", "n")).join(kinds, ["source_file", "n"], "left").groupBy("source_file", "table_index").agg(
         F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("i", F.coalesce("kind", "page_type").alias("kind")))), lambda x: x["kind"])).alias("page_types"), F.max(F.coalesce("f", F.lit(False))).alias("any_flag")
     )
-    t = t.join(every, ["source_file", "table_index"]).join(folded.select("source_file", "page_number", "headings"), ["source_file", "page_number"])
+    # what titles a page with tables has; only such pages are read for it
+    titled = fold_pages(pages.join(layout.page_tables.select("source_file", "page_number").distinct(), ["source_file", "page_number"], "left_semi")).select("source_file", "page_number", "headings")
+    t = t.join(every, ["source_file", "table_index"]).join(titled, ["source_file", "page_number"])
     columns = ["source_file", "page_number", "table_index", "on_pages", "page_types", "any_flag", "headings"]
 
     def tables(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

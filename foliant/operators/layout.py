@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions.text import collapse, fold
+from foliant.session import checkpointed
 
 MARGIN, INCHES, REPEATS = 0.08, 0.9, 5
 
@@ -75,8 +76,12 @@ def repeated_lines(lines: DataFrame, pages: DataFrame, source: str = "source_fil
     return found.join(enough, source).filter("page_occurrence_count >= min_repeat_pages")
 
 
-def normalize(raw: DataFrame) -> Layout:
-    """Tables of raw layout documents (foliant.sources.layout.RAW). Documents without a source name share the null one."""
+def normalize(raw: DataFrame, materialize: bool = False) -> Layout:
+    """Tables of raw layout documents (foliant.sources.layout.RAW). Documents without a source name share the null one.
+
+    materialize computes all but the paragraphs once, in the shared folder: chunking and measuring read them several times.
+    """
+    once = checkpointed if materialize else (lambda df: df)
     blank = lambda c: F.nullif(F.col(c), F.lit(""))
     root_names = ["apiVersion", "contentFormat", "stringIndexType", "modelId", "pages", "tables", "paragraphs", "sections", "styles", "figures"]
     d = raw.select(
@@ -84,10 +89,11 @@ def normalize(raw: DataFrame) -> Layout:
         F.coalesce("result", "analyzeResult", F.struct(*root_names)).alias("r"),
     ).select("source_file", F.coalesce("m", F.nullif("r.modelId", F.lit("")), F.lit("unknown")).alias("model_id"), "r.*")
 
+    d = once(d)
     regions_of = lambda t: F.array_distinct(F.filter(F.coalesce(F.transform(t["boundingRegions"], lambda g: g["pageNumber"]), F.expr("cast(array() as array<int>)")), lambda p: p.isNotNull()))
     tables = d.select("source_file", F.posexplode("tables").alias("table_pos", "table"))
     tables = tables.withColumn("on_pages", regions_of(F.col("table")))
-    page_tables = tables.select("source_file", "table_pos", "table", "on_pages", F.explode("on_pages").alias("page_number"))
+    page_tables = once(tables.select("source_file", "table_pos", "table", "on_pages", F.explode("on_pages").alias("page_number")))
     per_page = page_tables.groupBy("source_file", "page_number").agg(F.count("*").alias("n_tables"))
 
     numbered = d.select("source_file", F.posexplode("pages").alias("page_pos", "p"))
@@ -98,10 +104,12 @@ def normalize(raw: DataFrame) -> Layout:
     line_count = F.size(F.filter(F.coalesce(F.transform("p.lines", lambda x: collapse(x["content"])), F.expr("cast(array() as array<string>)")), lambda t: t != ""))
     pages = numbered.select("source_file", "page_pos", F.col("p.pageNumber").alias("page_number"), F.col("p.width").alias("width"), F.col("p.height").alias("height"), F.col("p.unit").alias("unit"), line_count.alias("n_lines"))
     pages = pages.join(per_page, ["source_file", "page_number"], "left").withColumn("n_tables", F.coalesce("n_tables", F.lit(0)))
-    pages = pages.withColumn("page_type", page_kind(F.col("n_lines"), F.col("n_tables")))
+    pages = once(pages.withColumn("page_type", page_kind(F.col("n_lines"), F.col("n_tables"))))
+    lines = once(lines)
 
-    repeated = repeated_lines(lines, pages)
+    repeated = once(repeated_lines(lines, pages))
     flagged = lines.filter("margin_position is not null").withColumn("normalized_text", fold("text")).join(repeated.select("source_file", "normalized_text", "page_occurrence_count"), ["source_file", "normalized_text"]).withColumn("candidate_type", F.lit("repeated_header_footer_candidate"))
+    flagged = once(flagged)
     size = lambda c: F.greatest(F.size(F.coalesce(c, F.array())), F.lit(0))
     unmapped = tables.filter(F.size("on_pages") == 0)
     documents = d.select(

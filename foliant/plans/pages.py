@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from foliant.operators import chunking, layout
 from foliant.operators.evaluation import artifacts
 from foliant.plans.registry import query, table
+from foliant.session import checkpointed
 from foliant.sources import layout as files
 
 HEIGHT, LINE = 11.0, 0.5
@@ -66,20 +67,20 @@ def flagged_lines(spark, sf_dir):
 @query()
 def layout_chunks(spark, sf_dir):
     """All chunks of the documents as laid-out files."""
-    c = chunking.chunk_documents(layout.normalize(raw_layout(spark, sf_dir)))
+    c = chunking.chunk_documents(layout.normalize(raw_layout(spark, sf_dir), materialize=True))
     return c.select("chunk_id", "chunk_index", "source_file", "chunk_type", "content_source", "page_start", "page_end", "text", "char_count", "line_count", "paragraph_count", F.array_join("section_titles", " | ").alias("titles"))
 
 
 @query()
 def layout_chunk_stats(spark, sf_dir):
-    made = layout.normalize(raw_layout(spark, sf_dir))
+    made = layout.normalize(raw_layout(spark, sf_dir), materialize=True)
     return chunking.chunking_stats(made, chunking.chunk_documents(made))
 
 
 @query()
 def layout_chunk_coverage(spark, sf_dir):
-    made = layout.normalize(raw_layout(spark, sf_dir))
-    return artifacts.chunk_coverage(made, chunking.chunk_documents(made))
+    made = layout.normalize(raw_layout(spark, sf_dir), materialize=True)
+    return artifacts.chunk_coverage(made, checkpointed(chunking.chunk_documents(made)))
 
 
 @query("""select r_name source_file, 'Table with ' || count(*) || ' rows and 2 columns.' || chr(10) || 'Cell count: ' || (2 * count(*)) || '.' || chr(10) || 'Included rows: 1 to ' || count(*) || '.' || chr(10) || string_agg('Row ' || i || ' [content]: C1=' || n_nationkey || ' | C2=' || n_name, chr(10) order by i) as text

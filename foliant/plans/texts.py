@@ -56,7 +56,7 @@ _LINES = "select doc_id, unnest(generate_series(1, len(string_split(text, chr(10
   select doc_id, count(*) lines, count(*) filter (title) titles, count(*) filter (title and n <= 140 and w between 1 and 14 and not regexp_matches(t, '[.!?]$') and (w <= 8 or upper::double / greatest(letters, 1) >= 0.55)) headings, count(*) filter (n >= 180 or w >= 25) heavy from m group by doc_id""")
 def heading_lines(spark, sf_dir):
     x = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).withColumn("t", collapse("line"))
-    return x.groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_if(meaningful_title("t")).alias("titles"), F.count_if(heading_like("t")).alias("headings"), F.count_if(text_heavy("t")).alias("heavy"))
+    return x.groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_if(meaningful_title("t", clean=True)).alias("titles"), F.count_if(heading_like("t", clean=True)).alias("headings"), F.count_if(text_heavy("t", clean=True)).alias("heavy"))
 
 
 @query(f"select doc_id, len(list_filter(string_split(text, chr(10)), lambda t: trim(t) <> '')) lines, md5(case when length(t) <= 900 then t else rtrim(t[:900], ' ' || chr(10)) || '...' end) digest from (select *, trim(text, ' ' || chr(10)) t from documents)")
