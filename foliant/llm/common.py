@@ -1,4 +1,4 @@
-"""What several operators share: Arrow batches cut by bytes, vectorised word hashes, checkpoints.
+"""What several operators share: Arrow batches cut by bytes and vectorised word hashes.
 
 Python work runs in ``mapInArrow`` only, one pass over the rows, with memory bounded by a slice of
 a few megabytes of text (or by the longest single text, where that is longer).
@@ -7,7 +7,6 @@ a few megabytes of text (or by the longest single text, where that is longer).
 from __future__ import annotations
 
 import os
-import tempfile
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -17,6 +16,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from foliant.session import checkpointed
+
+__all__ = ["checkpointed", "column", "grams", "map_texts", "partitions", "places", "quoted", "resource", "slices", "utf8", "Words"]
+
 #: Text bytes that one call of a batch function sees.
 SLICE_BYTES = 2 << 20
 
@@ -29,21 +32,6 @@ def column(name: str) -> Column:
     return F.col(quoted(name))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder of spark.checkpoint.dir.
-
-    Where that is unset, as in tests, a local session gets a temporary folder of its own and a cluster one in
-    its warehouse, which machines share.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        given = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        local = sc.master.startswith("local") and not sc.master.startswith("local-cluster")
-        sc.setCheckpointDir(given or (tempfile.mkdtemp(prefix="checkpoint") if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"))
-    return df.checkpoint(eager=True)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

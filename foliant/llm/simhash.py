@@ -188,9 +188,9 @@ def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", **how)
     Rows that are alike in key and text are one. Each row's text is moved once, by that hash.
     """
     own = F.xxhash64(F.coalesce(column(text), F.lit("")), column(key).isNull(), column(key))
-    marked = docs.withColumn("_row", own)
-    named = near_duplicates(marked.select(F.struct(column(key).alias("k"), F.col("_row").alias("r")).alias("doc_id"), column(text)), text, "doc_id", **how)
-    stay = named.filter("doc_id = component_id").select(F.col("doc_id.r").alias("_row")).distinct()
-    rest = [column(c) for c, t in docs.dtypes if c not in (text, "_row") and not t.startswith(("map", "variant"))]
-    first = Window.partitionBy("_row").orderBy(*rest)
-    return marked.join(stay, "_row").withColumn("_n", F.row_number().over(first)).filter("_n = 1").select(*(column(c) for c in docs.columns))
+    marked = docs.withColumn("__row", own)
+    named = near_duplicates(marked.select(F.struct(column(key).alias("k"), F.col("__row").alias("r")).alias("doc_id"), column(text)), text, "doc_id", **how)
+    stay = named.filter("doc_id = component_id").select(F.col("doc_id.r").alias("__row")).distinct()
+    rest = [column(c) for c, t in docs.dtypes if c not in (text, "__row") and not t.startswith(("map", "variant"))]
+    first = Window.partitionBy("__row").orderBy(*rest)
+    return marked.join(stay, "__row").withColumn("__n", F.row_number().over(first)).filter("__n = 1").select(*(column(c) for c in docs.columns))
