@@ -8,12 +8,17 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of an Arrow batch. Spark's own 64 MB are held several times over on either side of a Python worker.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", 67_108_864, "16m")
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Sends this package to the executors, once an application, so that they need no copy of their own."""
+    """Sends this package to the executors, once an application, so that they need no copy of their own; lowers Spark's default size of Arrow batches."""
     sc = spark.sparkContext
+    key, default, ours = BATCH
+    if spark.conf.get(key, "") in (f"{default}b", str(default), "64m", "64MB"):
+        spark.conf.set(key, ours)
     if sc.applicationId not in _shipped:
         top = os.path.dirname(os.path.abspath(__file__))
         made = os.path.join(tempfile.mkdtemp(prefix="foliant"), "foliant_package.zip")
