@@ -17,7 +17,7 @@ def ship(spark: SparkSession) -> SparkSession:
     """Sends this package to the executors, once an application, so that they need no copy of their own; lowers Spark's default size of Arrow batches."""
     sc = spark.sparkContext
     key, default, ours = BATCH
-    if spark.conf.get(key, "") in (f"{default}b", str(default), "64m", "64MB"):
+    if spark.conf.get(key) in (f"{default}b", str(default), "64m", "64MB"):
         spark.conf.set(key, ours)
     if sc.applicationId not in _shipped:
         top = os.path.dirname(os.path.abspath(__file__))
