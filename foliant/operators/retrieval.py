@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 32 << 20
+#: Scores that a task has at once, and bytes of best scores that it keeps.
+SCORES, HELD = 1 << 22, 64 << 20
 STRONG = 0.45
 
 
@@ -88,47 +90,53 @@ def _clean(name: str | None) -> Column:
 
 
 def _nearest(sent, kinds_of: tuple, per_document: bool, threshold: float | None):
+    """Of each slice of points those that may be among the best: at least as good as the k-th best that the task has seen (of the document, with per_document)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
 
-        q, types_of = sent.value, [*map(to_arrow_type, kinds_of), pa.float64(), pa.int32()]
-        dim = max(map(len, q["v"]), default=0)
-        unit = matrix(pa.array(q["v"], pa.list_(pa.float64())), dim) if q["v"] else None
-        restricted = any(x is not None for x in (*q["d"], *q["c"]))
+        q, (q_type, p_type, d_type) = sent.value, map(to_arrow_type, kinds_of)
+        names, n = pa.array(q["q"], q_type), np.array(q["n"], np.int64)
+        if not len(n):
+            return
+        dim, most = max(map(len, q["v"])), int(n.max())
+        unit = matrix(pa.array(q["v"], pa.list_(pa.float64())), dim)
+        restricted = [(j, d, c) for j, (d, c) in enumerate(zip(q["d"], q["c"], strict=True)) if d is not None or c is not None]
+        best: dict[str, np.ndarray] = {}  # of each document (or of all): the best scores so far, most x queries
+        step = max(64, SCORES // len(n))
         for batch in batches:
-            names = batch.schema.names
-            found: list[list] = [[] for _ in range(5)]
-            for at in range(0, batch.num_rows if unit is not None else 0, 4096):
-                part = batch.slice(at, 4096)
-                ids, docs, types = (part.column(names.index(c)) for c in "pdc")
-                own = matrix(part.column(names.index("v")), dim)
-                usable = own.any(1)
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                ids, docs, types = (part.column(part.schema.names.index(c)) for c in "pdc")
+                own = matrix(part.column(part.schema.names.index("v")), dim)
                 scores = own @ unit.T
-                allowed = np.broadcast_to(usable[:, None], scores.shape)
+                scores[~own.any(1)] = -np.inf
                 d = np.array(["" if x is None else str(x) for x in docs.to_pylist()], object)
                 if restricted:
                     c = np.array(["" if x is None else str(x) for x in types.to_pylist()], object)
-                    allowed = allowed.copy()
-                    for j, (only, kinds) in enumerate(zip(q["d"], q["c"], strict=True)):
+                    for j, only, kinds in restricted:
                         if only is not None:
-                            allowed[:, j] &= np.isin(d, only)
+                            scores[~np.isin(d, only), j] = -np.inf
                         if kinds is not None:
-                            allowed[:, j] &= np.isin(c, kinds)
+                            scores[~np.isin(c, kinds), j] = -np.inf
                 if threshold is not None:
-                    allowed = allowed & (scores >= threshold)
-                groups = [np.flatnonzero(d == x) for x in dict.fromkeys(d)] if per_document else [np.arange(len(d))]
-                said, names_of = docs.to_pylist(), ids.to_pylist()
-                for j, k in enumerate(q["n"]):
-                    for g in groups:
-                        rows = g[allowed[g, j]]
-                        if not len(rows):
-                            continue
-                        s = scores[rows, j]
-                        if len(rows) > k:  # ties at the edge stay for the last selection
-                            rows = rows[s >= np.partition(s, len(s) - k)[len(s) - k]]
-                        for x, v in zip(found, ([q["q"][j]] * len(rows), [names_of[r] for r in rows], [said[r] for r in rows], scores[rows, j].tolist(), [k] * len(rows)), strict=True):
-                            x += v
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(found, types_of, strict=True)], names=["q", "p", "d", "score", "n"])
+                    scores[scores < threshold] = -np.inf
+                found = []
+                for key in dict.fromkeys(d) if per_document else [""]:
+                    rows = np.flatnonzero(d == key) if per_document else np.arange(len(d))
+                    s = scores[rows]
+                    top = np.vstack((best[key], s)) if key in best else s
+                    if len(top) > most:
+                        top = np.partition(top, len(top) - most, axis=0)[len(top) - most :]
+                    if key in best or (len(best) + 1) * most * len(n) * 8 <= HELD:
+                        best[key] = top
+                    rising = np.sort(top, axis=0)
+                    place = len(top) - n
+                    floor = np.where(place >= 0, rising[np.maximum(place, 0), np.arange(len(n))], -np.inf)
+                    x, j = np.nonzero((s >= floor) & (s > -np.inf))
+                    found.append((rows[x], j, s[x, j]))
+                x, j, s = (np.concatenate(y) for y in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(j)), ids.take(pa.array(x)).cast(p_type), docs.take(pa.array(x)).cast(d_type), pa.array(s, pa.float64()), pa.array(n[j].astype(np.int32))], names=["q", "p", "d", "score", "n"])
 
     return run
 
