@@ -473,3 +473,28 @@ def test_plans(spark, sf):
     q = p.filter("vec_id < 3").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     plan = retrieval.top_k(p, q, 5, point_id="vec_id", vector="embedding").distinct()._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan and "MapInArrow" in plan
+
+
+def test_question_bank(spark):
+    from foliant.operators.evaluation import cases
+
+    bank = spark.createDataFrame([("a", "A", "about a", [("a1", "why?", "supported", None, None, ["d"], None), ("a2", "how?", "unsupported", None, None, None, None)]), ("b", "B", None, [])], cases.BANK)
+    flat = cases.flatten_bank(bank)
+    assert [(r.case_id, r.category_case_index) for r in flat.orderBy("case_id").collect()] == [("a1", 1), ("a2", 2)] and cases.supported(flat).count() == 1
+    assert cases.to_run(flat, flat.filter("case_id = 'a1'")).first().case_id == "a2"
+    assert cases.render_bank(flat).first().markdown == "## A\n\nabout a\n\n1. why? (supported)\n2. how? (unsupported)"
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from foliant.__main__ import main
+    from foliant.sources.prompts import prompts
+
+    (tmp_path / "a_layout.json").write_text(json.dumps(report()))
+    assert main(["chunk", str(tmp_path / "*.json"), str(tmp_path / "chunks")]) == 0
+    assert main(["index", str(tmp_path / "chunks"), str(tmp_path / "points"), "--dimension", "32"]) == 0
+    assert main(["search", str(tmp_path / "points"), "Table with 40 rows and 3 columns", "--chunk-type", "table", "--limit", "2"]) == 0
+    (tmp_path / "r.json").write_text(json.dumps({"response": FORMS[3]}))
+    assert main(["parse", str(tmp_path / "r.json")]) == 0
+    out = capsys.readouterr().out.strip().split("\n")
+    assert json.loads(out[0])["matches"] and json.loads(out[1])["rank"] == 1 and "__table__" in json.loads(out[1])["chunk_id"] and json.loads(out[-1])["evidence"][0]["page_number"] == 49
+    assert answers.NO_STRONG in prompts("annual reports")["answer"] and len(prompts("x")) == 6
