@@ -12,6 +12,7 @@ looked up at every position by a hash of their own length.
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -94,6 +95,18 @@ class Index:
         return a[:, 0], a[:, 1], items
 
 
+_kept: dict[str, Index] = {}
+
+
+def index_of(key: str, sent, window: int) -> Index:
+    """The index of a block, made once by a worker and kept until it needs another."""
+    if key not in _kept:
+        ids, texts = sent.value
+        _kept.clear()
+        _kept[key] = Index([x or "" for x in ids], pa.array(texts, pa.string()), window)
+    return _kept[key]
+
+
 def covered(starts: np.ndarray, sizes: np.ndarray, n: int) -> np.ndarray:
     edge = np.zeros(n + 1, np.int64)
     np.add.at(edge, starts, 1)
@@ -131,9 +144,8 @@ def contamination(
         sent = sc.broadcast((rows.column("i").to_pylist(), rows.column("t").to_pylist()))
         last = b == n_blocks - 1
 
-        def make(sent=sent, last=last):
-            ids, texts = sent.value
-            index = Index([x or "" for x in ids], pa.array(texts, pa.string()), window)
+        def make(sent=sent, last=last, key=uuid.uuid4().hex):
+            index = index_of(key, sent, window)
 
             def work(said: pa.Array, hit: pa.Array | None = None, items: pa.Array | None = None):
                 w = Words(said)
