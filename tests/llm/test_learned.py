@@ -53,6 +53,7 @@ def test_html_table(spark, sf):
         ("<body><article><p>cut off <b>here</b", "cut off here"),
         ("<table><tr><td>1<td>2<tr><td>3</table>", "1\n2\n3"),
         ("<header>h</header><nav>n</nav>t<footer>f</footer>", "t"),
+        ("<article><a title='a hidden gem' href=x>kept</a> <p hidden class=y>gone</p><b>too</b></article>", "kept\ntoo"),
     ],
 )
 def test_html_structure(page, text):
