@@ -4,8 +4,8 @@ Parts of a credential are identifiers, secrets and endpoints, each an interval o
 parts (assign, access, hex) are always reported. Weak ones say little alone and are reported only if
 complementary parts lie within a scope of SCOPE code points: an identifier near a secret, a
 passphrase near an identifier or an endpoint, an endpoint near both an identifier and a secret. This
-interval join is a sweep over the sorted parts of one text in both directions, which carries the
-nearest end of each role, so no pairs are made and nothing is shuffled.
+interval join looks along the sorted parts of one text for the nearest end before and the nearest start
+after of each role, in blocks, so no pairs are made and nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -29,6 +29,10 @@ KINDS = ("assign", "access", "hex", "ident", "phrase", "endpoint")
 ROLE = {"assign": 2, "access": 1, "hex": 2, "ident": 1, "phrase": 2, "endpoint": 3}
 SCOPE = 300
 MASK = "[SECRET]"
+#: Parts of a text that are read together when sums and extremes run over them.
+BLOCK = 128
+#: Gaps between masked spans up to which each is looked for from the start of its text.
+FEW = 64
 
 _PART = "struct<s:int,k:int,e:int>"
 _NONE = f"cast(array() as array<{_PART}>)"
@@ -38,15 +42,37 @@ def _sql(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _bound(value: str, name: str, body: str) -> str:
+    """body with name standing for value, which is worked out once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _scan(values: str, whole: str, before: bool = True) -> str:
+    """For each of an array of numbers what whole makes of those before it (after it) and of none at the ends.
+
+    Two levels: of each block the others' results are joined once, and within it only its own rows are read, so a text
+    of n parts takes n * BLOCK steps and not n * n. whole maps an array of numbers, which may be empty, to one number.
+    """
+    n = BLOCK
+    own = "slice(v, k * {n} + 1, i)" if before else "slice(v, k * {n} + i + 2, greatest({n} - 1 - i, 0))"
+    rest = "slice(w, 1, k)" if before else "slice(w, k + 2, size(w))"
+    inner = f"flatten(transform(w, (x, k) -> {_bound(whole.format(rest), 'o', f'transform(slice(v, k * {n} + 1, {n}), (y, i) -> {whole.format(f"concat(array(o), {own.format(n=n)})")})')}))"
+    blocks = f"transform(sequence(0, (size(v) - 1) div {n}), k -> {whole.format(f'slice(v, k * {n} + 1, {n})')})"
+    return _bound(values, "v", f"if(size(v) = 0, v, {_bound(blocks, 'w', inner)})")
+
+
+_SUM = "aggregate({}, 0, (a, b) -> a + b)"
+_MOST = "coalesce(array_max({}), -1000000000)"
+_LEAST = "coalesce(array_min({}), 2000000000)"
+
+
 def _found(t: str, kind: str, pattern: str, least: str) -> str:
     """Intervals of all leftmost matches m (gaps are what split leaves between) for which least holds."""
     k = KINDS.index(kind)
-    return f"""aggregate(
-      zip_with(regexp_extract_all({t}, {_sql(pattern)}, 0), split({t}, {_sql(pattern)}, -1), (m, gap) -> struct(m as m, length(gap) as g)),
-      struct(0 as at, {_NONE} as out),
-      (a, x) -> if(x.m is null, a, struct(a.at + x.g + length(x.m) as at,
-        if({least}, concat(a.out, array(struct(a.at + x.g as s, {k} as k, a.at + x.g + length(x.m) as e))), a.out) as out)),
-      a -> a.out)"""
+    matches = f"filter(zip_with(regexp_extract_all({t}, {_sql(pattern)}, 0), split({t}, {_sql(pattern)}, -1), (m, gap) -> struct(m as m, length(gap) as g, length(m) as n)), x -> x.m is not null)"
+    at = _scan("transform(z, x -> x.g + x.n)", _SUM)
+    placed = f"zip_with(z, {at}, (x, p) -> if({least}, struct(p + x.g as s, {k} as k, p + x.g + x.n as e), null))"
+    return f"filter({_bound(matches, 'z', placed)}, x -> x is not null)"
 
 
 def _when(t: str, quick: str, found: str) -> str:
@@ -79,21 +105,15 @@ def _role(k: str) -> str:
     return "case " + " ".join(f"when {k} = {i} then {ROLE[kind]}" for i, kind in enumerate(KINDS)) + " end"
 
 
-def _near(parts: str, forward: bool) -> str:
-    """For each part, in the order given, whether roles 1, 2 and 3 lie within SCOPE before it (after it, for the reverse order)."""
-    gap = "x.s - a.r{0} <= {1}" if forward else "a.r{0} - x.e <= {1}"
-    near = ", ".join(f"{gap.format(r, SCOPE)} as n{r}" for r in (1, 2, 3))
-    keep = ", ".join((f"if({_role('x.k')} = {r}, greatest(a.r{r}, x.e), a.r{r})" if forward else f"if({_role('x.k')} = {r}, least(a.r{r}, x.s), a.r{r})") + f" as r{r}" for r in (1, 2, 3))
-    far = "-1000000000" if forward else "2000000000"
-    return f"""aggregate({parts}, struct({', '.join(f'{far} as r{r}' for r in (1, 2, 3))}, cast(array() as array<struct<n1:boolean,n2:boolean,n3:boolean>>) as out),
-      (a, x) -> struct({keep}, concat(a.out, array(struct({near}))) as out), a -> a.out)"""
-
-
 def linked(parts: str) -> str:
-    """The weak parts (k > 2) among sorted parts whose complement is in scope."""
-    return f"""filter(zip_with(zip_with({parts}, {_near(parts, True)}, (p, b) -> struct(p, b)), reverse({_near(f'reverse({parts})', False)}),
-      (x, f) -> struct(x.p as p, x.b.n1 or f.n1 as n1, x.b.n2 or f.n2 as n2, x.b.n3 or f.n3 as n3)),
-      x -> (x.p.k = 3 and x.n2) or (x.p.k = 4 and (x.n1 or x.n3)) or (x.p.k = 5 and x.n1 and x.n2)).p"""
+    """The weak parts (k > 2) among sorted parts whose complement is in scope: by the nearest end before and the nearest start after, of each role."""
+    near = []
+    for r in (1, 2, 3):
+        ends = _scan(f"transform(q, x -> if({_role('x.k')} = {r}, x.e, -1000000000))", _MOST)
+        starts = _scan(f"transform(q, x -> if({_role('x.k')} = {r}, x.s, 2000000000))", _LEAST, before=False)
+        near.append(f"zip_with(q, zip_with({ends}, {starts}, (e, s) -> struct(e, s)), (x, y) -> x.s - y.e <= {SCOPE} or y.s - x.e <= {SCOPE})")
+    marked = f"zip_with(zip_with(q, {near[0]}, (p, n1) -> struct(p, n1)), zip_with({near[1]}, {near[2]}, (n2, n3) -> struct(n2, n3)), (x, y) -> struct(x.p as p, x.n1 as n1, y.n2 as n2, y.n3 as n3))"
+    return f"filter({_bound(parts, 'q', marked)}, x -> (x.p.k = 3 and x.n2) or (x.p.k = 4 and (x.n1 or x.n3)) or (x.p.k = 5 and x.n1 and x.n2)).p"
 
 
 def _coded(spans: str) -> str:
@@ -133,13 +153,18 @@ def mask(docs: DataFrame, text: str = "text", word: str = MASK) -> DataFrame:
     names = docs.columns
     d = with_parts(docs, text)
     t = f"coalesce({quoted(text)}, '')"
-    joined = """aggregate(_spans, cast(array() as array<struct<s:int,e:int>>), (a, x) ->
-      if(size(a) > 0 and x.s < element_at(a, -1).e,
-         concat(slice(a, 1, size(a) - 1), array(struct(element_at(a, -1).s as s, greatest(element_at(a, -1).e, x.e) as e))),
-         concat(a, array(struct(x.s as s, x.e as e)))))"""
+    # spans that overlap are one: it begins where no span before reaches, and ends where those before the next beginning do
+    ends = _scan("transform(c, x -> x.e)", _MOST)
+    begins = f"filter(zip_with(c, {ends}, (x, m) -> struct(x.s as s, m as m, x.s >= m as new)), x -> x.new)"
+    joined = _bound("_spans", "c", _bound(begins, "g", "arrays_zip(transform(g, x -> x.s), concat(slice(transform(g, x -> x.m), 2, size(g)), array(array_max(transform(c, x -> x.e)))))"))
+    joined = f"transform({joined}, x -> struct(x['0'] as s, x['1'] as e))"
     d = d.withColumn("_cut", F.expr(f"case when size(_spans) > 0 then {joined} end"))
     # the text between the end of one span and the start of the next
-    kept = f"""zip_with(concat(array(0), transform(_cut, x -> x.e)), concat(transform(_cut, x -> x.s), array(length({t}))), (a, b) -> substring({t}, a + 1, b - a))"""
+    gaps = f"zip_with(concat(array(0), transform(_cut, x -> x.e)), concat(transform(_cut, x -> x.s), array(length({t}))), (a, b) -> struct(a, b))"
+    few = f"transform({gaps}, x -> substring({t}, x.a + 1, x.b - x.a))"
+    # substring looks for its place from the start of the text, so many gaps are cut from an array of its characters
+    many = _bound(f"regexp_extract_all({t}, '(?s).', 0)", "c", f"transform({gaps}, x -> array_join(slice(c, x.a + 1, x.b - x.a), ''))")
+    kept = f"if(size(_cut) <= {FEW}, {few}, {many})"
     d = d.withColumn(text, F.expr(f"case when _cut is null then {quoted(text)} else array_join({kept}, '{word}') end"))
     if "n_chars" in names:
         d = d.withColumn("n_chars", F.expr(f"case when _cut is null then n_chars else cast(length({quoted(text)}) as bigint) end"))
