@@ -72,6 +72,17 @@ def test_html_repeated_runs(spark):
     assert got == {0: own(1) + "\n1", 1: own(2) + "\n2", 2: full(3), 3: full(4), 4: full(4), 5: full(6), 6: "", 7: full(7, "too short"), 8: full(8, "too short")}
 
 
+def test_html_repeated_runs_in_main(spark):
+    """Pages with main and no article lose what distinct pages of the host repeat, in main, outside of it or beside an article; articles keep it."""
+    note = "we and our many partners store and read data on your device"
+    own = lambda k: f"story {k} with words of its own {k * 7} and more {k * 11}"
+    main = lambda k: f"<nav>n {k}</nav><main><div>{note}</div><p>{own(k)}</p></main><p>outside {k}</p>"
+    given = [("http://a.example/1", main(1)), ("http://a.example/2", main(2)), ("http://b.example/3", main(3)), ("http://c.example/4", main(4)), ("http://c.example/5", f"<footer>{note}</footer><article>{own(5)}</article>")]
+    given += [("http://d.example/6", main(6)), ("http://d.example/7", f"<main>{note}<article>{note}<p>{own(7)}</p></article></main>")]
+    got = {r.page_id: r.text for r in htmlmain.main_text(pages(spark, given)).collect()}
+    assert got == {0: own(1), 1: own(2), 2: f"{note}\n{own(3)}", 3: own(4), 4: own(5), 5: own(6), 6: f"{note}\n{own(7)}"}
+
+
 def test_html_runs_by_brute_force(spark):
     import random
 
