@@ -185,12 +185,12 @@ def train(docs: DataFrame, path: str, text: str = "text", lang: str = "lang", sa
 
     Rows without a language or a letter don't count. Repeated texts are one.
     """
-    own = docs.select(column(lang).cast("string").alias("g"), column(text).alias("t")).filter("g is not null and t is not null")
+    own = docs.select(column(lang).cast("string").alias("g"), column(text).alias("t")).filter(F.col("g").isNotNull() & F.col("t").rlike(r"\p{L}"))
     most = [r.g for r in own.groupBy("g").count().orderBy(F.desc("count"), "g").limit(LANGUAGES).collect()]
     if not most:
         return Model([], tables([]), np.zeros((0, 0)))
-    # the sample is chosen by hashes alone; only then are its texts read
-    hashed = own.select("g", F.xxhash64("t").alias("h"))
+    # the sample is chosen by hashes alone, each once; only then are its texts read
+    hashed = own.select("g", F.xxhash64("t").alias("h")).distinct()
     first = hashed.withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy("h"))).filter(F.col("n") <= sample)
     least = {r.g: r.h for r in first.groupBy("g").agg(F.max("h").alias("h")).filter(F.col("g").isin(most)).collect()}
     chosen = F.lit(False)

@@ -198,6 +198,17 @@ def test_language_awkward(spark):
     assert rows(langid.language(documents(spark, []), VOCABULARY)) == []
 
 
+def test_language_sample_is_of_distinct_texts(spark):
+    """Copies and texts without letters take no place in the sample."""
+    one = [(k, f"{'hund und katze' if k % 2 else 'dog and cat'} {chr(97 + k % 26)}{chr(97 + k // 2)}", "de" if k % 2 else "en", "s", 0) for k in range(40)]
+    more = [(k, x, g, "s", 0) for k, (x, g) in enumerate((x, g) for g in ("de", "en") for x in ("", " \n", "12 34", None) for _ in range(12))]
+    want = langid.train(documents(spark, one), VOCABULARY, sample=10)
+    got = langid.train(documents(spark, one * 12 + more), VOCABULARY, sample=10)
+    assert got.languages == want.languages == ["de", "en"] and got.p.shape == want.p.shape and np.allclose(got.p, want.p)
+    alone = langid.train(documents(spark, [*one, (99, "1 2", "xx", "s", 0)]), VOCABULARY, sample=10)
+    assert alone.languages == ["de", "en"]
+
+
 # -- toxicity
 
 
