@@ -2,10 +2,11 @@
 
 The pieces are those of a fixed public vocabulary. Each language has a probability for each piece; a word's
 probability is the sum over all ways to cut it into pieces, by the forward algorithm over its bytes,
-and a text's is the product over its words, since no piece crosses a word. The probabilities come from
+and a text's is the product over its words, since no piece crosses a word. A word is a run of letters with their marks
+of any length. The probabilities come from
 expectation-maximisation (forward and backward sums) over the words of a bounded sample of labelled
 texts: SAMPLE whole texts of each language, those with the least hash. Words are scored once
-a batch for all languages, all words of one length at a time.
+a batch for all languages, a byte of all words at a time, in logarithms.
 """
 
 from __future__ import annotations
@@ -25,27 +26,28 @@ from foliant.llm.common import column, map_texts, places, resource
 
 SAMPLE, LANGUAGES = 250, 512
 ROUNDS, LEAST = 3, 1e-7
-#: Longest piece, and the part of a word that is cut as one (longer words are cut before), in bytes.
-PIECE, PART = 8, 24
-CACHED = 200_000
-LETTERS = regex.compile(r"\p{L}+")
+#: Bytes of a piece at most. The longest of a public vocabulary have some hundred, and only those that occur in words are looked for.
+PIECE = 1 << 16
+#: Words and bytes of words whose scores are kept, and numbers of a table of forward sums (of one word, if that needs more).
+CACHED, CACHED_BYTES, TABLE = 200_000, 32 << 20, 1 << 21
+LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*+")
 _B = 0x9E3779B97F4A7C15
 
 
 def vocabulary(path: str) -> list[bytes]:
-    """Pieces of at most PIECE bytes without white space, and every single byte. .tiktoken files or lines of text."""
+    """All pieces in lower case without the space that begins a word, and every single byte. .tiktoken files or lines of text."""
     raw = resource(path).splitlines()
     pieces = {base64.b64decode(x.split()[0]) for x in raw if x.strip()} if path.endswith(".tiktoken") else set(raw)
-    low = {p.decode().lower().encode() for p in pieces if _is_text(p)}
-    return sorted({p for p in low if 0 < len(p) <= PIECE and not p.isspace() and b" " not in p} | {bytes([b]) for b in range(256)})
+    low = {_lower(p).lstrip(b" ") for p in pieces}
+    return sorted({p for p in low if 0 < len(p) <= PIECE} | {bytes([b]) for b in range(256)})
 
 
-def _is_text(p: bytes) -> bool:
+def _lower(p: bytes) -> bytes:
+    """Parts of characters stay as they are."""
     try:
-        p.decode()
+        return p.decode().lower().encode()
     except UnicodeDecodeError:
-        return False
-    return True
+        return p
 
 
 @dataclass
@@ -65,7 +67,7 @@ def _hashes(pieces: list[bytes], size: int) -> np.ndarray:
 
 def tables(pieces: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     out = []
-    for size in range(1, PIECE + 1):
+    for size in range(1, max(map(len, pieces), default=0) + 1):
         rows = np.array([i for i, p in enumerate(pieces) if len(p) == size], np.int64)
         h = _hashes([pieces[i] for i in rows], size) if len(rows) else np.zeros(0, np.uint64)
         order = np.argsort(h)
@@ -73,36 +75,76 @@ def tables(pieces: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def by_length(words: list[bytes]) -> dict[int, np.ndarray]:
-    """Places of the words of each length."""
+@dataclass
+class Lattice:
+    """All places of pieces in some words. A word of n bytes has n + 1 nodes, and a piece goes from one to another."""
+
+    first: np.ndarray  # node at which each word begins
+    last: np.ndarray
+    start: np.ndarray  # of each piece: nodes, its row in p, its word
+    end: np.ndarray
+    row: np.ndarray
+    word: np.ndarray
+    step: np.ndarray  # how many bytes of the word are before its start
+
+
+def lattice(words: list[bytes], tabs: list[tuple[np.ndarray, np.ndarray]]) -> Lattice:
     size = np.fromiter(map(len, words), np.int64, len(words))
-    order = np.argsort(size, kind="stable")
-    edges = np.flatnonzero(np.diff(size[order])) + 1
-    return {int(size[x[0]]): x for x in np.split(order, edges) if len(x)}
+    first = np.cumsum(size + 1) - size - 1
+    x = np.frombuffer(b"".join(words), np.uint8).astype(np.uint64) + np.uint64(1)
+    word = np.repeat(np.arange(len(words)), size)
+    step = np.arange(len(x)) - np.repeat(np.cumsum(size) - size, size)
+    left = size[word] - step
+    at, h, found = np.arange(len(x)), np.zeros(len(x), np.uint64), []
+    for n in range(1, min(len(tabs), int(size.max(initial=0))) + 1):
+        more = left[at] >= n
+        at, h = at[more], h[more]
+        h = h * np.uint64(_B) + x[at + n - 1]
+        place = places(tabs[n - 1][0], h)
+        have = place >= 0
+        found.append((at[have], np.full(int(have.sum()), n), tabs[n - 1][1][place[have]]))
+    own, n, row = (np.concatenate(c) for c in zip(*found, strict=True)) if found else np.zeros((3, 0), np.int64)
+    start = first[word[own]] + step[own]
+    return Lattice(first, first + size, start, start + n, row, word[own], step[own])
+
+
+def _sums(t: Lattice, logs: np.ndarray, back: bool = False) -> np.ndarray:
+    """Of each node the log of the sum over all ways from the begin of its word (back: to its end), for each column of logs."""
+    out = np.zeros((int(t.last[-1]) + 1, logs.shape[1]))
+    source, to, step = (t.end, t.start, -t.step) if back else (t.start, t.end, t.step + t.end - t.start)
+    order = np.lexsort((to, step))
+    source, to, row, step = source[order], to[order], t.row[order], step[order]
+    new = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1])))  # each node has a piece of one byte
+    edges = np.flatnonzero(np.concatenate(([True], step[new][1:] != step[new][:-1], [True])))
+    for a, b in zip(edges, edges[1:], strict=False):
+        lo, hi = new[a], new[b] if b < len(new) else len(to)
+        x, group = out[source[lo:hi]] + logs[row[lo:hi]], new[a:b] - lo
+        top = np.maximum.reduceat(x, group)
+        x -= np.repeat(top, np.diff(np.append(group, hi - lo)), axis=0)
+        out[to[new[a:b]]] = top + np.log(np.add.reduceat(np.exp(x), group))
+    return out
 
 
-def lattice(words: list[bytes], n: int, tabs: list[tuple[np.ndarray, np.ndarray]]):
-    """For words of n bytes: (first byte, length, which words have a piece there, its row)."""
-    x = np.frombuffer(b"".join(words), np.uint8).reshape(-1, n).astype(np.uint64) + np.uint64(1)
-    for i in range(n):
-        h = np.zeros(len(x), np.uint64)
-        for size in range(1, min(PIECE, n - i) + 1):
-            h = h * np.uint64(_B) + x[:, i + size - 1]
-            at = places(tabs[size - 1][0], h)
-            have = np.flatnonzero(at >= 0)
-            if len(have):
-                yield i, size, have, tabs[size - 1][1][at[have]]
+def _logs(p: np.ndarray) -> np.ndarray:
+    return np.log(np.maximum(p, 1e-300))
+
+
+def batches(words: list[bytes], width: int) -> list[np.ndarray]:
+    """Places of words of about one length, whose nodes times width are at most TABLE numbers (or that of one word)."""
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    order = np.argsort(size, kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(np.cumsum(size[order] + 1) * width // TABLE)) + 1) if len(words) else []
 
 
 def word_scores(words: list[bytes], m: Model) -> np.ndarray:
-    """Log probability of each word (at most PART bytes, not empty) in each language."""
-    out = np.zeros((len(words), len(m.languages)))
-    for n, at in by_length(words).items():
-        f = np.zeros((n + 1, len(at), len(m.languages)))
-        f[0] = 1
-        for i, size, have, rows in lattice([words[k] for k in at], n, m.tables):
-            f[i + size, have] += f[i, have] * m.p[rows]
-        out[at] = np.log(f[n])
+    """Log probability of each word (not empty) in each language."""
+    n = len(m.languages)
+    out, logs = np.zeros((len(words), n)), _logs(m.p)
+    for at in batches(words, n):
+        t = lattice([words[k] for k in at], m.tables)
+        wide = max(1, TABLE // int(t.last[-1] + 1))
+        for g in range(0, n, wide):
+            out[at, g : g + wide] = _sums(t, logs[:, g : g + wide])[t.last]
     return out
 
 
@@ -110,61 +152,53 @@ def fit(counts: dict[str, Counter], pieces: list[bytes], rounds: int = ROUNDS) -
     """Probabilities from word counts of each language. Pieces that occur in no word are left out, but for bytes."""
     languages = sorted(counts)
     words = sorted(set().union(*counts.values())) if counts else []
-    have = set()
-    for w in words:
-        have.update(w[i:j] for i in range(len(w)) for j in range(i + 1, min(len(w), i + PIECE) + 1))
-    pieces = [p for p in pieces if len(p) == 1 or p in have]
-    n = np.array([[counts[g][w] for g in languages] for w in words], float).reshape(-1, max(1, len(languages)))
+    have, all_ = np.array([len(p) == 1 for p in pieces], bool), tables(pieces)
+    for at in batches(words, 8):
+        have[lattice([words[k] for k in at], all_).row] = True
+    pieces = [p for p, h in zip(pieces, have, strict=True) if h]
     m = Model(languages, tables(pieces), np.ones((len(pieces), len(languages))))
     sizes = np.array([len(p) for p in pieces], float)
     m.p *= (0.02 ** sizes)[:, None]  # to begin with, a segmentation costs the same for each byte
-    for _ in range(rounds if words else 0):
-        seen = np.zeros_like(m.p)
-        for size, at in by_length(words).items():
-            cuts = list(lattice([words[k] for k in at], size, m.tables))
-            f, b = np.zeros((2, size + 1, len(at), len(languages)))
-            f[0], b[size] = 1, 1
-            for i, k, own, rows in cuts:
-                f[i + k, own] += f[i, own] * m.p[rows]
-            for i, k, own, rows in reversed(cuts):
-                b[i, own] += b[i + k, own] * m.p[rows]
-            weight = n[at] / np.maximum(f[size], 1e-300)
-            for i, k, own, rows in cuts:
-                part = f[i, own] * m.p[rows] * b[i + k, own] * weight[own]
-                for g in range(len(languages)):
-                    seen[:, g] += np.bincount(rows, part[:, g], len(pieces))
-        m.p = np.maximum(seen / np.maximum(seen.sum(0), 1e-300), LEAST)
-        m.p /= m.p.sum(0)
+    for g, language in enumerate(languages):
+        own = list(counts[language])
+        n = np.fromiter(counts[language].values(), float, len(own))
+        for _ in range(rounds if own else 0):
+            logs, seen = _logs(m.p[:, g : g + 1]), np.zeros(len(pieces))
+            for at in batches(own, 8):
+                t = lattice([own[k] for k in at], m.tables)
+                f, b = _sums(t, logs)[:, 0], _sums(t, logs, back=True)[:, 0]
+                part = np.exp(f[t.start] + logs[t.row, 0] + b[t.end] - f[t.last][t.word]) * n[at][t.word]
+                seen += np.bincount(t.row, part, len(pieces))
+            new = np.maximum(seen / np.maximum(seen.sum(), 1e-300), LEAST)
+            m.p[:, g] = new / new.sum()
     return m
 
 
 def parts(text: str) -> list[bytes]:
-    """Lower-case runs of letters in UTF-8, long ones in parts of at most PART bytes."""
-    out = []
-    for w in LETTERS.findall(text.lower()):
-        b = w.encode()
-        out += [b] if len(b) <= PART else [b[i : i + PART] for i in range(0, len(b), PART)]
-    return out
+    """Lower-case runs of letters with their marks in UTF-8."""
+    return [w.encode() for w in LETTERS.findall(text.lower())]
 
 
 class Scorer:
-    """Scores texts; keeps the scores of at most CACHED words."""
+    """Scores texts; keeps the scores of at most CACHED words of CACHED_BYTES bytes."""
 
     def __init__(self, m: Model, cached: int = CACHED):
         self.m, self.cached = m, cached
         self.row: dict[bytes, int] = {}
+        self.bytes = 0
         self.known = np.zeros((0, len(m.languages)))
 
     def __call__(self, texts: list[str]) -> tuple[list[str], list[float]]:
         said = [parts(t) for t in texts]
-        if len(self.row) > self.cached:
-            self.row, self.known = {}, self.known[:0]
+        if len(self.row) > self.cached or self.bytes > CACHED_BYTES:
+            self.row, self.known, self.bytes = {}, self.known[:0], 0
         row, new = self.row, []
         for words in said:
             for w in words:
                 if w not in row:
                     row[w] = len(row)
                     new.append(w)
+                    self.bytes += len(w)
         if new:
             self.known = np.vstack((self.known, word_scores(new, self.m)))
         best, score = [], []

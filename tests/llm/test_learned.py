@@ -1,5 +1,6 @@
 """Operators with a method of their own: HTML, phrase fingerprints, and those that learn, by small plain versions and held-out rows."""
 
+import base64
 import hashlib
 import html as entities
 import math
@@ -176,6 +177,28 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(langid.word_scores(words, m), np.log([total(w) for w in words]))
 
 
+def test_language_whole_vocabulary_and_words(tmp_path):
+    """Pieces that begin words, long ones and parts of characters count, and no word is cut."""
+    given = [b" Chocolaterie", " Straße".encode(), "日本語学校".encode(), b"\xe6\x97", b"ab"]
+    (tmp_path / "v.tiktoken").write_bytes(b"".join(base64.b64encode(p) + b" %d\n" % i for i, p in enumerate(given)))
+    pieces = langid.vocabulary(str(tmp_path / "v.tiktoken"))
+    assert {b"chocolaterie", "straße".encode(), "日本語学校".encode(), b"\xe6\x97", b"ab"} < set(pieces) and len(pieces) == 256 + 5
+    assert langid.parts("हिन्दी, " + "日本語学校" * 9 + " e\u0301t\u0301 " + "a" * 99) == [x.encode() for x in ("हिन्दी", "日本語学校" * 9, "e\u0301t\u0301", "a" * 99)]
+    m = langid.Model(["x", "y"], langid.tables(pieces), np.random.default_rng(1).random((len(pieces), 2)) / 50)
+    at = {p: i for i, p in enumerate(pieces)}
+
+    def log_total(w):
+        f = [np.ones(2, np.longdouble)]
+        for j in range(1, len(w) + 1):
+            f.append(sum((f[i] * m.p[at[w[i:j]]] for i in range(j) if w[i:j] in at), np.zeros(2, np.longdouble)))
+        return np.log(f[-1])
+
+    words = [b"xchocolateriex", ("日" * 6 + "日本語学校" * 9).encode(), b"ab" * 200, b"b"]
+    assert np.allclose(langid.word_scores(words, m), np.array([log_total(w) for w in words], float))
+    fitted = langid.fit({"x": Counter({words[1]: 3, b"ab": 2}), "y": Counter({words[2]: 1})}, pieces)
+    assert np.allclose(fitted.p.sum(0), 1) and len(fitted.p) == 256 + 3
+
+
 def test_language_held_out(spark, sf):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = langid.language(d, VOCABULARY).join(d.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
