@@ -35,14 +35,14 @@ def _runs(n: int):
     return F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: F.struct(i.alias("i"), F.array_join(F.slice("w", i, n), " ").alias("alias")))
 
 
-def detect(questions: DataFrame, known: DataFrame, text: str = "question", key: str = "question_id", most: int = 8) -> DataFrame:
+def detect(questions: DataFrame, known: DataFrame, text: str = "question", key: str = "question_id") -> DataFrame:
     """question_id, documents: ids whose alias the text has as whole words, by first place, then longest alias.
 
-    Aliases of up to most words are met as word runs of the text (an equi join), so the work grows with the
-    texts and not with their product with the aliases.
+    Aliases of any length are met as word runs of the text (an equi join), so the work grows with the
+    texts and the distinct lengths in words, and not with the product of texts and aliases.
     """
-    aliases = alias_table(known).withColumn("n", F.size(F.split("alias", " "))).filter(F.col("n") <= most)
-    lengths = [r.n for r in aliases.select("n").distinct().collect()]  # at most most numbers
+    aliases = alias_table(known).withColumn("n", F.size(F.split("alias", " ")))
+    lengths = [r.n for r in aliases.select("n").distinct().collect()]  # as many as there are lengths
     own = questions.select(F.col(key).alias("question_id"), lookup_key(text).alias("t")).withColumn("w", F.split("t", " "))
     runs = F.flatten(F.array(*(_runs(n) for n in lengths))) if lengths else F.expr("cast(array() as array<struct<i:int,alias:string>>)")
     met = own.select("question_id", F.explode(runs).alias("r")).select("question_id", "r.i", "r.alias").join(aliases, "alias")

@@ -179,6 +179,13 @@ def test_stress_and_snippet_summaries(spark):
 # -- names
 
 
+def test_detect_long_aliases(spark):
+    name = "Münchener Rückversicherungs-Gesellschaft Aktiengesellschaft in München"
+    known = registry.registry(spark, [*registry.DOCUMENTS, ("re_2024", name, "re_2024.pdf", ["munich re", " ".join(f"w{i}" for i in range(40))])])
+    q = spark.createDataFrame([(1, f"BMW or {name}?"), (2, "so " + " ".join(f"W{i}" for i in range(40))), (3, name[:-4]), (4, "munich re")], "question_id long, question string")
+    assert {r.question_id: r.documents for r in registry.detect(q, known).collect()} == {1: ["bmw_2024", "re_2024"], 2: ["re_2024"], 3: [], 4: ["re_2024"]}
+
+
 def test_registry(spark):
     known = registry.registry(spark)
     q = spark.createDataFrame([(1, "Compare VW with bmw group and BMW."), (2, "nothing"), (3, "Mercedes-Benz or Robert Bosch GmbH?"), (4, None), (5, "bmwx")], "question_id int, question string")
