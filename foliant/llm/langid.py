@@ -24,7 +24,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField
 
 from foliant.llm.common import column, map_texts, places, resource
 
-SAMPLE, LANGUAGES = 250, 512
+SAMPLE = 250
 ROUNDS, LEAST = 3, 1e-7
 #: Bytes of a piece at most. The longest of a public vocabulary have some hundred, and only those that occur in words are looked for.
 PIECE = 1 << 16
@@ -180,7 +180,7 @@ def parts(text: str) -> list[bytes]:
 
 
 class Scorer:
-    """Scores texts; keeps the scores of at most CACHED words of CACHED_BYTES bytes."""
+    """Scores texts; keeps the scores of at most CACHED words, CACHED_BYTES bytes of words and of scores."""
 
     def __init__(self, m: Model, cached: int = CACHED):
         self.m, self.cached = m, cached
@@ -190,7 +190,7 @@ class Scorer:
 
     def __call__(self, texts: list[str]) -> tuple[list[str], list[float]]:
         said = [parts(t) for t in texts]
-        if len(self.row) > self.cached or self.bytes > CACHED_BYTES:
+        if len(self.row) > min(self.cached, CACHED_BYTES // (8 * max(1, len(self.m.languages)))) or self.bytes > CACHED_BYTES:
             self.row, self.known, self.bytes = {}, self.known[:0], 0
         row, new = self.row, []
         for words in said:
@@ -215,24 +215,25 @@ class Scorer:
 
 
 def train(docs: DataFrame, path: str, text: str = "text", lang: str = "lang", sample: int = SAMPLE, rounds: int = ROUNDS) -> Model:
-    """Fits to at most sample texts of each of the at most LANGUAGES most frequent languages: those with the least hash of the text.
+    """Fits to at most sample texts of every language: those with the least hash of the text.
 
-    Rows without a language or a letter don't count. Repeated texts are one.
+    Rows without a language or a letter don't count. Repeated texts are one. The driver's memory grows with the
+    number of languages, of which it holds the word counts of the sample and the probabilities.
     """
     own = docs.select(column(lang).cast("string").alias("g"), column(text).alias("t")).filter(F.col("g").isNotNull() & F.col("t").rlike(r"\p{L}"))
-    most = [r.g for r in own.groupBy("g").count().orderBy(F.desc("count"), "g").limit(LANGUAGES).collect()]
-    if not most:
-        return Model([], tables([]), np.zeros((0, 0)))
     # the sample is chosen by hashes alone, each once; only then are its texts read
-    hashed = own.select("g", F.xxhash64("t").alias("h")).distinct()
-    first = hashed.withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy("h"))).filter(F.col("n") <= sample)
-    least = {r.g: r.h for r in first.groupBy("g").agg(F.max("h").alias("h")).filter(F.col("g").isin(most)).collect()}
-    chosen = F.lit(False)
-    for g, h in least.items():
-        chosen = chosen | ((F.col("g") == g) & (F.xxhash64("t") <= h))
-    counts: dict[str, Counter] = {g: Counter() for g in most}
-    for g, t in own.filter(chosen).select("g", "t").distinct().toLocalIterator():
-        counts[g].update(parts(t))
+    hashed = own.select("g", F.xxhash64("t").alias("h")).distinct().withColumn("b", F.shiftright("h", 56))
+    # of each language only the lowest of 256 ranges of the hash that hold the sample are ordered
+    before = F.sum("n").over(Window.partitionBy("g").orderBy("b").rowsBetween(Window.unboundedPreceding, -1))
+    low = hashed.groupBy("g", "b").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < sample)
+    low = low.groupBy("g").agg(F.max("b").alias("top"))
+    first = hashed.join(F.broadcast(low), "g").filter("b <= top").withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy("h"))).filter(F.col("n") <= sample)
+    least = first.groupBy("g").agg(F.max("h").alias("h"))
+    counts: dict[str, Counter] = {}
+    for g, t in own.join(F.broadcast(least), "g").filter(F.xxhash64("t") <= F.col("h")).select("g", "t").distinct().toLocalIterator():
+        counts.setdefault(g, Counter()).update(parts(t))
+    if not counts:
+        return Model([], tables([]), np.zeros((0, 0)))
     return fit({g: c for g, c in counts.items() if c}, vocabulary(path), rounds)
 
 

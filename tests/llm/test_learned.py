@@ -177,6 +177,15 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(langid.word_scores(words, m), np.log([total(w) for w in words]))
 
 
+def test_language_learns_every_language(spark):
+    """More languages than were once learned, each with a word of its own."""
+    said = [f"word{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(600)]
+    docs = documents(spark, [(k, f"{w} {w * 2} {w}", f"l{k:03}", "s", 0) for k, w in enumerate(said)])
+    m = langid.train(docs, VOCABULARY)
+    assert m.languages == [f"l{k:03}" for k in range(600)] and m.p.shape[1] == 600 and np.allclose(m.p.sum(0), 1)
+    assert langid.Scorer(m)([said[3], said[599]])[0] == ["l003", "l599"]
+
+
 def test_language_whole_vocabulary_and_words(tmp_path):
     """Pieces that begin words, long ones and parts of characters count, and no word is cut."""
     given = [b" Chocolaterie", " Straße".encode(), "日本語学校".encode(), b"\xe6\x97", b"ab"]
