@@ -122,8 +122,16 @@ SPACED = byte_table(lambda b: b != 32 and not 9 <= b <= 13 and b > 0)
 ALNUM = byte_table(lambda b: 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128)
 
 
+#: A long word is cut where the hash of so many bytes before says so; what has no such place for so many times most is cut by length.
+WINDOW, PLAIN = 6, 16
+
+
 class Words:
-    """All words of some texts: hash, first and last byte, and the text each is of. With most, longer words are cut to pieces of as many bytes."""
+    """All words of some texts: hash, first and last byte, and the text each is of.
+
+    With most, words of more bytes are cut where their bytes say so, at each eighth character or so, so that an
+    insertion changes only the pieces next to it.
+    """
 
     def __init__(self, texts: pa.Array, table: np.ndarray = ALNUM, most: int = 0):
         raw, self.ends_of = utf8(texts)
@@ -136,10 +144,21 @@ class Words:
         self.start = np.flatnonzero(word[1:-1] & (~word[:-2] | first[:n]))
         self.end = np.flatnonzero(word[1:-1] & (~word[2:] | first[1:])) + 1
         if most and len(self.start) and int((self.end - self.start).max()) > most:
-            pieces = -(-(self.end - self.start) // most)
+            long = self.end - self.start > most
+            size = (self.end - self.start)[long] - WINDOW
+            at = np.repeat(self.start[long] + WINDOW - np.cumsum(size) + size, size) + np.arange(size.sum())
+            before = np.zeros(len(at), np.uint64)
+            for j in range(WINDOW):
+                before = before * np.uint64(_BASE) + x[at - WINDOW + j]
+            cuts = at[(mixed(before) >> np.uint64(61) == 0) & (x[at] & 0xC0 != 0x80)]  # not within a character
+            self.start, self.end = np.sort(np.concatenate((self.start, cuts))), np.sort(np.concatenate((self.end, cuts)))
+            size = self.end - self.start
+            step = np.where(size > PLAIN * most, most, size)
+            pieces = -(-size // step)
             nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-            self.start, self.end = np.repeat(self.start, pieces) + nth * most, np.repeat(self.end, pieces)
-            self.end = np.minimum(self.start + most, self.end)
+            step = np.repeat(step, pieces)
+            self.start, self.end = np.repeat(self.start, pieces) + nth * step, np.repeat(self.end, pieces)
+            self.end = np.minimum(self.start + step, self.end)
         up, down = powers(n)
         total = np.zeros(n + 1, np.uint64)
         np.cumsum((x.astype(np.uint64) + np.uint64(1)) * up[:n], dtype=np.uint64, out=total[1:])

@@ -1,8 +1,8 @@
 """Lempel-Ziv phrase fingerprints.
 
 A text is parsed as LZ78 does: the longest phrase that the dictionary has, with one more symbol, is a
-new phrase. Symbols are what stands between white space, long ones in pieces of PIECE bytes. The set
-of phrases is hashed into BINS bins, each of which keeps its least hash; the share of equal bins among
+new phrase. Symbols are what stands between white space; those of more than PIECE bytes are cut where the
+bytes before say so, so that an insertion changes only the symbols next to it. The set of phrases is hashed into BINS bins, each of which keeps its least hash; the share of equal bins among
 those that either text fills estimates how much of the two dictionaries is common, as a compressor
 would find it.
 

@@ -162,6 +162,26 @@ def test_lz_parse():
     assert lzprint.likeness(same[0], same[1]) == 1 and lzprint.likeness(same[2], same[2]) == 1 and lzprint.likeness(same[0], same[3]) == 0
 
 
+def test_lz_without_spaces():
+    """An insertion into a text without white space changes only the symbols next to it."""
+    import random
+
+    rnd = random.Random(3)
+    chinese = "".join(chr(0x4E00 + int(rnd.paretovariate(0.4)) % 3000) for _ in range(4000))
+    ascii_ = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(9000))
+    for text in (chinese, ascii_):
+        a, b = ((w.start, w.end, w.hash) for w in (lzprint.Words(lzprint.pa.array([x]), lzprint.SYMBOLS, most=lzprint.PIECE) for x in (text, f"{text[:7]}!{text[7:]}")))
+        assert (a[0][1:] == a[1][:-1]).all() and a[0][0] == 0 and a[1][-1] == len(text.encode())
+        for w in (a, b):
+            assert len(set(w[2].tolist())) > 100
+        assert len(set(a[2].tolist()) ^ set(b[2].tolist())) <= 6
+        for at in (0, 7, 1001):
+            one, two, other = lzprint.signatures([text, f"{text[:at]}!{text[at:]}", text[::-1]])
+            assert lzprint.likeness(one, two) > 0.6 > 0.2 > lzprint.likeness(one, other), (at, lzprint.likeness(one, two))
+    one, two = lzprint.signatures(["a" * 5000, "a" * 4000])
+    assert lzprint.likeness(one, two) > 0.6
+
+
 # -- language
 
 
