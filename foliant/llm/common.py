@@ -6,7 +6,9 @@ a few megabytes of text (or by the longest single text, where that is longer).
 
 from __future__ import annotations
 
+import atexit
 import os
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -18,7 +20,7 @@ from pyspark.sql.types import StructField, StructType
 
 from foliant.session import checkpointed
 
-__all__ = ["checkpointed", "column", "grams", "map_texts", "partitions", "places", "quoted", "resource", "slices", "utf8", "Words"]
+__all__ = ["checkpointed", "column", "grams", "map_texts", "partitions", "places", "quoted", "resource", "shared_folder", "slices", "stored", "unused", "utf8", "Words"]
 
 #: Text bytes that one call of a batch function sees.
 SLICE_BYTES = 2 << 20
@@ -32,6 +34,38 @@ def column(name: str) -> Column:
     return F.col(quoted(name))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of an operator's own beside those of df: the given ones, with _ put after them as often as need be."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in that of spark.checkpoint.dir, or in the warehouse where it is unset; deleted when this program ends in an orderly way."""
+    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    atexit.register(drop_folder, spark, path)
+    return path
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """df, written once to the shared folder as Parquet and read from there, column by column."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
