@@ -20,7 +20,7 @@ from pyspark.sql.types import StructField, StructType
 
 from foliant.session import checkpointed
 
-__all__ = ["checkpointed", "column", "grams", "map_texts", "partitions", "places", "quoted", "resource", "shared_folder", "slices", "stored", "unused", "utf8", "Words"]
+__all__ = ["checkpointed", "column", "dealt_join", "grams", "hot_keys", "map_texts", "partitions", "places", "prefix", "quoted", "resource", "shared_folder", "slices", "stored", "utf8", "Words"]
 
 #: Text bytes that one call of a batch function sees.
 SLICE_BYTES = 2 << 20
@@ -34,17 +34,32 @@ def column(name: str) -> Column:
     return F.col(quoted(name))
 
 
-def unused(df: DataFrame, *names: str) -> list[str]:
-    """Names for columns of an operator's own beside those of df: the given ones, with _ put after them as often as need be."""
-    taken, out = {c.lower() for c in df.columns}, []
-    for name in names:
-        while name.lower() in taken:
-            name += "_"
-        taken.add(name.lower())
-        out.append(name)
+def prefix(df: DataFrame) -> str:
+    """As many _ as no column of df begins with: an operator's own columns beside those of df begin so."""
+    out = "_"
+    while any(c.startswith(out) for c in df.columns):
+        out += "_"
     return out
 
 
+#: A key is hot from so many rows, or from the 10,000th part of all, so that there are at most 10,000 hot keys.
+HOT_ROWS, HOT_KEYS = 256, 10_000
+
+
+def hot_keys(counted: DataFrame, key: str, n: int, rows: int = HOT_ROWS) -> DataFrame:
+    """key and pieces (at least 2) of the hot keys in a table of keys with their numbers of rows m, n in all."""
+    least = max(rows, n // HOT_KEYS)
+    return counted.filter(F.col("m") > least).select(key, F.ceil(F.col("m") / least).cast("int").alias("pieces"))
+
+
+def dealt_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame, by: str) -> DataFrame:
+    """Inner join on key of left with right, which has one row a key: the rows of a hot key are dealt by a hash of column by, and right's row goes to each piece."""
+    hot = F.broadcast(hot)  # at most HOT_KEYS rows
+    dealt = left.join(hot, key, "left").withColumn("piece", F.pmod(F.xxhash64(by), F.coalesce("pieces", F.lit(1)))).drop("pieces")
+    copies = right.join(hot, key, "left").withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("pieces", F.lit(1)).cast("long") - 1))).drop("pieces")
+    return dealt.join(copies, [key, "piece"]).drop("piece")
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder in that of spark.checkpoint.dir, or in the warehouse where it is unset; deleted when this program ends in an orderly way."""
     top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")

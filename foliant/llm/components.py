@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import checkpointed
+from foliant.llm.common import checkpointed, dealt_join, hot_keys
 
 MOST_ROUNDS = 60
 
@@ -15,7 +15,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Large star: each node links its larger neighbours to its least one. Small star: each node links
     itself and its smaller neighbours to the least. Both make at most a row for each link, also at a
-    node that a third of all links have. Ends when a round changes nothing.
+    node that a third of all links have. Its rows are dealt to several tasks. Ends when a round changes nothing; the rounds grow
+    with the logarithm of the longest path, and after MOST_ROUNDS an error is raised, so that no result lacks a link.
     """
     links = checkpointed(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
     seen = _state(links)
@@ -23,11 +24,11 @@ def components(edges: DataFrame) -> DataFrame:
         if not seen[0]:
             break
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        links = checkpointed(small.union(down.select("a", F.col("m").alias("b"))).distinct())
+        large = _joined(both, both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("least"), F.count("*").alias("m")), 2 * seen[0])
+        large = large.filter("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
+        down = large.groupBy("a").agg(F.min("b").alias("least"), F.count("*").alias("m"))
+        small = _joined(large, down, seen[0]).filter("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))
+        links = checkpointed(small.union(down.select("a", F.col("least").alias("b"))).distinct())
         now = _state(links)
         if now == seen:
             break
@@ -37,6 +38,11 @@ def components(edges: DataFrame) -> DataFrame:
     return links.select(F.col("a").alias("node"), F.col("b").alias("root")).union(links.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
 
 
+def _joined(links: DataFrame, least: DataFrame, n: int) -> DataFrame:
+    """links (a, b), about n, with the least of a."""
+    return dealt_join(links, least.select("a", "least"), "a", hot_keys(least, "a", n), "b")
+
+
 def _state(links: DataFrame) -> tuple:
     """Equal after a round only if the links are."""
     return tuple(links.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)"))).first())

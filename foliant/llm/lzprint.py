@@ -7,13 +7,16 @@ those that either text fills estimates how much of the two dictionaries is commo
 would find it.
 
 Neighbours in the order of the key are met without a global sort: quantiles of the key cut the rows into
-ranges, each text is moved once to its range's partition, and the first row of a range once more
-to the range before it (around the end too), so that a sorted partition reads each row with its next.
+ranges, and those of a single frequent key, or of no key, into equal ranges of the text's hash; each text is moved
+once to its range's partition, and the first row of a range once more to the range before it (around the end too),
+so that a sorted partition reads each row with its next.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -103,34 +106,52 @@ def fingerprints_with_next(docs: DataFrame, text: str = "text", key: str = "doc_
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next of every row.
 
     The next row is that of the next lower key, after the last the first; rows of one key stand by a
-    hash of the text, those without a key last. A null text is empty; texts without symbols have the
-    empty fingerprint and are alike (1). A lone row is its own next. An empty table gives an empty result.
+    hash of the text, those without a key last. Keys are numbers. A null text is empty, very long ones are read whole;
+    texts without symbols have the empty fingerprint and are alike (1). Repeated rows stay, each the next of another. A lone row
+    is its own next. An empty table gives an empty result. Only key and text are read, so other columns may have any name.
     """
     own = docs.select(column(key).alias("doc_id"), F.coalesce(column(text), F.lit("")).alias("text"))
     spark = docs.sparkSession
     parts = parts or partitions(spark)
     ids = own.filter("doc_id is not null").select(F.col("doc_id").cast("double").alias("x"))
     cuts = ids.approxQuantile("x", [i / parts for i in range(1, parts)], 1 / (4 * parts)) if parts > 1 else []
-    cuts = sorted(set(cuts), reverse=True)
+    # a key at which several quantiles lie has a range of its own: [key, the next number)
+    many = {x for x, n in Counter(cuts).items() if n > 1}
+    cuts = sorted({*cuts, *(math.nextafter(x, math.inf) for x in many)}, reverse=True)
     bounds = "cast(array() as array<double>)" if not cuts else "array(" + ", ".join(f"{x!r}D" for x in cuts) + ")"
     steps = "array(" + ", ".join(str(1 << i) for i in reversed(range(max(1, len(cuts).bit_length())))) + ")"
     # how many bounds are above the key, found by halving
     range_ = F.expr(f"case when doc_id is null then {len(cuts) + 1} else aggregate({steps}, 0, (a, s) -> if(get({bounds}, a + s - 1) > doc_id, a + s, a)) end")
-    ranged = own.withColumn("part", range_)
-    tops = ranged.groupBy("part").agg(F.max("doc_id").alias("top"), F.min(F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).alias("low")).orderBy("part").collect()
-    if not tops:
-        return ranged.drop("part").mapInArrow(_neighbours(bins), _schema(own))
-    before = {r.part: tops[i - 1].part for i, r in enumerate(tops)}
-    last = max(before)
+    ranged = own.withColumn("range", range_).withColumn("h", F.xxhash64("text"))
+    sizes = ranged.groupBy("range").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).orderBy("range").collect()
+    fair = max(1, sum(r.n for r in sizes) // parts)
+    pieces, first, at = {}, {}, 0
+    for r in sizes:
+        pieces[r.range] = -(-r.n // fair) if r.low == r.high else 1  # null is no key, and equals itself here
+        first[r.range] = at
+        at += pieces[r.range]
+    if not at:
+        return ranged.select("range", F.lit(0).alias("copy"), "doc_id", "text").mapInArrow(_neighbours(bins), _schema(own))
     list_of = lambda values, kind: "array(" + ", ".join(f"cast({'null' if v is None else repr(v)} as {kind})" for v in values) + ")"
-    by = {r.part: r for r in tops}
+    slots = range(len(cuts) + 2)
+    piece = f"cast(floor((h / 18446744073709551616D + 0.5D) * get({list_of([pieces.get(i, 1) for i in slots], 'int')}, range)) as int)"
+    part = F.expr(f"get({list_of([first.get(i, 0) for i in slots], 'int')}, range) + least({piece}, get({list_of([pieces.get(i, 1) for i in slots], 'int')}, range) - 1)")
+    ranged = ranged.withColumn("part", part)
+    # the first rows of each part: those of its greatest key and, among them, the least hash
+    tops = ranged.groupBy("part").agg(F.max("doc_id").alias("top")).orderBy("part")
+    lows = ranged.join(F.broadcast(tops.withColumnRenamed("part", "of")), F.col("part") == F.col("of")).filter(F.col("doc_id").eqNullSafe(F.col("top")))
+    lows = lows.groupBy("part").agg(F.min("h").alias("h"), F.max("doc_id").alias("top")).orderBy("part").collect()
+    by, own_parts = {r.part: r for r in lows}, [r.part for r in lows]
+    before = {p: own_parts[i - 1] for i, p in enumerate(own_parts)}
+    last = max(own_parts)
     top = list_of([by[i].top if i in by else None for i in range(last + 1)], own.schema["doc_id"].dataType.simpleString())
+    low = list_of([by[i].h if i in by else None for i in range(last + 1)], "bigint")
     to = list_of([before.get(i) for i in range(last + 1)], "int")
-    low = by[len(cuts) + 1].low if len(cuts) + 1 in by else None
-    is_first = F.expr(f"case when doc_id is null then xxhash64(text) = {low if low is not None else 'null'} else get({top}, part) = doc_id end")
-    places = F.when(is_first, F.array(F.struct("part", F.lit(0).alias("copy")), F.struct(F.expr(f"get({to}, part)").alias("part"), F.lit(1).alias("copy")))).otherwise(F.array(F.struct("part", F.lit(0).alias("copy"))))
-    dealt = ranged.select("doc_id", "text", F.explode(places).alias("at")).select("at.part", "at.copy", "doc_id", "text")
-    dealt = dealt.repartitionById(last + 1, F.col("part")).sortWithinPartitions("part", "copy", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
+    is_first = F.expr(f"get({top}, part) <=> doc_id and get({low}, part) = h")
+    here = F.struct("part", F.lit(0).alias("copy"))
+    places = F.when(is_first, F.array(here, F.struct(F.expr(f"get({to}, part)").alias("part"), F.lit(1).alias("copy")))).otherwise(F.array(here))
+    dealt = ranged.select("doc_id", "text", "h", F.explode(places).alias("at")).select("at.part", "at.copy", "doc_id", "text", "h")
+    dealt = dealt.repartitionById(last + 1, F.col("part")).sortWithinPartitions("part", "copy", F.col("doc_id").desc_nulls_last(), "h").drop("h")
     return dealt.mapInArrow(_neighbours(bins), _schema(own))
 
 

@@ -45,7 +45,7 @@ def _op4() -> str:
     m = mixing.MAX_EPOCHS
     return f"""
     with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint size,
-        md5('{mixing.SEED}:' || coalesce(doc_id::varchar, '')) place from documents),
+        md5('{mixing.SEED}:' || coalesce(doc_id::varchar, '') || ':' || md5(coalesce(text, ''))) place from documents),
     s as (select source, sum(size)::bigint source_size, row_number() over (order by source is null, source) n from d group by source),
     w as (select *, (n - 1) % 3 + 1 weight, {m} * source_size cap, {m} * source_size / ((n - 1) % 3 + 1) r from s),
     o as (select *, sum(source_size) over () - coalesce(sum(cap) over (order by r, n rows between unbounded preceding and 1 preceding), 0) room,

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import column, quoted
+from foliant.llm.common import column, prefix, quoted
 
 # The patterns of the base kinds.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -121,27 +121,32 @@ def _coded(spans: str) -> str:
     return f"array_join(transform({spans}, x -> concat(element_at(array({names}), x.k + 1), ':', x.s, ':', x.e)), ',')"
 
 
-def with_parts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with _base and _spans: sorted arrays of struct(s, k, e), the base parts and all that are reported."""
+def with_parts(docs: DataFrame, text: str = "text", p: str = "_") -> DataFrame:
+    """docs with {p}assign, {p}access, {p}hex, {p}base and {p}spans: sorted arrays of struct(s, k, e), those of the base kinds, all of these, and all that are reported.
+
+    No column of docs may begin with p.
+    """
     t = f"coalesce({quoted(text)}, '')"
-    d = docs.withColumns({f"_{k}": F.expr(e) for k, e in base_parts(t).items()})
-    d = d.withColumn("_base", F.expr("array_sort(concat(_assign, _access, _hex))"))
-    d = d.withColumns({f"_{k}": F.expr(e) for k, e in weak_parts(t).items()})
-    d = d.withColumn("_all", F.expr("case when size(_ident) + size(_phrase) + size(_endpoint) > 0 then array_sort(concat(_base, _ident, _phrase, _endpoint)) end"))
-    d = d.withColumn("_spans", F.expr(f"case when _all is null then _base else array_sort(concat(_base, {linked('_all')})) end"))
-    return d.drop("_ident", "_phrase", "_endpoint", "_all")
+    d = docs.withColumns({p + k: F.expr(e) for k, e in base_parts(t).items()})
+    d = d.withColumn(f"{p}base", F.expr(f"array_sort(concat({p}assign, {p}access, {p}hex))"))
+    d = d.withColumns({p + k: F.expr(e) for k, e in weak_parts(t).items()})
+    d = d.withColumn(f"{p}all", F.expr(f"case when size({p}ident) + size({p}phrase) + size({p}endpoint) > 0 then array_sort(concat({p}base, {p}ident, {p}phrase, {p}endpoint)) end"))
+    d = d.withColumn(f"{p}spans", F.expr(f"case when {p}all is null then {p}base else array_sort(concat({p}base, {linked(f'{p}all')})) end"))
+    return d.drop(f"{p}ident", f"{p}phrase", f"{p}endpoint", f"{p}all")
 
 
 def find_secrets(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns carry of every row, with n_assign, n_access, n_hex, base_sha256 and spans.
 
-    Spans are kind:start:end in code points, end exclusive, by start and kind. Null and empty texts
-    have none (the hash is that of the empty string). Repeated rows stay; an empty table gives an
-    empty result; the other columns of the input are not read.
+    Spans are kind:start:end in code points, end exclusive, by start, then kind, then end. Null and empty texts
+    have none (the hash is that of the empty string); very long texts are read whole. Repeated rows stay; an empty
+    table gives an empty result; the other columns of the input are not read, so they may have any name, and a
+    carried one named as a new one gives way to it.
     """
-    d = with_parts(docs.select(*(column(c).alias(f"_c{i}") for i, c in enumerate(carry)), column(text).alias("_text")), "_text")
+    made = [*(f"n_{k}" for k in KINDS[:3]), "base_sha256", "spans"]
+    d = with_parts(docs.select(*(column(c).alias(f"c{i}") for i, c in enumerate(carry)), column(text).alias("text")))
     return d.select(
-        *(F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)),
+        *(F.col(f"c{i}").alias(c) for i, c in enumerate(carry) if c not in made),
         *(F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in KINDS[:3]),
         F.expr(f"sha2({_coded('_base')}, 256)").alias("base_sha256"),
         F.expr(_coded("_spans")).alias("spans"),
@@ -149,23 +154,27 @@ def find_secrets(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = (
 
 
 def mask(docs: DataFrame, text: str = "text", word: str = MASK) -> DataFrame:
-    """docs, each reported span of the text replaced by word; overlapping spans are one. All columns stay, n_chars follows the text."""
-    names = docs.columns
-    d = with_parts(docs, text)
+    """docs, each reported span of the text replaced by word; overlapping spans are one. All columns stay, n_chars follows the text.
+
+    Null and empty texts stay as they are, very long ones are read whole, repeated rows stay, an empty table gives an
+    empty result; no column's name is of consequence but that of the text and n_chars.
+    """
+    names, p = docs.columns, prefix(docs)
+    d = with_parts(docs, text, p)
     t = f"coalesce({quoted(text)}, '')"
     # spans that overlap are one: it begins where no span before reaches, and ends where those before the next beginning do
     ends = _scan("transform(c, x -> x.e)", _MOST)
     begins = f"filter(zip_with(c, {ends}, (x, m) -> struct(x.s as s, m as m, x.s >= m as new)), x -> x.new)"
-    joined = _bound("_spans", "c", _bound(begins, "g", "arrays_zip(transform(g, x -> x.s), concat(slice(transform(g, x -> x.m), 2, size(g)), array(array_max(transform(c, x -> x.e)))))"))
+    joined = _bound(f"{p}spans", "c", _bound(begins, "g", "arrays_zip(transform(g, x -> x.s), concat(slice(transform(g, x -> x.m), 2, size(g)), array(array_max(transform(c, x -> x.e)))))"))
     joined = f"transform({joined}, x -> struct(x['0'] as s, x['1'] as e))"
-    d = d.withColumn("_cut", F.expr(f"case when size(_spans) > 0 then {joined} end"))
+    d = d.withColumn(f"{p}cut", F.expr(f"case when size({p}spans) > 0 then {joined} end"))
     # the text between the end of one span and the start of the next
-    gaps = f"zip_with(concat(array(0), transform(_cut, x -> x.e)), concat(transform(_cut, x -> x.s), array(length({t}))), (a, b) -> struct(a, b))"
+    gaps = f"zip_with(concat(array(0), transform({p}cut, x -> x.e)), concat(transform({p}cut, x -> x.s), array(length({t}))), (a, b) -> struct(a, b))"
     few = f"transform({gaps}, x -> substring({t}, x.a + 1, x.b - x.a))"
     # substring looks for its place from the start of the text, so many gaps are cut from an array of its characters
     many = _bound(f"regexp_extract_all({t}, '(?s).', 0)", "c", f"transform({gaps}, x -> array_join(slice(c, x.a + 1, x.b - x.a), ''))")
-    kept = f"if(size(_cut) <= {FEW}, {few}, {many})"
-    d = d.withColumn(text, F.expr(f"case when _cut is null then {quoted(text)} else array_join({kept}, '{word}') end"))
+    kept = f"if(size({p}cut) <= {FEW}, {few}, {many})"
+    d = d.withColumn(text, F.expr(f"case when {p}cut is null then {quoted(text)} else array_join({kept}, '{word}') end"))
     if "n_chars" in names:
-        d = d.withColumn("n_chars", F.expr(f"case when _cut is null then n_chars else cast(length({quoted(text)}) as bigint) end"))
+        d = d.withColumn("n_chars", F.expr(f"case when {p}cut is null then n_chars else cast(length({quoted(text)}) as bigint) end"))
     return d.select(*(column(c) for c in names))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField
 
-from foliant.llm.common import checkpointed, column, map_texts
+from foliant.llm.common import checkpointed, column, dealt_join, hot_keys, map_texts, prefix
 from foliant.llm.components import components
 
 RADIUS, SHINGLE = 4, 4
@@ -113,15 +113,10 @@ def joined(fps: np.ndarray, radius: int = RADIUS, tile: int = TILE, other: np.nd
 
 
 def _links(radius: int, tile: int):
-    """Links in all buckets of a partition: rows of bucket, side (0, or 1 for the second tile of a pair), fp."""
+    """Links in all buckets: rows of bucket, side (0, or 1 for the second tile of a pair), fp, sorted, so that one bucket at a time is held."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches if b.num_rows]
-        if not parts:
-            return
-        key, side, fp = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((side, key))
-        key, side, fp = key[order], side[order], fp[order].view(np.uint64)
+    def found(key: np.ndarray, side: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        fp = fp.view(np.uint64)
         edges = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
         a, b = [], []
         for s, e in zip(edges, edges[1:], strict=False):
@@ -133,7 +128,24 @@ def _links(radius: int, tile: int):
             for x, y in joined(fp[s:cut], radius, tile, fp[cut:e] if cut < e else None):
                 a.append(x)
                 b.append(y)
-        yield pa.RecordBatch.from_arrays([pa.array(np.array(x, np.uint64).view(np.int64)) for x in (a, b)], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(np.array(x, np.uint64).view(np.int64)) for x in (a, b)], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []  # parts of the bucket that may go on
+        for batch in batches:
+            new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if not batch.num_rows:
+                continue
+            if held and held[0][0][0] != new[0][0]:
+                yield found(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                held = []
+            at = int(np.searchsorted(new[0], new[0][-1]))
+            if at:
+                yield found(*(np.concatenate(x) for x in zip(*held, [c[:at] for c in new], strict=True)))
+                held = []
+            held.append([c[at:] for c in new])
+        if held:
+            yield found(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     return run
 
@@ -151,7 +163,7 @@ def links(nodes: DataFrame, n: int, radius: int = RADIUS, bucket: int = BUCKET,
     dealt = nodes.select(F.explode(F.array(*keys)).alias("key"), "fp")
     many = checkpointed(dealt.groupBy("key").agg(F.count("*").alias("m")).filter(F.col("m") > hot))
     spread = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    made = lambda df: df.repartition(spread, "key").mapInArrow(_links(radius, tile), "a long, b long")
+    made = lambda df: df.repartition(spread, "key").sortWithinPartitions("key", "side").mapInArrow(_links(radius, tile), "a long, b long")
     plain = dealt.withColumn("side", F.lit(0).cast("byte")).select("key", "side", "fp")
     if many.isEmpty():
         return made(plain)
@@ -169,28 +181,36 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", ra
     """doc_id, fingerprint (16 hex digits) and component_id of every row.
 
     component_id is the least key reachable by links of at most radius bits (null only if all keys of
-    the component are). Texts without words have fingerprint 0 and link like any other. Rows of a
-    repeated key each have their own fingerprint. An empty table gives an empty result.
+    the component are). Texts without words, null and empty ones too, have fingerprint 0 and link like any other;
+    very long texts are read whole. Rows of a repeated key each have their own fingerprint, and equal texts have the
+    same. An empty table gives an empty result. No column but key and text is read, so others may have any name.
+    The rows of a frequent fingerprint or a large component are dealt to several tasks. Components whose longest path of
+    links is beyond what components.MOST_ROUNDS rounds shorten (some 2 ** 30) raise an error.
     """
     own = docs.select(column(key).alias("doc_id"), column(text).alias("_text"))
     printed = checkpointed(fingerprints(own, "_text", ("doc_id",), k))
-    nodes = checkpointed(printed.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    root = components(links(nodes.select("fp"), nodes.count(), radius, bucket, hot, tile))
+    nodes = checkpointed(printed.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("m")))
+    n, rows = nodes.agg(F.count("*"), F.coalesce(F.sum("m"), F.lit(0))).first()
+    root = components(links(nodes.select("fp"), n, radius, bucket, hot, tile))
     named = nodes.join(root.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    lone = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(lone, "root").select("fp", "component_id")
-    return printed.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    lone = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("m"))
+    named = dealt_join(named.select("fp", "root"), lone.select("root", "component_id"), "root", hot_keys(lone, "root", n), "fp").select("fp", "component_id")
+    joined_ = dealt_join(printed, named, "fp", hot_keys(nodes, "fp", rows), "doc_id")
+    return joined_.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", **how) -> DataFrame:
-    """One row of each component stays, with all its columns: the least by key, then by a hash of key and text.
+    """One row of each component stays, with all its columns: the least by key (a null one first), then by a hash of key and text.
 
-    Rows that are alike in key and text are one. Each row's text is moved once, by that hash.
+    Rows that are alike in key and text are one; rows of one hash and different keys are told apart. Null and empty
+    texts are alike. An empty table gives an empty result; columns may have any names. Each row's text is moved once.
     """
+    p = prefix(docs)
     own = F.xxhash64(F.coalesce(column(text), F.lit("")), column(key).isNull(), column(key))
-    marked = docs.withColumn("__row", own)
-    named = near_duplicates(marked.select(F.struct(column(key).alias("k"), F.col("__row").alias("r")).alias("doc_id"), column(text)), text, "doc_id", **how)
-    stay = named.filter("doc_id = component_id").select(F.col("doc_id.r").alias("__row")).distinct()
-    rest = [column(c) for c, t in docs.dtypes if c not in (text, "__row") and not t.startswith(("map", "variant"))]
-    first = Window.partitionBy("__row").orderBy(*rest)
-    return marked.join(stay, "__row").withColumn("__n", F.row_number().over(first)).filter("__n = 1").select(*(column(c) for c in docs.columns))
+    marked = docs.withColumn(f"{p}id", F.struct(column(key).alias("k"), own.alias("h")))
+    named = near_duplicates(marked.select(f"{p}id", column(text)), text, f"{p}id", **how)
+    stay = named.filter("doc_id = component_id").select(F.col("doc_id").alias(f"{p}id")).distinct()
+    rest = [column(c) for c, t in docs.dtypes if c not in (text, key) and not t.startswith(("map", "variant"))]
+    first = Window.partitionBy(f"{p}id").orderBy(*rest or [F.lit(0)])
+    kept = marked.join(stay, f"{p}id", "left_semi").withColumn(f"{p}n", F.row_number().over(first))
+    return kept.filter(F.col(f"{p}n") == 1).select(*(column(c) for c in docs.columns))

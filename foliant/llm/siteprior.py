@@ -18,15 +18,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField
 
-from foliant.llm.common import Words, byte_table, checkpointed, column, map_texts, utf8
+from foliant.llm.common import Words, byte_table, checkpointed, column, dealt_join, hot_keys, map_texts, utf8
 from foliant.llm.sample import labelled
 
 SAMPLE, RIDGE = 4000, 1e-3
 #: Bounds of the strength of a prior, in documents, and of a rate.
 STRENGTH, EDGE = (1.0, 1e4), 1e-3
 KEPT = 0.5
-#: Parts into which the rows of one path are dealt when they meet its prior.
-SALTS = 64
 TOKENS = byte_table(lambda b: b != 32 and not 9 <= b <= 13 and b > 0)
 
 
@@ -116,7 +114,8 @@ def quality(docs: DataFrame, labels: DataFrame, site: str = "source", path: str
     """doc_id, quality (posterior of good), site_prior, path_prior and keep (quality >= KEPT) of every row.
 
     Null is a site and a path of its own; a null text is empty; without labels the evidence is 0 and all
-    is kept that the prior keeps. Repeated rows stay. An empty table gives an empty result.
+    is kept that the prior keeps. Very long texts are read whole. Repeated rows stay, and count as often; rows that are alike have equal
+    results. An empty table gives an empty result. Only key, text, site and path are read, so other columns may have any name.
     """
     texts, y = labelled(docs, labels, label, sample, text, key)
     x = np.concatenate([form(pa.array(texts[i : i + 200], pa.string())) for i in range(0, len(texts), 200)]) if texts else np.zeros((0, 13))
@@ -132,9 +131,11 @@ def quality(docs: DataFrame, labels: DataFrame, site: str = "source", path: str
     sites = sites.select("s", F.col("n").alias("site_n"), F.col("good").alias("site_good")).withColumn("rate", (F.col("site_good") + k_site * rate) / (F.col("site_n") + k_site))
     paths = paths.join(sites, "s")
     k_path = strength(paths, "rate")
-    # a hot path is dealt by a salt that each row has and each path has all values of
-    salted = paths.withColumnsRenamed({"n": "path_n", "good": "path_good"}).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = seen.withColumn("salt", F.pmod(F.xxhash64("doc_id", "llr"), F.lit(SALTS)).cast("int")).join(salted, ["s", "p", "salt"])
+    # the rows of a hot path are dealt to several tasks
+    at = F.struct("s", "p").alias("at")
+    hot = hot_keys(paths.select(at, F.col("n").alias("m")), "at", total[0] or 0)
+    given = paths.select(at, F.col("n").alias("path_n"), F.col("good").alias("path_good"), "site_n", "site_good")
+    rows = dealt_join(seen.select("doc_id", "llr", "good", at, F.xxhash64("doc_id", "llr").alias("h")), given, "at", hot, "h")
     site_prior = (F.col("site_good") - F.col("good") + k_site * rate) / (F.col("site_n") - 1 + k_site)
     path_prior = (F.col("path_good") - F.col("good") + k_path * F.col("site_prior")) / (F.col("path_n") - 1 + k_path)
     rows = rows.withColumn("site_prior", site_prior).withColumn("path_prior", path_prior)

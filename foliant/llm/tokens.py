@@ -35,6 +35,8 @@ def tokenizer(path: str):
             from tokenizers import Tokenizer
 
             _loaded[path] = Tokenizer.from_file(path)
+            _loaded[path].no_truncation()
+            _loaded[path].no_padding()
     return _loaded[path]
 
 

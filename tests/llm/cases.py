@@ -29,8 +29,9 @@ def documents(spark: SparkSession, rows=ROWS, extra: bool = False):
     if extra:  # columns whose names an operator may use itself
         from pyspark.sql import functions as F
 
-        names = ["n_tokens", "n_bytes", "size", "taken", "target", "fp", "fingerprint", "component_id", "score", "lang_pred", "spans", "n_words", "contaminated", "bucket", "place", "key", "_text", "_u0", "_c0", "h", "held_out", "severity", "toxic", "keep", "p", "n", "t", "fit"]
-        df = df.select("*", *(F.lit("x").alias(c) for c in names))
+        names = "n_tokens n_bytes size taken target source_size fp fingerprint component_id score lang_pred spans n_words n_hit n_items items_sha256 contaminated bucket place key h held_out severity toxic keep p n t fit id"
+        names += " _text _u0 _c0 _assign _access _hex _base _ident _phrase _endpoint _all _spans _cut _hit _items __row __n __h _id _h _k _n given_0 c0 hit pieces piece"
+        df = df.select("*", *(F.lit("x").alias(c) for c in names.split()))
     return df
 
 

@@ -129,6 +129,7 @@ def test_mixing(docs):
     for s in names:
         assert abs(took[s] - target[s]) <= 0.5 + 1e-6
     alike(out, rows(mixing.mix(docs.repartition(3))))
+    alike(out, rows(mixing.mix(docs, bucket=2)))
 
 
 # -- tokens
@@ -286,6 +287,28 @@ def test_decontamination_spans(spark):
     assert [r.contaminated for r in decontam.contamination(d, items.limit(0)).collect()] == [False, False]
 
 
+def test_decontamination_index_is_small():
+    """Arrays of a few bytes a byte of text; made in slices, so that no more than that is held meanwhile."""
+    import random
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rnd = random.Random(4)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(2, 9))) for _ in range(5000)]
+    items = [" ".join(rnd.choices(words, k=400)) for _ in range(8000)]
+    size = sum(map(len, items))
+    assert size > 15 << 20
+    given = pa.array(items)
+    tracemalloc.start()
+    index = decontam.Index(list(range(len(items))), given)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert index.nbytes <= 8 * size and peak <= 16 * size
+    w = decontam.Words(pa.array([items[7][:2000] + " other words", "none of it"]))
+    assert index.hits(w)[2][0] == {7} and index.hits(w)[2][1] == set()
+
+
 def test_queries_match_operators(spark, sf):
     q = queries.queries()
     assert all(re.fullmatch(r"op\d+_\w+", k) for k in q)

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from foliant.llm import htmlmain, langid, lzprint, queries, sample, secrets, siteprior, toxicity
+from foliant.llm import decontam, htmlmain, langid, lzprint, queries, sample, secrets, simhash, siteprior, toxicity
 from tests.llm.cases import ROWS, alike, documents, rows
 from tests.llm.test_exact import linked, slow_components, slow_contamination, slow_simhash
 
@@ -217,6 +217,64 @@ def test_lz(spark, sf, which, parts):
         assert np.mean([g[5] for g in got]) > np.mean([g[6] for g in got]) + 0.15
 
 
+_64 = (1 << 64) - 1
+
+
+def plain_mix(x):
+    x = (x ^ x >> 31) * 0x7FB5D329728EA185 & _64
+    x = (x ^ x >> 27) * 0x81DADEF4BC2DD44D & _64
+    return x ^ x >> 33
+
+
+def plain_hash(word):
+    """The hash of a word's bytes in plain integers."""
+    return plain_mix(sum((b + 1) * pow(0x9E3779B97F4A7C15, j, 1 << 64) for j, b in enumerate(word)) & _64)
+
+
+def plain_fingerprint(text):
+    """Phrases in plain integers; the words of text have at most PIECE bytes."""
+    seen, node = set(), 0
+    for w in re.findall(rb"[^\x00\x20\x09-\x0D]+", text.encode()):
+        node = (node * lzprint._M + plain_hash(w)) & _64
+        if node not in seen:
+            seen.add(node)
+            node = 0
+    least = {}
+    for h in map(plain_mix, seen):
+        least[h % lzprint.BINS] = min(h, least.get(h % lzprint.BINS, _64))
+    return [plain_mix(least[b]) % 65535 + 1 if b in least else 0 for b in range(lzprint.BINS)]
+
+
+def test_lz_by_brute_force(spark, sf):
+    """Every fingerprint and likeness of a table whose words are short enough, and of rows of one key and none."""
+    table = spark.read.parquet(f"{sf}/documents.parquet").filter(~F.col("text").rlike(r"[^\x20\x09-\x0D]{8}")).unionByName(documents(spark, [(k, f"a{k} b c a{k} b c d", "en", "a", 0) for k in (-1, -2)] + [(-1, f"x{k} y z", "en", "a", 0) for k in range(30)] + [(None, f"u{k} v w", "en", "a", 0) for k in range(30)]))
+    table = table.unionByName(documents(spark, [(k, " ".join(f"w{k * j % 17}" for j in range(40)), "en", "a", 0) for k in range(1, 40)]))
+    order = table.select("doc_id", F.coalesce("text", F.lit("")).alias("t"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()
+    order.sort(key=lambda r: (r.doc_id is None, -(r.doc_id or 0), r.h))
+    want = []
+    share = lambda a, b: sum(x == y > 0 for x, y in zip(a, b)) / n if (n := sum(x > 0 or y > 0 for x, y in zip(a, b))) else 1.0
+    for r, s in zip(order, order[1:] + order[:1], strict=True):
+        new = r.t[: len(r.t) - len(r.t) // 2] + s.t[: len(r.t) // 2]
+        a, b, c = (plain_fingerprint(x) for x in (r.t, new, s.t))
+        written = ["".join(f"{x:04x}" for x in y) for y in (a, b)]
+        want.append((r.doc_id, len(r.t), hashlib.sha256(new.encode()).hexdigest(), *written, round(share(a, b), 9), round(share(a, c), 9)))
+    assert len(want) > 90
+    for parts in (1, 9):
+        got = [(*g[:5], round(g[5], 9), round(g[6], 9)) for g in rows(lzprint.fingerprints_with_next(table, parts=parts))]
+        alike(got, want)
+
+
+def test_lz_hot_keys_are_dealt(spark):
+    """Rows of one key, or of none, go to many tasks, and still meet their next."""
+    docs = documents(spark, [(5 if k % 3 else None, f"word{k} and some more of it {k}", "en", "a", 0) for k in range(3000)])
+    out = lzprint.fingerprints_with_next(docs, parts=8)
+    n = [r.n for r in out.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert sum(n) == 3000 and max(n) < 1000
+    order = sorted(docs.withColumn("h", F.xxhash64("text")).collect(), key=lambda r: (r.doc_id is None, r.h))
+    want = [(r.doc_id, hashlib.sha256(lzprint.edited(r.text, s.text).encode()).hexdigest()) for r, s in zip(order, order[1:] + order[:1])]
+    alike(rows(out.select("doc_id", "edited_sha256")), want)
+
+
 def test_lz_parse():
     h = {c: i * 7919 + 13 for i, c in enumerate("ab")}
     assert len(lzprint.phrases([h[c] for c in "aababbbaab"])) == 5  # a|ab|abb|b|aab
@@ -259,6 +317,72 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(langid.word_scores(words, m), np.log([total(w) for w in words]))
 
 
+def slow_language(table, pieces, rounds):
+    """doc_id, held_out, lang_pred and score of (doc_id, text, lang) by dictionaries of pieces."""
+    import zlib
+
+    out_of = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 0
+    words = lambda t: [w.encode() for w in langid.LETTERS.findall((t or "").lower())]
+    counts = {}
+    for t, g in {(t, g) for i, t, g in table if g is not None and not out_of(i)}:
+        if words(t):
+            counts.setdefault(g, Counter()).update(words(t))
+    learned = sorted(counts)
+    cuts = lambda w: [(a, b) for a in range(len(w)) for b in range(a + 1, len(w) + 1) if w[a:b] in pieces]
+    kept = {p for p in pieces if len(p) == 1} | {w[a:b] for c in counts.values() for w in c for a, b in cuts(w)}
+
+    def forward(w, p):
+        f = [1.0] + [0.0] * len(w)
+        for a, b in sorted(cuts(w), key=lambda x: x[1]):
+            f[b] += f[a] * p.get(w[a:b], 0.0)
+        return f
+
+    def backward(w, p):
+        f = [0.0] * len(w) + [1.0]
+        for a, b in sorted(cuts(w), key=lambda x: -x[0]):
+            f[a] += f[b] * p.get(w[a:b], 0.0)
+        return f
+
+    model = {}
+    for g in learned:
+        p = {x: 0.02 ** len(x) for x in kept}
+        for _ in range(rounds):
+            seen = dict.fromkeys(kept, 0.0)
+            for w, n in counts[g].items():
+                f, b = forward(w, p), backward(w, p)
+                for x, y in cuts(w):
+                    seen[w[x:y]] += n * f[x] * p[w[x:y]] * b[y] / f[-1]
+            total = sum(seen.values())
+            new = {x: max(v / total, langid.LEAST) for x, v in seen.items()}
+            p = {x: v / sum(new.values()) for x, v in new.items()}
+        model[g] = p
+    out = []
+    for i, t, _ in table:
+        logs = [sum(math.log(forward(w, model[g])[-1]) for w in words(t)) for g in learned]
+        if not words(t) or not learned:
+            out.append((i, out_of(i), "und", 0.0))
+        else:
+            best = max(range(len(logs)), key=lambda k: (logs[k], -k))
+            out.append((i, out_of(i), learned[best], round(1 / sum(math.exp(x - logs[best]) for x in logs), 6)))
+    return out
+
+
+def test_language_by_brute_force(spark, tmp_path):
+    """The whole operator on a small table: who is held out, what is learned and how, the posterior."""
+    import random
+
+    rnd = random.Random(8)
+    given = [b"ab", b" abc", b"bca", b"ca", b"cab", "é".encode(), "éa".encode()]
+    (tmp_path / "v.tiktoken").write_bytes(b"".join(base64.b64encode(p) + b" %d\n" % i for i, p in enumerate(given)))
+    pieces = set(langid.vocabulary(str(tmp_path / "v.tiktoken")))
+    say = lambda letters: " ".join("".join(rnd.choice(letters) for _ in range(rnd.randrange(1, 7))) for _ in range(rnd.randrange(1, 6)))
+    table = [(k, say(("aabc", "abcc", "éabb")[k % 3]), ("x", "y", "z")[k % 3] if k % 7 else None) for k in range(120)]
+    table += [(200, None, "x"), (201, "", "y"), (202, "12 3", "z"), (None, "abc ab", None), *[(210 + k, table[4][1], table[4][2]) for k in range(20)]]
+    docs = documents(spark, [(i, t, g, "s", 0) for i, t, g in table], extra=True)
+    got = [(*r[:3], round(r[3], 6)) for r in rows(langid.language(docs, str(tmp_path / "v.tiktoken")))]
+    alike(got, slow_language(table, pieces, langid.ROUNDS))
+
+
 def test_language_learns_every_language(spark):
     """More languages than were once learned, each with a word of its own."""
     said = [f"word{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(600)]
@@ -355,6 +479,24 @@ def test_toxicity_held_out(spark):
     assert np.mean([r.severity for r in got if r.label]) > 1
 
 
+def test_toxicity_by_brute_force(spark, sf):
+    """Every row of a table scored in plain numbers from the fitted words."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    m = toxicity.train(*sample.labelled(docs, labels, "toxic", toxicity.SAMPLE))
+    weight = dict(zip(map(int, m.words), m.weights.tolist(), strict=True))
+    assert weight and list(m.thresholds) == sorted(m.thresholds)
+    table = spark.read.parquet(f"{sf}/documents.parquet").unionByName(documents(spark))
+    want = []
+    for r in table.select("doc_id", "text").collect():
+        words = {plain_hash(w) for w in re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (r.text or "").encode().lower())}
+        x = sum(weight.get(w, 0.0) for w in words)
+        s = [1.0, *(1 / (1 + math.exp(-min(40, max(-40, x - t)))) for t in m.thresholds), 0.0]
+        mass = [a - b for a, b in zip(s, s[1:])]
+        want.append((r.doc_id, round(s[1], 6), round(sum(s[1:]), 6), mass.index(max(mass)), s[1] >= toxicity.TOXIC))
+    got = [(i, round(a, 6), round(b, 6), g, t) for i, a, b, g, t in rows(toxicity.score(table, m))]
+    alike(got, want)
+
+
 def test_learned_awkward(spark):
     d = documents(spark, extra=True)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
@@ -448,12 +590,33 @@ def test_pipeline_by_brute_force(spark, sf):
 
 
 def test_pipeline_awkward(spark):
+    """Also with columns that have the names of an operator's own: all stages but the last give them back as they were."""
     train = [(100 + i, ("der hund %d und die katze %d sind nicht hier" if i % 2 else "the dog %d and the cat %d are not here") % (i, i * i), "de" if i % 2 else "en", "s", 0) for i in range(60)]
-    for given in (ROWS + train, []):
-        docs = documents(spark, given)
+    for given, extra in ((ROWS + train, True), ([], True), (ROWS + train, False)):
+        docs = documents(spark, given, extra)
         for _, stage in corpus_pipeline.STAGES[:-1]:
             out = stage(spark, docs, "/root/testdata/sf0.001")
             assert out.columns == docs.columns
             docs = spark.createDataFrame(out.collect(), out.schema)
-        last = rows(corpus_pipeline.STAGES[-1][1](spark, docs, ""))
-        assert bool(last) == bool(given)
+            if extra:
+                more = docs.columns[5:]
+                assert all(set(r) == {"x"} for r in docs.select(*more).collect())
+        last = corpus_pipeline.STAGES[-1][1](spark, docs, "")
+        assert bool(rows(last)) == bool(given)
+        assert {"size", "source_size", "target", "taken"} <= set(last.columns)
+        if extra and given:
+            assert all(r._base == r["__n"] == "x" and isinstance(r.taken, int) for r in last.collect())
+
+
+def test_decontaminate_names_in_blocks(spark):
+    docs = documents(spark, ROWS, True)
+    out = decontam.contamination(docs, spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").limit(20), carry=tuple(docs.columns), block_bytes=500)
+    assert out.count() == len(ROWS) and all(r._hit == "x" and r._items == "x" and isinstance(r.n_words, int) for r in out.collect())
+
+
+def test_rows_of_one_hash_and_two_keys_stay(spark, monkeypatch):
+    """one_of_each tells rows apart by hash and key."""
+    real = F.xxhash64
+    monkeypatch.setattr("foliant.llm.simhash.F.xxhash64", lambda *c: F.lit(7).cast("long") if len(c) == 3 else real(*c))
+    docs = documents(spark, [(1, "one two three four five six", "en", "a", 1), (2, "seven eight nine ten eleven twelve", "en", "a", 2), (2, "seven eight nine ten eleven twelve", "en", "a", 2), (3, "one two three four five six", "en", "a", 3)])
+    assert sorted(r.doc_id for r in simhash.one_of_each(docs).collect()) == [1, 2]
