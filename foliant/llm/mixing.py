@@ -7,8 +7,8 @@ level of its own cap, suffice. A target of e times a source's size takes every d
 times, and once more the first of them in the order of a seeded hash until the rest is filled; the
 document at the edge is taken in part, so that a source gives its target rounded to a word.
 
-The order within a source is cut into buckets by the first digits of the hash, as many as leave some BUCKET rows of
-a source that has all in one: sums of the buckets are added up, then the rows within each, so no source meets in one
+The order within a source is cut into buckets by the first digits of the hash, about as many as a bucket then has
+rows where one source has all: sums of the buckets are added up, then the rows within each, so no source meets in one
 task. The hash is of key and text, so neither do rows without a key or of one key. Only the sources themselves,
 a few numbers each, are ordered in one task.
 """
@@ -25,8 +25,6 @@ from foliant.llm.common import checkpointed, column
 WORD = r"[^\x20\x09-\x0D]+"
 MAX_EPOCHS = 3
 SEED = "mix-1"
-#: Rows of a bucket, about, where one source has all rows.
-BUCKET = 1 << 16
 
 
 def n_words(text: Column) -> Column:
@@ -51,7 +49,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs:
     return s.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = MAX_EPOCHS, text: str = "text", source: str = "source", key: str = "doc_id", seed: str = SEED, carry: tuple[str, ...] = (), bucket: int = BUCKET) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = MAX_EPOCHS, text: str = "text", source: str = "source", key: str = "doc_id", seed: str = SEED, carry: tuple[str, ...] = (), digits: int | None = None) -> DataFrame:
     """doc_id, size, source_size, target and taken (words, repeats counted) of every row, after columns carry.
 
     A null or empty text has no words, very long ones are counted whole; null is a source of its own, last in the order.
@@ -62,7 +60,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int =
     place = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(column(key).cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(column(text), F.lit("")))))
     all_rows = docs.select(column(key).alias("doc_id"), column(source).alias("source"), n_words(column(text)).alias("size"), place.alias("place"), *(column(c).alias(f"_c{i}") for i, c in enumerate(carry)))
     sized = all_rows if carry else checkpointed(all_rows)
-    digits = max(1, math.ceil(math.log(max(1, (docs if carry else sized).count() / bucket), 16)))
+    digits = digits or max(1, math.ceil(math.log(max(1, (docs if carry else sized).count()), 16) / 2))  # buckets by the square root of the rows
     sized = sized.withColumn("bucket", F.substring("place", 1, digits))
     name, null = F.coalesce("source", F.lit("")).alias("name"), F.col("source").isNull().alias("none")
     buckets = sized.groupBy(name, null, "bucket").agg(F.sum("size").alias("own"))

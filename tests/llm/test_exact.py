@@ -129,7 +129,7 @@ def test_mixing(docs):
     for s in names:
         assert abs(took[s] - target[s]) <= 0.5 + 1e-6
     alike(out, rows(mixing.mix(docs.repartition(3))))
-    alike(out, rows(mixing.mix(docs, bucket=2)))
+    alike(out, rows(mixing.mix(docs, digits=3)))
 
 
 # -- tokens
