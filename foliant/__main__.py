@@ -1,17 +1,20 @@
-"""python -m foliant: normalise and chunk layout files, embed chunks into a table of points, search it, parse answers."""
+"""python -m foliant: normalise and chunk layout files, embed chunks into a table of points, search it, answer from it, parse answers."""
 
 from __future__ import annotations
 
 import argparse
 import json
+import os
 
 from pyspark.sql import functions as F
 
+from foliant import service
 from foliant.operators import chunking, layout, registry, retrieval
 from foliant.operators.answer_parse import parse_answers
 from foliant.session import session
 from foliant.sources import layout as files
-from foliant.sources import providers, settings, sinks
+from foliant.sources import providers, services, settings, sinks
+from foliant.sources.prompts import prompts
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -33,6 +36,23 @@ def main(argv: list[str] | None = None) -> int:
     c.add_argument("--limit", type=int)
     c.add_argument("--threshold", type=float)
     c.add_argument("--balance", action="store_true")
+    for name, what in (("answer", "the answer to a question"), ("serve", "answers over HTTP")):
+        c = commands.add_parser(name, help=f"{what}, by the chat service of the settings (key in FOLIANT_KEY) or by recorded responses")
+        c.add_argument("points")
+        c.add_argument("--recorded", help="a JSON object of responses by kind: gate, topic, operation, location, answer")
+        c.add_argument("--model", default="")
+        c.add_argument("--embedding-model", default="")
+        c.add_argument("--scope", default="the documents of this collection")
+        if name == "answer":
+            c.add_argument("question")
+            c.add_argument("--company", action="append", default=[])
+            c.add_argument("--chunk-type", action="append", default=[])
+            c.add_argument("--limit", type=int)
+        else:
+            c.add_argument("--reports", default=".")
+            c.add_argument("--host", default="127.0.0.1")
+            c.add_argument("--port", type=int, default=8000)
+            c.add_argument("--origin", default="")
     c = commands.add_parser("parse", help="a file of responses, one JSON object with response a line, parsed")
     c.add_argument("responses")
     a = p.parse_args(argv)
@@ -53,11 +73,41 @@ def main(argv: list[str] | None = None) -> int:
         shown = hits.join(points.select("point_id", "chunk_id", "text"), "point_id").orderBy("rank").select("rank", F.round("score", 6).alias("score"), "chunk_id", F.substring("text", 1, 200).alias("text"))
         for line in shown.toJSON().toLocalIterator():
             print(line)
+    elif a.command in ("answer", "serve"):
+        own = _answers(spark, known, a)
+        if a.command == "answer":
+            print(json.dumps(own.respond(a.question, a.company, a.chunk_type, a.limit), ensure_ascii=False))
+        else:
+            service.server(own, a.reports, (a.host, a.port), a.origin).serve_forever()
     else:
         for line in parse_answers(sinks.read_json_lines(spark, a.responses, "response string")).toJSON().toLocalIterator():
             print(line)
     return 0
 
 
+class Recorded:
+    """Responses by kind, whatever the prompt."""
+
+    def __init__(self, said: dict[str, str]):
+        self.said = said
+
+    def complete(self, kind: str, prompts) -> list[str]:
+        return [self.said[kind] for _ in prompts]
+
+
+def _answers(spark, known: settings.Settings, a: argparse.Namespace) -> service.Answers:
+    points, key = spark.read.parquet(a.points), os.environ.get("FOLIANT_KEY", "")
+    if a.recorded:
+        with open(a.recorded, encoding="utf-8") as f:
+            chat = Recorded(json.load(f))
+    else:
+        chat = services.HttpChat(known.chat_endpoint, key, a.model, prompts(a.scope))
+    if known.embedding_endpoint and a.embedding_model:
+        embedder = services.HttpEmbedder(known.embedding_endpoint, key, a.embedding_model)
+    else:
+        embedder = providers.HashedWords(points.select(F.size("vector").alias("n")).first().n)
+    return service.Answers(spark, points, embedder, chat, registry.registry(spark), known)
+
+
 if __name__ == "__main__":
     raise SystemExit(main())

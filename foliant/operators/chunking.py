@@ -23,6 +23,7 @@ from foliant.operators.layout import Layout, inside, region_bounds
 class Sizes:
     """Characters: where a chunk ends by itself, may end, and must; what is small; and how many titles it carries."""
 
+    # On them depends where chunks end.
     target: int = 1100
     least_soft: int = 450
     soft: int = 1400
@@ -35,6 +36,7 @@ class Sizes:
     titles: int = 3
 
 
+# Kinds of pages, roles of paragraphs.
 VISUAL = ("visual_or_table", "visual_or_cover")
 LEFT_OUT = ("pageHeader", "pageFooter", "pageNumber")
 HEADINGS = ("title", "sectionHeading")
@@ -208,6 +210,7 @@ def _listed(x) -> list:
 def table_chunks(table: dict, most: int = Sizes.table) -> list[dict]:
     """Text, row_start and row_end of the chunks of a table: rows by turns up to most characters with the head."""
     rows, columns, cells = max(table["rowCount"] or 0, 0), max(table["columnCount"] or 0, 0), len(_listed(table["cells"]))
+    # The first lines of a table's text and the marks of its rows.
     head = [f"Table with {rows} rows and {columns} columns.", f"Cell count: {cells}."]
     base = len("\n".join(head)) + 1
     parts: list[list[tuple[int, str]]] = [[]]

@@ -6,7 +6,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
@@ -65,6 +65,23 @@ def word_errors(pairs: DataFrame, by: list[str], reference: str = "reference", h
     return with_prf(s, "_m", "_n", "_k").drop("_e", "_n", "_k", "_m")
 
 
+def zipped_pages(reference: DataFrame, hypothesis: DataFrame, by: list[str], page: str = "page_number", text: str = "text") -> DataFrame:
+    """by, ordinal, reference, hypothesis: the pages of two readings of a document by their places in its page order, as far as both go."""
+    w = Window.partitionBy(*by).orderBy(F.col(page).asc_nulls_last())
+    side = lambda df, name: df.select(*by, F.row_number().over(w).alias("ordinal"), F.col(text).alias(name))
+    return side(reference, "reference").join(side(hypothesis, "hypothesis"), [*by, "ordinal"])
+
+
+def parsing_report(layout, read: DataFrame) -> DataFrame:
+    """Of each document: word_errors() of the lines of its pages against read (source_file, page_number, text), pages, and the share of pages that have lines or tables."""
+    said = layout.lines.groupBy("source_file", "page_number").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_pos", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    own = layout.pages.select("source_file", "page_number").join(said, ["source_file", "page_number"], "left")
+    errors = word_errors(zipped_pages(read, own, ["source_file"]), ["source_file"]).withColumnRenamed("pages", "compared_pages")
+    filled = (F.col("n_lines") > 0) | (F.col("n_tables") > 0)
+    pages = layout.pages.groupBy("source_file").agg(F.count("*").alias("pages"), rate(F.count_if(filled), F.count("*")).alias("non_empty_page_rate"))
+    return pages.join(errors, "source_file", "left")
+
+
 def preservation(raw: DataFrame, processed: DataFrame, kinds: list[str], key: str = "document_id") -> DataFrame:
     """Of each document the agreement of raw and processed counts of each kind."""
     r = raw.select(key, *(F.col(k).alias(f"_{k}") for k in kinds))
@@ -150,6 +167,15 @@ def enriched(records_: DataFrame, chunks: DataFrame) -> DataFrame:
     return records_.join(own, "id", "left").withColumn("changed", ~F.col("table_metadata").eqNullSafe(F.col("_new"))).withColumn("table_metadata", F.col("_new")).drop("_new")
 
 
+def enrichment_summary(enriched_: DataFrame, document: str = "document_id") -> DataFrame:
+    """Sums over enriched records: documents, records, tables among them, tables with metadata, records that changed."""
+    table = F.col("chunk_type") == "table"
+    return enriched_.agg(
+        F.count_distinct(document).alias("document_count"), F.count("*").alias("record_count"), F.count_if(table).alias("table_record_count"),
+        F.count_if(table & F.col("table_metadata").isNotNull()).alias("table_records_with_metadata"), F.count_if("changed").alias("changed_record_count"),
+    )
+
+
 def embedding_metrics(given: DataFrame, expected: DataFrame, manifest: DataFrame, payload: list[str], document: str = "document_id") -> DataFrame:
     """Integrity of embedding records by document: coverage, ids, texts, payloads, vectors.
 

@@ -133,11 +133,11 @@ def location_select(spark, sf_dir):
     return locate.select_locations(hits(spark, sf_dir)).select("query_id", "page", "rank", "place")
 
 
-@query(f"""with t as (select conv_id, turn, text, trim(text, ' ' || chr(10)) s, {_TERMS.format('text')}[5:8] terms from conversations), b as (select *, list_sort(list_transform(list_filter(terms, lambda x: contains(lower(s), x)), lambda x: {{'n': -length(x), 'at': instr(lower(s), x)}}))[1] best from t),
+@query(f"""with t as (select conv_id, turn, text, trim(text, ' ' || chr(10)) s, {_TERMS.format('text')} terms from conversations), b as (select *, list_sort(list_transform(list_filter(terms, lambda x: contains(lower(s), x)), lambda x: {{'n': -length(x), 'at': instr(lower(s), x)}}))[1] best from t),
   e as (select *, least(greatest(best.at - 1 - 100, 0) + 200, length(s)) fin from b), w as (select *, greatest(fin - 200, 0) ini from e)
   select conv_id, turn, md5(case when length(s) <= 200 then s when best is null then rtrim(s[:200], ' ' || chr(10)) || '...' else (case when ini > 0 then '...' else '' end) || trim(substring(s, ini + 1, 200), ' ' || chr(10)) || (case when fin < length(s) then '...' else '' end) end) digest from w""")
 def excerpts(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").withColumn("terms", F.slice(locate.terms("text"), 5, 4))
+    c = table(spark, sf_dir, "conversations").withColumn("terms", locate.terms("text"))
     return c.select("conv_id", "turn", F.md5(locate.excerpt("text", "terms", 200)).alias("digest"))
 
 

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from foliant.operators import chunking, layout
 from foliant.operators.evaluation import artifacts
+from foliant.plans import chunk_sql
 from foliant.plans.registry import query, table
+from foliant.plans.texts import TOKENS, WHOLE
 from foliant.session import checkpointed
 from foliant.sources import layout as files
 
@@ -64,20 +66,20 @@ def flagged_lines(spark, sf_dir):
     return layout.normalize(raw_layout(spark, sf_dir)).flagged.select("source_file", "page_number", "line_pos", "margin_position", "page_occurrence_count")
 
 
-@query()
+@query(chunk_sql.layout_chunks(HEIGHT, LINE))
 def layout_chunks(spark, sf_dir):
     """All chunks of the documents as laid-out files."""
     c = chunking.chunk_documents(layout.normalize(raw_layout(spark, sf_dir), materialize=True))
     return c.select("chunk_id", "chunk_index", "source_file", "chunk_type", "content_source", "page_start", "page_end", "text", "char_count", "line_count", "paragraph_count", F.array_join("section_titles", " | ").alias("titles"))
 
 
-@query()
+@query(chunk_sql.layout_chunk_stats(HEIGHT, LINE))
 def layout_chunk_stats(spark, sf_dir):
     made = layout.normalize(raw_layout(spark, sf_dir), materialize=True)
     return chunking.chunking_stats(made, chunking.chunk_documents(made))
 
 
-@query()
+@query(chunk_sql.layout_chunk_coverage(HEIGHT, LINE, WHOLE, TOKENS))
 def layout_chunk_coverage(spark, sf_dir):
     made = layout.normalize(raw_layout(spark, sf_dir), materialize=True)
     return artifacts.chunk_coverage(made, checkpointed(chunking.chunk_documents(made)))

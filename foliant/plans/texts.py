@@ -11,13 +11,14 @@ from foliant.operators.context import packed
 from foliant.operators.evaluation import artifacts
 from foliant.operators.evaluation.artifacts import overlap, with_prf
 from foliant.operators.registry import detect, resolve
+from foliant.plans import chunk_sql
 from foliant.plans.registry import query, table
 from foliant.sources.providers import batch_ids, fixed_batches
 
 # the same rules in SQL, for texts whose white space is ASCII
 _COLLAPSE = r"trim(regexp_replace(coalesce({0}, ''), '\s+', ' ', 'g'))"
-_WHOLE = _COLLAPSE.format(r"regexp_replace(replace(coalesce({0}, ''), chr(173), ''), '([\pL\pN\pM_])-\s+([\pL\pN\pM_])', '\1\2', 'g')")
-_TOKENS = f"list_filter(string_split(lower({_WHOLE}), ' '), lambda t: t <> '')"
+WHOLE = _COLLAPSE.format(r"regexp_replace(replace(coalesce({0}, ''), chr(173), ''), '([\pL\pN\pM_])-\s+([\pL\pN\pM_])', '\1\2', 'g')")
+TOKENS = f"list_filter(string_split(lower({WHOLE}), ' '), lambda t: t <> '')"
 _KEY = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
 
 
@@ -27,7 +28,7 @@ def collapse_ws(spark, sf_dir):
     return d.select("doc_id", F.md5("t").alias("digest"), F.length("t").alias("n"))
 
 
-@query(f"select doc_id, md5({_WHOLE.format('text')}) digest, len({_TOKENS.format('text')}) n_tokens from documents")
+@query(f"select doc_id, md5({WHOLE.format('text')}) digest, len({TOKENS.format('text')}) n_tokens from documents")
 def dehyphenate(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(collapse_hyphens("text")).alias("digest"), F.size(tokens("text")).alias("n_tokens"))
 
@@ -64,7 +65,7 @@ def line_counts_and_cuts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", filled_lines("text").alias("lines"), F.md5(cut("text", 900, "...")).alias("digest"))
 
 
-_PAIR_TOKENS = f"select doc_id // 2 pair, unnest({_TOKENS.format('text')}) token from documents where doc_id % 2 = {{0}}"
+_PAIR_TOKENS = f"select doc_id // 2 pair, unnest({TOKENS.format('text')}) token from documents where doc_id % 2 = {{0}}"
 
 
 @query(f"""with l as (select pair, token, count(*) l from ({_PAIR_TOKENS.format(0)}) group by all), r as (select pair, token, count(*) r from ({_PAIR_TOKENS.format(1)}) group by all),
@@ -76,23 +77,23 @@ def token_overlap(spark, sf_dir):
     return with_prf(overlap(d.filter("side = 0"), d.filter("side = 1"), ["pair"]))
 
 
-@query()
+@query(chunk_sql.word_errors(TOKENS))
 def word_errors(spark, sf_dir):
-    """Answers against what was asked, turn by turn. Without SQL: DuckDB measures edit distance in bytes, not characters; the tests count by hand."""
+    """Answers against what was asked, turn by turn."""
     c = table(spark, sf_dir, "conversations").withColumn("pair", (F.col("turn") / 2).cast("long"))
     side = lambda k: F.max(F.when(F.col("turn") % 2 == k, F.col("text")))
     pairs = c.groupBy("conv_id", "pair").agg(side(0).alias("reference"), side(1).alias("hypothesis")).filter("reference is not null and hypothesis is not null")
     return artifacts.word_errors(pairs, ["conv_id"])
 
 
-@query(f"""with t as (select source, length({_WHOLE.format('text')}) n, len({_TOKENS.format('text')}) w from documents)
+@query(f"""with t as (select source, length({WHOLE.format('text')}) n, len({TOKENS.format('text')}) w from documents)
   select source, count(n) chars_count, min(n) chars_min, round(quantile_cont(n, 0.5), 6) chars_p50, round(quantile_cont(n, 0.9), 6) chars_p90, max(n) chars_max, round(avg(n), 6) chars_mean, count(w) words_count, min(w) words_min, round(quantile_cont(w, 0.5), 6) words_p50, round(quantile_cont(w, 0.9), 6) words_p90, max(w) words_max, round(avg(w), 6) words_mean,
   round(count(*) filter (n between 800 and 1500)::double / count(*), 6) target_rate, round(count(*) filter (n < 400)::double / count(*), 6) small_rate, round(count(*) filter (n > 1500)::double / count(*), 6) oversized_rate from t group by source""")
 def chunk_sizes(spark, sf_dir):
     return artifacts.chunk_sizes(table(spark, sf_dir, "documents"), ["source"])
 
 
-@query()
+@query(chunk_sql.chunk_text(1500))
 def chunk_text(spark, sf_dir):
     """Every document in parts of at most 1,500 characters, by the table function."""
     d = table(spark, sf_dir, "documents")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliant.functions.vectors import uuid5
+from foliant.session import checkpointed
 
 
 def write_json(df: DataFrame, path: str) -> None:
@@ -26,8 +27,29 @@ def _files(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm.org.apache.hadoop.fs.Path
 
 
+def recover(spark: SparkSession, path: str) -> None:
+    """After a writer that died between two renames: what it had moved away and not replaced comes back. For a path without a writer."""
+    fs, p, make = _files(spark, path)
+    for left in fs.globStatus(make(f"{path}.old-*")) or []:
+        old = left.getPath()
+        inside = [x.getPath() for x in fs.listStatus(old)]
+        parts = [x for x in inside if "=" in x.getName()]
+        if parts and fs.exists(p):
+            for x in parts:
+                if not fs.exists(make(p, x.getName())):
+                    fs.rename(x, make(p, x.getName()))
+        elif not fs.exists(p):
+            fs.rename(old, p)
+        if fs.exists(old):
+            fs.delete(old, True)
+
+
 def replace_table(df: DataFrame, path: str) -> None:
-    """Writes beside path and then renames, so that readers see the old rows or the new; df may read path itself."""
+    """Writes beside path and then renames, so that readers see the old rows or the new; df may read path itself.
+
+    The old table is moved away, not deleted, before the new one has its place; see recover().
+    """
+    recover(df.sparkSession, path)
     new, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
     df.write.parquet(new)
     fs, p, make = _files(df.sparkSession, path)
@@ -70,20 +92,61 @@ class PointStore:
         return self.spark.read.parquet(self.path)
 
     def upsert(self, records: DataFrame, version: str | None = None, recreate: bool = False) -> dict:
-        """Writes records (with point_id and vector); how many there are now, and whether that is what was expected."""
+        """Writes records (with point_id and vector); how many there are now, and whether that is what was expected.
+
+        Records are made once, since their vectors may come from a service. Only the documents that they are of, or that
+        had one of their points, are written anew, so the cost is that of these documents; a document's folder is
+        replaced by renames, the old one being kept until the new one stands (see recover()). One writer at a time.
+        """
+        records = checkpointed(records)
         bad = records.filter(F.coalesce(F.size("vector"), F.lit(-1)) != F.lit(self.dimension)).count()
         if bad:
             raise ValueError(f"{bad} vectors are not of dimension {self.dimension}")
-        old = self.read() if self.exists() and not recreate else None
-        new = upserted(old, records, version=version).repartition(self.document).sortWithinPartitions(self.document, self.sort)
-        temporary = f"{self.path}.new-{uuid.uuid4().hex}"
-        new.write.partitionBy(self.document).parquet(temporary)
         fs, p, make = _files(self.spark, self.path)
-        fs.delete(p, True)
-        fs.rename(make(temporary), p)
-        written, sent = self.read(), records.select("point_id").distinct()
-        count, upserted_ = written.count(), sent.count()
-        return {"points": count, "upserted": upserted_, "matches": sent.join(written, "point_id", "left_semi").count() == upserted_}
+        recover(self.spark, self.path)
+        if recreate:
+            self.drop()
+        ids, here = records.select("point_id").distinct(), records.select(self.document)
+        old, fresh = None, not self.exists()
+        if not fresh:
+            had = self.read().select("point_id", self.document).join(ids, "point_id", "left_semi").select(self.document)
+            here = here.union(had).distinct()
+            old = self.read().join(here.withColumnRenamed(self.document, "_d"), F.col(self.document).eqNullSafe(F.col("_d")), "left_semi")
+        new = upserted(old, records, version=version).repartition(self.document).sortWithinPartitions(self.document, self.sort)
+        if fresh:
+            temporary = f"{self.path}.new-{uuid.uuid4().hex}"
+            new.write.partitionBy(self.document).parquet(temporary)
+            fs.rename(make(temporary), p)
+        else:
+            # every document gets a folder, so that one whose points all went elsewhere is seen to be empty
+            given = checkpointed(here)
+            temporary, aside = f"{self.path}.new-{uuid.uuid4().hex}", f"{self.path}.old-{uuid.uuid4().hex}"
+            new.write.partitionBy(self.document).parquet(temporary)
+            made = {x.getPath().getName() for x in fs.listStatus(make(temporary)) if x.isDirectory()}
+            folders = made | {self._folder(r[0]) for r in given.toLocalIterator()}
+            fs.mkdirs(make(aside))
+            for name in sorted(folders):
+                if fs.exists(make(p, name)):
+                    fs.rename(make(p, name), make(make(aside), name))
+                if name in made:
+                    fs.rename(make(make(temporary), name), make(p, name))
+            fs.delete(make(temporary), True)
+            fs.delete(make(aside), True)
+            self.spark.catalog.refreshByPath(self.path)
+        written, upserted_ = self.read(), ids.count()
+        return {"points": written.count(), "upserted": upserted_, "matches": ids.join(written, "point_id", "left_semi").count() == upserted_}
+
+    def _folder(self, value) -> str:
+        """The folder of a document, by Spark's own rule."""
+        escape = self.spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+        return f"{self.document}=" + (escape(str(value)) if value not in (None, "") else "__HIVE_DEFAULT_PARTITION__")
+
+    def summary(self, records: DataFrame) -> DataFrame:
+        """Of each document of records and of all together (document null): sent, stored (distinct points, of them in the store) and matches."""
+        there = self.read().select("point_id", F.lit(True).alias("_there"))
+        sent = records.select(self.document, "point_id").distinct().join(there, "point_id", "left")
+        counts = sent.rollup(self.document).agg(F.grouping(self.document).alias("_all"), F.count("*").alias("sent"), F.count("_there").alias("stored"))
+        return counts.select(F.col(self.document).alias("document"), (F.col("_all") == 1).alias("total"), "sent", "stored", (F.col("sent") == F.col("stored")).alias("matches"))
 
     def count(self) -> int:
         return self.read().count()

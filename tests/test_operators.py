@@ -505,3 +505,212 @@ def test_command_line(spark, tmp_path, capsys):
     out = capsys.readouterr().out.strip().split("\n")
     assert json.loads(out[0])["matches"] and json.loads(out[1])["rank"] == 1 and "__table__" in json.loads(out[1])["chunk_id"] and json.loads(out[-1])["evidence"][0]["page_number"] == 49
     assert answers.NO_STRONG in prompts("annual reports")["answer"] and len(prompts("x")) == 6
+
+
+def test_one_call_a_question_and_a_chunk(spark, tmp_path):
+    """However often a response or a vector is used, its provider is asked once."""
+
+    class Counted:
+        def __init__(self, path):
+            self.path = path
+
+        def _note(self, lines):
+            with open(self.path, "a") as f:
+                f.writelines(f"{x}\n" for x in lines)
+
+        def complete(self, kind, prompts):
+            self._note([kind] * len(prompts))
+            said = {"topic": "REPORT_TOPIC", "operation": "DIRECT", "location": "PAGES: 3", "answer": "Answer\nIt grew."}
+            return [said.get(kind) or f"SCOPE: {'UNSUPPORTED' if 'odd' in p else 'SUPPORTED'}\nCLARITY: CLEAR" for p in prompts]
+
+        def embed(self, texts):
+            self._note(["embed"] * len(texts))
+            return [[1.0, 0.0]] * len(texts)
+
+    provider = Counted(str(tmp_path / "calls"))
+    q = spark.createDataFrame([(k, f"{'On which page is' if k % 2 else 'How did'} trade {'odd' if k == 4 else ''} {k}?", ["X"]) for k in range(10)], "question_id int, question string, companies array<string>").repartition(3)
+    hits = spark.createDataFrame(
+        [(k, 1, 0.9, "d", "X", "d.pdf", [3], 3, "c", "text", ["t"], None, "trade grew") for k in range(10)],
+        "query_id int, rank int, score double, document_id string, company string, source_file string, page_numbers array<int>, page_start int, chunk_id string, chunk_type string, section_titles array<string>, table_metadata map<string,string>, text string",
+    )
+    got = answers.answer(q, hits, providers.asker(provider))
+    assert got.count() == 10 and got.count() == 10
+    n = {k: (tmp_path / "calls").read_text().split().count(k) for k in ("gate", "topic", "operation", "answer", "location")}
+    assert n == {"gate": 10, "topic": 1, "operation": 5, "answer": 5, "location": 5}
+
+    chunks = spark.createDataFrame([(f"a__c{k}", f"d{k % 3}", k, f"text {k}") for k in range(10)], "id string, document_id string, chunk_index int, text string")
+    made = sinks.points(providers.embed(chunks, provider))
+    store = sinks.PointStore(spark, str(tmp_path / "points"), 2)
+    assert store.upsert(made) == {"points": 10, "upserted": 10, "matches": True}
+    assert (tmp_path / "calls").read_text().split().count("embed") == 10
+    assert [(r.document, r.total, r.sent, r.stored, r.matches) for r in store.summary(made).orderBy("document").collect()] == [(None, True, 10, 10, True), ("d0", False, 4, 4, True), ("d1", False, 3, 3, True), ("d2", False, 3, 3, True)]
+
+
+def test_upsert_touches_only_its_documents(spark, tmp_path):
+    store = sinks.PointStore(spark, str(tmp_path / "p"), 2)
+    rec = lambda *rows: spark.createDataFrame([(i, d, 1, [1.0, 0.0], t) for i, d, t in rows], "point_id string, document_id string, chunk_index int, vector array<float>, text string")
+    store.upsert(rec(("a", "x", "1"), ("b", "y", "1"), ("c", "z", "1"), ("e", "x y/=", "1")))
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "p").glob("*/*.parquet")}
+    assert store.upsert(rec(("a", "x", "2"), ("c", "y", "2"))) == {"points": 4, "upserted": 2, "matches": True}
+    assert {(r.point_id, r.document_id, r.text) for r in store.read().collect()} == {("a", "x", "2"), ("b", "y", "1"), ("c", "y", "2"), ("e", "x y/=", "1")}
+    after = {p: p.stat().st_mtime_ns for p in (tmp_path / "p").glob("*/*.parquet")}
+    assert len(before.keys() & after.keys()) == 1 and all(before[p] == after[p] for p in before.keys() & after.keys())
+    assert not list(tmp_path.glob("p.*"))
+
+
+def test_recovery(spark, tmp_path):
+    """What a writer that died had moved away comes back; what it had replaced stays."""
+    path = tmp_path / "t"
+    sinks.replace_table(spark.range(3), str(path))
+    path.rename(tmp_path / "t.old-1")
+    sinks.recover(spark, str(path))
+    assert spark.read.parquet(str(path)).count() == 3 and not list(tmp_path.glob("t.old-*"))
+    store = sinks.PointStore(spark, str(tmp_path / "p"), 1)
+    store.upsert(spark.createDataFrame([(k, k, 1, [1.0]) for k in "abc"], "point_id string, document_id string, chunk_index int, vector array<float>"))
+    (tmp_path / "p.old-1").mkdir()
+    (tmp_path / "p" / "document_id=a").rename(tmp_path / "p.old-1" / "document_id=a")
+    assert store.read().count() == 2
+    sinks.recover(spark, str(tmp_path / "p"))
+    assert store.read().count() == 3 and not list(tmp_path.glob("p.old-*"))
+
+
+@pytest.fixture
+def model_service():
+    """A server that answers as embedding, chat and layout services do."""
+    import threading
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    seen = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def _say(self, status, said, **headers):
+            body = json.dumps(said).encode()
+            self.send_response(status)
+            for k, v in {"Content-Length": str(len(body)), **headers}.items():
+                self.send_header(k, v)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def do_POST(self):
+            body = self.rfile.read(int(self.headers["Content-Length"]))
+            seen.append((self.path, self.headers["api-key"]))
+            if self.path.endswith("/embeddings"):
+                texts = json.loads(body)["input"]
+                return self._say(200, {"data": [{"index": i, "embedding": [float(len(t)), 1.0]} for i, t in reversed(list(enumerate(texts)))]})
+            if self.path.endswith("/completions"):
+                said = json.loads(body)["messages"]
+                return self._say(200, {"choices": [{"message": {"content": " " if said[-1]["content"] == "nothing" else f" {said[0]['content']}: {said[-1]['content']} "}}]})
+            if body == b"bad":
+                return self._say(400, {"error": "no PDF"})
+            return self._say(202, {}, **{"Operation-Location": f"http://127.0.0.1:{self.server.server_address[1]}/result"})
+
+        def do_GET(self):
+            seen.append(("get", ""))
+            done = sum(x == ("get", "") for x in seen) > 1
+            self._say(200, {"status": "succeeded" if done else "running", "analyzeResult": {"_x": 1, "apiVersion": "1", "pages": [{"pageNumber": 1, "unit": "inch", "_p": 2, "lines": [{"content": "hello"}]}]}})
+
+        def log_message(self, *_):
+            pass
+
+    s = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=s.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{s.server_address[1]}", seen
+    s.shutdown()
+
+
+def test_model_services(spark, model_service):
+    from foliant.sources import services
+
+    url, seen = model_service
+    embedder = services.HttpEmbedder(url + "/openai/v1/", "k", "m")
+    assert embedder.embed(["a", "bbb"]) == [[1.0, 1.0], [3.0, 1.0]] and embedder.one("ab") == [2.0, 1.0]
+    got = providers.embed(spark.createDataFrame([(1, "abcd"), (2, " ")], "id int, text string"), embedder).collect()
+    assert [(r.id, r.vector) for r in got] == [(1, [4.0, 1.0])]
+    chat = services.HttpChat(url, "k", "m", {"gate": "system"})
+    assert chat.complete("gate", ["x"]) == ["system: x"] and chat.complete("answer", ["y"]) == ["y: y"]
+    with pytest.raises(ValueError):
+        chat.complete("gate", ["nothing"])
+    layout_ = services.HttpLayout(url + "/analyze", "k", every_s=0.01)
+    files_ = spark.createDataFrame([("a.pdf", b"%PDF")], "name string, content binary")
+    row = services.extract_layouts(files_, layout_).first()
+    assert (row.source_file, row.model_id, row.result.pages[0].lines[0].content, row.file) == ("a.pdf", "prebuilt-layout", "hello", "a.pdf")
+    assert layout.normalize(services.extract_layouts(files_, layout_)).lines.first().text == "hello"
+    with pytest.raises(OSError, match="no PDF"):
+        layout_.extract("b", b"bad")
+    assert ("/openai/v1/embeddings", "k") in seen
+
+
+def pdf(*texts):
+    """A PDF of a page a text, the second one compressed, with a map of its font's codes."""
+    import zlib
+
+    objects = ["<< /Type /Catalog /Pages 2 0 R >>", f"<< /Type /Pages /Count {len(texts)} /Kids [{' '.join(f'{10 + 2 * i} 0 R' for i in range(len(texts)))}] /Resources << /Font << /F1 4 0 R >> >> >>", "null", "<< /Type /Font >>"]
+    out = b"%PDF-1.4\n" + b"".join(f"{i + 1} 0 obj\n{x}\nendobj\n".encode() for i, x in enumerate(objects))
+    for i, lines in enumerate(texts):
+        body = "BT /F1 12 Tf " + " ".join(f"1 0 0 1 72 {700 - 20 * j} Tm {x}" for j, x in enumerate(lines)) + " ET"
+        raw = body.encode("cp1252")
+        head = b"<< /Length 0 >>"
+        if i == 1:
+            raw, head = zlib.compress(raw), b"<< /Length 0 /Filter /FlateDecode >>"
+        out += f"{10 + 2 * i} 0 obj\n<< /Type /Page /Parent 2 0 R /Contents {11 + 2 * i} 0 R >>\nendobj\n{11 + 2 * i} 0 obj\n".encode() + head + b"\nstream\n" + raw + b"\nendstream\nendobj\n"
+    return out + b"trailer << /Root 1 0 R >>\n%%EOF"
+
+
+def test_pdf_text_and_parsing_report(spark, tmp_path):
+    from foliant.sources import pdf_text
+
+    data = pdf([r"(Page one \(first\)) Tj", "[(wo) -20 (rds) -300 (here)] TJ"], ["<48692021> Tj", "(caf\xe9 \\101) Tj"], [])
+    assert pdf_text.pages(data) == ["Page one (first)\nwords here", "Hi !\ncafé A", ""]
+    assert pdf_text.pages(b"no pdf") == []
+    (tmp_path / "a.pdf").write_bytes(data)
+    read = pdf_text.read_pdf_pages(spark, str(tmp_path))
+    assert [(r.source_file, r.page_number) for r in read.orderBy("page_number").collect()] == [("a.pdf", 1), ("a.pdf", 2), ("a.pdf", 3)]
+    page = lambda n, *said: {"pageNumber": n, "height": 11.0, "unit": "inch", "lines": [{"content": x} for x in said]}
+    made = layout.normalize(raw(spark, [{"source_file": "a.pdf", "result": {"pages": [page(1, "Page one (first)", "words there"), page(2, "Hi ! café A"), page(3)]}}]))
+    r = artifacts.parsing_report(made, read).first()
+    assert (r.pages, r.compared_pages, r.pages_with_text, r.non_empty_page_rate, r.word_error_rate) == (3, 3, 2, 0.666667, round(1 / 9, 6))
+
+
+def test_enrichment_sums(spark):
+    e = spark.createDataFrame([("d", "table", 1, True), ("d", "table", None, False), ("e", "text", None, False)], "document_id string, chunk_type string, table_metadata int, changed boolean")
+    assert tuple(artifacts.enrichment_summary(e).first()) == (2, 3, 2, 1, 1)
+
+
+def test_answer_service(spark, tmp_path, capsys):
+    import threading
+    import urllib.error
+    import urllib.request
+
+    from foliant import service
+    from foliant.__main__ import Recorded, main
+
+    (tmp_path / "bmw_2024.pdf").write_bytes(b"%PDF x")
+    rows_ = [("bmw_2024__c1", "bmw_2024", "Revenue of BMW Group grew to 10.", "text"), ("bosch_2024__c1", "bosch_2024", "Sales of Bosch fell.", "text")]
+    points_ = spark.createDataFrame([(i, i, d, t, k, f"{d}.pdf", [7], 7, ["Results"]) for i, d, t, k in rows_], "point_id string, chunk_id string, document_id string, text string, chunk_type string, source_file string, page_numbers array<int>, page_start int, section_titles array<string>")
+    points_ = providers.embed(points_, providers.HashedWords(256))
+    said = {"gate": "SCOPE: SUPPORTED\nCLARITY: CLEAR", "operation": "DIRECT", "location": "PAGES: 7", "answer": 'Answer\nRevenue grew to 10.\n\nResources\n- BMW Group, bmw_2024.pdf, page 7\n\nEvidence\n- "Revenue of BMW Group grew to 10." (BMW Group, bmw_2024.pdf, page 7)'}
+    own = service.Answers(spark, points_, providers.HashedWords(256), Recorded(said), registry.registry(spark))
+    got = own.respond("Revenue of BMW Group grew to 10.")
+    assert got["answer"] == "Revenue grew to 10." and got["resources"][0]["source_file"] == "bmw_2024.pdf" and got["evidence"][0]["page_number"] == 7 and got["duration_seconds"] >= 0
+    assert "page 7" in own.respond("On which page is Revenue of BMW Group grew to 10.?")["answer"]
+    s = service.server(own, str(tmp_path), ("127.0.0.1", 0), "http://ui")
+    threading.Thread(target=s.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{s.server_address[1]}"
+
+    def get(path, body=None):
+        try:
+            with urllib.request.urlopen(urllib.request.Request(url + path, body)) as r:
+                return r.status, r.read()
+        except urllib.error.HTTPError as e:
+            return e.code, e.read()
+
+    assert get("/health") == (200, b'{"status": "ok"}') and json.loads(get("/api/companies")[1])["companies"][0]["document_id"] == "bmw_2024"
+    assert get("/reports/bmw_2024.pdf") == (200, b"%PDF x") and get("/reports/..%2fx.pdf")[0] == get("/reports/../x.pdf")[0] == get("/reports/y.pdf")[0] == get("/x")[0] == 404
+    ask = lambda **x: get("/api/answer", json.dumps(x).encode())
+    assert json.loads(ask(question="Revenue of BMW Group grew to 10.", company_filters=["BMW"], retrieval_limit=3)[1])["mode"] == got["mode"]
+    assert ask(question=" ")[0] == ask(question="x", company_filters=["nobody"])[0] == ask(question="x", retrieval_limit=99)[0] == 400
+    s.shutdown()
+    points_.write.parquet(str(tmp_path / "points"))
+    (tmp_path / "said.json").write_text(json.dumps(said))
+    assert main(["answer", str(tmp_path / "points"), "Revenue of BMW Group grew to 10.", "--recorded", str(tmp_path / "said.json")]) == 0
+    assert json.loads(capsys.readouterr().out.strip().split("\n")[-1])["answer"] == "Revenue grew to 10."
