@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -296,6 +297,14 @@ def kept_lines(layout: Layout) -> DataFrame:
     return x.groupBy("source_file", "page_number").agg(F.sort_array(F.collect_list(F.struct("line_pos", F.struct("text", "top", "bottom").alias("x")))).alias("y")).select("source_file", "page_number", F.col("y.x").alias("lines"))
 
 
+def distinct_tables(tables: DataFrame, order: list[str]) -> DataFrame:
+    """Of the tables (column table) of a source that are alike in all they say the first by order, with copies, how many there are."""
+    rest = [c for c in tables.columns if c not in ("source_file", *order)]
+    t = tables.withColumn("signature", F.sha1(F.to_json("table").cast("binary")))
+    first = t.groupBy("source_file", "signature").agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("x"), F.min(F.struct(*order)).alias("o"), F.count("*").alias("copies"))
+    return first.select("source_file", "o.*", "x.*", "copies")
+
+
 def chunk_documents(layout: Layout, sizes: Sizes = Sizes()) -> DataFrame:
     """The chunks of all documents, numbered through each document: texts of a page, then its tables that no page before had."""
     pages = layout.pages.join(paragraph_units(layout), ["source_file", "page_number"], "left").join(kept_lines(layout), ["source_file", "page_number"], "left")
@@ -311,10 +320,9 @@ def chunk_documents(layout: Layout, sizes: Sizes = Sizes()) -> DataFrame:
         F.array("page_number").alias("page_numbers"), F.array("page_type").alias("page_types"), F.col("c.titles").alias("section_titles"), F.col("c.text").alias("text"), F.lit(0).alias("table_count"), F.col("c.paragraphs").alias("paragraph_count"), F.col("flag").alias("header_footer_candidates_present"), F.lit(None).cast(_TABLE_META).alias("table_metadata"),
     )
 
-    first = Window.partitionBy("source_file", "signature").orderBy("page_number", "table_pos")
     through = Window.partitionBy("source_file").orderBy("page_number", "table_pos")
-    t = layout.page_tables.join(about, ["source_file", "page_number"]).withColumn("signature", F.sha1(F.to_json("table").cast("binary")))
-    t = t.withColumn("_n", F.row_number().over(first)).filter("_n = 1").withColumn("table_index", F.row_number().over(through))
+    t = distinct_tables(layout.page_tables, ["page_number", "table_pos"]).drop("copies").join(about, ["source_file", "page_number"])
+    t = t.withColumn("table_index", F.row_number().over(through))
     kinds = about.select("source_file", F.col("page_number").alias("n"), F.col("page_type").alias("kind"), F.col("flag").alias("f"))
     every = t.select("source_file", "table_index", "page_type", F.posexplode("on_pages").alias("i", "n")).join(kinds, ["source_file", "n"], "left").groupBy("source_file", "table_index").agg(
         F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("i", F.coalesce("kind", "page_type").alias("kind")))), lambda x: x["kind"])).alias("page_types"), F.max(F.coalesce("f", F.lit(False))).alias("any_flag")
@@ -365,8 +373,22 @@ def chunking_stats(layout: Layout, chunks: DataFrame) -> DataFrame:
     return out.withColumn("pages_using_line_fallback", F.col("source_page_count") - F.col("pages_using_paragraphs")).fillna(0)
 
 
+def text_parts(rows: DataFrame, key: str, most: int, text: str = "text") -> DataFrame:
+    """key, part, text: each text in parts of at most most characters, at sentences where that is possible, over Arrow batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                few = batch.slice(at, 256)
+                cut = [split_long(x or "", most) for x in few.column(1).to_pylist()]
+                of = pa.array([i for i, x in enumerate(cut) for _ in x], pa.int64())
+                yield pa.RecordBatch.from_arrays([few.column(0).take(of), pa.array([i for x in cut for i in range(len(x))], pa.int32()), pa.array([t for x in cut for t in x], pa.string())], names=[key, "part", "text"])
+
+    return rows.select(key, text).mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, part int, text string")
+
+
 class TextChunks:
-    """A table function: (part, text) of a text in parts of at most most characters, at sentences where that is possible."""
+    """The table function of that for SQL: (part, text) of a text in parts of at most most characters."""
 
     def eval(self, text: str, most: int):
         for i, x in enumerate(split_long(text or "", most)):
@@ -374,7 +396,7 @@ class TextChunks:
 
 
 def register(spark) -> None:
-    """chunk_text(text, most) for SQL."""
+    """chunk_text(text, most) for SQL, with Arrow between Spark and Python."""
     from pyspark.sql.functions import udtf
 
-    spark.udtf.register("chunk_text", udtf(TextChunks, returnType="part: int, text: string"))
+    spark.udtf.register("chunk_text", udtf(TextChunks, returnType="part: int, text: string", useArrow=True))

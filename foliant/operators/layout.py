@@ -81,7 +81,6 @@ def normalize(raw: DataFrame, materialize: bool = False) -> Layout:
 
     materialize computes all but the paragraphs once, in the shared folder: chunking and measuring read them several times.
     """
-    once = checkpointed if materialize else (lambda df: df)
     blank = lambda c: F.nullif(F.col(c), F.lit(""))
     root_names = ["apiVersion", "contentFormat", "stringIndexType", "modelId", "pages", "tables", "paragraphs", "sections", "styles", "figures"]
     d = raw.select(
@@ -89,32 +88,51 @@ def normalize(raw: DataFrame, materialize: bool = False) -> Layout:
         F.coalesce("result", "analyzeResult", F.struct(*root_names)).alias("r"),
     ).select("source_file", F.coalesce("m", F.nullif("r.modelId", F.lit("")), F.lit("unknown")).alias("model_id"), "r.*")
 
-    d = once(d)
-    regions_of = lambda t: F.array_distinct(F.filter(F.coalesce(F.transform(t["boundingRegions"], lambda g: g["pageNumber"]), F.expr("cast(array() as array<int>)")), lambda p: p.isNotNull()))
+    d = checkpointed(d) if materialize else d
     tables = d.select("source_file", F.posexplode("tables").alias("table_pos", "table"))
-    tables = tables.withColumn("on_pages", regions_of(F.col("table")))
+    numbered = d.select("source_file", F.posexplode("pages").alias("page_pos", "p")).select("source_file", "page_pos", F.col("p.pageNumber").alias("page_number"), "p.width", "p.height", "p.unit", "p.lines")
+    paragraphs = d.select("source_file", F.posexplode("paragraphs").alias("paragraph_index", "p")).select("source_file", "paragraph_index", "p.role", "p.content", "p.boundingRegions", "p.spans")
+    size = lambda c: F.greatest(F.size(F.coalesce(c, F.array())), F.lit(0))
+    documents = d.select(
+        "source_file", "model_id", size("pages").alias("page_count"), size("tables").alias("table_count"), size(F.filter("tables", lambda t: F.size(_pages_of(t)) == 0)).alias("unmapped_table_count"),
+        F.col("apiVersion").alias("api_version"), F.col("contentFormat").alias("content_format"), F.col("stringIndexType").alias("string_index_type"), "paragraphs", "sections", "styles", "figures",
+    )
+    return from_pages(documents, numbered, tables, paragraphs, materialize)
+
+
+def _pages_of(table: Column) -> Column:
+    """Numbers of the pages that a table is on, in order without repeats."""
+    return F.array_distinct(F.filter(F.coalesce(F.transform(table["boundingRegions"], lambda g: g["pageNumber"]), F.expr("cast(array() as array<int>)")), lambda p: p.isNotNull()))
+
+
+def from_pages(documents: DataFrame, numbered: DataFrame, tables: DataFrame, paragraphs: DataFrame, materialize: bool = False) -> Layout:
+    """The tables of documents whose pages are rows, so that no document is in one row.
+
+    documents: source_file, model_id, ...; numbered: source_file, page_pos (that orders the pages), page_number, width, height,
+    unit, lines (array of content and polygon); tables: source_file, table_pos, table; paragraphs: source_file, paragraph_index, role,
+    content, boundingRegions, spans.
+    """
+    once = checkpointed if materialize else (lambda df: df)
+    tables = tables.withColumn("on_pages", _pages_of(F.col("table")))
     page_tables = once(tables.select("source_file", "table_pos", "table", "on_pages", F.explode("on_pages").alias("page_number")))
     per_page = page_tables.groupBy("source_file", "page_number").agg(F.count("*").alias("n_tables"))
 
-    numbered = d.select("source_file", F.posexplode("pages").alias("page_pos", "p"))
-    lines = numbered.select("source_file", "page_pos", F.col("p.pageNumber").alias("page_number"), F.col("p.height").alias("height"), F.col("p.unit").alias("unit"), F.posexplode("p.lines").alias("line_pos", "line"))
+    lines = numbered.select("source_file", "page_pos", "page_number", "height", "unit", F.posexplode("lines").alias("line_pos", "line"))
     lines = lines.withColumn("text", collapse("line.content")).filter("text <> ''").withColumn("b", bounds(F.col("line.polygon")))
     lines = lines.select("source_file", "page_pos", "page_number", "height", "unit", "line_pos", "text", F.coalesce("line.polygon", F.expr("cast(array() as array<double>)")).alias("polygon"), "b.*")
     lines = lines.withColumn("margin_position", margin_position(F.col("top"), F.col("bottom"), F.col("height"), F.col("unit")))
-    line_count = F.size(F.filter(F.coalesce(F.transform("p.lines", lambda x: collapse(x["content"])), F.expr("cast(array() as array<string>)")), lambda t: t != ""))
-    pages = numbered.select("source_file", "page_pos", F.col("p.pageNumber").alias("page_number"), F.col("p.width").alias("width"), F.col("p.height").alias("height"), F.col("p.unit").alias("unit"), line_count.alias("n_lines"))
+    line_count = F.size(F.filter(F.coalesce(F.transform("lines", lambda x: collapse(x["content"])), F.expr("cast(array() as array<string>)")), lambda t: t != ""))
+    pages = numbered.select("source_file", "page_pos", "page_number", "width", "height", "unit", line_count.alias("n_lines"))
     pages = pages.join(per_page, ["source_file", "page_number"], "left").withColumn("n_tables", F.coalesce("n_tables", F.lit(0)))
     pages = once(pages.withColumn("page_type", page_kind(F.col("n_lines"), F.col("n_tables"))))
     lines = once(lines)
 
     repeated = once(repeated_lines(lines, pages))
-    flagged = lines.filter("margin_position is not null").withColumn("normalized_text", fold("text")).join(repeated.select("source_file", "normalized_text", "page_occurrence_count"), ["source_file", "normalized_text"]).withColumn("candidate_type", F.lit("repeated_header_footer_candidate"))
-    flagged = once(flagged)
-    size = lambda c: F.greatest(F.size(F.coalesce(c, F.array())), F.lit(0))
-    unmapped = tables.filter(F.size("on_pages") == 0)
-    documents = d.select(
-        "source_file", "model_id", size("pages").alias("page_count"), size("tables").alias("table_count"), size(F.filter("tables", lambda t: F.size(regions_of(t)) == 0)).alias("unmapped_table_count"),
-        F.col("apiVersion").alias("api_version"), F.col("contentFormat").alias("content_format"), F.col("stringIndexType").alias("string_index_type"), "paragraphs", "sections", "styles", "figures",
-    )
-    paragraphs = d.select("source_file", F.posexplode("paragraphs").alias("paragraph_index", "p")).select("source_file", "paragraph_index", "p.role", "p.content", "p.boundingRegions", "p.spans")
-    return Layout(documents, pages, lines, page_tables, unmapped.drop("on_pages"), paragraphs, repeated, flagged)
+    marked = lines.filter("margin_position is not null").withColumn("normalized_text", fold("text"))
+    flagged = marked.join(repeated.select("source_file", "normalized_text", "page_occurrence_count"), ["source_file", "normalized_text"]).withColumn("candidate_type", F.lit("repeated_header_footer_candidate"))
+    return Layout(documents, pages, lines, page_tables, tables.filter(F.size("on_pages") == 0).drop("on_pages"), paragraphs, repeated, once(flagged))
+
+
+def candidates(layout: Layout) -> DataFrame:
+    """The repeated lines of all documents, of each the most frequent first, then by text."""
+    return layout.repeated.orderBy("source_file", F.desc("page_occurrence_count"), "text")

@@ -30,24 +30,33 @@ def alias_table(known: DataFrame) -> DataFrame:
     return said.groupBy("alias").agg(F.max_by("document_id", "place").alias("document_id"))
 
 
-def _runs(n: int):
-    """All runs of n words of w with their first place."""
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: F.struct(i.alias("i"), F.array_join(F.slice("w", i, n), " ").alias("alias")))
+#: First words of aliases that are looked for within a text; of more, every run of a text meets the aliases.
+FIRST_WORDS = 10_000
+
+
+def _runs(lengths: list[int], first: list[str] | None):
+    """Runs of the words w of each of some lengths with their first place, those that begin with a first word if these are given."""
+    at = F.sequence(F.lit(1), F.size("w"))
+    if first is not None:
+        at = F.filter(F.transform("w", lambda x, i: F.when(x.isin(first), i + 1)), lambda i: i.isNotNull())
+    return F.flatten(F.transform(at, lambda i: F.array(*(F.struct(i.alias("i"), F.array_join(F.slice("w", i, n), " ").alias("alias")) for n in lengths))))
 
 
 def detect(questions: DataFrame, known: DataFrame, text: str = "question", key: str = "question_id") -> DataFrame:
     """question_id, documents: ids whose alias the text has as whole words, by first place, then longest alias.
 
-    Aliases of any length are met as word runs of the text (an equi join), so the work grows with the
-    texts and the distinct lengths in words, and not with the product of texts and aliases.
+    Aliases of any length are met as word runs of the text (an equi join), of those only that begin as an alias does,
+    so the work grows with the texts, and not with the product of texts and aliases.
     """
     aliases = alias_table(known).withColumn("n", F.size(F.split("alias", " ")))
     lengths = [r.n for r in aliases.select("n").distinct().collect()]  # as many as there are lengths
     own = questions.select(F.col(key).alias("question_id"), lookup_key(text).alias("t")).withColumn("w", F.split("t", " "))
-    runs = F.flatten(F.array(*(_runs(n) for n in lengths))) if lengths else F.expr("cast(array() as array<struct<i:int,alias:string>>)")
+    begins = aliases.select(F.substring_index("alias", " ", 1).alias("w")).distinct().limit(FIRST_WORDS + 1).collect()
+    first = [r.w for r in begins] if len(begins) <= FIRST_WORDS else None
+    runs = _runs(lengths, first) if lengths else F.expr("cast(array() as array<struct<i:int,alias:string>>)")
     met = own.select("question_id", F.explode(runs).alias("r")).select("question_id", "r.i", "r.alias").join(aliases, "alias")
-    first = met.groupBy("question_id", "document_id").agg(F.min(F.struct("i", -F.length("alias"))).alias("at"))
-    listed = first.groupBy("question_id").agg(F.sort_array(F.collect_list(F.struct("at", "document_id"))).alias("s"))
+    where = met.groupBy("question_id", "document_id").agg(F.min(F.struct("i", -F.length("alias"))).alias("at"))
+    listed = where.groupBy("question_id").agg(F.sort_array(F.collect_list(F.struct("at", "document_id"))).alias("s"))
     none = F.expr("cast(array() as array<string>)")
     return own.select("question_id").join(listed, "question_id", "left").select("question_id", F.coalesce(F.col("s.document_id"), none).alias("documents"))
 

@@ -173,5 +173,6 @@ def answer_states(spark, sf_dir):
 @query("select doc_id, md5(trim(regexp_replace(text, '\\s+', ' ', 'g'))) digest, count(*) over (partition by text) copies from documents")
 def exact_copies(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    copies = d.groupBy(F.xxhash64("text").alias("h"), F.length("text").alias("n")).agg(F.count("*").alias("copies"))
-    return d.withColumn("h", F.xxhash64("text")).withColumn("n", F.length("text")).join(copies, ["h", "n"]).select("doc_id", F.md5(collapse("text")).alias("digest"), "copies")
+    d = d.withColumn("h", F.coalesce(F.sha2("text", 256), F.lit("")))  # null is a text of its own
+    copies = d.groupBy("h").agg(F.count("*").alias("copies"))
+    return d.join(copies, "h").select("doc_id", F.md5(collapse("text")).alias("digest"), "copies")

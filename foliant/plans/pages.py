@@ -16,25 +16,24 @@ from foliant.sources import layout as files
 HEIGHT, LINE = 11.0, 0.5
 
 
-def raw_layout(spark, sf_dir) -> DataFrame:
-    """A raw layout document of each source: a page a document, a line a half inch, paragraphs of the lines; nations as a table on the first page."""
-    d = table(spark, sf_dir, "documents").select("source", "doc_id", F.split("text", "\n").alias("lines"))
-    polygon = lambda i: F.transform(F.array(*[F.lit(x) for x in (1.0, 0, 7.5, 0, 7.5, 0.4, 1.0, 0.4)]), lambda v, k: F.when(k % 2 == 1, v + i * LINE).otherwise(v))
-    lines = F.transform("lines", lambda t, i: F.struct(t.alias("content"), polygon(i).alias("polygon")))
-    region = F.array(F.struct(F.col("doc_id").cast("int").alias("pageNumber"), F.lit(None).cast("array<double>").alias("polygon")))
-    paragraphs = F.transform("lines", lambda t, i: F.struct(F.when((i == 0) & (F.length(t) < 100), "sectionHeading").alias("role"), t.alias("content"), region.alias("boundingRegions"), F.lit(None).cast(files.SPANS).alias("spans")))
-    page = F.struct(F.col("doc_id").cast("int").alias("pageNumber"), F.lit(8.5).alias("width"), F.lit(HEIGHT).alias("height"), F.lit("inch").alias("unit"), lines.alias("lines"))
-    per = d.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("doc_id", page.alias("page"), paragraphs.alias("p")))).alias("x"), F.min("doc_id").cast("int").alias("first"))
-    n = table(spark, sf_dir, "nation").select(F.explode(F.array(F.struct(F.lit(0).alias("c"), F.col("n_nationkey").cast("string").alias("v")), F.struct(F.lit(1).alias("c"), F.col("n_name").alias("v")))).alias("x"), "n_nationkey")
-    cells = n.agg(F.count_distinct("n_nationkey").cast("int").alias("n"), F.sort_array(F.collect_list(F.struct(F.lit("content").alias("kind"), F.col("n_nationkey").alias("rowIndex"), F.col("x.c").alias("columnIndex"), F.col("x.v").alias("content")))).alias("cells")).first()
-    cell = F.array(*(F.struct(F.lit(c.kind).alias("kind"), F.lit(c.rowIndex).alias("rowIndex"), F.lit(c.columnIndex).alias("columnIndex"), F.lit(c.content).alias("content")) for c in cells.cells))
-    tables = F.array(F.struct(F.lit(cells.n).alias("rowCount"), F.lit(2).alias("columnCount"), cell.alias("cells"), F.array(F.struct(F.col("first").alias("pageNumber"), F.lit(None).cast("array<double>").alias("polygon"))).alias("boundingRegions"), F.lit(None).cast(files.SPANS).alias("spans")))
-    none = lambda: F.lit(None).cast("string")
-    many = lambda: F.lit(None).cast("array<string>")
-    root = F.struct(none().alias("apiVersion"), F.lit("text").alias("contentFormat"), none().alias("stringIndexType"), F.lit("plain").alias("modelId"), F.col("x.page").alias("pages"), tables.alias("tables"), F.flatten("x.p").alias("paragraphs"), many().alias("sections"), many().alias("styles"), many().alias("figures"))
-    empty = spark.createDataFrame([], files.RAW).schema
-    given = per.select(F.concat("source", F.lit(".pdf")).alias("source_file"), root.alias("result"))
-    return given.select(*(F.col(f.name).cast(f.dataType).alias(f.name) if f.name in given.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in empty.fields))
+def pages_layout(spark, sf_dir, materialize: bool = False) -> layout.Layout:
+    """The documents of a source as a laid-out file: a page a document, a line a half inch, paragraphs of the lines; nations as a table on the first page."""
+    d = table(spark, sf_dir, "documents").select(F.concat("source", F.lit(".pdf")).alias("source_file"), F.col("doc_id").cast("int").alias("page_number"), F.split("text", "\n").alias("said"))
+    corners = F.array(*[F.lit(x) for x in (1.0, 0, 7.5, 0, 7.5, 0.4, 1.0, 0.4)])
+    polygon = lambda i: F.transform(corners, lambda v, k: F.when(k % 2 == 1, v + i * LINE).otherwise(v))
+    lines = F.transform("said", lambda t, i: F.struct(t.alias("content"), polygon(i).alias("polygon")))
+    numbered = d.select("source_file", F.col("page_number").alias("page_pos"), "page_number", F.lit(8.5).alias("width"), F.lit(HEIGHT).alias("height"), F.lit("inch").alias("unit"), lines.alias("lines"))
+    region = F.array(F.struct(F.col("page_number").alias("pageNumber"), F.lit(None).cast("array<double>").alias("polygon")))
+    paragraphs = d.select("source_file", "page_number", F.posexplode("said").alias("paragraph_index", "content"))
+    role = F.when((F.col("paragraph_index") == 0) & (F.length("content") < 100), "sectionHeading")
+    paragraphs = paragraphs.select("source_file", "paragraph_index", role.alias("role"), "content", region.cast(files.REGIONS).alias("boundingRegions"), F.lit(None).cast(files.SPANS).alias("spans"))
+    documents = d.groupBy("source_file").agg(F.lit("plain").alias("model_id"), F.count("*").alias("page_count"), F.min("page_number").alias("first"))
+    cell = lambda c, v: F.struct(F.lit("content").alias("kind"), F.col("n_nationkey").alias("rowIndex"), F.lit(c).alias("columnIndex"), F.col(v).cast("string").alias("content"))
+    n = table(spark, sf_dir, "nation").agg(F.count("*").cast("int").alias("rowCount"), F.lit(2).alias("columnCount"), F.flatten(F.sort_array(F.collect_list(F.array(cell(0, "n_nationkey"), cell(1, "n_name"))))).alias("cells"))
+    where = F.array(F.struct(F.col("first").alias("pageNumber"), F.lit(None).cast("array<double>").alias("polygon")))
+    made = F.struct("rowCount", "columnCount", "cells", where.alias("boundingRegions"), F.lit(None).cast(files.SPANS).alias("spans")).cast(files.TABLE)
+    tables = documents.crossJoin(F.broadcast(n)).select("source_file", F.lit(0).alias("table_pos"), made.alias("table"))  # one row, of 25 nations
+    return layout.from_pages(documents, numbered, tables, paragraphs, materialize)
 
 
 _LINES = r"select source, doc_id, i - 1 i, trim(regexp_replace(line, '\s+', ' ', 'g')) t from (select source, doc_id, unnest(generate_series(1, len(string_split(text, chr(10))))) i, unnest(string_split(text, chr(10))) line from documents)"
@@ -43,45 +42,45 @@ _PLACED = f"select *, case when i * {LINE}::double <= {HEIGHT}::double * 0.08::d
 
 @query(f"select source || '.pdf' source_file, doc_id::int page_number, count(*) n_lines, count(place) in_margin, round(max(i::double * {LINE} + 0.4), 6) lowest from ({_PLACED}) group by all")
 def line_bounds(spark, sf_dir):
-    x = layout.normalize(raw_layout(spark, sf_dir)).lines
+    x = pages_layout(spark, sf_dir).lines
     return x.groupBy("source_file", "page_number").agg(F.count("*").alias("n_lines"), F.count("margin_position").alias("in_margin"), F.round(F.max("bottom"), 6).alias("lowest"))
 
 
 @query(f"""select d.source || '.pdf' source_file, d.doc_id::int page_number, case when f and n <= 10 then 'visual_or_table' when f then 'mixed' when n <= 8 then 'visual_or_cover' else 'text' end page_type
   from (select source, doc_id, doc_id = min(doc_id) over (partition by source) f from documents) d left join (select source, doc_id, count(*) filter (t <> '') n from ({_LINES}) group by all) l using (source, doc_id)""")
 def page_kinds(spark, sf_dir):
-    return layout.normalize(raw_layout(spark, sf_dir)).pages.select("source_file", "page_number", "page_type")
+    return pages_layout(spark, sf_dir).pages.select("source_file", "page_number", "page_type")
 
 
 @query(f"""with l as (select source, doc_id, i, t, place, lower(t) k from ({_PLACED}) where place is not null), p as (select source, case when count(*) < 2 then 2 else least(5, count(*)) end least_pages from documents group by source)
   select source || '.pdf' source_file, k normalized_text, arg_min(t, (doc_id, i)) as text, count(distinct doc_id) page_occurrence_count, array_to_string(list_sort(list_distinct(list(place))), ',') margin_positions from l join p using (source) group by source, k, least_pages having count(distinct doc_id) >= least_pages""")
 def repeated_lines(spark, sf_dir):
-    x = layout.normalize(raw_layout(spark, sf_dir)).repeated
+    x = pages_layout(spark, sf_dir).repeated
     return x.select("source_file", "normalized_text", "text", "page_occurrence_count", F.array_join("margin_positions", ",").alias("margin_positions"))
 
 
 @query(f"""with l as (select source, doc_id, i, t, place, lower(t) k from ({_PLACED}) where place is not null), p as (select source, case when count(*) < 2 then 2 else least(5, count(*)) end least_pages from documents group by source),
   r as (select source, k, count(distinct doc_id) n from l group by all) select source || '.pdf' source_file, doc_id::int page_number, i::int line_pos, place margin_position, n page_occurrence_count from l join r using (source, k) join p using (source) where n >= least_pages""")
 def flagged_lines(spark, sf_dir):
-    return layout.normalize(raw_layout(spark, sf_dir)).flagged.select("source_file", "page_number", "line_pos", "margin_position", "page_occurrence_count")
+    return pages_layout(spark, sf_dir).flagged.select("source_file", "page_number", "line_pos", "margin_position", "page_occurrence_count")
 
 
 @query(chunk_sql.layout_chunks(HEIGHT, LINE))
 def layout_chunks(spark, sf_dir):
     """All chunks of the documents as laid-out files."""
-    c = chunking.chunk_documents(layout.normalize(raw_layout(spark, sf_dir), materialize=True))
+    c = chunking.chunk_documents(pages_layout(spark, sf_dir, materialize=True))
     return c.select("chunk_id", "chunk_index", "source_file", "chunk_type", "content_source", "page_start", "page_end", "text", "char_count", "line_count", "paragraph_count", F.array_join("section_titles", " | ").alias("titles"))
 
 
 @query(chunk_sql.layout_chunk_stats(HEIGHT, LINE))
 def layout_chunk_stats(spark, sf_dir):
-    made = layout.normalize(raw_layout(spark, sf_dir), materialize=True)
+    made = pages_layout(spark, sf_dir, materialize=True)
     return chunking.chunking_stats(made, chunking.chunk_documents(made))
 
 
 @query(chunk_sql.layout_chunk_coverage(HEIGHT, LINE, WHOLE, TOKENS))
 def layout_chunk_coverage(spark, sf_dir):
-    made = layout.normalize(raw_layout(spark, sf_dir), materialize=True)
+    made = pages_layout(spark, sf_dir, materialize=True)
     return artifacts.chunk_coverage(made, checkpointed(chunking.chunk_documents(made)))
 
 
@@ -108,6 +107,10 @@ def table_render(spark, sf_dir):
 
 @query("select min(p_partkey) p_partkey, p_brand, p_type, p_size, count(*) copies from part group by p_brand, p_type, p_size")
 def table_dedupe(spark, sf_dir):
-    """Rows with one signature, the first kept."""
-    p = table(spark, sf_dir, "part").withColumn("signature", F.sha1(F.to_json(F.struct("p_brand", "p_type", "p_size")).cast("binary")))
-    return p.groupBy("signature").agg(F.min("p_partkey").alias("p_partkey"), F.first("p_brand").alias("p_brand"), F.first("p_type").alias("p_type"), F.first("p_size").alias("p_size"), F.count("*").alias("copies")).drop("signature")
+    """Parts as tables of one row, the first of those with one content kept."""
+    cell = lambda i, c: F.struct(F.lit("content").alias("kind"), F.lit(0).alias("rowIndex"), F.lit(i).alias("columnIndex"), F.col(c).cast("string").alias("content"))
+    names = ("p_brand", "p_type", "p_size")
+    p = table(spark, sf_dir, "part").withColumn("table", F.struct(F.lit(1).alias("rowCount"), F.lit(3).alias("columnCount"), F.array(*(cell(i, c) for i, c in enumerate(names))).alias("cells")))
+    found = chunking.distinct_tables(p.select(F.lit("part").alias("source_file"), "p_partkey", "table"), ["p_partkey"])
+    said = lambda i: F.col("table.cells")[i]["content"]
+    return found.select("p_partkey", said(0).alias("p_brand"), said(1).alias("p_type"), said(2).cast("int").alias("p_size"), "copies")

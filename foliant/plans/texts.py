@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions.rates import agreement, numbers
 from foliant.functions.text import collapse, collapse_hyphens, cut, filled_lines, heading_like, last_distinct, lookup_key, meaningful_title, sentences, slug, text_heavy, tokens
-from foliant.operators.chunking import register
+from foliant.operators.chunking import text_parts
 from foliant.operators.context import packed
 from foliant.operators.evaluation import artifacts
 from foliant.operators.evaluation.artifacts import overlap, with_prf
@@ -95,11 +95,8 @@ def chunk_sizes(spark, sf_dir):
 
 @query(chunk_sql.chunk_text(1500))
 def chunk_text(spark, sf_dir):
-    """Every document in parts of at most 1,500 characters, by the table function."""
-    d = table(spark, sf_dir, "documents")
-    register(spark)
-    d.createOrReplaceTempView("_chunk_text_documents")
-    return spark.sql("select doc_id, c.part, c.text, length(c.text) n from _chunk_text_documents, lateral chunk_text(text, 1500) c")
+    """Every document in parts of at most 1,500 characters, as Arrow batches."""
+    return text_parts(table(spark, sf_dir, "documents"), "doc_id", 1500).withColumn("n", F.length("text"))
 
 
 @query("""with recursive d as (select source, row_number() over (partition by source order by doc_id) i, doc_id, length(text) n from documents),

@@ -11,9 +11,12 @@ from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
+_NONE = object()
 TRIES, WAIT_S = 5, 3.0
 BATCH_ROWS, BATCH_CHARS = 16, 20_000
 
@@ -124,16 +127,25 @@ def recorded(responses: DataFrame, key: str = "question_id"):
 
 def batch_ids(rows: DataFrame, document: str, order: str, text: str = "text", most_rows: int = BATCH_ROWS, chars: int = BATCH_CHARS) -> DataFrame:
     """rows with batch_id: within a document, in order, a new batch where the last is full or would exceed the characters."""
-    own = rows.groupBy(document).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.length(text).alias("n")))).alias("x"))
-    start = F.struct(F.lit(0).alias("b"), F.lit(0).alias("r"), F.lit(0).alias("c"), F.expr("cast(array() as array<int>)").alias("out"))
-
-    def step(a, x):
-        new = (a["r"] > 0) & ((a["r"] >= most_rows) | (a["c"] + x["n"] > chars))
-        b = F.when(new, a["b"] + 1).otherwise(a["b"])
-        return F.struct(b.alias("b"), F.when(new, 1).otherwise(a["r"] + 1).alias("r"), F.when(new, x["n"]).otherwise(a["c"] + x["n"]).alias("c"), F.concat(a["out"], F.array(b)).alias("out"))
-
-    folded = own.select(document, F.explode(F.arrays_zip(F.col("x.o").alias("o"), F.aggregate("x", start, step, lambda a: a["out"]).alias("b"))).alias("z"))
-    return rows.join(folded.select(document, F.col("z.o").alias(order), F.col("z.b").alias("batch_id")), [document, order])
+    sized = rows.select(document, order, F.coalesce(F.length(text), F.lit(0)).alias("_n"))
+    schema = StructType([sized.schema[document], sized.schema[order], StructField("batch_id", IntegerType())])
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by document and order; the state of the document at hand goes on from batch to batch."""
+        now, batch, held, size = _NONE, 0, 0, 0
+        for x in found:
+            out = []
+            for own, n in zip(x.column(0).to_pylist(), x.column(2).to_pylist(), strict=True):
+                if own != now:
+                    now, batch, held, size = own, 0, 0, 0
+                if held and (held >= most_rows or size + n > chars):
+                    batch, held, size = batch + 1, 0, 0
+                held, size = held + 1, size + n
+                out.append(batch)
+            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(out, pa.int32())], names=[document, order, "batch_id"])
+
+    folded = sized.repartition(document).sortWithinPartitions(document, order).mapInArrow(run, schema)
+    return rows.join(folded, [document, order])
 
 
 def fixed_batches(rows: DataFrame, order: str, size: int = 64, by: str | None = None) -> DataFrame:

@@ -714,3 +714,29 @@ def test_answer_service(spark, tmp_path, capsys):
     (tmp_path / "said.json").write_text(json.dumps(said))
     assert main(["answer", str(tmp_path / "points"), "Revenue of BMW Group grew to 10.", "--recorded", str(tmp_path / "said.json")]) == 0
     assert json.loads(capsys.readouterr().out.strip().split("\n")[-1])["answer"] == "Revenue grew to 10."
+
+
+def test_text_parts_and_table_function(spark):
+    said = " ".join(f"Sentence {k} goes on and on." for k in range(30))
+    df = spark.createDataFrame([(1, said), (2, None), (3, "short"), (4, "x" * 900)], "id int, text string")
+    got = sorted(tuple(r) for r in chunking.text_parts(df, "id", 300).collect())
+    chunking.register(spark)
+    df.createOrReplaceTempView("_parts")
+    assert got == sorted(tuple(r) for r in spark.sql("select id, c.part, c.text from _parts, lateral chunk_text(text, 300) c").collect())
+    assert {i for i, _, _ in got} == {1, 3, 4} and all(len(t) <= 420 for _, _, t in got) and " ".join(t for i, _, t in got if i == 1) == said
+
+
+def test_detect_with_many_first_words(spark, monkeypatch):
+    known = spark.createDataFrame([(0, "a1", "Alpha Beta Gamma", "a.pdf", ["alpha"]), (1, "b1", "Beta Gamma", "b.pdf", ["the beta"])], "place int, document_id string, company_name string, source_file string, aliases array<string>")
+    q = spark.createDataFrame([(1, "the beta of alpha beta gamma"), (2, "gamma beta"), (3, ""), (4, None), (5, "alpha")], "question_id int, question string")
+    want = {1: ["b1", "a1"], 2: [], 3: [], 4: [], 5: ["a1"]}
+    assert {r.question_id: r.documents for r in registry.detect(q, known).collect()} == want
+    monkeypatch.setattr(registry, "FIRST_WORDS", 1)
+    assert {r.question_id: r.documents for r in registry.detect(q, known).collect()} == want
+
+
+def test_batches_of_documents(spark):
+    sizes = {"a": [10, 20, 30, 5, 40], "b": [60, 1, 1], None: [1, None]}
+    df = spark.createDataFrame([(d, i, None if n is None else "x" * n) for d, x in sizes.items() for i, n in enumerate(x)], "d string, i int, text string")
+    got = {(r.d, r.i): r.batch_id for r in providers.batch_ids(df.filter("d is not null").repartition(5), "d", "i", most_rows=2, chars=50).collect()}
+    assert got == {("a", 0): 0, ("a", 1): 0, ("a", 2): 1, ("a", 3): 1, ("a", 4): 2, ("b", 0): 0, ("b", 1): 1, ("b", 2): 1}
