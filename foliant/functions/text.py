@@ -19,8 +19,8 @@ def collapse(x: Column | str) -> Column:
 
 def collapse_hyphens(x: Column | str) -> Column:
     """collapse() after soft hyphens are dropped and words cut by a hyphen and white space are joined."""
-    whole = F.regexp_replace(F.regexp_replace(F.coalesce(_c(x), F.lit("")), "­", ""), r"(?U)(\w)-\s+(\w)", "$1$2")
-    return collapse(whole)
+    whole = F.replace(F.coalesce(_c(x), F.lit("")), F.lit("\u00ad"), F.lit(""))
+    return collapse(F.when(F.contains(whole, F.lit("-")), F.regexp_replace(whole, r"(?U)(\w)-\s+(\w)", "$1$2")).otherwise(whole))
 
 
 def fold(x: Column | str) -> Column:
@@ -40,6 +40,12 @@ def lookup_key(x: Column | str) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.coalesce(_c(x), F.lit(""))), "[^a-z0-9]+", " "))
 
 
+def int_or_zero(x: Column | str) -> Column:
+    """The whole part of a number given as JSON text or as a number; 0 for what is no number, true and false among them."""
+    said = _c(x).cast("string")
+    return F.coalesce(said.try_cast("int"), F.when(said.rlike(r"^\s*[-+0-9.]"), said.try_cast("double").try_cast("int")), F.lit(0))
+
+
 def slug(name: Column | str) -> Column:
     """A file name without its last suffix, letters and digits joined by _; document if nothing is left."""
     stem = F.regexp_replace(F.regexp_replace(F.coalesce(_c(name), F.lit("")), r"^.*/", ""), r"(?<=.)\.[^.]*$", "")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.functions.text import lookup_key
@@ -84,6 +84,13 @@ def resolve(filters: DataFrame, known: DataFrame, key: str = "question_id", colu
     )
 
 
+def wanted(direct: Column | str, found: Column | str) -> Column:
+    """Ids given directly and those of a registry, in this order, each once."""
+    none = F.expr("cast(array() as array<string>)")
+    listed = lambda x: F.coalesce(F.col(x) if isinstance(x, str) else x, none)
+    return F.array_distinct(F.concat(listed(direct), listed(found)))
+
+
 def require_known(resolved: DataFrame, known: DataFrame) -> DataFrame:
     """resolved, or ValueError with the names that are supported."""
     bad = resolved.filter(F.size("unknown") > 0).first()

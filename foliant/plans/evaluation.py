@@ -6,8 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions.rates import mean_or_zero
+from foliant.functions.text import int_or_zero
+from foliant.operators import registry as registry_operators
+from foliant.operators import retrieval
+from foliant.operators.context import section
 from foliant.operators.evaluation import answers as measures
 from foliant.operators.evaluation import artifacts, search
+from foliant.operators.evaluation import cases as bank_operators
 from foliant.plans.registry import query, table
 from foliant.streaming.ingest import windowed_counts
 
@@ -113,3 +118,99 @@ def snippet_ranks(spark, sf_dir):
     words = F.split(F.lower(F.trim(F.regexp_replace("text", r"\s+", " "))), " ")
     groups = c.filter("turn = 1").select(F.col("conv_id").alias("query_id"), F.array(F.array(F.get(words, F.lit(2))), F.array(F.element_at(words, -1))).alias("groups"))
     return search.snippet_ranks(hits, groups).select("query_id", "expected_rank", "hit_at_1", "hit_at_5")
+
+
+@query("select o_orderkey, case o_orderkey % 6 when 0 then 0 when 1 then o_orderkey when 2 then -(o_orderkey % 1000) when 3 then o_orderkey % 100 when 4 then 0 else 0 end::int n from orders")
+def whole_numbers(spark, sf_dir):
+    """Numbers as JSON may have them: true, a whole one, one with a fraction and a sign, text around it, nothing."""
+    k = F.col("o_orderkey")
+    said = F.when(k % 6 == 0, "true").when(k % 6 == 1, k.cast("string")).when(k % 6 == 2, F.concat(F.lit("-"), (k % 1000).cast("string"), F.lit(".75"))).when(k % 6 == 3, F.concat((k % 100).cast("string"), F.lit(".0"))).when(k % 6 == 4, F.concat(F.lit("p"), k.cast("string")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", int_or_zero(said).alias("n"))
+
+
+@query("""with d as (select doc_id, lang, case when doc_id % 2 = 0 then 1 end old, quality from documents left join labels using (doc_id))
+  select count(distinct lang) document_count, count(*) record_count, count(*) filter (doc_id % 3 = 0) table_record_count, count(*) filter (doc_id % 3 = 0 and quality is not null) table_records_with_metadata, count(*) filter (quality is distinct from old) changed_record_count from d""")
+def enrichment_sums(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("document_id"), F.when(F.col("doc_id") % 3 == 0, "table").otherwise("text").alias("chunk_type"), F.when(F.col("doc_id") % 2 == 0, 1).cast("bigint").alias("table_metadata"))
+    chunks = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("chunk_id"), F.col("quality").cast("bigint").alias("table_metadata"))
+    return artifacts.enrichment_summary(artifacts.enriched(d, chunks))
+
+
+@query("""select event_id, case when event_type = 'view' or (event_type in ('click', 'signup') and user_id % 3 > 1) then greatest(5 + event_id % 30, 20) else 5 + event_id % 30 end n from events""")
+def search_limits(spark, sf_dir):
+    """How many hits a question gets: by its kind, what it computes and how many documents it is on."""
+    e = table(spark, sf_dir, "events")
+    n = retrieval.effective_limit(F.lit(5) + F.col("event_id") % 30, F.col("event_type") == "view", F.col("event_type").isin("click", "signup"), F.col("user_id") % 3)
+    return e.select("event_id", n.alias("n"))
+
+
+@query("""select doc_id, md5('[Evidence ' || (doc_id % 9 + 1) || ']' || chr(10) || 'score: ' || printf('%.6f', (doc_id % 100) / 100.0::double) || chr(10) || 'company: ' || upper(lang) || chr(10) || 'document_id: ' || source || chr(10) || 'source_file: ' || source || '.pdf' || chr(10)
+  || 'page_numbers: ' || (doc_id % 50) || ', ' || (doc_id % 50 + 1) || chr(10) || 'chunk_id: d' || doc_id || chr(10) || 'chunk_type: text' || chr(10) || 'section_titles: ' || case when doc_id % 2 = 0 then 'One, Two' else '' end || chr(10) || case when doc_id % 5 = 0 then 'table_metadata: {"rows":' || doc_id || '}' || chr(10) else '' end
+  || 'exact_text:' || chr(10) || case when length(t) <= 500 then t else rtrim(t[:500], ' ' || chr(10)) || chr(10) || '[TRUNCATED]' end) digest from (select *, trim(text, ' ' || chr(10)) t from documents)""")
+def evidence_blocks(spark, sf_dir):
+    """The block of a hit as a prompt has it."""
+    k = F.col("doc_id")
+    d = table(spark, sf_dir, "documents").select(
+        "doc_id", (k % 9 + 1).cast("int").alias("rank"), ((k % 100) / F.lit(100.0)).alias("score"), F.upper("lang").alias("company"), F.col("source").alias("document_id"), F.concat("source", F.lit(".pdf")).alias("source_file"), F.array(k % 50, k % 50 + 1).alias("page_numbers"), F.concat(F.lit("d"), k.cast("string")).alias("chunk_id"),
+        F.lit("text").alias("chunk_type"), F.when(k % 2 == 0, F.array(F.lit("One"), F.lit("Two"))).alias("section_titles"), F.when(k % 5 == 0, F.concat(F.lit('{"rows":'), k.cast("string"), F.lit("}"))).alias("table_metadata"), "text",
+    )
+    return d.select("doc_id", F.md5(section(500)).alias("digest"))
+
+
+_EXPECT = "select doc_id, source, lang, doc_id % 50 page, 'Answer' || chr(10) || 'See ' || upper(lang) || ' in ' || upper(source) || '.PDF, page ' || (doc_id % 50) said from documents"
+
+
+@query(f"""select doc_id, contains(lower(said), lower(lang)) and contains(lower(said), source || '.pdf') and contains(lower(said), (page + (doc_id % 3 = 0)::int)::varchar) present, contains(lower(said), source || '.pdf') or contains(lower(said), 'nobody') named from ({_EXPECT})""")
+def resource_checks(spark, sf_dir):
+    """Whether an answer has the resources that it should."""
+    page = F.col("doc_id") % 50
+    d = table(spark, sf_dir, "documents").withColumn("said", F.concat(F.lit("Answer\nSee "), F.upper("lang"), F.lit(" in "), F.upper("source"), F.lit(".PDF, page "), page.cast("string")))
+    file = F.concat("source", F.lit(".pdf"))
+    want = F.array(F.struct(F.col("lang").alias("company"), file.alias("source_file"), (page + (F.col("doc_id") % 3 == 0).cast("int")).alias("page")))
+    return d.select("doc_id", measures.resources_present(F.col("said"), want).alias("present"), measures.names_documents(F.col("said"), F.array(F.struct(F.lit("Nobody").alias("company_name"), file.alias("source_file")))).alias("named"))
+
+
+@query("""with c as (select conv_id, turn, row_number() over (partition by conv_id order by turn) i, count(*) over (partition by conv_id) n, text, role from conversations)
+  select conv_id::varchar category_id, conv_id || '-' || turn case_id, i category_case_index, length(text) n_chars from c where role = 'user'""")
+def bank_cases(spark, sf_dir):
+    """Conversations as a bank of questions: flattened, numbered in their category, those of users kept."""
+    one = F.struct(F.col("turn"), F.struct(F.concat_ws("-", "conv_id", "turn").alias("case_id"), F.col("text").alias("question"), F.when(F.col("role") == "user", "supported").otherwise("unsupported").alias("answer_expectation"), *(F.lit(None).cast("array<string>").alias(c) for c in ("company_filters", "chunk_types", "expected_document_ids", "expected_chunk_types"))).alias("c"))
+    bank = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").cast("string").alias("category_id")).agg(F.transform(F.sort_array(F.collect_list(one)), lambda x: x["c"]).alias("cases"))
+    bank = bank.withColumns({"category_name": F.col("category_id"), "category_description": F.lit("")})
+    return bank_operators.supported(bank_operators.flatten_bank(bank)).select("category_id", "case_id", F.col("category_case_index").cast("bigint").alias("category_case_index"), F.length("question").alias("n_chars"))
+
+
+@query("""select vec_id, case label when 0 then 'BMW Group' when 1 then 'Robert Bosch GmbH' when 2 then '' else 'doc' || label end = case label when 2 then 'x' else '' end blank, case label when 0 then 'BMW Group' when 1 then 'Robert Bosch GmbH' when 2 then 'unknown' when 3 then 'unknown' else 'doc' || label end company from embeddings""")
+def company_labels(spark, sf_dir):
+    """The company of a hit: its name, else its document's id, else unknown."""
+    k = F.col("label")
+    e = table(spark, sf_dir, "embeddings").withColumn("document_id", F.when(k == 0, "bmw_2024").when(k == 1, "bosch_2024").when(k == 2, "").when(k > 3, F.concat(F.lit("doc"), k.cast("string"))))
+    return registry_operators.company_names(e, registry_operators.registry(spark)).select("vec_id", (F.col("company") == "").alias("blank"), "company")
+
+
+@query("""with c as (select vec_id id, label, vec_id % 7 = 0 missed, (vec_id % 12) + 1 r, (vec_id % 40) / 8.0::double s from embeddings), x as (select *, case when not missed then r end e from c)
+  select count(*) case_count, round(avg(s), 3) mean_latency_seconds, max(s) max_latency_seconds, """ + ", ".join(f"count(*) filter (e <= {k}) / count(*)::double hit_at_{k}_rate" for k in (1, 3, 5, 10, 20)) + """, count(*) filter (e is null) missed from x""")
+def baseline_summary(spark, sf_dir):
+    """Cases whose snippets were found at some rank, or not."""
+    k = F.col("vec_id")
+    c = table(spark, sf_dir, "embeddings").select(k.alias("query_id"), ((k % 40) / F.lit(8.0)).alias("latency_seconds"), F.when(k % 7 != 0, (k % 12 + 1).cast("int")).alias("expected_rank"))
+    c = c.withColumns({f"hit_at_{n}": F.coalesce(F.col("expected_rank") <= n, F.lit(False)) for n in (1, 3, 5, 10, 20)})
+    return search.snippet_summary(c).withColumn("missed", F.size("missed").cast("bigint"))
+
+
+@query("""with c as (select vec_id, label, case when label % 2 = 0 then (vec_id % 5) / 4.0::double end cov, (vec_id % 16) / 16.0::double s from embeddings)
+  select case when grouping(label) = 0 then 'c' || label end category_id, case when grouping(label) = 0 then 'C' || label end category_name, count(*) case_count, round(avg(s), 3) mean_latency_seconds, round(quantile_cont(s, 0.95), 3) p95_latency_seconds, round(avg(s), 6) mean_top_score,
+  round(avg(s), 6) mean_document_recall_at_10, round(avg(cov), 6) mean_type_coverage_at_3 from c group by grouping sets ((label), ())""")
+def type_coverage(spark, sf_dir):
+    """Means by category, of type coverage over the cases that expect types only."""
+    k = F.col("vec_id")
+    s = (k % 16) / F.lit(16.0)
+    e = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("c"), "label").alias("category_id"), F.concat(F.lit("C"), "label").alias("category_name"), s.alias("latency_seconds"), *(s.alias(c) for c in ("top_score", "top1_hit", "purity_at_5", *(f"document_recall_at_{n}" for n in search.KS))), *(F.when(F.col("label") % 2 == 0, (k % 5) / F.lit(4.0)).alias(f"type_coverage_at_{n}") for n in (3, 5, 10)))
+    return search.stress_summary(e).select("category_id", "category_name", "case_count", "mean_latency_seconds", "p95_latency_seconds", "mean_top_score", "mean_document_recall_at_10", "mean_type_coverage_at_3")
+
+
+@query("select doc_id::varchar id, doc_id % 2 = 0 matched, list_distinct(list_filter([source, lang, case when doc_id % 2 = 0 then source end], lambda x: x is not null)) = [] none, len(list_distinct(list_filter([source, lang, case when doc_id % 2 = 0 then source else 'other' end], lambda x: x is not null))) n from documents")
+def wanted_documents(spark, sf_dir):
+    """Ids given directly and those that were found, each once."""
+    d = table(spark, sf_dir, "documents").withColumn("w", registry_operators.wanted(F.array("source", "lang"), F.array(F.when(F.col("doc_id") % 2 == 0, F.col("source")).otherwise("other"))))
+    return d.select(F.col("doc_id").cast("string").alias("id"), (F.element_at("w", -1) != "other").alias("matched"), (F.size("w") == 0).alias("none"), F.size("w").alias("n"))

@@ -19,8 +19,8 @@ HEIGHT, LINE = 11.0, 0.5
 def pages_layout(spark, sf_dir, materialize: bool = False) -> layout.Layout:
     """The documents of a source as a laid-out file: a page a document, a line a half inch, paragraphs of the lines; nations as a table on the first page."""
     d = table(spark, sf_dir, "documents").select(F.concat("source", F.lit(".pdf")).alias("source_file"), F.col("doc_id").cast("int").alias("page_number"), F.split("text", "\n").alias("said"))
-    corners = F.array(*[F.lit(x) for x in (1.0, 0, 7.5, 0, 7.5, 0.4, 1.0, 0.4)])
-    polygon = lambda i: F.transform(corners, lambda v, k: F.when(k % 2 == 1, v + i * LINE).otherwise(v))
+    corners = ((1.0, 0.0), (7.5, 0.0), (7.5, 0.4), (1.0, 0.4))
+    polygon = lambda i: F.array(*(v for x, y in corners for v in (F.lit(x), F.lit(y) + i * LINE)))
     lines = F.transform("said", lambda t, i: F.struct(t.alias("content"), polygon(i).alias("polygon")))
     numbered = d.select("source_file", F.col("page_number").alias("page_pos"), "page_number", F.lit(8.5).alias("width"), F.lit(HEIGHT).alias("height"), F.lit("inch").alias("unit"), lines.alias("lines"))
     region = F.array(F.struct(F.col("page_number").alias("pageNumber"), F.lit(None).cast("array<double>").alias("polygon")))
@@ -84,6 +84,15 @@ def layout_chunk_coverage(spark, sf_dir):
     return artifacts.chunk_coverage(made, checkpointed(chunking.chunk_documents(made)))
 
 
+@query(f"select source || '.pdf' source_file, count(*) pages, round(count(*) filter (n > 0 or f)::double / count(*), 6) non_empty_page_rate, 1::bigint tables from (select source, doc_id, doc_id = min(doc_id) over (partition by source) f from documents) d left join (select source, doc_id, count(*) filter (t <> '') n from ({_LINES}) group by all) l using (source, doc_id) group by source")
+def filled_pages(spark, sf_dir):
+    """Of each document its pages, the share of those with lines or tables, and its tables."""
+    made = pages_layout(spark, sf_dir)
+    report = artifacts.parsing_report(made, made.pages.select("source_file", "page_number", F.lit("").alias("text")))
+    tables = made.page_tables.groupBy("source_file").agg(F.count("*").alias("tables"))
+    return report.join(tables, "source_file").select("source_file", "pages", "non_empty_page_rate", "tables")
+
+
 @query("""select r_name source_file, 'Table with ' || count(*) || ' rows and 2 columns.' || chr(10) || 'Cell count: ' || (2 * count(*)) || '.' || chr(10) || 'Included rows: 1 to ' || count(*) || '.' || chr(10) || string_agg('Row ' || i || ' [content]: C1=' || n_nationkey || ' | C2=' || n_name, chr(10) order by i) as text
   from (select *, row_number() over (partition by n_regionkey order by n_nationkey) i from nation) n join region on r_regionkey = n_regionkey group by r_name""")
 def table_render(spark, sf_dir):

@@ -53,8 +53,13 @@ def chunks_name(file: Column) -> Column:
 
 
 def matching(left: DataFrame, right: DataFrame, suffix: str) -> DataFrame:
-    """document_id, file of left with the right file of the same document: the one named with suffix, else the first whose name begins with the id."""
-    pairs = left.alias("l").join(right.select(F.col("file").alias("r_file")).alias("r"), F.col("r_file").startswith(F.col("document_id")), "left")
+    """document_id, file of left with the right file of the same document: the one named with suffix, else the first whose name begins with the id.
+
+    The names meet the ids by their beginnings, a row for each length, so that it is an equi join.
+    """
+    begins = F.transform(F.sequence(F.lit(0), F.length("file")), lambda n: F.substring("file", F.lit(1), n))
+    names = right.select(F.col("file").alias("r_file"), F.explode(begins).alias("document_id"))
+    pairs = left.alias("l").join(names, "document_id", "left")
     best = F.min(F.struct((F.col("r_file") != F.concat("document_id", F.lit(f"{suffix}.json"))).alias("other"), F.col("r_file").alias("file"))).alias("b")
     return pairs.groupBy("document_id", F.col("l.file").alias("file")).agg(best).select("document_id", "file", F.col("b.file").alias("matched"))
 

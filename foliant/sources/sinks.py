@@ -16,6 +16,13 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_documents(df: DataFrame, path: str, name: str) -> None:
+    """A folder for each value of column name, with the other columns of its row as indented JSON in UTF-8, over what was there."""
+    rest = [c for c in df.columns if c != name]
+    said = df.select(name, F.to_json(F.struct(*rest), {"pretty": "true", "ignoreNullFields": "false"}).alias("value"))
+    said.write.mode("overwrite").partitionBy(name).text(path)
+
+
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of JSON lines; blank lines are none."""
     return spark.read.schema(schema).json(path)

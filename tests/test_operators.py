@@ -740,3 +740,18 @@ def test_batches_of_documents(spark):
     df = spark.createDataFrame([(d, i, None if n is None else "x" * n) for d, x in sizes.items() for i, n in enumerate(x)], "d string, i int, text string")
     got = {(r.d, r.i): r.batch_id for r in providers.batch_ids(df.filter("d is not null").repartition(5), "d", "i", most_rows=2, chars=50).collect()}
     assert got == {("a", 0): 0, ("a", 1): 0, ("a", 2): 1, ("a", 3): 1, ("a", 4): 2, ("b", 0): 0, ("b", 1): 1, ("b", 2): 1}
+
+
+def test_whole_numbers_and_documents(spark, tmp_path):
+    from foliant.functions.text import int_or_zero
+
+    df = spark.createDataFrame([("3",), ("-2.9",), ("true",), ("x",), (None,), ("1e3",), (" 7 ",), ("99999999999",), ("infinity",)], "x string")
+    assert [r[0] for r in df.select(int_or_zero("x")).collect()] == [3, -2, 0, 0, 0, 1000, 7, 0, 0]
+    assert spark.range(1).select(int_or_zero(F.lit(True)), int_or_zero(F.lit(4.9))).first()[:] == (0, 4)
+    got = spark.createDataFrame([(["a", "b"], ["b", "c"]), (None, ["a"]), (None, None)], "d array<string>, f array<string>").select(registry.wanted("d", "f").alias("w")).collect()
+    assert [r.w for r in got] == [["a", "b", "c"], ["a"], []]
+    docs = spark.createDataFrame([("a", 1, "ü", None), ("b", 2, "y", 3.5)], "name string, n int, t string, x double")
+    sinks.write_documents(docs, str(tmp_path / "out"), "name")
+    (path,) = (tmp_path / "out" / "name=a").glob("part-*")
+    said = path.read_text(encoding="utf-8")
+    assert json.loads(said) == {"n": 1, "t": "ü", "x": None} and "\n  " in said
