@@ -170,6 +170,7 @@ def test_html_edge_runs_go_and_copies_stay(spark):
         ("<article><p>x</p><article class='comment' id='c1'><p>c</p></article></article>", "x"),
         ("<main><h1>Title</h1><article><p>x y</p></article></main>", "Title\nx y"),
         ("<article><p class='legal-analysis'>the law</p><p class=legal>it is</p><div class='share-price'>10</div><div class='share-buttons'>share</div></article>", "the law\nit is\n10"),
+        ("<article>x<div class='reader-comments'>c</div><section id='UserComments2'>c</section><div class='google-ad-300'>a</div><div class='has-sidebar'>y</div><div class='privacy-notice'>n</div><p class='comment-status'>z</p></article>", "x\ny\nz"),
         ("<article><p>read more</p></article><div>" + "<p>a long body of words that goes on</p>" * 3 + "</div>", "read more" + "\na long body of words that goes on" * 3),
         ("<main><p>m</p></main><p>a body that main does not hold</p>", "m\na body that main does not hold"),
     ],
