@@ -20,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField
 
 from foliant.llm.common import column, map_texts, places, resource
 
@@ -160,8 +160,8 @@ def fit(counts: dict[str, Counter], pieces: list[bytes], rounds: int = ROUNDS) -
     sizes = np.array([len(p) for p in pieces], float)
     m.p *= (0.02 ** sizes)[:, None]  # to begin with, a segmentation costs the same for each byte
     for g, language in enumerate(languages):
-        own = list(counts[language])
-        n = np.fromiter(counts[language].values(), float, len(own))
+        own = sorted(counts[language])
+        n = np.fromiter((counts[language][w] for w in own), float, len(own))
         for _ in range(rounds if own else 0):
             logs, seen = _logs(m.p[:, g : g + 1]), np.zeros(len(pieces))
             for at in batches(own, 8):
@@ -229,9 +229,12 @@ def train(docs: DataFrame, path: str, text: str = "text", lang: str = "lang", sa
     low = low.groupBy("g").agg(F.max("b").alias("top"))
     first = hashed.join(F.broadcast(low), "g").filter("b <= top").withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy("h"))).filter(F.col("n") <= sample)
     least = first.groupBy("g").agg(F.max("h").alias("h"))
+    texts = own.join(F.broadcast(least), "g").filter(F.xxhash64("t") <= F.col("h")).select("g", "t").distinct()
+    # words are counted by tasks; the driver sees each word of a language once
+    said = map_texts(texts, ["t"], ["g"], [StructField("w", ArrayType(StringType()))], lambda: lambda t: [[[w.decode() for w in parts(x)] for x in t.to_pylist()]])
     counts: dict[str, Counter] = {}
-    for g, t in own.join(F.broadcast(least), "g").filter(F.xxhash64("t") <= F.col("h")).select("g", "t").distinct().toLocalIterator():
-        counts.setdefault(g, Counter()).update(parts(t))
+    for g, w, n in said.select("g", F.explode("w").alias("w")).groupBy("g", "w").agg(F.count("*").alias("n")).toLocalIterator():
+        counts.setdefault(g, Counter())[w.encode()] = n
     if not counts:
         return Model([], tables([]), np.zeros((0, 0)))
     return fit({g: c for g, c in counts.items() if c}, vocabulary(path), rounds)
@@ -244,8 +247,9 @@ def held_out(key: str):
 def identify(docs: DataFrame, model: Model, text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns carry of every row, lang_pred (und without a letter or a learned language) and score, the posterior under equal priors.
 
-    Null and empty texts are und with score 0; ties go to the first language by name; repeated rows
-    stay; an empty table gives an empty result; an input column named as a new one gives way to it.
+    Null and empty texts are und with score 0; very long ones are read whole; ties go to the first language by name;
+    repeated rows stay, and equal texts have equal results; an empty table gives an empty result; an input column named
+    as a new one gives way to it, and others are not read.
     """
     sent = docs.sparkSession.sparkContext.broadcast((model.languages, model.tables, model.p))
 

@@ -8,17 +8,25 @@ from pyspark.sql import functions as F
 from foliant.llm.common import column
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, sample: int, text: str = "text", key: str = "doc_id") -> tuple[list[str], list[int]]:
-    """Texts and labels of at most sample labelled keys: those with the least hash, the greatest label of a repeated key.
+def chosen(docs: DataFrame, labels: DataFrame, label: str, sample: int, text: str = "text", key: str = "doc_id") -> DataFrame | None:
+    """k, y, t: key, label and text of at most sample labelled keys, those with the least hash, the greatest label of a repeated key. None without labels.
 
-    Rows without a key or label don't count; a repeated key of docs gives its least text; null is empty.
+    Rows without a key or label don't count; a repeated key of docs gives its least text; null is empty. What is learned from
+    texts is worked out by tasks, so that only numbers come to the driver.
     """
     known = labels.select(column(key).alias("k"), column(label).cast("int").alias("y")).filter("k is not null and y is not null").groupBy("k").agg(F.max("y").alias("y"))
-    chosen = known.orderBy(F.xxhash64("k"), "k").limit(sample).collect()
-    if not chosen:
-        return [], []
-    spark = docs.sparkSession
-    few = spark.createDataFrame([(r.k, r.y) for r in chosen], known.schema)  # at most sample rows of two numbers
+    rows = known.orderBy(F.xxhash64("k"), "k").limit(sample).collect()
+    if not rows:
+        return None
+    few = docs.sparkSession.createDataFrame([(r.k, r.y) for r in rows], known.schema)  # at most sample rows of two numbers
     own = docs.select(column(key).alias("k"), F.coalesce(column(text), F.lit("")).alias("t"))
-    got = own.join(F.broadcast(few), "k").groupBy("k", "y").agg(F.min("t").alias("t")).orderBy("k").toArrow()
+    return own.join(F.broadcast(few), "k").groupBy("k", "y").agg(F.min("t").alias("t"))
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, sample: int, text: str = "text", key: str = "doc_id") -> tuple[list[str], list[int]]:
+    """Texts and labels of chosen() by key."""
+    rows = chosen(docs, labels, label, sample, text, key)
+    if rows is None:
+        return [], []
+    got = rows.orderBy("k").toArrow()
     return got.column("t").to_pylist(), got.column("y").to_pylist()

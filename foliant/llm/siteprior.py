@@ -16,10 +16,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField
+from pyspark.sql.types import ArrayType, DoubleType, StructField
 
 from foliant.llm.common import Words, byte_table, checkpointed, column, dealt_join, hot_keys, map_texts, utf8
-from foliant.llm.sample import labelled
+from foliant.llm.sample import chosen
 
 SAMPLE, RIDGE = 4000, 1e-3
 #: Bounds of the strength of a prior, in documents, and of a rate.
@@ -117,8 +117,11 @@ def quality(docs: DataFrame, labels: DataFrame, site: str = "source", path: str
     is kept that the prior keeps. Very long texts are read whole. Repeated rows stay, and count as often; rows that are alike have equal
     results. An empty table gives an empty result. Only key, text, site and path are read, so other columns may have any name.
     """
-    texts, y = labelled(docs, labels, label, sample, text, key)
-    x = np.concatenate([form(pa.array(texts[i : i + 200], pa.string())) for i in range(0, len(texts), 200)]) if texts else np.zeros((0, 13))
+    few = chosen(docs, labels, label, sample, text, key)
+    x, y = np.zeros((0, 13)), []
+    if few is not None:
+        got = map_texts(few, ["t"], ["k", "y"], [StructField("x", ArrayType(DoubleType()))], lambda: lambda t: [list(form(t))], slice_bytes=1 << 20).orderBy("k").toArrow()
+        x, y = np.array(got.column("x").to_pylist(), float).reshape(-1, 13), got.column("y").to_pylist()
     model = fit(x, np.array(y, float))
     own = docs.select(column(key).alias("doc_id"), column(text).alias("_text"), column(site).cast("string").alias("s"), column(path).cast("string").alias("p"))
     own = own.select("doc_id", "_text", *(F.concat(F.when(F.col(c).isNull(), "-").otherwise("+"), F.coalesce(c, F.lit(""))).alias(c) for c in "sp"))

@@ -84,8 +84,9 @@ def lengths(texts: list[str], path: str, part_chars: int = PART_CHARS) -> np.nda
 def count_tokens(docs: DataFrame, path: str, limit: int = 1024, text: str = "text", carry: tuple[str, ...] = ("doc_id",), part_chars: int = PART_CHARS) -> DataFrame:
     """Columns carry of every row, with n_bytes, n_tokens and over_limit (n_tokens > limit).
 
-    Null and empty texts have 0 bytes and tokens. Repeated rows stay; an empty table gives an empty
-    result; an input column named as a new one gives way to it. path must be readable on every machine.
+    Null and empty texts have 0 bytes and tokens; very long ones are cut where no token can cross. Repeated rows stay, with
+    equal counts; an empty table gives an empty result; an input column named as a new one gives way to it, and others
+    are not read. path must be readable on every machine.
     """
 
     def make():

@@ -16,10 +16,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, LongType, StructField
 
 from foliant.llm.common import Words, map_texts, mixed, places
-from foliant.llm.sample import labelled
+from foliant.llm.sample import chosen
 
 SAMPLE, FEATURES = 8000, 1000
 GRADES, PENALTY, STEPS = 3, 3e-4, 400
@@ -38,27 +38,19 @@ class Model:
     thresholds: np.ndarray  # rising
 
 
-def presence(texts: list[str], at_once: int = 256) -> tuple[np.ndarray, np.ndarray, int]:
-    """Distinct (text, word hash) of some texts."""
-    found = []
-    for i in range(0, len(texts), at_once):
-        w = Words(pa.array(texts[i : i + at_once], pa.string()))
-        order = np.lexsort((w.hash, w.of))
-        of, h = w.of[order], w.hash[order]
-        new = np.concatenate(([True], (of[1:] != of[:-1]) | (h[1:] != h[:-1]))) if len(of) else np.zeros(0, bool)
-        found.append((of[new] + i, h[new]))
-    of, h = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
-    return of, h, len(texts)
+def word_sets(texts: pa.Array) -> list[np.ndarray]:
+    """Of each text the hashes of its distinct words, rising."""
+    w = Words(texts)
+    ends = np.cumsum(w.counts())
+    return [np.unique(w.hash[a:b]) for a, b in zip(np.concatenate(([0], ends)).tolist(), ends.tolist(), strict=False)]
 
 
-def distinct(texts: list[str]) -> list[int]:
-    """Places of the texts that share fewer than SHARED of HASHES minimum hashes with each one before."""
-    of, h, n = presence(texts)
-    cuts = np.searchsorted(of, np.arange(n + 1))
+def distinct(words: list[np.ndarray]) -> list[int]:
+    """Places of the texts (by their words) that share fewer than SHARED of HASHES minimum hashes with each one before."""
     seen: dict[tuple[int, int], list[int]] = {}
     keep = []
-    for i, (a, b) in enumerate(zip(cuts.tolist(), cuts[1:].tolist(), strict=False)):
-        least = [int(mixed(h[a:b] + np.uint64(0x9E3779B97F4A7C15 * (k + 1) % 2**64)).min()) if b > a else 0 for k in range(HASHES)]
+    for i, h in enumerate(words):
+        least = [int(mixed(h + np.uint64(0x9E3779B97F4A7C15 * (k + 1) % 2**64)).min()) if len(h) else 0 for k in range(HASHES)]
         shared: dict[int, int] = {}
         for key in enumerate(least):
             for j in seen.get(key, ()):
@@ -103,20 +95,26 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int = GRADES, penalty: flo
 
 
 def train(texts: list[str], labels: list[int], features: int = FEATURES) -> Model:
-    """From texts with 0 or 1. With one class only there are no weights and the thresholds say how rare the other is."""
-    own = distinct(texts)
-    of, h, n = presence([texts[i] for i in own])
+    return learn([h for i in range(0, len(texts), 256) for h in word_sets(pa.array(texts[i : i + 256], pa.string()))], labels, features)
+
+
+def learn(words: list[np.ndarray], labels: list[int], features: int = FEATURES) -> Model:
+    """From the word sets of texts with 0 or 1. With one class only there are no weights and the thresholds say how rare the other is."""
+    own = distinct(words)
+    n = len(own)
+    of = np.repeat(np.arange(n), [len(words[i]) for i in own]) if n else np.zeros(0, np.int64)
+    h = np.concatenate([words[i] for i in own]) if n else np.zeros(0, np.uint64)
     y = np.array([labels[i] for i in own], np.int64) > 0
     if not n or not y.any() or y.all():
         return Model(np.zeros(0, np.uint64), np.zeros(0), np.full(GRADES, 40.0 if not y.any() else -40.0))
-    words, at = np.unique(h, return_inverse=True)
+    known, at = np.unique(h, return_inverse=True)
     df, pos = np.bincount(at), np.bincount(at, y[of])
     n1 = int(y.sum())
     want = df * n1 / n
     chi = (pos - want) ** 2 / np.maximum(want * (1 - n1 / n) * (1 - df / n), 1e-9)
     chosen = np.flatnonzero((chi >= FEATURE_CHI) & (df >= LEAST_DF) & (pos > want))
     chosen = np.sort(chosen[np.argsort(-chi[chosen], kind="stable")[:features]])
-    place = np.full(len(words), -1)
+    place = np.full(len(known), -1)
     place[chosen] = np.arange(len(chosen))
     have = place[at] >= 0
     x = np.zeros((n, len(chosen)))
@@ -127,14 +125,15 @@ def train(texts: list[str], labels: list[int], features: int = FEATURES) -> Mode
     w, _ = fit_ordinal(x, grade)
     keep = np.flatnonzero(w)
     w, theta = fit_ordinal(x[:, keep], grade, penalty=0.0)
-    return Model(words[chosen[keep]], w, theta)
+    return Model(known[chosen[keep]], w, theta)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns carry of every row, toxicity (P(grade >= 1)), severity (the expected grade), grade (the likeliest) and toxic.
 
-    A null or empty text has no words, so the grade that thresholds alone give. Repeated rows stay; an
-    empty table gives an empty result; an input column named as a new one gives way to it.
+    A null or empty text has no words, so the grade that thresholds alone give; very long ones are read whole. Of equally likely
+    grades the lowest is taken. Repeated rows stay, and equal texts have equal scores; an empty table gives an empty result;
+    an input column named as a new one gives way to it, and others are not read.
     """
     sent = docs.sparkSession.sparkContext.broadcast((model.words, model.weights, model.thresholds))
 
@@ -157,5 +156,10 @@ def score(docs: DataFrame, model: Model, text: str = "text", carry: tuple[str, .
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """Learns from at most sample labelled rows and scores all of docs. Without labels nothing is toxic."""
-    return score(docs, train(*labelled(docs, labels, "toxic", sample)))
+    """Learns from at most sample labelled rows, of which the driver sees hashes of their distinct words, and scores all of docs. Without labels nothing is toxic."""
+    few = chosen(docs, labels, "toxic", sample)
+    if few is None:
+        return score(docs, learn([], []))
+    make = lambda: lambda t: [[h.view(np.int64) for h in word_sets(t)]]
+    got = map_texts(few, ["t"], ["k", "y"], [StructField("h", ArrayType(LongType()))], make).orderBy("k").toArrow()
+    return score(docs, learn([np.array(x, np.int64).view(np.uint64) for x in got.column("h").to_pylist()], got.column("y").to_pylist()))
