@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from foliant.llm import decontam, htmlmain, langid, lzprint, queries, sample, secrets, simhash, siteprior, toxicity
+from foliant.llm import decontam, htmlmain, langid, lzprint, mixing, queries, sample, secrets, simhash, siteprior, toxicity
 from tests.llm.cases import ROWS, alike, documents, rows
 from tests.llm.test_exact import linked, slow_components, slow_contamination, slow_simhash
 
@@ -590,6 +590,72 @@ def test_pipeline_by_brute_force(spark, sf):
     assert abs(sum(r[4] for r in got) - total) <= 20
 
 
+def slow_mix(docs):
+    """(doc_id, words taken) of (doc_id, text, source): levels by exhaustion, the order of the seeded MD5."""
+    from fractions import Fraction
+
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    size = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t, _ in docs}
+    names = sorted({s for _, _, s in docs}, key=lambda s: (s is None, s or ""))
+    weight = {s: k % 3 + 1 for k, s in enumerate(names)}
+    own = {s: sum(size[i] for i, _, x in docs if x == s) for s in names}
+    left, open_, target = Fraction(sum(own.values())), set(names), {}
+    while open_:
+        level = left / sum(weight[s] for s in open_)
+        full = {s for s in open_ if level * weight[s] >= 3 * own[s]}
+        target |= {s: Fraction(3 * own[s]) for s in full} if full else {s: level * weight[s] for s in open_}
+        left -= sum(target[s] for s in full)
+        open_ = open_ - full if full else set()
+    out = {}
+    for s in names:
+        rest = int(target[s] + Fraction(1, 2))
+        whole, rest = divmod(rest, own[s]) if own[s] else (0, 0)
+        for i, t, _ in sorted((d for d in docs if d[2] == s), key=lambda d: md5(f"{mixing.SEED}:{d[0]}:{md5(d[1] or '')}")):
+            part = min(size[i], rest)
+            rest -= part
+            out[i] = whole * size[i] + part
+    return out
+
+
+def test_pipeline_whole_by_brute_force(spark, tmp_path, monkeypatch):
+    """Every row of the result on a small table, all five stages by plain Python."""
+    import random
+
+    rnd = random.Random(11)
+    given = [b"the", b" der", b"und", b"ing", b"sch", b"en"]
+    (tmp_path / "v.tiktoken").write_bytes(b"".join(base64.b64encode(p) + b" %d\n" % i for i, p in enumerate(given)))
+    monkeypatch.setattr(corpus_pipeline.public_tokenizers, "path", lambda name: str(tmp_path / "v.tiktoken"))
+    words = {"en": "the thing other nothing going weather there sing then father".split(), "de": "der und schon enden runde schule linden under erde schenken".split()}
+    say = lambda g, n: " ".join(rnd.choice(words[g]) for _ in range(n))
+    item = "the weather there going nothing then sing father other thing under the schule"
+    table = [[k, say(g := ("en", "de")[k % 2], rnd.randrange(5, 60)), g if k % 5 else None, "abc"[k % 3] if k % 8 else None] for k in range(80)]
+    table += [[100 + k, table[k % 7][1], "en", "a"] for k in range(12)] + [[200, None, "en", "a"], [201, "", "de", "b"], [202, "12 34", "en", "c"]]
+    table += [[300 + k, f"{say('en', 9)} {item} {say('en', 4)}", "en", "b"] for k in range(3)] + [[310 + k, f"{say('de', 12)} user = alice pwd = ab12cd token=abcdefgh12345678 {k}", "de", "c"] for k in range(4)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(i, t, g, s, len(t or "")) for i, t, g, s in table], schema).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+
+    known = {r[0]: r for r in slow_language([(i, t, g) for i, t, g, _ in table], set(langid.vocabulary(str(tmp_path / "v.tiktoken"))), langid.ROUNDS)}
+    own = [r for r in table if known[r[0]][2] != "und" and known[r[0]][3] >= corpus_pipeline.SURE]
+    first = {}
+    for r, g in zip(own, slow_components([slow_simhash(r[1]) for r in own]), strict=True):
+        first[g] = r if g not in first or r[0] < first[g][0] else first[g]
+    clean = {w[0] for w in slow_contamination([(r[0], r[1]) for r in first.values()], [(1, item)]) if not w[-1]}
+    masked = []
+    for i, t, _, s in first.values():
+        if i in clean:
+            at, new = 0, []
+            for a, _, e in linked(t):
+                if a >= at:
+                    new += [t[at:a], secrets.MASK]
+                at = max(at, e)
+            masked.append((i, "".join([*new, t[at:]]), s))
+    taken = slow_mix(masked)
+    want = [(i, t, len(t), taken[i]) for i, t, _ in masked if taken[i]]
+    assert len(own) < len(table) and len(first) < len(own) and len(clean) < len(first) and any(secrets.MASK in t for _, t, _ in masked)
+    alike(rows(corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "text", "n_chars", "taken")), want)
+
+
 def test_pipeline_awkward(spark):
     """Also with columns that have the names of an operator's own: all stages but the last give them back as they were."""
     train = [(100 + i, ("der hund %d und die katze %d sind nicht hier" if i % 2 else "the dog %d and the cat %d are not here") % (i, i * i), "de" if i % 2 else "en", "s", 0) for i in range(60)]
