@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 
@@ -21,7 +23,7 @@ def ship(spark: SparkSession) -> SparkSession:
         spark.conf.set(key, ours)
     if sc.applicationId not in _shipped:
         top = os.path.dirname(os.path.abspath(__file__))
-        made = os.path.join(tempfile.mkdtemp(prefix="foliant"), "foliant_package.zip")
+        made = os.path.join(_folder("foliant"), "foliant_package.zip")
         with zipfile.ZipFile(made, "w", zipfile.ZIP_DEFLATED) as z:
             for at, _, names in os.walk(top):
                 for name in names:
@@ -33,6 +35,13 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def _folder(prefix: str) -> str:
+    """A folder of this machine that is deleted when the program ends: for the package, and for checkpoints of a local session."""
+    made = tempfile.mkdtemp(prefix=prefix)
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    return made
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage in the shared folder of spark.checkpoint.dir.
 
@@ -44,7 +53,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         given = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
         local = sc.master.startswith("local") and not sc.master.startswith("local-cluster")
-        sc.setCheckpointDir(given or (tempfile.mkdtemp(prefix="checkpoint") if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"))
+        sc.setCheckpointDir(given or (_folder("checkpoint") if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"))
     return df.checkpoint(eager=True)
 
 
