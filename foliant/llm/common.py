@@ -23,7 +23,7 @@ from foliant.session import checkpointed
 __all__ = ["checkpointed", "column", "dealt_join", "grams", "hot_keys", "map_texts", "partitions", "places", "prefix", "quoted", "resource", "shared_folder", "slices", "stored", "utf8", "Words"]
 
 #: Text bytes that one call of a batch function sees.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def quoted(name: str) -> str:

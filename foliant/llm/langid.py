@@ -29,7 +29,7 @@ ROUNDS, LEAST = 3, 1e-7
 #: Bytes of a piece at most. The longest of a public vocabulary have some hundred, and only those that occur in words are looked for.
 PIECE = 1 << 16
 #: Words and bytes of words whose scores are kept, and numbers of a table of forward sums (of one word, if that needs more).
-CACHED, CACHED_BYTES, TABLE = 200_000, 32 << 20, 1 << 21
+CACHED, CACHED_BYTES, TABLE = 200_000, 32 << 20, 1 << 19
 LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*+")
 _B = 0x9E3779B97F4A7C15
 
