@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foliant.llm import decontam, mixing, secrets
+from foliant.llm import decontam, divergence, mixing, secrets
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -76,5 +76,23 @@ def _op8() -> str:
     from d left join cover using (rn) left join items using (rn)"""
 
 
+def _op13() -> str:
+    u, a = divergence.UNIT, divergence.PRIOR
+    rate = lambda n, total: f"1 + (({n} + {a})::hugeint * {u}) // ({total} + {a} * v)::hugeint"
+    return f"""
+    with d as (select row_number() over () rn, coalesce(lang, '') lang, coalesce(source, '') source, {_LOWER} t from documents),
+    w as (select rn, lang, source, unnest(regexp_extract_all(t, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) term from d),
+    kept as (select lang, term, count(*) lang_n from w group by lang, term having count(distinct rn) >= {divergence.LEAST}),
+    l as (select lang, count(term) v, coalesce(sum(lang_n), 0) lang_total from (select distinct lang from d) left join kept using (lang) group by lang),
+    c as (select w.lang, w.source, term, count(*) n from w join kept using (lang, term) group by all),
+    g as (select s.lang, s.source, v, lang_total, coalesce(sum(n), 0) total from (select distinct lang, source from d) s join l using (lang) left join c on c.lang = s.lang and c.source = s.source group by all),
+    r as (select g.lang, g.source, kept.term, coalesce(n, 0) n, {rate('coalesce(n, 0)', 'total')} p, {rate('lang_n', 'lang_total')} q from g join kept using (lang) left join c on c.lang = g.lang and c.source = g.source and c.term = kept.term),
+    x as (select a.lang, a.source, b.source item, sum(abs(a.p - b.p))::bigint value from r a join r b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+    y as (select a.lang, a.source, 'pair' part, b.source item, coalesce(value, 0)::bigint value from g a join g b on a.lang = b.lang and a.source <> b.source left join x on x.lang = a.lang and x.source = a.source and x.item = b.source
+      union all select lang, source, 'term', term, (p - q)::bigint from r where n > 0 and p > q),
+    z as (select *, (row_number() over (partition by lang, source, part order by value desc, item))::int rank from y)
+    select * from z where part = 'pair' or rank <= {divergence.TERMS}"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secrets": _op2(), "op4_mixing": _op4(), "op8_decontamination": _op8()}
+    return {"op2_secrets": _op2(), "op4_mixing": _op4(), "op8_decontamination": _op8(), "op13_divergence": _op13()}

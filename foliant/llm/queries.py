@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import decontam, htmlmain, langid, lzprint, mixing, secrets, simhash, siteprior, tokens, toxicity
+from foliant.llm import decontam, divergence, htmlmain, langid, lzprint, mixing, secrets, simhash, siteprior, tokens, toxicity
 from foliant.session import ship
 
 
@@ -55,5 +55,9 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return siteprior.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
