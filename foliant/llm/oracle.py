@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foliant.llm import decontam, divergence, mixing, secrets
+from foliant.llm import decontam, divergence, jaccard, mixing, secrets
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -76,6 +76,33 @@ def _op8() -> str:
     from d left join cover using (rn) left join items using (rn)"""
 
 
+def _op11() -> str:
+    k, same = jaccard.SHINGLE, jaccard.SAME
+    return f"""
+    with recursive d as (select row_number() over () rn, doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') w from documents),
+    s as (select distinct rn, array_to_string(w[p:p + {k - 1}], ' ') g from (select *, unnest(generate_series(1, greatest(1, len(w) - {k - 1}))) p from d where len(w) > 0)),
+    n as (select rn, count(*) n from s group by rn),
+    x as (select a.rn a, b.rn b, count(*) both_have from s a join s b on a.g = b.g and a.rn < b.rn group by all),
+    l as (select a, b from x join n na on na.rn = a join n nb on nb.rn = b where 100 * both_have >= {same} * (na.n + nb.n - both_have)),
+    e as (select a, b from l union all select b, a from l),
+    r as (select rn a, rn b from d union select r.a, e.b from r join e on r.b = e.a)
+    select d.doc_id, coalesce(any_value(n), 0) n_shingles, min(o.doc_id) component_id from d left join n using (rn) join r on r.a = d.rn join d o on o.rn = r.b group by d.rn, d.doc_id"""
+
+
+def _op12() -> str:
+    words = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+    return f"""
+    with d as (select *, len(w)::bigint n from (select row_number() over () rn, doc_id, {words} w from documents) where len(w) > 0),
+    s as (select count(*) n_docs, sum(n)::bigint n_terms from d),
+    q as (select qn, item_id, term, count(*) r from (select row_number() over () qn, item_id, unnest({words}) term from benchmark) group by all),
+    c as (select rn, doc_id, n, term, count(*) tf from (select rn, doc_id, n, unnest(w) term from d) where term in (select term from q) group by all),
+    f as (select term, floor(1000 * ln((2 * n_docs + 2)::double / (2 * count(*) + 1)))::bigint w from c, s group by term, n_docs),
+    x as (select qn, item_id, rn, doc_id, sum(r * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms))))::bigint score
+      from q join c using (term) join f using (term), s group by all),
+    y as (select *, (row_number() over (partition by qn order by score desc, doc_id, rn))::int rank from x where score > 0)
+    select item_id, rank, doc_id, score from y where rank <= 10"""
+
+
 def _op13() -> str:
     u, a = divergence.UNIT, divergence.PRIOR
     rate = lambda n, total: f"1 + (({n} + {a})::hugeint * {u}) // ({total} + {a} * v)::hugeint"
@@ -95,4 +122,4 @@ def _op13() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secrets": _op2(), "op4_mixing": _op4(), "op8_decontamination": _op8(), "op13_divergence": _op13()}
+    return {"op2_secrets": _op2(), "op4_mixing": _op4(), "op8_decontamination": _op8(), "op11_jaccard": _op11(), "op12_ranked_search": _op12(), "op13_divergence": _op13()}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import decontam, divergence, htmlmain, langid, lzprint, mixing, secrets, simhash, siteprior, tokens, toxicity
+from foliant.llm import decontam, divergence, htmlmain, impact, jaccard, langid, lzprint, mixing, secrets, simhash, siteprior, tokens, toxicity
 from foliant.session import ship
 
 
@@ -55,6 +55,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return siteprior.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(table(spark, sf_dir, "documents"))
 
