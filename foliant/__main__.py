@@ -64,7 +64,7 @@ def main(argv: list[str] | None = None) -> int:
         made = sinks.points(providers.embed(rows, providers.HashedWords(a.dimension), chars=known.max_batch_characters))
         print(json.dumps(sinks.PointStore(spark, a.points, a.dimension).upsert(made)))
     elif a.command == "search":
-        points = spark.read.parquet(a.points)
+        points = sinks.PointStore(spark, a.points, 0).read()
         dimension = points.select(F.size("vector").alias("n")).first().n
         q = spark.createDataFrame([(1, a.question, providers.HashedWords(dimension).embed([a.question])[0], a.document, a.chunk_type)], "query_id int, question string, vector array<double>, documents array<string>, types array<string>")
         if not a.document:
@@ -96,7 +96,7 @@ class Recorded:
 
 
 def _answers(spark, known: settings.Settings, a: argparse.Namespace) -> service.Answers:
-    points, key = spark.read.parquet(a.points), os.environ.get("FOLIANT_KEY", "")
+    points, key = sinks.PointStore(spark, a.points, 0).read(), os.environ.get("FOLIANT_KEY", "")
     if a.recorded:
         with open(a.recorded, encoding="utf-8") as f:
             chat = Recorded(json.load(f))

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from foliant.functions.text import lookup_key
+from foliant.session import checkpointed
 
 # The documents of the shipped registry.
 DOCUMENTS = [
@@ -30,8 +35,8 @@ def alias_table(known: DataFrame) -> DataFrame:
     return said.groupBy("alias").agg(F.max_by("document_id", "place").alias("document_id"))
 
 
-#: First words of aliases that are looked for within a text; of more, every run of a text meets the aliases.
-FIRST_WORDS = 10_000
+#: Bytes of aliases whose automaton goes to the tasks; of more, the runs of words of the texts meet them. First words that such runs are looked for by.
+AUTOMATON_BYTES, FIRST_WORDS = 16 << 20, 10_000
 
 
 def _runs(lengths: list[int], first: list[str] | None):
@@ -42,23 +47,58 @@ def _runs(lengths: list[int], first: list[str] | None):
     return F.flatten(F.transform(at, lambda i: F.array(*(F.struct(i.alias("i"), F.array_join(F.slice("w", i, n), " ").alias("alias")) for n in lengths))))
 
 
-def detect(questions: DataFrame, known: DataFrame, text: str = "question", key: str = "question_id") -> DataFrame:
-    """question_id, documents: ids whose alias the text has as whole words, by first place, then longest alias.
+def detect(questions: DataFrame, known: DataFrame, text: str = "question", key: str = "question_id", automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
+    """question_id, documents of every row: ids whose alias the text has as whole words, by first place, then longest alias, then id.
 
-    Aliases of any length are met as word runs of the text (an equi join), of those only that begin as an alias does,
-    so the work grows with the texts, and not with the product of texts and aliases.
+    The texts run through an automaton of all aliases, once, whatever the number of these. More aliases than automaton_bytes
+    (measured) are met as word runs of the text by an equi join, of those runs only that begin as an alias does. Rows of a repeated
+    question_id each have their own documents; a null text has none.
     """
-    aliases = alias_table(known).withColumn("n", F.size(F.split("alias", " ")))
+    aliases = alias_table(known)
+    size = aliases.agg(F.coalesce(F.sum(F.octet_length("alias") + F.octet_length("document_id") + 64), F.lit(0))).first()[0]
+    return _by_automaton(questions, aliases, text, key) if size <= automaton_bytes else _by_runs(questions, aliases, text, key)
+
+
+def _by_automaton(questions: DataFrame, aliases: DataFrame, text: str, key: str) -> DataFrame:
+    rows = aliases.toArrow()  # at most AUTOMATON_BYTES
+    sent = questions.sparkSession.sparkContext.broadcast((rows.column("alias").to_pylist(), rows.column("document_id").to_pylist()))
+    own = questions.select(F.col(key).alias("question_id"), F.coalesce(lookup_key(text), F.lit("")).alias("t"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        found = ahocorasick.Automaton()
+        for alias, document in zip(*sent.value, strict=True):
+            found.add_word(f" {alias} ", (len(alias), document))
+        found.make_automaton()
+
+        def of(said: str) -> list[str]:
+            first: dict[str, tuple[int, int]] = {}
+            for end, (n, document) in found.iter(f" {said} "):
+                at = (end - n, -n)
+                if document not in first or at < first[document]:
+                    first[document] = at
+            return [d for _, d in sorted((at, d) for d, at in first.items())]
+
+        for batch in batches:
+            documents = [of(t) for t in batch.column(1).to_pylist()] if len(found) else [[]] * batch.num_rows
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(documents, pa.list_(pa.string()))], names=["question_id", "documents"])
+
+    return own.mapInArrow(run, StructType([own.schema["question_id"], StructField("documents", ArrayType(StringType()))]))
+
+
+def _by_runs(questions: DataFrame, aliases: DataFrame, text: str, key: str) -> DataFrame:
+    aliases = aliases.withColumn("n", F.size(F.split("alias", " ")))
     lengths = [r.n for r in aliases.select("n").distinct().collect()]  # as many as there are lengths
-    own = questions.select(F.col(key).alias("question_id"), lookup_key(text).alias("t")).withColumn("w", F.split("t", " "))
+    own = checkpointed(questions.select(F.monotonically_increasing_id().alias("_row"), F.col(key).alias("question_id"), F.coalesce(lookup_key(text), F.lit("")).alias("t"))).withColumn("w", F.split("t", " "))
     begins = aliases.select(F.substring_index("alias", " ", 1).alias("w")).distinct().limit(FIRST_WORDS + 1).collect()
     first = [r.w for r in begins] if len(begins) <= FIRST_WORDS else None
     runs = _runs(lengths, first) if lengths else F.expr("cast(array() as array<struct<i:int,alias:string>>)")
-    met = own.select("question_id", F.explode(runs).alias("r")).select("question_id", "r.i", "r.alias").join(aliases, "alias")
-    where = met.groupBy("question_id", "document_id").agg(F.min(F.struct("i", -F.length("alias"))).alias("at"))
-    listed = where.groupBy("question_id").agg(F.sort_array(F.collect_list(F.struct("at", "document_id"))).alias("s"))
+    met = own.select("_row", F.explode(runs).alias("r")).select("_row", "r.i", "r.alias").join(aliases, "alias")
+    where = met.groupBy("_row", "document_id").agg(F.min(F.struct("i", -F.length("alias"))).alias("at"))
+    listed = where.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("at", "document_id"))).alias("s"))
     none = F.expr("cast(array() as array<string>)")
-    return own.select("question_id").join(listed, "question_id", "left").select("question_id", F.coalesce(F.col("s.document_id"), none).alias("documents"))
+    return own.select("_row", "question_id").join(listed, "_row", "left").select("question_id", F.coalesce(F.col("s.document_id"), none).alias("documents"))
 
 
 def resolve(filters: DataFrame, known: DataFrame, key: str = "question_id", column: str = "filters") -> DataFrame:

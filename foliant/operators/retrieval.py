@@ -3,21 +3,31 @@
 Queries are met by matrix products. They are sent to the tasks in blocks of at most BLOCK_BYTES, whose size
 is measured first; each task reads its points once a block and returns its own best k of each query, so what is
 shuffled is k rows a query and task, and the last selection is a window over those.
+
+What the queries of a block may use is pushed into the scan of the points, where all of them are restricted: a store laid
+out by document then reads the folders of those documents only. In a task queries of one filter and one length of vector are a
+group, which meets the rows of its documents and no others.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, StringType
 
 BLOCK_BYTES = 32 << 20
 #: Scores that a task has at once, and bytes of best scores that it keeps.
 SCORES, HELD = 1 << 22, 64 << 20
+#: Values of a filter that go into the plan; more are joined.
+LISTED = 1000
+#: Decimals of a score, so that equal vectors tie wherever they stand in a product.
+DIGITS = 12
 STRONG = 0.45
 
 
@@ -55,9 +65,9 @@ def top_k(
     """query_id, point_id, document_id, score, rank: the best points of each query by cosine, ties by id.
 
     documents and chunk_types name array columns of queries with what is allowed (null, empty or only
-    blank: all). With per_document the best k of each allowed document are kept, ranked within it. limit names a
-    column of queries with each query's own k, at most k. k below 1 counts as 1. Points without a
-    length match nothing; a query without a vector is an error.
+    blank: all), compared as strings. With per_document the best k of each allowed document are kept, ranked within it. limit names a
+    column of queries with each query's own k, at most k. k below 1 counts as 1. A query meets the points whose vectors are as
+    long as its own; those without a length match nothing. A query without a vector is an error.
     """
     k = max(1, int(k))
     q = queries.select(
@@ -69,13 +79,18 @@ def top_k(
         raise ValueError(f"{bad} queries have no vector")
     n_blocks = max(1, math.ceil((size or 0) / BLOCK_BYTES))
     document_type = points.schema[document].dataType.simpleString() if document else "string"
-    p = points.select(F.col(point_id).alias("p"), F.col(vector).cast("array<double>").alias("v"), (F.col(document) if document else F.lit(None).cast("string")).alias("d"), (F.col(chunk_type) if chunk_type else F.lit(None).cast("string")).alias("c"))
-    schema = f"q {q.schema['q'].dataType.simpleString()}, p {p.schema['p'].dataType.simpleString()}, d {document_type}, score double, n int"
+    schema = f"q {q.schema['q'].dataType.simpleString()}, p {points.schema[point_id].dataType.simpleString()}, d {document_type}, score double, n int"
     own = Window.partitionBy("q", *(["d"] if per_document else [])).orderBy(F.desc("score"), "p")
     out = None
     for b in range(n_blocks):
         block = (q if n_blocks == 1 else q.filter(F.pmod(F.xxhash64("q"), F.lit(n_blocks)) == b)).toArrow()
-        sent = points.sparkSession.sparkContext.broadcast({c: block.column(c).to_pylist() for c in "qvdcn"})
+        asked = {c: block.column(c).to_pylist() for c in "qvdcn"}
+        few = restricted(restricted(points, document, asked["d"]), chunk_type, asked["c"])
+        p = few.select(
+            F.col(point_id).alias("p"), F.col(vector).cast("array<double>").alias("v"), (F.col(document) if document else F.lit(None).cast("string")).alias("d"),
+            *(F.coalesce(F.col(c).cast("string") if c else F.lit(None), F.lit("")).alias(name) for c, name in ((document, "own_d"), (chunk_type, "own_c"))),
+        )
+        sent = points.sparkSession.sparkContext.broadcast(asked)
         near = p.mapInArrow(_nearest(sent, (q.schema["q"].dataType, p.schema["p"].dataType, p.schema["d"].dataType), per_document, threshold), schema)
         out = near if out is None else out.union(near)
     best = out.withColumn("rank", F.row_number().over(own)).filter("rank <= n")
@@ -89,6 +104,43 @@ def _clean(name: str | None) -> Column:
     return F.when(F.size(kept) > 0, kept)
 
 
+def restricted(points: DataFrame, column: str | None, allowed: list[list[str] | None]) -> DataFrame:
+    """points whose column has, as a string, a value that some query allows; all if a query allows every one.
+
+    Up to LISTED values are compared in the column's own type, so that partitions and row groups without them aren't read;
+    more are joined, which prunes partitions while the query runs.
+    """
+    if column is None or not allowed or any(a is None for a in allowed):
+        return points
+    values, kind = sorted({v for a in allowed for v in a}), points.schema[column].dataType
+    if len(values) > LISTED:
+        wanted = points.sparkSession.createDataFrame([(v,) for v in values], "_wanted string")  # of one block of queries
+        return points.join(wanted, F.col(column).cast("string") == F.col("_wanted"), "left_semi")
+    if isinstance(kind, IntegralType):
+        numbers = [int(v) for v in values if re.fullmatch("-?[0-9]{1,18}", v) and str(int(v)) == v]
+        return points.filter(F.col(column).isin([F.lit(x).cast("long") for x in numbers]) if numbers else F.lit(False))
+    return points.filter((F.col(column) if isinstance(kind, StringType) else F.col(column).cast("string")).isin(values))
+
+
+class _Group:
+    """Queries of one filter and one length of vector: their places, unit vectors, and the codes of documents and kinds that they allow (None: all)."""
+
+    def __init__(self, at: list[int], asked: dict, documents: dict[str, int], kinds: dict[str, int]):
+        self.at, self.n = np.array(at), np.array([asked["n"][j] for j in at], np.int64)
+        self.dim = len(asked["v"][at[0]])
+        self.unit = matrix(pa.array([asked["v"][j] for j in at], pa.list_(pa.float64())), self.dim)
+        d, c = asked["d"][at[0]], asked["c"][at[0]]
+        self.documents = None if d is None else sorted({documents[x] for x in d})
+        self.kinds = None if c is None else np.array(sorted({kinds[x] for x in c}))
+        self.best: dict[tuple, np.ndarray] = {}  # of each document (or of all): the best scores so far, most x queries
+
+
+def _codes(values: pa.Array, known: dict[str, int]) -> np.ndarray:
+    """The number of each value, -1 for others."""
+    coded = values.dictionary_encode()
+    return np.array([known.get(x, -1) for x in coded.dictionary.to_pylist()], np.int64)[coded.indices.to_numpy()] if len(values) else np.zeros(0, np.int64)
+
+
 def _nearest(sent, kinds_of: tuple, per_document: bool, threshold: float | None):
     """Of each slice of points those that may be among the best: at least as good as the k-th best that the task has seen (of the document, with per_document)."""
 
@@ -96,47 +148,56 @@ def _nearest(sent, kinds_of: tuple, per_document: bool, threshold: float | None)
         from pyspark.sql.pandas.types import to_arrow_type
 
         q, (q_type, p_type, d_type) = sent.value, map(to_arrow_type, kinds_of)
-        names, n = pa.array(q["q"], q_type), np.array(q["n"], np.int64)
-        if not len(n):
+        names = pa.array(q["q"], q_type)
+        if not len(names):
             return
-        dim, most = max(map(len, q["v"])), int(n.max())
-        unit = matrix(pa.array(q["v"], pa.list_(pa.float64())), dim)
-        restricted = [(j, d, c) for j, (d, c) in enumerate(zip(q["d"], q["c"], strict=True)) if d is not None or c is not None]
-        best: dict[str, np.ndarray] = {}  # of each document (or of all): the best scores so far, most x queries
-        step = max(64, SCORES // len(n))
+        documents, kinds = ({v: i for i, v in enumerate(sorted({v for own in q[c] if own is not None for v in own}))} for c in "dc")
+        alike: dict[tuple, list[int]] = {}
+        for j, (v, d, c) in enumerate(zip(q["v"], q["d"], q["c"], strict=True)):
+            alike.setdefault((len(v), d and frozenset(d), c and frozenset(c)), []).append(j)
+        groups = [_Group(at, q, documents, kinds) for at in alike.values()]
+        held, step = 0, max(64, SCORES // len(names))
         for batch in batches:
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
-                ids, docs, types = (part.column(part.schema.names.index(c)) for c in "pdc")
-                own = matrix(part.column(part.schema.names.index("v")), dim)
-                scores = own @ unit.T
-                scores[~own.any(1)] = -np.inf
-                d = np.array(["" if x is None else str(x) for x in docs.to_pylist()], object)
-                if restricted:
-                    c = np.array(["" if x is None else str(x) for x in types.to_pylist()], object)
-                    for j, only, kinds in restricted:
-                        if only is not None:
-                            scores[~np.isin(d, only), j] = -np.inf
-                        if kinds is not None:
-                            scores[~np.isin(c, kinds), j] = -np.inf
-                if threshold is not None:
-                    scores[scores < threshold] = -np.inf
-                found = []
-                for key in dict.fromkeys(d) if per_document else [""]:
-                    rows = np.flatnonzero(d == key) if per_document else np.arange(len(d))
-                    s = scores[rows]
-                    top = np.vstack((best[key], s)) if key in best else s
-                    if len(top) > most:
-                        top = np.partition(top, len(top) - most, axis=0)[len(top) - most :]
-                    if key in best or (len(best) + 1) * most * len(n) * 8 <= HELD:
-                        best[key] = top
-                    rising = np.sort(top, axis=0)
-                    place = len(top) - n
-                    floor = np.where(place >= 0, rising[np.maximum(place, 0), np.arange(len(n))], -np.inf)
-                    x, j = np.nonzero((s >= floor) & (s > -np.inf))
-                    found.append((rows[x], j, s[x, j]))
-                x, j, s = (np.concatenate(y) for y in zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(j)), ids.take(pa.array(x)).cast(p_type), docs.take(pa.array(x)).cast(d_type), pa.array(s, pa.float64()), pa.array(n[j].astype(np.int32))], names=["q", "p", "d", "score", "n"])
+                ids, vectors, docs, own_d, own_c = (part.column(part.schema.names.index(c)) for c in ("p", "v", "d", "own_d", "own_c"))
+                d, c = _codes(own_d, documents), _codes(own_c, kinds)
+                if per_document:  # no document is one too, and not the blank one
+                    named = docs.dictionary_encode()
+                    each = named.indices.fill_null(-1).to_numpy()
+                else:
+                    each = np.zeros(len(d), np.int64)
+                order = np.argsort(d, kind="stable")
+                edge = np.searchsorted(d[order], np.arange(len(documents) + 1))
+                own, found = {}, []
+                for g in groups:
+                    if g.dim not in own:
+                        own[g.dim] = matrix(vectors, g.dim)
+                    rows = np.arange(len(d)) if g.documents is None else np.concatenate([order[edge[x] : edge[x + 1]] for x in g.documents])
+                    if g.kinds is not None:
+                        rows = rows[np.isin(c[rows], g.kinds)]
+                    rows = rows[own[g.dim][rows].any(1)]
+                    for key in np.unique(each[rows]).tolist() if len(rows) else []:
+                        mine = rows[each[rows] == key]
+                        s = np.round(own[g.dim][mine] @ g.unit.T, DIGITS)
+                        if threshold is not None:
+                            s[s < threshold] = -np.inf
+                        name, most = (key >= 0 and named.dictionary[key].as_py(), key >= 0) if per_document else (), int(g.n.max())
+                        top = np.vstack((g.best[name], s)) if name in g.best else s
+                        if len(top) > most:
+                            top = np.partition(top, len(top) - most, axis=0)[len(top) - most :]
+                        if name in g.best or held + most * len(g.at) * 8 <= HELD:
+                            held += 0 if name in g.best else most * len(g.at) * 8
+                            g.best[name] = top
+                        rising = np.sort(top, axis=0)
+                        place = len(top) - g.n
+                        floor = np.where(place >= 0, rising[np.maximum(place, 0), np.arange(len(g.at))], -np.inf)
+                        x, j = np.nonzero((s >= floor) & (s > -np.inf))
+                        if len(x):
+                            found.append((mine[x], g.at[j], s[x, j], g.n[j]))
+                if found:
+                    x, j, s, n = (np.concatenate(y) for y in zip(*found, strict=True))
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(j)), ids.take(pa.array(x)).cast(p_type), docs.take(pa.array(x)).cast(d_type), pa.array(s, pa.float64()), pa.array(n.astype(np.int32))], names=["q", "p", "d", "score", "n"])
 
     return run
 

@@ -11,7 +11,7 @@ from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.operators import answers, locate, registry, retrieval
+from foliant.operators import answers, registry, retrieval
 from foliant.operators.answer_parse import parse_answers
 from foliant.sources.providers import Chat, Embedder, asker, with_retries
 from foliant.sources.settings import Settings
@@ -41,19 +41,27 @@ class Answers:
         q = q.join(named, "question_id").join(found, "question_id")
         # the documents that are named count before those found in the question
         q = q.withColumn("documents", F.when(F.size("given") > 0, F.col("given")).otherwise(F.col("found")))
-        row = q.select("documents", locate.is_location("question").alias("located")).first()
-        (vector,) = with_retries(lambda: self.embedder.embed([question]))
-        asked = q.withColumns({"query_id": F.col("question_id"), "vector": F.array(*map(F.lit, map(float, vector)))})
-        most = max(limit or self.settings.retrieval_limit, 20 if row.located else 1)
-        hits = retrieval.retrieve(self.points, asked, most, len(row.documents) > 1, document="document_id", chunk_type="chunk_type", chunk_types="types")
-        meta = F.from_json(F.to_json("table_metadata"), "map<string,string>") if "table_metadata" in self.points.columns else F.lit(None).cast("map<string,string>")
-        payload = self.points.select("point_id", *(c for c in PAYLOAD if c in self.points.columns), meta.alias("table_metadata"))
-        hits = registry.company_names(hits.select("query_id", "point_id", "rank", "score").join(payload, "point_id"), self.known)
-        names = registry.company_names(q.select("question_id", F.explode("documents").alias("document_id")), self.known).groupBy("question_id").agg(F.collect_set("company").alias("companies"))
-        said = answers.answer(q.select("question_id", "question").join(names, "question_id", "left"), hits, asker(self.chat))
+        names = registry.company_names(q.select("question_id", F.posexplode("documents").alias("place", "document_id")), self.known)
+        names = names.groupBy("question_id").agg(F.sort_array(F.collect_list(F.struct("place", "company"))).getField("company").alias("companies"))
+        q = q.select("question_id", "question", "documents", "types").join(names, "question_id", "left")
+        said = answers.answer(q, self.search, asker(self.chat), limit or self.settings.retrieval_limit)
         got = parse_answers(said).select("mode", "answer", "reporting_period", "resources", "evidence", F.col("response").alias("raw_response"))
         return {**json.loads(got.toJSON().first()), "duration_seconds": round(time.perf_counter() - started, 3)}
 
+    def search(self, asked: DataFrame) -> DataFrame:
+        """The chunks that a question gets which the gate let through; without one nothing is embedded or read."""
+        row = asked.select("question", "documents", "limit").first()
+        points = self.points if row else self.points.limit(0)
+        meta = F.from_json(F.to_json("table_metadata"), "map<string,string>") if "table_metadata" in points.columns else F.lit(None).cast("map<string,string>")
+        payload = points.select("point_id", *(c for c in PAYLOAD if c in points.columns), meta.alias("table_metadata"))
+        if row:
+            (vector,) = with_retries(lambda: self.embedder.embed([row.question]))
+            q = asked.withColumns({"query_id": F.col("question_id"), "vector": F.array(*map(F.lit, map(float, vector)))})
+            hits = retrieval.retrieve(points, q, row.limit, len(row.documents) > 1, document="document_id", chunk_type="chunk_type", chunk_types="types")
+        else:
+            hits = points.select(F.lit(1).alias("query_id"), "point_id", F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
+        return registry.company_names(hits.select("query_id", "point_id", "rank", "score").join(payload, "point_id"), self.known)
+
     def companies(self) -> list[dict]:
         return [json.loads(x) for x in self.known.orderBy("place").select("document_id", "company_name", "source_file", "aliases").toJSON().collect()]  # the registry: some documents
 

@@ -11,12 +11,11 @@ from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
 
-_NONE = object()
+from foliant.operators import packing
+
 TRIES, WAIT_S = 5, 3.0
 BATCH_ROWS, BATCH_CHARS = 16, 20_000
 
@@ -125,27 +124,15 @@ def recorded(responses: DataFrame, key: str = "question_id"):
     return ask
 
 
-def batch_ids(rows: DataFrame, document: str, order: str, text: str = "text", most_rows: int = BATCH_ROWS, chars: int = BATCH_CHARS) -> DataFrame:
-    """rows with batch_id: within a document, in order, a new batch where the last is full or would exceed the characters."""
-    sized = rows.select(document, order, F.coalesce(F.length(text), F.lit(0)).alias("_n"))
-    schema = StructType([sized.schema[document], sized.schema[order], StructField("batch_id", IntegerType())])
-
-    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by document and order; the state of the document at hand goes on from batch to batch."""
-        now, batch, held, size = _NONE, 0, 0, 0
-        for x in found:
-            out = []
-            for own, n in zip(x.column(0).to_pylist(), x.column(2).to_pylist(), strict=True):
-                if own != now:
-                    now, batch, held, size = own, 0, 0, 0
-                if held and (held >= most_rows or size + n > chars):
-                    batch, held, size = batch + 1, 0, 0
-                held, size = held + 1, size + n
-                out.append(batch)
-            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(out, pa.int32())], names=[document, order, "batch_id"])
-
-    folded = sized.repartition(document).sortWithinPartitions(document, order).mapInArrow(run, schema)
-    return rows.join(folded, [document, order])
+def batch_ids(rows: DataFrame, document: str, order: str, text: str = "text", most_rows: int = BATCH_ROWS, chars: int = BATCH_CHARS, ranges: int | None = None) -> DataFrame:
+    """rows with batch_id: within a document, in order, a new batch where the last is full or would exceed the characters.
+
+    Every row stays as it is: null is a document of its own, a null order comes first, and rows of one place are in order of
+    their lengths and hashes. A null text has no characters. Columns of rows pass through; a batch_id among them gives way. A document may have
+    any number of rows (packing.greedy).
+    """
+    made = packing.greedy(rows, document, [F.col(order), F.col("_size"), F.xxhash64(F.col(text))], F.length(text), most_rows, chars, ranges=ranges)
+    return made.withColumn("batch_id", F.col("batch_id").cast("int"))
 
 
 def fixed_batches(rows: DataFrame, order: str, size: int = 64, by: str | None = None) -> DataFrame:

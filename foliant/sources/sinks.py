@@ -1,7 +1,12 @@
-"""Sinks: JSON and JSON lines, replacement of a table as a whole, and a keyed table of points."""
+"""Sinks: JSON and JSON lines, tables of which the last whole version counts, and a keyed table of points.
+
+What is committed, and when, is left to Spark's own writers: a version is there once its writer has left its mark of success, and
+the documents of an upsert are replaced by one dynamic partition overwrite, whose files stand aside until the whole job is done.
+"""
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -34,38 +39,36 @@ def _files(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm.org.apache.hadoop.fs.Path
 
 
-def recover(spark: SparkSession, path: str) -> None:
-    """After a writer that died between two renames: what it had moved away and not replaced comes back. For a path without a writer."""
+def _versions(spark: SparkSession, path: str) -> list[str]:
+    """Folders of the versions that are whole, the oldest first."""
     fs, p, make = _files(spark, path)
-    for left in fs.globStatus(make(f"{path}.old-*")) or []:
-        old = left.getPath()
-        inside = [x.getPath() for x in fs.listStatus(old)]
-        parts = [x for x in inside if "=" in x.getName()]
-        if parts and fs.exists(p):
-            for x in parts:
-                if not fs.exists(make(p, x.getName())):
-                    fs.rename(x, make(p, x.getName()))
-        elif not fs.exists(p):
-            fs.rename(old, p)
-        if fs.exists(old):
-            fs.delete(old, True)
-
-
-def replace_table(df: DataFrame, path: str) -> None:
-    """Writes beside path and then renames, so that readers see the old rows or the new; df may read path itself.
-
-    The old table is moved away, not deleted, before the new one has its place; see recover().
+    found = fs.globStatus(make(f"{p}/version=*/_SUCCESS")) or []
+    return sorted((x.getPath().getParent().toString() for x in found), key=lambda x: x.rsplit("version=", 1)[1])
+
+
+def replace_table(df: DataFrame, path: str, keep: int = 2) -> None:
+    """Writes a version of the table at path, which counts for read_table() from the moment that Spark's writer marks it as whole.
+
+    df may read the table itself. A writer that dies leaves what was there, and of two writers the one that began last counts. Versions before
+    the last keep are deleted, so a reader may go on with the one before; what dead writers left unmarked goes with those that began later.
     """
-    recover(df.sparkSession, path)
-    new, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
-    df.write.parquet(new)
-    fs, p, make = _files(df.sparkSession, path)
-    had = fs.exists(p)
-    if had:
-        fs.rename(p, make(old))
-    fs.rename(make(new), p)
-    if had:
-        fs.delete(make(old), True)
+    spark = df.sparkSession
+    name = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/version={name}")
+    fs, p, make = _files(spark, path)
+    whole = _versions(spark, path)
+    first = whole[-keep:][0].rsplit("version=", 1)[1]
+    for x in fs.listStatus(p):
+        if "version=" in x.getPath().getName() and x.getPath().getName().removeprefix("version=") < first:
+            fs.delete(x.getPath(), True)
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """The last whole version of a table; FileNotFoundError if there is none."""
+    whole = _versions(spark, path)
+    if not whole:
+        raise FileNotFoundError(path)
+    return spark.read.parquet(whole[-1])
 
 
 def points(records: DataFrame) -> DataFrame:
@@ -82,10 +85,14 @@ def upserted(existing: DataFrame | None, records: DataFrame, key: str = "point_i
 
 
 class PointStore:
-    """A table of points on a shared path, laid out by document and sorted by chunk, so that document filters prune folders and chunk filters row groups."""
+    """A table of points on a shared path: a folder for each document, in which rows are in order of kind and chunk, with Bloom filters of kinds and ids.
+
+    So a filter of documents prunes folders, one of kinds row groups by their ranges and filters, and a look for ids most of them. Where an upsert leaves a document
+    without points, its folder holds one row without an id, which read() leaves out.
+    """
 
-    def __init__(self, spark: SparkSession, path: str, dimension: int, document: str = "document_id", sort: str = "chunk_index"):
-        self.spark, self.path, self.dimension, self.document, self.sort = spark, path, dimension, document, sort
+    def __init__(self, spark: SparkSession, path: str, dimension: int, document: str = "document_id", sort: str = "chunk_index", kind: str = "chunk_type", document_type: str = "string"):
+        self.spark, self.path, self.dimension, self.document, self.sort, self.kind, self.document_type = spark, path, dimension, document, sort, kind, document_type
 
     def exists(self) -> bool:
         fs, p, _ = _files(self.spark, self.path)
@@ -95,59 +102,53 @@ class PointStore:
         fs, p, _ = _files(self.spark, self.path)
         fs.delete(p, True)
 
+    def _rows(self) -> DataFrame:
+        """All rows. Names of folders are read as what they were, not as the numbers that they may look like."""
+        found = self.spark.read.parquet(self.path).schema
+        own = ", ".join(f"`{f.name}` {self.document_type if f.name == self.document else f.dataType.simpleString()}" for f in found.fields)
+        return self.spark.read.schema(own).parquet(self.path)
+
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(self.path)
+        return self._rows().filter("point_id is not null")
 
     def upsert(self, records: DataFrame, version: str | None = None, recreate: bool = False) -> dict:
         """Writes records (with point_id and vector); how many there are now, and whether that is what was expected.
 
         Records are made once, since their vectors may come from a service. Only the documents that they are of, or that
-        had one of their points, are written anew, so the cost is that of these documents; a document's folder is
-        replaced by renames, the old one being kept until the new one stands (see recover()). One writer at a time.
+        had one of their points, are written anew, so the cost is that of these documents, all in one job: if it fails,
+        the store is as it was. A store whose vectors have another dimension is refused. One writer at a time.
         """
         records = checkpointed(records)
         bad = records.filter(F.coalesce(F.size("vector"), F.lit(-1)) != F.lit(self.dimension)).count()
         if bad:
             raise ValueError(f"{bad} vectors are not of dimension {self.dimension}")
-        fs, p, make = _files(self.spark, self.path)
-        recover(self.spark, self.path)
-        if recreate:
-            self.drop()
-        ids, here = records.select("point_id").distinct(), records.select(self.document)
-        old, fresh = None, not self.exists()
+        nameless = records.filter("point_id is null").count()
+        if nameless:
+            raise ValueError(f"{nameless} records have no point_id")
+        fresh = recreate or not self.exists()
+        ids, here, old = records.select("point_id").distinct(), records.select(self.document), None
         if not fresh:
+            other = self.read().select(F.size("vector").alias("n")).filter(F.col("n") != self.dimension).first()
+            if other:
+                raise ValueError(f"the store has vectors of dimension {other.n}, not {self.dimension}")
             had = self.read().select("point_id", self.document).join(ids, "point_id", "left_semi").select(self.document)
-            here = here.union(had).distinct()
-            old = self.read().join(here.withColumnRenamed(self.document, "_d"), F.col(self.document).eqNullSafe(F.col("_d")), "left_semi")
-        new = upserted(old, records, version=version).repartition(self.document).sortWithinPartitions(self.document, self.sort)
-        if fresh:
-            temporary = f"{self.path}.new-{uuid.uuid4().hex}"
-            new.write.partitionBy(self.document).parquet(temporary)
-            fs.rename(make(temporary), p)
-        else:
-            # every document gets a folder, so that one whose points all went elsewhere is seen to be empty
-            given = checkpointed(here)
-            temporary, aside = f"{self.path}.new-{uuid.uuid4().hex}", f"{self.path}.old-{uuid.uuid4().hex}"
-            new.write.partitionBy(self.document).parquet(temporary)
-            made = {x.getPath().getName() for x in fs.listStatus(make(temporary)) if x.isDirectory()}
-            folders = made | {self._folder(r[0]) for r in given.toLocalIterator()}
-            fs.mkdirs(make(aside))
-            for name in sorted(folders):
-                if fs.exists(make(p, name)):
-                    fs.rename(make(p, name), make(make(aside), name))
-                if name in made:
-                    fs.rename(make(make(temporary), name), make(p, name))
-            fs.delete(make(temporary), True)
-            fs.delete(make(aside), True)
-            self.spark.catalog.refreshByPath(self.path)
+            here = here.union(had)
+            old = self.read().join(here.distinct().withColumnRenamed(self.document, "_d"), F.col(self.document).eqNullSafe(F.col("_d")), "left_semi")
+        here = checkpointed(here.distinct())
+        new = checkpointed(upserted(old, records, version=version))
+        if not fresh:
+            left = here.withColumnRenamed(self.document, "_d").join(new.select(self.document).distinct(), F.col("_d").eqNullSafe(F.col(self.document)), "left_anti")
+            new = new.unionByName(left.select(F.col("_d").alias(self.document)), allowMissingColumns=True)
+        # a large document goes to several files, small ones share a task
+        order = [c for c in (self.document, self.kind, self.sort) if c in new.columns]
+        writer = new.hint("rebalance", self.document).sortWithinPartitions(*order).write.mode("overwrite").option("partitionOverwriteMode", "static" if fresh else "dynamic")
+        for c in {self.kind, "point_id"} & set(new.columns):
+            writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
+        writer.partitionBy(self.document).parquet(self.path)
+        self.spark.catalog.refreshByPath(self.path)
         written, upserted_ = self.read(), ids.count()
         return {"points": written.count(), "upserted": upserted_, "matches": ids.join(written, "point_id", "left_semi").count() == upserted_}
 
-    def _folder(self, value) -> str:
-        """The folder of a document, by Spark's own rule."""
-        escape = self.spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
-        return f"{self.document}=" + (escape(str(value)) if value not in (None, "") else "__HIVE_DEFAULT_PARTITION__")
-
     def summary(self, records: DataFrame) -> DataFrame:
         """Of each document of records and of all together (document null): sent, stored (distinct points, of them in the store) and matches."""
         there = self.read().select("point_id", F.lit(True).alias("_there"))

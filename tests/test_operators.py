@@ -436,8 +436,8 @@ def test_files_and_store(spark, tmp_path):
     df = spark.range(3)
     path = str(tmp_path / "t")
     sinks.replace_table(df, path)
-    sinks.replace_table(spark.read.parquet(path).union(spark.range(10, 12)), path)
-    assert spark.read.parquet(path).count() == 5
+    sinks.replace_table(sinks.read_table(spark, path).union(spark.range(10, 12)), path)
+    assert sinks.read_table(spark, path).count() == 5
     store = sinks.PointStore(spark, str(tmp_path / "points"), 2)
     rec = spark.createDataFrame([("a__c1", "d1", 1, [1.0, 0.0], "one"), ("a__c2", "d2", 2, [0.0, 1.0], "two")], "id string, document_id string, chunk_index int, vector array<float>, text string")
     assert store.upsert(sinks.points(rec)) == {"points": 2, "upserted": 2, "matches": True}
@@ -558,22 +558,6 @@ def test_upsert_touches_only_its_documents(spark, tmp_path):
     assert not list(tmp_path.glob("p.*"))
 
 
-def test_recovery(spark, tmp_path):
-    """What a writer that died had moved away comes back; what it had replaced stays."""
-    path = tmp_path / "t"
-    sinks.replace_table(spark.range(3), str(path))
-    path.rename(tmp_path / "t.old-1")
-    sinks.recover(spark, str(path))
-    assert spark.read.parquet(str(path)).count() == 3 and not list(tmp_path.glob("t.old-*"))
-    store = sinks.PointStore(spark, str(tmp_path / "p"), 1)
-    store.upsert(spark.createDataFrame([(k, k, 1, [1.0]) for k in "abc"], "point_id string, document_id string, chunk_index int, vector array<float>"))
-    (tmp_path / "p.old-1").mkdir()
-    (tmp_path / "p" / "document_id=a").rename(tmp_path / "p.old-1" / "document_id=a")
-    assert store.read().count() == 2
-    sinks.recover(spark, str(tmp_path / "p"))
-    assert store.read().count() == 3 and not list(tmp_path.glob("p.old-*"))
-
-
 @pytest.fixture
 def model_service():
     """A server that answers as embedding, chat and layout services do."""
