@@ -166,7 +166,28 @@ def slow_simhash(t):
     return sum((sum(x >> b & 1 for x in h) * 2 > len(h)) << b for b in range(64))
 
 
-def slow_components(prints):
+def slow_pair(t):
+    w = re.findall(rb"[^\x20\x09-\x0D]+", bytes(t, "utf-8").lower())
+    h = [xxhash.xxh64_intdigest(b" ".join(w[i : i + 4]), 42) for i in range(max(1, len(w) - 3))] if w else []
+    most = (1 << 64) - 1
+
+    def other(x):
+        x = (x + 0x9E3779B97F4A7C15) & most
+        x = (x ^ x >> 31) * 0x7FB5D329728EA185 & most
+        x = (x ^ x >> 27) * 0x81DADEF4BC2DD44D & most
+        return x ^ x >> 33
+
+    of = lambda h: sum((sum(x >> b & 1 for x in h) * 2 > len(h)) << b for b in range(64))
+    return of(h), of([other(x) for x in h])
+
+
+def slow_near(prints):
+    """Components of near copies by both fingerprints."""
+    apart = lambda a, b: (a ^ b).bit_count()
+    return slow_components(prints, lambda a, b: apart(a[0], b[0]) <= simhash.NEAR and apart(a[0], b[0]) + apart(a[1], b[1]) <= simhash.CONFIRMED)
+
+
+def slow_components(prints, near=lambda a, b: (a ^ b).bit_count() <= 4):
     label = list(range(len(prints)))
 
     def top(i):
@@ -176,7 +197,7 @@ def slow_components(prints):
 
     for i in range(len(prints)):
         for j in range(i):
-            if (prints[i] ^ prints[j]).bit_count() <= 4:
+            if near(prints[i], prints[j]):
                 a, b = sorted((top(i), top(j)))
                 label[b] = a
     return [top(i) for i in range(len(prints))]
@@ -193,6 +214,31 @@ def test_simhash(docs):
     alike(rows(simhash.near_duplicates(docs)), want)
 
 
+@pytest.mark.parametrize("bucket,hot,tile", [(2048, 1 << 16, 2048), (1, 30, 5)])
+def test_simhash_confirmed(spark, bucket, hot, tile):
+    """Near copies of many texts, and texts that share a part: components by both fingerprints, most copies found and no other text lost."""
+    import random
+
+    rnd = random.Random(bucket)
+    word = lambda: f"w{rnd.randrange(3000)}"
+    sets = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    own, copies = [[word() for _ in range(rnd.randrange(120, 400))] for _ in range(60)], []
+    for w in own:
+        while True:
+            x = list(w)
+            for _ in range(rnd.randrange(1, 5)):
+                x[rnd.randrange(len(x))] = word()
+            if len(sets(w) & sets(x)) >= 0.8 * len(sets(w) | sets(x)):
+                copies.append(x)
+                break
+    parts = [w[: len(w) // 2] + [word() for _ in range(len(w) // 2)] for w in own[:20]]
+    said = [" ".join(x) for x in [*own, *parts, *copies]]
+    docs = documents(spark, [(i, t, "en", "a", 0) for i, t in enumerate(said)])
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, radius=simhash.NEAR, total=simhash.CONFIRMED, bucket=bucket, hot=hot, tile=tile).collect()}
+    assert [got[i] for i in range(len(said))] == slow_near([slow_pair(t) for t in said])
+    assert sum(got[80 + i] == i for i in range(60)) >= 54 and all(got[i] == i for i in range(80))
+
+
 @pytest.mark.parametrize("bucket,hot,tile", [(2048, 1 << 16, 2048), (1, 1 << 16, 3), (2048, 20, 7), (10, 5, 2)])
 def test_simhash_links(spark, bucket, hot, tile):
     """Dense and sparse neighbourhoods, in every way of dealing them out."""

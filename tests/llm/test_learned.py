@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from foliant.llm import decontam, htmlmain, langid, lzprint, mixing, queries, sample, secrets, simhash, siteprior, toxicity
 from tests.llm.cases import ROWS, alike, documents, rows
-from tests.llm.test_exact import linked, slow_components, slow_contamination, slow_simhash
+from tests.llm.test_exact import linked, slow_contamination, slow_near, slow_pair
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -570,7 +570,7 @@ def test_pipeline_by_brute_force(spark, sf):
     known = {r.doc_id: (r.lang_pred, r.score) for r in langid.language(docs, VOCABULARY).collect()}
     own = [r for r in docs.collect() if known[r.doc_id][0] != "und" and known[r.doc_id][1] >= corpus_pipeline.SURE]
     first = {}
-    for r, g in zip(own, slow_components([slow_simhash(r.text or "") for r in own]), strict=True):
+    for r, g in zip(own, slow_near([slow_pair(r.text or "") for r in own]), strict=True):
         first[g] = r if g not in first or r.doc_id < first[g].doc_id else first[g]
     own = list(first.values())
     items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
@@ -638,7 +638,7 @@ def test_pipeline_whole_by_brute_force(spark, tmp_path, monkeypatch):
     known = {r[0]: r for r in slow_language([(i, t, g) for i, t, g, _ in table], set(langid.vocabulary(str(tmp_path / "v.tiktoken"))), langid.ROUNDS)}
     own = [r for r in table if known[r[0]][2] != "und" and known[r[0]][3] >= corpus_pipeline.SURE]
     first = {}
-    for r, g in zip(own, slow_components([slow_simhash(r[1]) for r in own]), strict=True):
+    for r, g in zip(own, slow_near([slow_pair(r[1]) for r in own]), strict=True):
         first[g] = r if g not in first or r[0] < first[g][0] else first[g]
     clean = {w[0] for w in slow_contamination([(r[0], r[1]) for r in first.values()], [(1, item)]) if not w[-1]}
     masked = []
@@ -687,3 +687,36 @@ def test_rows_of_one_hash_and_two_keys_stay(spark, monkeypatch):
     monkeypatch.setattr("foliant.llm.simhash.F.xxhash64", lambda *c: F.lit(7).cast("long") if len(c) == 3 else real(*c))
     docs = documents(spark, [(1, "one two three four five six", "en", "a", 1), (2, "seven eight nine ten eleven twelve", "en", "a", 2), (2, "seven eight nine ten eleven twelve", "en", "a", 2), (3, "one two three four five six", "en", "a", 3)])
     assert sorted(r.doc_id for r in simhash.one_of_each(docs).collect()) == [1, 2]
+
+
+def test_columns_without_an_order(spark):
+    """Rows that differ in what has no order are one, whatever that holds."""
+    docs = spark.sql("select * from values (1, 'a b c d e', array(map('k', 1)), named_struct('m', map('x', 2)), map(1, 2)), (1, 'a b c d e', array(map('k', 2)), named_struct('m', map('y', 2)), map(1, 3)), (2, 'f g h i j', null, null, null) t(doc_id, text, a, s, m)")
+    got = simhash.one_of_each(docs).collect()
+    assert sorted(r.doc_id for r in got) == [1, 2] and simhash.one_of_each(docs).columns == docs.columns
+
+
+def test_sample_is_of_what_is_there(spark):
+    """Labels of other documents take no place in a sample, and without common ones nothing is learned."""
+    docs = documents(spark, [(i, f"text {i} " + "x" * i, "en", "a", 0) for i in range(50)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(5000)] + [(None, 1), (3, None)], "doc_id long, toxic int")
+    got = {r.k: r.y for r in sample.chosen(docs, labels, "toxic", 40).collect()}
+    assert len(got) == 40 and all(k < 50 and y == k % 2 for k, y in got.items())
+    assert sample.chosen(docs, labels.filter("doc_id > 100"), "toxic", 40) is None
+    some = {r.k for r in sample.chosen(docs, labels, "toxic", 40, most_bytes=300).collect()}
+    assert 0 < len(some) < 40 and some <= got.keys() and {r.k for r in sample.chosen(docs, labels, "toxic", 40, most_bytes=0).collect()} <= some
+    assert toxicity.toxicity(docs, labels.filter("doc_id > 100")).filter("toxic").count() == 0
+
+
+@pytest.mark.parametrize("part", ["<b>x<hr>", "<svg/>", "<b><i>x</b><p>", "<li><div><b>x", "<a href=\"x>y</a>", "<p><span>t", "</b></i>x", "<table><tr><td>x"])
+def test_hostile_pages_take_linear_time(part):
+    """5 MB of unclosed elements, empty drawings and open quotes."""
+    import time
+
+    took = []
+    for size in (1 << 20, 5 << 20):
+        page = "<article><p>first words here</p>" + part * (size // len(part))
+        begun = time.process_time()
+        htmlmain.blocks(page)
+        took.append(time.process_time() - begun)
+    assert took[1] < 60 and took[1] < 12 * took[0] + 1
