@@ -37,12 +37,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component stays: the one with the least doc_id (a null one first).
+    """One document of each component of near copies stays: the one with the least doc_id (a null one first).
 
-    Repeated rows are one; texts without words, null ones too, are alike and leave one.
+    Two are linked if their SimHash fingerprints differ in at most simhash.NEAR bits, and these and a second one together in
+    at most simhash.CONFIRMED. Repeated rows are one; texts without words, null ones too, are alike and leave one.
     """
     ship(spark)
-    return simhash.one_of_each(docs)
+    return simhash.one_of_each(docs, radius=simhash.NEAR, total=simhash.CONFIRMED)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
