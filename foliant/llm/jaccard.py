@@ -25,7 +25,7 @@ from foliant.llm.components import components
 
 SHINGLE, SAME = 4, 85
 #: Members of a tile that one task has; nodes whose ids go to the tasks; ids that a task remembers; comparisons at once, in 64-bit words.
-HOT, FEW, SEEN, WORDS = 8192, 1 << 18, 1 << 18, 1 << 21
+HOT, FEW, SEEN, WORDS = 512, 1 << 18, 1 << 18, 1 << 21
 #: Members to which all of a tile are compared at first.
 FIRST = 8
 SLICE = 1 << 20
@@ -288,7 +288,7 @@ def links(docs: DataFrame, text: str, k: int, bands: Bands, hot: int = HOT, few:
     members = stored(dealt_join(shared, tiles, "key", hot_keys(tiles, "key", n), "node"), "tiles")
     sets = _sets(docs, text, k, members.select("node").distinct(), few)
 
-    # a few members of each tile against all; a large tile in pieces
+    # a few members of each tile against all; a large tile in pieces, whose first members are compared to each other
     cuts = F.ceil(F.col("m") / hot).cast("int")
     own = F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int")
     maps = sets.select("node", "n", "map")
@@ -308,11 +308,13 @@ def links(docs: DataFrame, text: str, k: int, bands: Bands, hot: int = HOT, few:
             rest = rest[1:][~near]
         yield _edges(a, b)
 
-    edges = checkpointed(_tiles(cut, few_first, "a long, b long").distinct())
+    tops = members.withColumn("cuts", cuts).filter("cuts > 1").groupBy("key", own.alias("piece")).agg(F.min("node").alias("b"))
+    tops = tops.join(tops.groupBy("key").agg(F.min("b").alias("a")), "key").filter("a <> b").select("a", "b")
+    edges = checkpointed(_tiles(cut, few_first, "a long, b long").union(tops).distinct())
     told = checkpointed(_told(edges, sets, bands))
 
-    # what is left: members of one tile in several components, any two of a tile in one task
-    root = components(told)
+    # what is left: members of one tile that these links don't join in two steps, any two of a tile in one task
+    root = _near_roots(told)
     spread = members.withColumn("cuts", cuts).join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_ = spread.groupBy("key").agg((F.min("root") != F.max("root")).alias("open"), F.count("*").alias("m")).filter("open")
     left = dealt_join(spread.drop("m"), open_.select("key"), "key", hot_keys(open_, "key", n), "node")
@@ -368,6 +370,15 @@ def _sets(docs: DataFrame, text: str, k: int, wanted: DataFrame, few: int) -> Da
     return stored(rows.dropDuplicates(["node"]), "sets")
 
 
+def _near_roots(edges: DataFrame) -> DataFrame:
+    """node, root: the least node within two links; what has one root is in one component, though not the other way round."""
+    both = edges.union(edges.select("b", "a"))
+    near = checkpointed(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("least"), F.count("*").alias("m")).withColumnRenamed("a", "node"))
+    n = near.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
+    further = dealt_join(both.withColumnRenamed("b", "node"), near.select("node", "least"), "node", hot_keys(near, "node", n), "a")
+    return further.groupBy(F.col("a").alias("node")).agg(F.min("least").alias("root"))
+
+
 def _told(edges: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
     """Those of edges a, b that are links, by the intersection of the sorted hashes."""
     counted = edges.groupBy("a").agg(F.count("*").alias("m"))
