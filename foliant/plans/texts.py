@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foliant.functions.rates import agreement, numbers
+from foliant.functions import quantiles
+from foliant.functions.rates import agreement
 from foliant.functions.text import collapse, collapse_hyphens, cut, filled_lines, heading_like, last_distinct, lookup_key, meaningful_title, sentences, slug, text_heavy, tokens
 from foliant.operators.chunking import text_parts
 from foliant.operators.context import packed
@@ -173,5 +174,5 @@ def agreement_rates(spark, sf_dir):
 
 @query("select event_type, count(value) v_count, round(min(value), 6) v_min, round(quantile_cont(value, 0.5), 6) v_p50, round(quantile_cont(value, 0.9), 6) v_p90, round(max(value), 6) v_max, round(avg(value), 6) v_mean from events group by event_type")
 def number_summary(spark, sf_dir):
-    e = table(spark, sf_dir, "events").groupBy("event_type").agg(*numbers(F.col("value"), "v"))
+    e = quantiles.number_summary(table(spark, sf_dir, "events"), ["event_type"], "value", "v")
     return e.withColumn("v_min", F.round("v_min", 6)).withColumn("v_max", F.round("v_max", 6))
