@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
+from foliant.functions.edits import distance
 from foliant.functions.rates import agreement, f1, numbers, rate, ratio
 from foliant.functions.text import collapse, collapse_hyphens, tokens
 from foliant.functions.vectors import all_finite, norm
@@ -31,31 +32,38 @@ def with_prf(x: DataFrame, matched: str = "matched", truth: str = "left_tokens",
     return x.withColumn("f1", f1(F.col("precision"), F.col("recall")))
 
 
+#: Cells of the table of an edit distance from which Python counts it, by what differs, and not the JVM, by all cells.
+CELLS = 1 << 22
+
+
 def _as_characters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each pair of token arrays as texts of one character a token, with their sizes and common tokens."""
+    """Each pair of token arrays as texts of one character a token, with their sizes and common tokens; of large pairs the distance instead of the texts."""
+    kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
     for batch in batches:
-        keep, out = batch.num_columns - 2, ([], [], [], [], [])
+        keep, out = batch.num_columns - 2, ([], [], [], [], [], [])
         for r, h in zip(batch.column(keep).to_pylist(), batch.column(keep + 1).to_pylist(), strict=True):
             code: dict[str, str] = {}
-            for t in (*r, *h):
+            large = len(r) * len(h) > CELLS
+            for t in () if large else (*r, *h):
                 if t not in code:
                     n = 0x4E00 + len(code)
                     code[t] = chr(n if n < 0xD800 else n + 0x800)  # over the surrogates
             both = Counter(r) & Counter(h)
-            for x, v in zip(out, ("".join(map(code.__getitem__, r)), "".join(map(code.__getitem__, h)), len(r), len(h), both.total()), strict=True):
+            said = ("", "") if large else ("".join(map(code.__getitem__, r)), "".join(map(code.__getitem__, h)))
+            for x, v in zip(out, (*said, len(r), len(h), both.total(), distance(r, h) if large else None), strict=True):
                 x.append(v)
-        yield pa.RecordBatch.from_arrays([*batch.columns[:keep], *(pa.array(x, t) for x, t in zip(out, (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32()), strict=True))], names=[*batch.schema.names[:keep], "_a", "_b", "_n", "_k", "_m"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:keep], *(pa.array(x, t) for x, t in zip(out, kinds, strict=True))], names=[*batch.schema.names[:keep], "_a", "_b", "_n", "_k", "_m", "_d"])
 
 
 def word_errors(pairs: DataFrame, by: list[str], reference: str = "reference", hypothesis: str = "hypothesis") -> DataFrame:
     """Of pairs of page texts, by document: pages, pages_with_text, word_error_rate, precision, recall, f1, page_wer_median, page_wer_p90.
 
     Pages whose reference has no tokens count for precision only. Tokens become characters in Arrow batches, so that
-    the built-in edit distance counts them.
+    the built-in edit distance counts them; pairs of more than CELLS cells are counted there, by their differences.
     """
     t = pairs.select(*by, tokens(reference).alias("_r"), tokens(hypothesis).alias("_h"))
-    schema = StructType([*(t.schema[c] for c in by), *(StructField(c, StringType()) for c in ("_a", "_b")), *(StructField(c, IntegerType()) for c in ("_n", "_k", "_m"))])
-    t = t.mapInArrow(_as_characters, schema).withColumn("_e", F.when(F.col("_n") > 0, F.levenshtein("_a", "_b")))
+    schema = StructType([*(t.schema[c] for c in by), *(StructField(c, StringType()) for c in ("_a", "_b")), *(StructField(c, IntegerType()) for c in ("_n", "_k", "_m", "_d"))])
+    t = t.mapInArrow(_as_characters, schema).withColumn("_e", F.when(F.col("_n") > 0, F.coalesce("_d", F.levenshtein("_a", "_b"))))
     wer = F.when(F.col("_n") > 0, F.col("_e") / F.col("_n"))
     s = t.groupBy(*by).agg(
         F.count("*").alias("pages"), F.count_if(F.col("_n") > 0).alias("pages_with_text"), F.sum("_e").alias("_e"), F.sum("_n").alias("_n"), F.sum("_k").alias("_k"), F.sum("_m").alias("_m"),

@@ -17,6 +17,12 @@ def relevant_ranks(hits: DataFrame, truth: DataFrame) -> DataFrame:
     return met.groupBy("query_id").agg(F.count("*").alias("relevant"), F.sort_array(F.collect_list("rank")).alias("ranks"))
 
 
+def ranks_among(hits: DataFrame, relevant: DataFrame) -> DataFrame:
+    """query_id, relevant, ranks as relevant_ranks() gives them, for relevant points that are many: relevant has query_id and how many (relevant), hits (few a query) whether one is (is_relevant)."""
+    met = hits.filter("is_relevant").groupBy("query_id").agg(F.sort_array(F.collect_list("rank")).alias("ranks"))
+    return relevant.select("query_id", "relevant").join(met, "query_id", "left").withColumn("ranks", F.coalesce("ranks", F.expr("cast(array() as array<int>)")))
+
+
 def _upto(k: int) -> Column:
     return F.filter("ranks", lambda r: r <= k)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliant.functions.skew import dealt_join, hot_keys
 from foliant.functions.text import collapse
 from foliant.operators import answers, locate
 from foliant.operators.answer_parse import parse_answers
@@ -102,11 +103,13 @@ def location_terms(spark, sf_dir):
 def hits(spark, sf_dir) -> DataFrame:
     """For every benchmark item as a question, the documents of one source as hits."""
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("Where is the outlook of "), "text").alias("question"), F.concat(F.lit("src"), F.col("item_id") % 20).alias("source"))
-    d = table(spark, sf_dir, "documents").select("source", "doc_id", "text", "lang")
-    h = b.join(d, "source")
     from pyspark.sql import Window
 
-    return h.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id"))).select(
+    # a document has one rank for all questions on its source, so ranks are made of keys, once a document
+    d = table(spark, sf_dir, "documents")
+    ranks = d.select("source", "doc_id").withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).select("doc_id", "rank")
+    h = d.select("source", "doc_id", "text", "lang").join(ranks, "doc_id").join(b, "source")
+    return h.select(
         "query_id", "question", "rank", (1.0 / (F.col("rank") + 1)).alias("score"), F.col("source").alias("document_id"), F.lit("company").alias("company"), F.concat("source", F.lit(".pdf")).alias("source_file"), F.array((F.col("doc_id") % 50).cast("int")).alias("page_numbers"), F.lit(0).alias("page_start"),
         F.when(F.col("lang") == "en", "text").when(F.col("lang") == "fr", "table").otherwise("visual").alias("chunk_type"), F.array(F.substring_index("text", " ", 2)).alias("section_titles"), F.lit(None).cast("map<string,string>").alias("table_metadata"), "text", F.concat(F.lit("d"), "doc_id").alias("chunk_id"),
     )
@@ -174,5 +177,6 @@ def answer_states(spark, sf_dir):
 def exact_copies(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     d = d.withColumn("h", F.coalesce(F.sha2("text", 256), F.lit("")))  # null is a text of its own
-    copies = d.groupBy("h").agg(F.count("*").alias("copies"))
-    return d.join(copies, "h").select("doc_id", F.md5(collapse("text")).alias("digest"), "copies")
+    copies = d.groupBy("h").agg(F.count("*").alias("m"))
+    hot = hot_keys(copies, "h", d.count())
+    return dealt_join(d, copies.withColumnRenamed("m", "copies"), "h", hot, "doc_id").select("doc_id", F.md5(collapse("text")).alias("digest"), "copies")

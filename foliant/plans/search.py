@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.functions.vectors import all_finite, cosine, norm, uuid5
-from foliant.operators import retrieval
+from foliant.operators import ivf, retrieval
 from foliant.operators.evaluation import search as measures
 from foliant.plans.registry import query, table
 from foliant.sources.sinks import upserted
@@ -67,8 +67,10 @@ def strong_gate(spark, sf_dir):
 
 def _cases(spark, sf_dir) -> DataFrame:
     hits = retrieval.top_k(_points(spark, sf_dir), _queries(spark, sf_dir), 10, **NAMED)
-    truth = _queries(spark, sf_dir).select("query_id", "label").join(_points(spark, sf_dir).select(F.col("vec_id").alias("point_id"), "label"), "label").select("query_id", "point_id")
-    return measures.ranked(measures.relevant_ranks(hits, truth))
+    queries, own = _queries(spark, sf_dir).select("query_id", "label"), F.col("document_id") == F.col("label")
+    counts = _points(spark, sf_dir).groupBy("label").agg(F.count("*").alias("relevant"))
+    told = hits.join(queries, "query_id").withColumn("is_relevant", own)
+    return measures.ranked(measures.ranks_among(told, queries.join(counts, "label")))
 
 
 _RANKS = f"""with {_PAIRS}, h as (select *, row_number() over (partition by query_id order by score desc, point_id) rank from s),
@@ -149,3 +151,14 @@ def upsert_latest(spark, sf_dir):
 def resume_anti(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     return e.join(e.filter("event_type = 'purchase' and event_id % 7 = 0").select("user_id").distinct(), "user_id", "left_anti").groupBy("user_id").agg(F.count("*").alias("n"))
+
+
+@query()
+def vec_ivf(spark, sf_dir):
+    """Of the exact ten best of each query, how many a search of inverted lists finds that reads a quarter of them."""
+    points = _points(spark, sf_dir)
+    centroids = ivf.fit(points, 64, "embedding", "vec_id")
+    index = ivf.filed(points, centroids, "embedding")
+    named = {"point_id": "vec_id", "vector": "embedding"}
+    found = ivf.search(index, centroids, _queries(spark, sf_dir).select("query_id", "vector"), 10, 16, **named)
+    return ivf.recall(found, retrieval.top_k(points, _queries(spark, sf_dir), 10, **named))

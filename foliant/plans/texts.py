@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from foliant.functions import quantiles
 from foliant.functions.rates import agreement
-from foliant.functions.text import collapse, collapse_hyphens, cut, filled_lines, heading_like, last_distinct, lookup_key, meaningful_title, sentences, slug, text_heavy, tokens
+from foliant.functions.text import collapse, collapse_hyphens, cut, filled_lines, heading_like, lookup_key, meaningful_title, sentences, slug, text_heavy, tokens
 from foliant.operators.chunking import text_parts
 from foliant.operators.context import packed
 from foliant.operators.evaluation import artifacts
 from foliant.operators.evaluation.artifacts import overlap, with_prf
 from foliant.operators.registry import detect, resolve
+from foliant.operators.titles import last_titles
 from foliant.plans import chunk_sql
 from foliant.plans.registry import query, table
 from foliant.sources.providers import batch_ids, fixed_batches
@@ -117,11 +118,8 @@ def batch_fixed(spark, sf_dir):
   n as (select *, row_number() over (partition by conv_id, turn order by spot desc) k from x) select conv_id, turn, string_agg(h, '|' order by spot) titles from n where k <= 3 group by all""")
 def section_titles(spark, sf_dir):
     """The last three distinct headings so far, a turn's first word being its heading."""
-    from pyspark.sql import Window
-
-    c = table(spark, sf_dir, "conversations").withColumn("h", F.substring_index(lookup_key("text"), " ", 1))
-    so_far = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    return c.select("conv_id", "turn", F.array_join(last_distinct(F.collect_list("h").over(so_far), 3), "|").alias("titles"))
+    c = table(spark, sf_dir, "conversations").withColumn("h", F.substring_index(lookup_key("text"), " ", 1)).drop("text")
+    return last_titles(c, "conv_id", ["turn"], F.col("h")).select("conv_id", "turn", F.array_join("titles", "|").alias("titles"))
 
 
 @query("""select source, doc_id, rank from (select source, doc_id, row_number() over w rank, sum(length(section)) over (w rows between unbounded preceding and current row) total from (select source, doc_id, n_chars, '[Evidence ' || doc_id || ']' || chr(10) || case when length(trim(text, ' ' || chr(10))) <= 2500 then trim(text, ' ' || chr(10)) else rtrim(trim(text, ' ' || chr(10))[:2500], ' ' || chr(10)) || chr(10) || '[TRUNCATED]' end section from documents) window w as (partition by source order by n_chars desc, doc_id)) where rank = 1 or total <= 24000""")
