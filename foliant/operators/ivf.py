@@ -2,8 +2,8 @@
 
 Centroids are fitted on a bounded sample (spherical k-means, a parameter each for its rows, lists and rounds); every point is filed.
 The lists are the folders of a table, so a block of queries scans those that one of them probes, and what is read is scored
-exactly. With all lists probed the result is that of the exact search; with fewer, points in other lists are missed, and recall() says
-how many.
+exactly. With all lists probed the result is that of the exact search; with fewer, points in other lists are missed: calibrated() says how many
+lists find what part, and recall() how many points a search found. Where points have no clusters, that is most of the lists, and the exact search is the better one.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from foliant.operators.retrieval import matrix, top_k
 
 #: Rows of the sample, lists, rounds of k-means, lists that a query reads, rows of a file of a list.
 SAMPLE, LISTS, ROUNDS, PROBES, FILE_ROWS = 50_000, 256, 12, 16, 1 << 20
+#: The part of the exact result that a calibrated number of probes finds in its sample.
+RECALL = 0.97
 
 
 def fit(points: DataFrame, lists: int = LISTS, vector: str = "vector", key: str = "point_id", sample: int = SAMPLE, rounds: int = ROUNDS) -> np.ndarray:
@@ -102,6 +104,28 @@ def search(index: DataFrame, centroids: np.ndarray, queries: DataFrame, k: int =
     return hits.withColumnRenamed("document_id", "list_id")
 
 
+def calibrated(index: DataFrame, centroids: np.ndarray, queries: DataFrame, k: int = 10, target: float = RECALL, **named) -> int:
+    """The least number of probes with which a sample of queries (query_id, vector) finds the part target of its exact k best points.
+
+    It is read off one exact search: from the place of each best point's list among those nearest to its query.
+    """
+    exact = top_k(index, queries, k, document="list_id", **named).select("query_id", F.col("document_id").cast("string").alias("list"))
+    order = probed(queries, centroids, max(1, len(centroids))).select("query_id", F.posexplode("lists").alias("place", "list"))
+    met = exact.join(order, ["query_id", "list"]).groupBy("place").count().collect()  # a row a list
+    wanted, seen = target * sum(r["count"] for r in met), 0
+    for r in sorted(met):
+        seen += r["count"]
+        if seen >= wanted:
+            return r.place + 1
+    return max(1, len(centroids))
+
+
+def sampled(points: DataFrame, vector: str = "vector", key: str = "point_id", rows: int = 200) -> DataFrame:
+    """query_id, vector: at most rows points with vectors, those whose keys have the least hashes."""
+    own = points.select(F.col(key).alias("query_id"), F.col(vector).cast("array<double>").alias("vector")).filter("size(vector) > 0")
+    return own.orderBy(F.xxhash64(F.col("query_id").cast("string")), "query_id").limit(rows)
+
+
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
     """query_id, wanted, found and recall: how many of the exact search's points an index found."""
     had = found.select("query_id", "point_id", F.lit(1).alias("_had")).distinct()

@@ -155,10 +155,10 @@ def resume_anti(spark, sf_dir):
 
 @query()
 def vec_ivf(spark, sf_dir):
-    """Of the exact ten best of each query, how many a search of inverted lists finds that reads a quarter of them."""
-    points = _points(spark, sf_dir)
+    """Of the exact ten best of each query, how many a search of inverted lists finds; how many lists it reads is told by a sample of the points."""
+    points, named = _points(spark, sf_dir), {"point_id": "vec_id", "vector": "embedding"}
+    queries = _queries(spark, sf_dir).select("query_id", "vector")
     centroids = ivf.fit(points, 64, "embedding", "vec_id")
     index = ivf.filed(points, centroids, "embedding")
-    named = {"point_id": "vec_id", "vector": "embedding"}
-    found = ivf.search(index, centroids, _queries(spark, sf_dir).select("query_id", "vector"), 10, 16, **named)
-    return ivf.recall(found, retrieval.top_k(points, _queries(spark, sf_dir), 10, **named))
+    probes = ivf.calibrated(index, centroids, ivf.sampled(points, "embedding", "vec_id"), **named)
+    return ivf.recall(ivf.search(index, centroids, queries, 10, probes, **named), retrieval.top_k(points, queries, 10, **named))

@@ -195,6 +195,9 @@ def test_inverted_lists(spark, tmp_path):
     found = ivf.search(index, c, q, 10, probes=6)
     assert ivf.recall(found, exact).agg(F.avg("recall")).first()[0] >= 0.95
     assert hits(ivf.search(index, c, q, 10, probes=32)) == hits(exact)
+    probes = ivf.calibrated(index, c, ivf.sampled(index), 10, 0.97)
+    assert 1 < probes < 16 and ivf.recall(ivf.search(index, c, q, 10, probes=probes), exact).agg(F.avg("recall")).first()[0] >= 0.95
+    assert ivf.calibrated(index, c, ivf.sampled(index), 10, 1.0) <= 32
     text, some = scanned(ivf.search(index, c, q.limit(1), 10, probes=2))
     assert "list_id#" in text.split("PartitionFilters: [")[1].split("]")[0] and some * 4 < scanned(ivf.search(index, c, q, 10, probes=32))[1]
     assert ivf.fit(points.limit(0)).shape == (0, 0)
@@ -341,3 +344,9 @@ def test_a_ledger_keeps_to_its_rate(spark, tmp_path):
     with pytest.raises(Exception, match="not valid"):
         Ledger(spark, str(tmp_path / "l"), Once(tmp_path / "log"), tries=1, wait=0, valid=lambda x: False)(rows, "topic").collect()
     assert ledger.read().select("kind").distinct().count() == 1
+
+
+def test_recall_of_the_registered_query(spark):
+    from foliant.plans.search import vec_ivf
+
+    assert vec_ivf(spark, "/root/testdata/sf0.01").agg(F.avg("recall")).first()[0] >= 0.95
