@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,9 +13,11 @@ from foliant.operators import registry as registry_operators
 from foliant.operators import retrieval
 from foliant.operators.context import section
 from foliant.operators.evaluation import answers as measures
-from foliant.operators.evaluation import artifacts, search
+from foliant.operators.evaluation import artifacts, judge, search
 from foliant.operators.evaluation import cases as bank_operators
 from foliant.plans.registry import query, table
+from foliant.session import shared_path
+from foliant.sources import ledger
 from foliant.streaming.ingest import windowed_counts
 
 
@@ -54,6 +58,28 @@ def answer_rules(spark, sf_dir):
     return c.select("doc_id", "refusal_match", "nonrefusal_rule", "resource_rule", "format_rule", "llm_answer_quality_mean")
 
 
+class ByLength:
+    """A judge for tests of the way to its scores: they are told by the length of the answer in the prompt; completeness is left out."""
+
+    def complete(self, kind: str, prompts) -> list[str]:
+        sizes = [len(json.loads(p)["generated_answer"]) for p in prompts]
+        return [f'Scores: {{"relevance": {min(n, 400) / 400}, "groundedness": {n % 3 / 2}, "citation_accuracy": {n % 2}, "instruction_following": 1, "notes": "{n}"}} end' for n in sizes]
+
+
+@query("""with a as (select a.conv_id, a.turn, length(a.text) n from conversations a join conversations u on u.conv_id = a.conv_id and u.turn = a.turn - 1 where a.role = 'assistant')
+  select conv_id, turn, least(n, 400) / 400.0::double llm_relevance, (n % 3) / 2.0::double llm_groundedness, (n % 2)::double llm_citation_accuracy, 0.0::double llm_completeness, 1.0::double llm_instruction_following,
+  round((least(n, 400) / 400.0::double + (n % 3) / 2.0::double + n % 2 + 1) / 5, 6) llm_answer_quality_mean, n::varchar notes from a""")
+def judged_cases(spark, sf_dir):
+    """Every answer of an assistant to the turn before it, from the prompt of its judge over a ledger of calls to its scores."""
+    turns = table(spark, sf_dir, "conversations")
+    asked = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("question"))
+    said = turns.filter("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("generated_answer")).join(asked, ["conv_id", "turn"])
+    rows = said.withColumns({"answer_expectation": F.lit("supported"), "expected_document_ids": F.array(F.lit("d")), "expected_documents": F.expr("array(struct('c' as company_name, 'f' as source_file))")})
+    own = ledger.Ledger(spark, shared_path(spark, "ledger"), ByLength(), block=1 << 16, valid=judge.valid)
+    out = measures.scored(judge.judged(rows, own))
+    return out.select("conv_id", "turn", *(f"llm_{n}" for n in measures.STRESS_SCORES), "llm_answer_quality_mean", F.col("scores.notes").alias("notes"))
+
+
 @query("select doc_id, l.quality is not null labelled, l.quality is null missing from documents d full join labels l using (doc_id)")
 def set_diff_ids(spark, sf_dir):
     d, x = table(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("d")), table(spark, sf_dir, "labels").select("doc_id", F.lit(1).alias("l"))

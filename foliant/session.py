@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,21 +43,31 @@ def _folder(prefix: str) -> str:
     return made
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder of spark.checkpoint.dir.
+def _checkpoints(spark: SparkSession) -> str:
+    """The folder of checkpoints: spark.checkpoint.dir.
 
     Where that is unset, as in tests, a local session gets a temporary folder of its own and a cluster one in
     its warehouse, which machines share.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         given = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
         local = sc.master.startswith("local") and not sc.master.startswith("local-cluster")
         sc.setCheckpointDir(given or (_folder("checkpoint") if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage in the shared folder."""
+    _checkpoints(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder of checkpoints, for a table that lasts as long as the work."""
+    return f"{_checkpoints(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def session(name: str = "foliant", **settings: str) -> SparkSession:
     """A session with adaptive execution; settings are Spark's own, with _ for each dot."""
     builder = SparkSession.builder.appName(name).config("spark.sql.adaptive.enabled", "true").config("spark.sql.adaptive.skewJoin.enabled", "true").config("spark.sql.session.timeZone", "UTC")
