@@ -110,6 +110,14 @@ def _pages_of(table: Column) -> Column:
     return F.array_distinct(F.filter(F.coalesce(F.transform(table["boundingRegions"], lambda g: g["pageNumber"]), F.expr("cast(array() as array<int>)")), lambda p: p.isNotNull()))
 
 
+def page_lines(numbered: DataFrame) -> DataFrame:
+    """Lines with text of pages as rows (source_file, page_pos, page_number, height, unit, lines), with their bounds and margin_position."""
+    lines = numbered.select("source_file", "page_pos", "page_number", "height", "unit", F.posexplode("lines").alias("line_pos", "line"))
+    lines = lines.withColumn("text", collapse("line.content")).filter("text <> ''").withColumn("b", bounds(F.col("line.polygon")))
+    lines = lines.select("source_file", "page_pos", "page_number", "height", "unit", "line_pos", "text", F.coalesce("line.polygon", F.expr("cast(array() as array<double>)")).alias("polygon"), "b.*")
+    return lines.withColumn("margin_position", margin_position(F.col("top"), F.col("bottom"), F.col("height"), F.col("unit")))
+
+
 def from_pages(documents: DataFrame, numbered: DataFrame, tables: DataFrame, paragraphs: DataFrame, materialize: bool = False) -> Layout:
     """The tables of documents whose pages are rows, so that no document is in one row.
 
@@ -122,10 +130,7 @@ def from_pages(documents: DataFrame, numbered: DataFrame, tables: DataFrame, par
     page_tables = once(tables.select("source_file", "table_pos", "table", "on_pages", F.explode("on_pages").alias("page_number")))
     per_page = page_tables.groupBy("source_file", "page_number").agg(F.count("*").alias("n_tables"))
 
-    lines = numbered.select("source_file", "page_pos", "page_number", "height", "unit", F.posexplode("lines").alias("line_pos", "line"))
-    lines = lines.withColumn("text", collapse("line.content")).filter("text <> ''").withColumn("b", bounds(F.col("line.polygon")))
-    lines = lines.select("source_file", "page_pos", "page_number", "height", "unit", "line_pos", "text", F.coalesce("line.polygon", F.expr("cast(array() as array<double>)")).alias("polygon"), "b.*")
-    lines = lines.withColumn("margin_position", margin_position(F.col("top"), F.col("bottom"), F.col("height"), F.col("unit")))
+    lines = page_lines(numbered)
     line_count = F.size(F.filter(F.coalesce(F.transform("lines", lambda x: collapse(x["content"])), F.expr("cast(array() as array<string>)")), lambda t: t != ""))
     pages = numbered.select("source_file", "page_pos", "page_number", "width", "height", "unit", line_count.alias("n_lines"))
     pages = pages.join(per_page, ["source_file", "page_number"], "left").withColumn("n_tables", F.coalesce("n_tables", F.lit(0)))
