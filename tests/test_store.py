@@ -350,3 +350,16 @@ def test_recall_of_the_registered_query(spark):
     from foliant.plans.search import vec_ivf
 
     assert vec_ivf(spark, "/root/testdata/sf0.01").agg(F.avg("recall")).first()[0] >= 0.95
+
+
+def test_judge_from_the_command_line(spark, tmp_path, capsys):
+    from foliant.__main__ import main
+
+    case = lambda i, kind, said: {"case_id": str(i), "category_id": "k", "category_name": "K", "answer_expectation": kind, "question": f"q{i}", "generated_answer": said, "latency_seconds": 1.0, "expected_document_ids": ["d"], "expected_documents": [{"company_name": "C", "source_file": "c.pdf"}]}
+    (tmp_path / "cases.json").write_text("\n".join(json.dumps(x) for x in (case(1, "supported", "Answer\nC grew."), case(2, "unsupported", answers.UNSUPPORTED), case(3, "supported", answers.NO_STRONG))))
+    (tmp_path / "said.json").write_text(json.dumps({"judge": 'x {"relevance": 1, "groundedness": 0.5, "citation_accuracy": 1, "completeness": 0, "instruction_following": 1} y'}))
+    assert main(["judge", str(tmp_path / "cases.json"), str(tmp_path / "out"), str(tmp_path / "ledger"), "--recorded", str(tmp_path / "said.json")]) == 0
+    told = [json.loads(x) for x in capsys.readouterr().out.strip().split("\n") if x.startswith("{")]
+    assert {x.get("category_id") for x in told} == {"k", None} and all(x["case_count"] == 3 and x["unsupported_refusal_accuracy"] == 1.0 and x["llm_relevance_mean"] == 0.5 for x in told)
+    assert sorted(r.llm_answer_quality_mean for r in spark.read.json(str(tmp_path / "out")).collect() if r.llm_answer_quality_mean is not None) == [0.0, 0.7]
+    assert spark.read.parquet(str(tmp_path / "ledger")).count() == 1
