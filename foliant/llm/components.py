@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from foliant.llm.common import checkpointed, dealt_join, hot_keys
 
 MOST_ROUNDS = 60
+#: Links from which a round has one more task, and tasks of a round of few: tables of a few rows in hundreds of partitions cost the driver more than the work does.
+LINKS_A_TASK, LEAST_TASKS = 1 << 16, 12
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -23,12 +25,13 @@ def components(edges: DataFrame) -> DataFrame:
     for _ in range(MOST_ROUNDS):
         if not seen[0]:
             break
+        few = LEAST_TASKS + seen[0] // LINKS_A_TASK  # no more rows are in any table of the round than twice the links; coalesce only lowers a number
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = _joined(both, both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("least"), F.count("*").alias("m")), 2 * seen[0])
-        large = large.filter("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
-        down = large.groupBy("a").agg(F.min("b").alias("least"), F.count("*").alias("m"))
-        small = _joined(large, down, seen[0]).filter("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))
-        links = checkpointed(small.union(down.select("a", F.col("least").alias("b"))).distinct())
+        large = _joined(both, both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("least"), F.count("*").alias("m")).coalesce(few), 2 * seen[0])
+        large = large.filter("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).coalesce(few).distinct().coalesce(few)
+        down = large.groupBy("a").agg(F.min("b").alias("least"), F.count("*").alias("m")).coalesce(few)
+        small = _joined(large, down, seen[0]).filter("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b")).coalesce(few)
+        links = checkpointed(small.union(down.select("a", F.col("least").alias("b"))).distinct().coalesce(few))
         now = _state(links)
         if now == seen:
             break

@@ -360,3 +360,21 @@ def test_queries_match_operators(spark, sf):
     assert all(re.fullmatch(r"op\d+_\w+", k) for k in q)
     n = spark.read.parquet(f"{sf}/documents.parquet").count()
     assert q["op8_decontamination"](spark, sf).count() == n
+
+
+def test_rounds_of_few_links_have_few_tasks(spark, monkeypatch):
+    from foliant.llm import components
+
+    parts, write = [], components.checkpointed
+    monkeypatch.setattr(components, "checkpointed", lambda df: parts.append((out := write(df)).rdd.getNumPartitions()) or out)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 40)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        rows = [(i, i + 1) for i in range(20)] + [(100, i) for i in range(101, 140)]
+        got = {r.node: r.root for r in components.components(spark.createDataFrame(rows, "a long, b long")).collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got == {i: 0 for i in range(21)} | {i: 100 for i in range(100, 140)}
+    assert len(parts) > 2 and max(parts[1:]) <= components.LEAST_TASKS < 40
