@@ -43,8 +43,12 @@ def matrix(vectors: pa.Array, dim: int) -> np.ndarray:
         starts = np.cumsum(np.where(vectors.is_valid().to_numpy(zero_copy_only=False), size, 0)) - np.where(vectors.is_valid().to_numpy(zero_copy_only=False), size, 0)
         for i in np.flatnonzero(good):
             out[i] = flat[starts[i] : starts[i] + dim]
-    length = np.sqrt((out * out).sum(1, keepdims=True))
-    return np.divide(out, length, out=np.zeros_like(out), where=length > 0)
+    return _unit(out)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    length = np.sqrt((x * x).sum(1, keepdims=True))
+    return np.divide(x, length, out=np.zeros_like(x), where=length > 0)
 
 
 def top_k(
@@ -84,8 +88,10 @@ def top_k(
     out = None
     for b in range(n_blocks):
         block = (q if n_blocks == 1 else q.filter(F.pmod(F.xxhash64("q"), F.lit(n_blocks)) == b)).toArrow()
-        asked = {c: block.column(c).to_pylist() for c in "qvdcn"}
-        few = restricted(restricted(points, document, asked["d"]), chunk_type, asked["c"])
+        asked = _packed(block)
+        few = points
+        for column, name in ((document, "d"), (chunk_type, "c")):
+            few = restricted(few, column, [*asked[f"{name}_sets"], *([None] if (asked[name] < 0).any() else [])])
         p = few.select(
             F.col(point_id).alias("p"), F.col(vector).cast("array<double>").alias("v"), (F.col(document) if document else F.lit(None).cast("string")).alias("d"),
             *(F.coalesce(F.col(c).cast("string") if c else F.lit(None), F.lit("")).alias(name) for c, name in ((document, "own_d"), (chunk_type, "own_c"))),
@@ -97,6 +103,25 @@ def top_k(
     return best.select(F.col("q").alias("query_id"), F.col("p").alias("point_id"), F.col("d").alias("document_id"), "score", "rank")
 
 
+def _packed(block: pa.Table) -> dict:
+    """A block of queries as it is sent: vectors as one array of doubles with their sizes, and each distinct filter once, numbered by query (-1: none), so that a task holds about what the block measures."""
+    v = block.column("v").combine_chunks()
+    out = {"q": block.column("q").to_pylist(), "n": block.column("n").to_numpy().astype(np.int64), "flat": v.flatten().to_numpy(zero_copy_only=False).astype(float), "size": v.value_lengths().to_numpy().astype(np.int64)}
+    for name in "dc":
+        said: dict[str, str] = {}
+        known: dict[frozenset, int] = {}
+        codes = np.full(block.num_rows, -1, np.int64)
+        at = 0
+        for part in block.column(name).chunks:
+            for row in range(0, len(part), 1 << 12):
+                for x in part.slice(row, 1 << 12).to_pylist():
+                    if x is not None:
+                        codes[at] = known.setdefault(frozenset(said.setdefault(y, y) for y in x), len(known))
+                    at += 1
+        out |= {name: codes, f"{name}_sets": [sorted(x) for x in known]}
+    return out
+
+
 def _clean(name: str | None) -> Column:
     if name is None:
         return F.lit(None).cast("array<string>")
@@ -126,11 +151,11 @@ class _Group:
     """Queries of one filter and one length of vector: their places, unit vectors, and the codes of documents and kinds that they allow (None: all)."""
 
     def __init__(self, at: list[int], asked: dict, documents: dict[str, int], kinds: dict[str, int]):
-        self.at, self.n = np.array(at), np.array([asked["n"][j] for j in at], np.int64)
-        self.dim = len(asked["v"][at[0]])
-        self.unit = matrix(pa.array([asked["v"][j] for j in at], pa.list_(pa.float64())), self.dim)
-        d, c = asked["d"][at[0]], asked["c"][at[0]]
-        self.documents = None if d is None else sorted({documents[x] for x in d})
+        self.at, self.n = np.array(at), asked["n"][at]
+        self.dim = int(asked["size"][at[0]])
+        self.unit = _unit(asked["flat"][asked["start"][at][:, None] + np.arange(self.dim)])
+        d, c = (None if (i := asked[name][at[0]]) < 0 else asked[f"{name}_sets"][i] for name in "dc")
+        self.documents = None if d is None else np.array(sorted({documents[x] for x in d}), np.int32)
         self.kinds = None if c is None else np.array(sorted({kinds[x] for x in c}))
         self.best: dict[tuple, np.ndarray] = {}  # of each document (or of all): the best scores so far, most x queries
 
@@ -151,11 +176,12 @@ def _nearest(sent, kinds_of: tuple, per_document: bool, threshold: float | None)
         names = pa.array(q["q"], q_type)
         if not len(names):
             return
-        documents, kinds = ({v: i for i, v in enumerate(sorted({v for own in q[c] if own is not None for v in own}))} for c in "dc")
+        documents, kinds = ({v: i for i, v in enumerate(sorted({v for own in q[f"{c}_sets"] for v in own}))} for c in "dc")
         alike: dict[tuple, list[int]] = {}
-        for j, (v, d, c) in enumerate(zip(q["v"], q["d"], q["c"], strict=True)):
-            alike.setdefault((len(v), d and frozenset(d), c and frozenset(c)), []).append(j)
-        groups = [_Group(at, q, documents, kinds) for at in alike.values()]
+        for j, key in enumerate(zip(q["size"].tolist(), q["d"].tolist(), q["c"].tolist(), strict=True)):
+            alike.setdefault(key, []).append(j)
+        own = q | {"start": np.cumsum(q["size"]) - q["size"]}
+        groups = [_Group(at, own, documents, kinds) for at in alike.values()]
         held, step = 0, max(64, SCORES // len(names))
         for batch in batches:
             for at in range(0, batch.num_rows, step):
@@ -179,13 +205,14 @@ def _nearest(sent, kinds_of: tuple, per_document: bool, threshold: float | None)
                     rows = rows[own[g.dim][rows].any(1)]
                     for key in np.unique(each[rows]).tolist() if len(rows) else []:
                         mine = rows[each[rows] == key]
-                        s = np.round(own[g.dim][mine] @ g.unit.T, DIGITS)
+                        s = own[g.dim][mine] @ g.unit.T
+                        np.round(s, DIGITS, out=s)
                         if threshold is not None:
                             s[s < threshold] = -np.inf
                         name, most = (key >= 0 and named.dictionary[key].as_py(), key >= 0) if per_document else (), int(g.n.max())
-                        top = np.vstack((g.best[name], s)) if name in g.best else s
-                        if len(top) > most:
-                            top = np.partition(top, len(top) - most, axis=0)[len(top) - most :]
+                        largest = lambda x, most=most: np.partition(x, len(x) - most, axis=0)[len(x) - most :].copy() if len(x) > most else x
+                        top = largest(s)
+                        top = largest(np.vstack((g.best[name], top))) if name in g.best else top
                         if name in g.best or held + most * len(g.at) * 8 <= HELD:
                             held += 0 if name in g.best else most * len(g.at) * 8
                             g.best[name] = top

@@ -739,3 +739,24 @@ def test_whole_numbers_and_documents(spark, tmp_path):
     (path,) = (tmp_path / "out" / "name=a").glob("part-*")
     said = path.read_text(encoding="utf-8")
     assert json.loads(said) == {"n": 1, "t": "ü", "x": None} and "\n  " in said
+
+
+def test_blocks_of_queries_are_sent_in_about_what_they_measure():
+    import pickle
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from foliant.operators import retrieval
+
+    n, lists = 2000, [str(x) for x in range(64)]
+    block = pa.table({"q": pa.array(range(n)), "v": pa.array([[float(i + j) for j in range(64)] for i in range(n)]), "d": pa.array([lists[i % 7 :] if i % 3 else None for i in range(n)], pa.list_(pa.string())), "c": pa.array([None] * n, pa.list_(pa.string())), "n": pa.array([10] * n, pa.int32())})
+    sent = pickle.dumps(retrieval._packed(block))
+    tracemalloc.start()
+    got = pickle.loads(sent)
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert held < 2 * n * (64 * 8 + 64 + 32 * len(lists) // 8)
+    assert np.array_equal(got["flat"].reshape(n, 64)[5], np.arange(5.0, 69.0)) and len(got["d_sets"]) == 7
+    assert all((got["d"][i] < 0) == (i % 3 == 0) and (i % 3 == 0 or got["d_sets"][got["d"][i]] == sorted(lists[i % 7 :])) for i in range(n))
