@@ -163,6 +163,19 @@ def test_html_edge_runs_go_and_copies_stay(spark):
     assert got == {k: own(k) + (f"\n{copy}" if k in (3, 7) else "") for k in range(20)}
 
 
+def test_html_runs_decide_in_articles(spark):
+    """A notice at the edge of the articles of a host goes, whatever its marks; one within them, on few pages or on few of many stays, and so do copies of an article."""
+    notice, copy = "we and our many partners store and read data on your device", "this long paragraph was copied from one story to another story of the host"
+    own = lambda k: f"story {k} with words of its own " + " ".join(f"{k * 7} and more {k * 11 + i}" for i in range(12))
+    paragraphs = lambda *x: f"<article>{''.join(f'<p>{y}</p>' for y in x)}</article>"
+    given = [(f"http://a.example/{k}", paragraphs(notice, own(k), "short", *([copy] if k in (3, 7) else []), *([notice] if k % 2 else [notice, own(k + 50)]))) for k in range(20)]
+    want = {k: "\n".join([own(k), "short", *([copy] if k in (3, 7) else []), *([] if k % 2 else [notice, own(k + 50)])]) for k in range(20)}
+    given += [(f"http://b.example/{k}", paragraphs(notice, own(k))) for k in range(4)] + [(f"http://c.example/{k}", paragraphs(own(k), *([notice] if k < 6 else []))) for k in range(20)]
+    given += [(f"http://d.example/{k}", f"<p>{k}</p>" + paragraphs(own(1), f"by {k} of the staff and of nobody else today, page {k}")) for k in range(6)]
+    want |= {20 + k: f"{notice}\n{own(k)}" for k in range(4)} | {24 + k: own(k) + (f"\n{notice}" if k < 6 else "") for k in range(20)} | {44 + k: f"{own(1)}\nby {k} of the staff and of nobody else today, page {k}" for k in range(6)}
+    assert {r.page_id: r.text for r in htmlmain.main_text(pages(spark, given)).collect()} == want
+
+
 @pytest.mark.parametrize(
     "page,text",
     [
