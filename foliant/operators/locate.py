@@ -102,15 +102,25 @@ def select_locations(hits: DataFrame, max_pages: int = 3) -> DataFrame:
 
 def excerpt(text: Column | str, terms_: Column | str, most: int = 900) -> Column:
     """Around the longest term that the text has (the first of equals), with dots where it is cut."""
-    t = stripped(text)
     t_terms = F.col(terms_) if isinstance(terms_, str) else terms_
-    found = F.filter(F.transform(t_terms, lambda x: F.struct(F.length(x).alias("n"), (-F.instr(F.lower(t), x)).alias("at"))), lambda s: s["at"] < 0)
-    at = -F.array_max(found)["at"] - 1
-    end = F.least(F.greatest(at - most // 2, F.lit(0)) + most, F.length(t))
-    start = F.greatest(end - most, F.lit(0))
-    part = stripped(F.substring(t, start + 1, most))
-    around = F.concat(F.when(start > 0, "...").otherwise(""), part, F.when(end < F.length(t), "...").otherwise(""))
-    return F.when(F.length(t) <= most, t).when(F.size(found) == 0, cut(t, most, "...")).otherwise(around)
+    once = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))  # noqa: E731  # x is computed once for all places of f
+
+    def longer(best: Column, x: Column) -> Column:
+        n, low = F.length(x), best["low"]
+        at = F.when(n > best["n"], F.when(F.contains(low, x), F.instr(low, x))).when(n == best["n"], F.least(F.nullif(F.instr(low, x), F.lit(0)), best["at"]))
+        return once(at, lambda i: F.when(i.isNotNull(), F.struct(low.alias("low"), n.alias("n"), i.alias("at"))).otherwise(best))
+
+    def around(t: Column, best: Column) -> Column:
+        end = F.least(F.greatest(best["at"] - 1 - most // 2, F.lit(0)) + most, F.length(t))
+        start = F.greatest(end - most, F.lit(0))
+        part = stripped(F.substring(t, start + 1, most))
+        return F.when(best["n"] < 0, cut(t, most, "...")).otherwise(F.concat(F.when(start > 0, "...").otherwise(""), part, F.when(end < F.length(t), "...").otherwise("")))
+
+    def whole(t: Column) -> Column:
+        none = F.struct(F.lower(t).alias("low"), F.lit(-1).alias("n"), F.lit(0).alias("at"))
+        return F.when(F.length(t) <= most, t).otherwise(once(F.aggregate(t_terms, none, longer), lambda best: around(t, best)))
+
+    return once(stripped(text), whole)
 
 
 def page_phrase(pages: Column) -> Column:

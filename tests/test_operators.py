@@ -760,3 +760,33 @@ def test_blocks_of_queries_are_sent_in_about_what_they_measure():
     assert held < 2 * n * (64 * 8 + 64 + 32 * len(lists) // 8)
     assert np.array_equal(got["flat"].reshape(n, 64)[5], np.arange(5.0, 69.0)) and len(got["d_sets"]) == 7
     assert all((got["d"][i] < 0) == (i % 3 == 0) and (i % 3 == 0 or got["d_sets"][got["d"][i]] == sorted(lists[i % 7 :])) for i in range(n))
+
+
+def test_excerpts_of_many_terms_take_linear_time(spark):
+    """The longest term found decides, of equals the first place; a text is folded once, not once a term."""
+    import time
+
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choice("abcde") for _ in range(rnd.randrange(3, 9)))
+    given = []
+    for k in range(40):
+        said = [word() for _ in range(2000 if k < 20 else rnd.randrange(0, 12))]
+        given.append((k, "  " + " ".join(x.upper() if rnd.random() < 0.3 else x for x in said) + " \n", [word() for _ in range(1500)] + rnd.sample(said, len(said) // 2) if k % 3 else [word() * 3]))
+
+    def slow(text, terms, most):
+        t = text.strip()
+        if len(t) <= most:
+            return t
+        found = [(-len(x), t.lower().index(x)) for x in terms if x in t.lower()]
+        if not found:
+            return t[:most].rstrip() + "..."
+        end = min(max(min(found)[1] - most // 2, 0) + most, len(t))
+        start = max(end - most, 0)
+        return "..." * (start > 0) + t[start : start + most].strip() + "..." * (end < len(t))
+
+    df = spark.createDataFrame(given, "k int, text string, terms array<string>").repartition(4)
+    df.select(locate.excerpt("text", "terms", 60)).limit(1).collect()
+    begun = time.perf_counter()
+    got = {r.k: r.e for r in df.select("k", locate.excerpt("text", "terms", 60).alias("e")).collect()}
+    assert time.perf_counter() - begun < 20
+    assert got == {k: slow(t, x, 60) for k, t, x in given}
