@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,25 +56,71 @@ def _any_in(needles: Column, hay: Column) -> Column:
     return F.exists(needles, lambda t: F.contains(hay, t))
 
 
-def with_features(hits: DataFrame) -> DataFrame:
-    """hits (question, text, section_titles, chunk_type, table_metadata as map or null, score) with terms, overlap, intent_bonus, type_bonus, composite."""
+def searchable(chunks: DataFrame) -> DataFrame:
+    """chunks (text, section_titles, chunk_type, table_metadata as map or null) with what terms are looked for in.
+
+    _titles and _hay are the distinct runs of a-z and 0-9 in the folded titles and in all that a chunk says: a term is such a run, so it is in a text
+    where it is in one of its runs. _speaks says whether at least 25 words speak of an outlook as an action. Before a join with questions these are computed
+    once a chunk, for however many questions it is a hit.
+    """
+    runs = lambda x: F.array_join(F.array_distinct(F.split(F.lower(x), "[^a-z0-9]+")), " ")
     titles = F.coalesce(F.array_join("section_titles", " "), F.lit(""))
     meta = F.coalesce(F.array_join(F.transform(F.map_entries(F.col("table_metadata")), lambda e: F.concat(e["key"], F.lit(" "), F.coalesce(e["value"].cast("string"), F.lit("None")))), " "), F.lit(""))
-    h = hits.withColumn("terms", terms("question")).withColumn("_titles", F.lower(collapse(titles)))
-    h = h.withColumn("_hay", F.lower(collapse(F.concat_ws(" ", F.coalesce("text", F.lit("")), titles, F.coalesce("chunk_type", F.lit("")), meta))))
+    c = chunks.withColumn("_titles", runs(titles)).withColumn("_hay", runs(F.concat_ws(" ", F.coalesce("text", F.lit("")), titles, F.coalesce("chunk_type", F.lit("")), meta)))
+    words = F.coalesce("text", F.lit("")).rlike(r"(?U)^\s*+(?:\S++\s++){24}\S")
+    return c.withColumn("_speaks", (_any_in(_words(OUTLOOK), F.col("_titles")) | _any_in(_words(OUTLOOK), F.col("_hay"))) & _any_in(_words(ACTIONS), F.col("_hay")) & words)
+
+
+def asked(questions: DataFrame) -> DataFrame:
+    """questions (question) with terms, and these as _asked (joined) and _sorted (by synonym groups), once a question if this is before a join with hits."""
+    q = questions.withColumn("terms", terms("question")).withColumn("_asked", F.array_join("terms", " "))
+    focus = F.filter("terms", lambda t: t.isin(*{x for g in GROUPS for x in g}))
+    return q.withColumn("_sorted", F.struct(F.array(*map(_among, GROUPS)).alias("groups"), focus.alias("focus"), _among(OUTLOOK).alias("outlook"), F.filter("terms", lambda t: ~t.isin(*OUTLOOK)).alias("other")))
+
+
+def _overlaps(hay: pa.Array, said: pa.Array) -> pa.Array:
+    """How many of the terms of a question, repeats included, are in the runs of a chunk; each term is looked for once in neighbours of one chunk."""
+    hay, said = hay.dictionary_encode(), said.dictionary_encode()
+    texts, questions = hay.dictionary.to_pylist(), [x.split() for x in said.dictionary.to_pylist()]
+    out, last, words, known = [], None, frozenset(), {}
+    for i, j in zip(hay.indices.to_pylist(), said.indices.to_pylist(), strict=True):
+        if i != last:
+            last, words, known = i, frozenset(texts[i].split(" ")), {}
+        n = 0
+        for t in questions[j]:
+            if t in words:
+                n += 1
+                continue
+            found = known.get(t)
+            if found is None:
+                found = known[t] = t in texts[i]
+            n += found
+        out.append(n)
+    return pa.array(out, pa.int32())
+
+
+def with_features(hits: DataFrame) -> DataFrame:
+    """hits (question, chunk_type, score, and what searchable and asked read or have made) with terms, overlap, intent_bonus, type_bonus, composite."""
+    h = hits if "_hay" in hits.columns else searchable(hits)
+    h = h if "_asked" in h.columns else asked(h)
     bonus = F.lit(0.0)
-    for g in GROUPS:
-        own = _among(g)
+    for i in range(len(GROUPS)):
+        own = F.get("_sorted.groups", F.lit(i))
         bonus = bonus + F.when(_any_in(own, F.col("_titles")), 2.5).when(_any_in(own, F.col("_hay")), 1.0).otherwise(0.0)
     kind = F.when(F.col("chunk_type") == "text", 0.25).when(F.col("chunk_type") == "table", 0.15).otherwise(0.0)
-    h = h.withColumn("overlap", F.size(F.filter("terms", lambda t: F.contains(F.col("_hay"), t)))).withColumn("intent_bonus", bonus).withColumn("type_bonus", kind)
+    overlaps = F.arrow_udf(lambda hay, said: _overlaps(hay, said), "int")
+    h = h.withColumn("overlap", overlaps("_hay", "_asked")).withColumn("intent_bonus", bonus).withColumn("type_bonus", kind)
     return h.withColumn("composite", F.col("overlap") + F.col("intent_bonus") + F.col("type_bonus") + F.col("score"))
 
 
+def _ranked(features: DataFrame) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy(F.desc("composite"), F.desc("overlap"), F.desc("intent_bonus"), F.desc("score"), "rank")
+    return features.withColumn("location_rank", F.row_number().over(order))
+
+
 def rerank(hits: DataFrame) -> DataFrame:
     """hits with features and location_rank; equal hits stay in the order of rank."""
-    order = Window.partitionBy("query_id").orderBy(F.desc("composite"), F.desc("overlap"), F.desc("intent_bonus"), F.desc("score"), "rank")
-    return with_features(hits).withColumn("location_rank", F.row_number().over(order))
+    return _ranked(with_features(hits))
 
 
 def select_locations(hits: DataFrame, max_pages: int = 3) -> DataFrame:
@@ -82,22 +129,19 @@ def select_locations(hits: DataFrame, max_pages: int = 3) -> DataFrame:
     An outlook question narrows to hits of at least 25 words that speak of it as an action, to texts among
     those if there are any. Adds place, the order of the pages.
     """
-    h = rerank(hits)
+    h = with_features(hits)
     per = Window.partitionBy("query_id")
-    focus = F.filter("terms", lambda t: t.isin(*{x for g in GROUPS for x in g}))
-    outlook_question = F.exists("terms", lambda t: t.isin(*OUTLOOK))
-    other = F.filter("terms", lambda t: ~t.isin(*OUTLOOK))
-    speaks = (_any_in(_words(OUTLOOK), F.col("_titles")) | _any_in(_words(OUTLOOK), F.col("_hay"))) & _any_in(_words(ACTIONS), F.col("_hay"))
-    long_ = F.size(F.filter(F.split(collapse("text"), " "), lambda t: t != "")) >= 25
-    h = h.withColumn("_o", outlook_question & speaks & long_ & ((F.size(other) == 0) | _any_in(other, F.col("_hay"))))
+    said = lambda c: F.col(f"_sorted.{c}")
+    h = h.withColumn("_o", (F.size(said("outlook")) > 0) & F.col("_speaks") & ((F.size(said("other")) == 0) | _any_in(said("other"), F.col("_hay"))))
     h = h.withColumn("_t", F.col("_o") & F.coalesce(F.col("chunk_type") == "text", F.lit(False)))
-    h = h.withColumn("_f", (F.size(focus) > 0) & (_any_in(focus, F.col("_titles")) | _any_in(focus, F.col("_hay"))))
+    h = h.withColumn("_f", (F.size(said("focus")) > 0) & (_any_in(said("focus"), F.col("_titles")) | _any_in(said("focus"), F.col("_hay"))))
+    h = _ranked(h.drop("_titles", "_hay", "_speaks", "_asked", "_sorted"))  # before rows are moved
     some = lambda c: F.max(c).over(per)
     h = h.withColumn("_keep", F.when(some("_t"), F.col("_t")).when(some("_o"), F.col("_o")).when(some("_f"), F.col("_f")).otherwise(F.lit(True))).filter("_keep")
     h = h.withColumn("page", F.coalesce(F.get("page_numbers", F.lit(0)), F.col("page_start"))).withColumn("_best", F.max("composite").over(per)).filter("composite >= 0.6 * _best and page is not null")
     once = Window.partitionBy("query_id", "document_id", "page").orderBy("location_rank")
     h = h.withColumn("_n", F.row_number().over(once)).filter("_n = 1").withColumn("_n", F.row_number().over(per.orderBy("location_rank"))).filter(F.col("_n") <= max_pages)
-    return h.withColumn("place", F.row_number().over(per.orderBy("page", "location_rank"))).drop("_o", "_t", "_f", "_keep", "_n", "_best", "_titles", "_hay")
+    return h.withColumn("place", F.row_number().over(per.orderBy("page", "location_rank"))).drop("_o", "_t", "_f", "_keep", "_n", "_best")
 
 
 def excerpt(text: Column | str, terms_: Column | str, most: int = 900) -> Column:

@@ -103,15 +103,19 @@ def location_terms(spark, sf_dir):
 def hits(spark, sf_dir) -> DataFrame:
     """For every benchmark item as a question, the documents of one source as hits."""
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("Where is the outlook of "), "text").alias("question"), F.concat(F.lit("src"), F.col("item_id") % 20).alias("source"))
+    b = locate.asked(b)
     from pyspark.sql import Window
 
-    # a document has one rank for all questions on its source, so ranks are made of keys, once a document
+    # a document has one rank for all questions on its source, so ranks are made of keys, once a document, and so is what terms are looked for in
     d = table(spark, sf_dir, "documents")
     ranks = d.select("source", "doc_id").withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).select("doc_id", "rank")
-    h = d.select("source", "doc_id", "text", "lang").join(ranks, "doc_id").join(b, "source")
+    c = d.select(
+        "source", "doc_id", "text", F.when(F.col("lang") == "en", "text").when(F.col("lang") == "fr", "table").otherwise("visual").alias("chunk_type"), F.array(F.substring_index("text", " ", 2)).alias("section_titles"), F.lit(None).cast("map<string,string>").alias("table_metadata"),
+    )
+    h = locate.searchable(c).join(ranks, "doc_id").join(b, "source")
     return h.select(
-        "query_id", "question", "rank", (1.0 / (F.col("rank") + 1)).alias("score"), F.col("source").alias("document_id"), F.lit("company").alias("company"), F.concat("source", F.lit(".pdf")).alias("source_file"), F.array((F.col("doc_id") % 50).cast("int")).alias("page_numbers"), F.lit(0).alias("page_start"),
-        F.when(F.col("lang") == "en", "text").when(F.col("lang") == "fr", "table").otherwise("visual").alias("chunk_type"), F.array(F.substring_index("text", " ", 2)).alias("section_titles"), F.lit(None).cast("map<string,string>").alias("table_metadata"), "text", F.concat(F.lit("d"), "doc_id").alias("chunk_id"),
+        "query_id", "question", "terms", "rank", (1.0 / (F.col("rank") + 1)).alias("score"), F.col("source").alias("document_id"), F.lit("company").alias("company"), F.concat("source", F.lit(".pdf")).alias("source_file"), F.array((F.col("doc_id") % 50).cast("int")).alias("page_numbers"), F.lit(0).alias("page_start"),
+        "chunk_type", "section_titles", "table_metadata", "text", F.concat(F.lit("d"), "doc_id").alias("chunk_id"), "_titles", "_hay", "_speaks", "_asked", "_sorted",
     )
 
 

@@ -790,3 +790,20 @@ def test_excerpts_of_many_terms_take_linear_time(spark):
     got = {r.k: r.e for r in df.select("k", locate.excerpt("text", "terms", 60).alias("e")).collect()}
     assert time.perf_counter() - begun < 20
     assert got == {k: slow(t, x, 60) for k, t, x in given}
+
+
+def test_hits_meet_what_is_made_once_a_chunk_and_once_a_question(spark):
+    """Terms are found within words, beside marks and in any case, repeats counted, however texts and questions meet."""
+    texts = ["Outlook-guidance: we Expect MARGINS of 20.5% é", "margin margins forecastéd revenues and sales", None, "", "x" * 50 + "dividend proposals " + "word " * 30 + "forecast expected"]
+    questions = ["Where is the margin margin outlook?", "dividend proposed guidance for sales", "on which page is it", "expect revenue 205 nothing"]
+    chunks = spark.createDataFrame([(i, t, ["Sales Outlook"] if i == 1 else None if i == 2 else ["a", "b"], "text" if i % 2 else None) for i, t in enumerate(texts)], "rank int, text string, section_titles array<string>, chunk_type string").withColumn("table_metadata", F.expr("cast(null as map<string,string>)"))
+    asked = spark.createDataFrame(list(enumerate(questions)), "query_id int, question string")
+    plain = chunks.crossJoin(asked).withColumn("score", F.lit(0.5))
+    early = locate.searchable(chunks).crossJoin(locate.asked(asked)).withColumn("score", F.lit(0.5)).orderBy("rank", "query_id")
+    rows = lambda h: sorted(map(tuple, locate.rerank(h).select("query_id", "rank", "overlap", "intent_bonus", "composite", "location_rank").collect()))
+    got = rows(plain)
+    assert rows(early) == got
+    said = {r.query_id: r.terms for r in asked.select("query_id", locate.terms("question").alias("terms")).collect()}
+    for q, i, overlap, *_ in got:
+        hay = " ".join(x for x in (texts[i] or "", "Sales Outlook" if i == 1 else "" if i == 2 else "a b", "text" if i % 2 else "") if x).lower()
+        assert overlap == sum(t in hay for t in said[q]), (q, i)
