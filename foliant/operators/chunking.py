@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions.text import collapse, fold, last_distinct, meaningful_title, slug, text_heavy
 from foliant.operators.layout import Layout, inside, region_bounds
+from foliant.session import stored
 
 
 @dataclass(frozen=True)
@@ -242,7 +243,7 @@ def _page_fold(sizes: Sizes):
                 own = [{**u, "titles": _listed(u["titles"])} for u in _listed(units)] if usable else group_lines([{**x, "top": number(x["top"]), "bottom": number(x["bottom"])} for x in _listed(lines)], number(height), unit)
                 chunks.append(pack_units(own, kind in VISUAL, sizes))
                 headings.append(merge_titles([u["heading"] for u in own if u["heading"]], most=sizes.titles))
-            yield f[["source_file", "page_number"]].assign(usable=f["usable"], chunks=chunks, headings=headings)
+            yield f[["source_file", "page_pos", "page_number", "page_type", "flag"]].assign(n=[len(x) for x in chunks], chunks=chunks, headings=headings)
 
     return run
 
@@ -252,21 +253,23 @@ def paragraph_units(layout: Layout) -> DataFrame:
     none = F.expr("cast(array() as array<int>)")
     pages_of = F.array_distinct(F.filter(F.coalesce(F.transform("boundingRegions", lambda r: r["pageNumber"]), none), lambda p: p.isNotNull()))
     p = layout.paragraphs.withColumn("text", collapse("content")).withColumn("on", pages_of).filter((F.col("text") != "") & (F.size("on") == 1)).withColumn("page_number", F.col("on")[0])
-    p = p.join(layout.pages.select("source_file", "page_number", "page_type"), ["source_file", "page_number"]).join(table_areas(layout), ["source_file", "page_number"], "left")
-    areas = F.coalesce("areas", F.expr("cast(array() as array<struct<left:double,right:double,top:double,bottom:double>>)"))
-    in_table = F.exists(region_bounds(F.col("boundingRegions"), F.col("page_number")), lambda b: inside(b, areas))
-    p = p.withColumn("normalized_text", fold("text")).join(layout.repeated.select("source_file", "normalized_text", F.col("page_occurrence_count").alias("times")), ["source_file", "normalized_text"], "left")
     role = F.coalesce("role", F.lit(""))
     heading = role.isin(*HEADINGS)
-    p = p.filter(~role.isin(*LEFT_OUT) & ~in_table & (heading | (F.coalesce("times", F.lit(0)) < 5)))
-    p = p.withColumn("heading", F.when(heading & meaningful_title("text"), F.col("text")))
+    p = p.select("source_file", "page_number", "paragraph_index", "text", "boundingRegions", heading.alias("is_heading"), fold("text").alias("normalized_text"), role.alias("r")).filter(~F.col("r").isin(*LEFT_OUT)).drop("r")
+    # by text first, so that all that follows is by page
+    p = p.join(layout.repeated.select("source_file", "normalized_text", F.col("page_occurrence_count").alias("times")), ["source_file", "normalized_text"], "left")
+    p = p.filter(F.col("is_heading") | (F.coalesce("times", F.lit(0)) < 5)).drop("normalized_text", "times").join(table_areas(layout), ["source_file", "page_number"], "left")
+    areas = F.coalesce("areas", F.expr("cast(array() as array<struct<left:double,right:double,top:double,bottom:double>>)"))
+    in_table = F.exists(region_bounds(F.col("boundingRegions"), F.col("page_number")), lambda b: inside(b, areas))
+    p = p.filter(~in_table).withColumn("heading", F.when(F.col("is_heading") & meaningful_title("text"), F.col("text")))
     so_far = Window.partitionBy("source_file", "page_number").orderBy("paragraph_index").rowsBetween(Window.unboundedPreceding, 0)
     p = p.withColumn("titles", last_distinct(F.collect_list("heading").over(so_far), Sizes.titles))
     n = F.length("text")
     units = p.groupBy("source_file", "page_number").agg(
-        F.sort_array(F.collect_list(F.struct("paragraph_index", F.struct("text", F.lit("paragraph").alias("kind"), "heading", "titles", F.lit(1).alias("paragraphs")).alias("u")))).alias("x"), F.first("page_type").alias("page_type"),
+        F.sort_array(F.collect_list(F.struct("paragraph_index", F.struct("text", F.lit("paragraph").alias("kind"), "heading", "titles", F.lit(1).alias("paragraphs")).alias("u")))).alias("x"),
         F.count("*").alias("n"), F.sum(n).alias("chars"), F.count_if(text_heavy("text")).alias("long"), F.count_if(n <= 40).alias("short"), F.count("heading").alias("heads"), F.max(n).alias("longest"),
     )
+    units = units.join(layout.pages.groupBy("source_file", "page_number").agg(F.first("page_type").alias("page_type")), ["source_file", "page_number"])
     average = F.col("chars") / F.col("n")
     usable = (
         F.when(F.col("page_type").isin(*VISUAL) & (F.col("chars") < 200), False)
@@ -285,11 +288,11 @@ def table_areas(layout: Layout) -> DataFrame:
 def kept_lines(layout: Layout) -> DataFrame:
     """source_file, page_number, lines (in order) without those in tables and without repeated margin lines where at least 3 others stand."""
     r = lambda c: F.round(c, 4)
-    mark = layout.flagged.groupBy("source_file", "page_number", "text", r("left").alias("l"), r("right").alias("ri"), r("top").alias("t"), r("bottom").alias("b")).agg(F.max("page_occurrence_count").alias("times"))
-    x = layout.lines.alias("x").join(mark.alias("m"), (F.col("x.source_file") == F.col("m.source_file")) & (F.col("x.page_number") == F.col("m.page_number")) & (F.col("x.text") == F.col("m.text")) & r("left").eqNullSafe(F.col("l")) & r("right").eqNullSafe(F.col("ri")) & r("top").eqNullSafe(F.col("t")) & r("bottom").eqNullSafe(F.col("b")), "left")
-    x = x.select("x.*", "m.times")
-    others = x.groupBy("source_file", "page_number").agg(F.count_if(F.col("times").isNull()).alias("others"))
-    x = x.join(others, ["source_file", "page_number"]).join(table_areas(layout), ["source_file", "page_number"], "left")
+    x = layout.lines.select("source_file", "page_number", "line_pos", "text", "left", "right", "top", "bottom", F.when(F.col("margin_position").isNotNull(), fold("text")).alias("normalized_text"))
+    x = x.join(layout.repeated.select("source_file", "normalized_text", F.col("page_occurrence_count").alias("own")), ["source_file", "normalized_text"], "left").drop("normalized_text")
+    alike = Window.partitionBy("source_file", "page_number", "text", r("left"), r("right"), r("top"), r("bottom"))
+    x = x.withColumn("times", F.max("own").over(alike)).withColumn("others", F.count_if(F.col("times").isNull()).over(Window.partitionBy("source_file", "page_number")))
+    x = x.join(table_areas(layout), ["source_file", "page_number"], "left")
     areas = F.coalesce("areas", F.expr("cast(array() as array<struct<left:double,right:double,top:double,bottom:double>>)"))
     n = F.size(F.split("text", " "))
     drop = (F.col("others") >= 3) & (F.coalesce("times", F.lit(0)) >= 5) & (n <= 12) & (F.length("text") <= 120)
@@ -308,15 +311,16 @@ def distinct_tables(tables: DataFrame, order: list[str]) -> DataFrame:
 def chunk_documents(layout: Layout, sizes: Sizes = Sizes()) -> DataFrame:
     """The chunks of all documents, numbered through each document: texts of a page, then its tables that no page before had."""
     pages = layout.pages.join(paragraph_units(layout), ["source_file", "page_number"], "left").join(kept_lines(layout), ["source_file", "page_number"], "left")
-    pages = pages.withColumn("usable", F.coalesce("usable", F.lit(False)))
-    pages = pages.select("source_file", "page_number", "page_type", "height", "unit", "usable", F.col("units").cast(f"array<{_UNIT}>").alias("units"), F.col("lines").cast(f"array<{_LINE}>").alias("lines"))
-    fold_pages = lambda p: p.mapInPandas(_page_fold(sizes), f"source_file string, page_number int, usable boolean, chunks {_CHUNK}, headings array<string>")
-    folded = fold_pages(pages)
     flags = layout.flagged.select("source_file", "page_number").distinct().withColumn("flag", F.lit(True))
-    about = layout.pages.select("source_file", "page_number", "page_type").join(flags, ["source_file", "page_number"], "left").withColumn("flag", F.coalesce("flag", F.lit(False)))
-    texts = folded.join(about, ["source_file", "page_number"]).select("source_file", "page_number", "page_type", "flag", F.posexplode("chunks").alias("i", "c"))
+    pages = pages.withColumn("usable", F.coalesce("usable", F.lit(False))).join(flags, ["source_file", "page_number"], "left").withColumn("flag", F.coalesce("flag", F.lit(False)))
+    used = F.when(F.col("usable"), F.col("units")).cast(f"array<{_UNIT}>"), F.when(~F.col("usable"), F.col("lines")).cast(f"array<{_LINE}>")
+    pages = pages.select("source_file", "page_pos", "page_number", "page_type", "flag", "height", "unit", "usable", used[0].alias("units"), used[1].alias("lines"))
+    # once, since numbers need the counts of all pages before, and tables the headings
+    folded = stored(pages.mapInPandas(_page_fold(sizes), f"source_file string, page_pos int, page_number int, page_type string, flag boolean, n int, chunks {_CHUNK}, headings array<string>"), "folded")
+    about = folded.select("source_file", "page_number", "page_type", "flag")
+    texts = folded.filter("n > 0").select("source_file", "page_pos", "page_number", "page_type", "flag", F.posexplode("chunks").alias("i", "c"))
     texts = texts.select(
-        "source_file", F.struct(F.coalesce("page_number", F.lit(2**31 - 1)).alias("p"), F.lit(0).alias("k"), F.lit(0).alias("t"), "i").alias("at"), F.when(F.col("page_type").isin(*VISUAL), "visual").otherwise("text").alias("chunk_type"), F.col("c.kind").alias("content_source"),
+        "source_file", "page_number", "page_pos", "i", F.when(F.col("page_type").isin(*VISUAL), "visual").otherwise("text").alias("chunk_type"), F.col("c.kind").alias("content_source"),
         F.array("page_number").alias("page_numbers"), F.array("page_type").alias("page_types"), F.col("c.titles").alias("section_titles"), F.col("c.text").alias("text"), F.lit(0).alias("table_count"), F.col("c.paragraphs").alias("paragraph_count"), F.col("flag").alias("header_footer_candidates_present"), F.lit(None).cast(_TABLE_META).alias("table_metadata"),
     )
 
@@ -327,8 +331,7 @@ def chunk_documents(layout: Layout, sizes: Sizes = Sizes()) -> DataFrame:
     every = t.select("source_file", "table_index", "page_type", F.posexplode("on_pages").alias("i", "n")).join(kinds, ["source_file", "n"], "left").groupBy("source_file", "table_index").agg(
         F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("i", F.coalesce("kind", "page_type").alias("kind")))), lambda x: x["kind"])).alias("page_types"), F.max(F.coalesce("f", F.lit(False))).alias("any_flag")
     )
-    # what titles a page with tables has; only such pages are read for it
-    titled = fold_pages(pages.join(layout.page_tables.select("source_file", "page_number").distinct(), ["source_file", "page_number"], "left_semi")).select("source_file", "page_number", "headings")
+    titled = folded.select("source_file", "page_number", "headings")
     t = t.join(every, ["source_file", "table_index"]).join(titled, ["source_file", "page_number"])
     columns = ["source_file", "page_number", "table_index", "on_pages", "page_types", "any_flag", "headings"]
 
@@ -341,16 +344,20 @@ def chunk_documents(layout: Layout, sizes: Sizes = Sizes()) -> DataFrame:
     cut = t.select(*columns, "table").mapInPandas(tables, ", ".join(f"{c} {kind(c)}" for c in columns) + ", rows int, cols int, cells int, parts array<struct<text:string,row_start:int,row_end:int>>")
     cut = cut.select("*", F.posexplode("parts").alias("i", "c"))
     cut = cut.select(
-        "source_file", F.struct(F.col("page_number").alias("p"), F.lit(1).alias("k"), F.col("table_index").alias("t"), "i").alias("at"), F.lit("table").alias("chunk_type"), F.lit("tables").alias("content_source"), F.col("on_pages").alias("page_numbers"), "page_types", F.col("headings").alias("section_titles"),
+        "source_file", "page_number", F.lit(None).cast("int").alias("page_pos"), (F.row_number().over(Window.partitionBy("source_file", "page_number").orderBy("table_index", "i")) - 1).alias("i"), F.lit("table").alias("chunk_type"), F.lit("tables").alias("content_source"), F.col("on_pages").alias("page_numbers"), "page_types", F.col("headings").alias("section_titles"),
         F.col("c.text").alias("text"), F.lit(1).alias("table_count"), F.lit(0).alias("paragraph_count"), F.col("any_flag").alias("header_footer_candidates_present"),
         F.struct("table_index", F.greatest("rows", F.lit(0)).alias("row_count"), F.greatest("cols", F.lit(0)).alias("column_count"), F.col("cells").alias("cell_count"), "c.row_start", "c.row_end").cast(_TABLE_META).alias("table_metadata"),
     )
-    all_ = texts.unionByName(cut).withColumn("chunk_index", F.row_number().over(Window.partitionBy("source_file").orderBy("at")))
+    cut = stored(cut, "tables")
+    # of each page, and of the tables of each page number (after its pages), how many chunks come before; only these counts are ordered
+    counts = folded.select("source_file", "page_number", "page_pos", "n").unionByName(cut.groupBy("source_file", "page_number", "page_pos").agg(F.count("*").cast("int").alias("n")))
+    before = F.sum("n").over(Window.partitionBy("source_file").orderBy("page_number", F.col("page_pos").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.filter("n > 0").withColumn("before", F.coalesce(before, F.lit(0))).drop("n").join(layout.documents.select("source_file", "model_id"), "source_file").withColumn("page_pos", F.coalesce("page_pos", F.lit(-1)))
+    all_ = texts.unionByName(cut).withColumn("page_pos", F.coalesce("page_pos", F.lit(-1))).join(counts, ["source_file", "page_number", "page_pos"]).withColumn("chunk_index", (F.col("before") + F.col("i") + 1).cast("int"))
     label = F.coalesce(F.get("page_numbers", F.lit(0)).cast("string"), F.lit("None"))
     name = F.concat(slug(F.coalesce("source_file", F.lit("document"))), F.format_string("__c%04d__", "chunk_index"), "chunk_type", F.lit("__p"), label, F.when(F.col("chunk_type") == "table", F.format_string("__t%03d", F.col("table_metadata.table_index"))).otherwise(""))
-    models = layout.documents.select("source_file", "model_id")
     lines = F.size(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""))
-    return all_.join(models, "source_file").select(
+    return all_.select(
         name.alias("chunk_id"), "chunk_index", "source_file", "model_id", "chunk_type", "content_source", F.get("page_numbers", F.lit(0)).alias("page_start"), F.element_at("page_numbers", -1).alias("page_end"), "page_numbers", "page_types", "section_titles",
         "text", F.length("text").alias("char_count"), lines.alias("line_count"), "table_count", "paragraph_count", "header_footer_candidates_present", "table_metadata",
     )

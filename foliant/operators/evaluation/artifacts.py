@@ -14,6 +14,7 @@ from foliant.functions.edits import distance
 from foliant.functions.rates import agreement, f1, numbers, rate, ratio
 from foliant.functions.text import collapse, collapse_hyphens, tokens
 from foliant.functions.vectors import all_finite, norm
+from foliant.session import stored
 
 NONE = "cast(array() as array<string>)"
 
@@ -135,13 +136,13 @@ def chunk_coverage(layout, chunks: DataFrame) -> DataFrame:
     texts = chunks.filter("chunk_type in ('text', 'visual')")
     on = texts.select("source_file", "chunk_index", F.explode("page_numbers").alias("page_number"), collapse_hyphens("text").alias("t"), "section_titles").filter("page_number is not null")
     said = on.groupBy("source_file", "page_number").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk_index", "t"))), lambda x: x["t"]), "\n\n").alias("text"), F.array_join(F.flatten(F.collect_list("section_titles")), " || ").alias("titles"))
-    both = source.select("source_file", "page_number", F.col("text").alias("s"), "headings").join(said, ["source_file", "page_number"], "left")
+    both = stored(source.select("source_file", "page_number", F.col("text").alias("s"), "headings").join(said, ["source_file", "page_number"], "left"), "both")
     low = lambda c: F.lower(collapse_hyphens(c))
     heads = F.filter(F.transform("headings", low), lambda h: h != "")
     covered = F.size(F.filter(heads, lambda h: F.contains(low("text"), h) | F.contains(low("titles"), h)))
     h = both.groupBy("source_file").agg(F.sum(F.size(heads)).alias("heads"), F.sum(covered).alias("covered"))
     o = overlap(both.select("source_file", "page_number", F.col("s").alias("text")), both.select("source_file", "page_number", "text"), ["source_file", "page_number"]).groupBy("source_file").agg(*(F.sum(c).alias(c) for c in ("left_tokens", "right_tokens", "matched")))
-    how = source.groupBy("source_file").agg(F.count("*").alias("pages"))
+    how = both.groupBy("source_file").agg(F.count("*").alias("pages"))
     tables = layout.page_tables.groupBy("source_file").agg(F.count("*").alias("tables"))
     made = chunks.withColumn("p", F.explode("page_numbers")).groupBy("source_file").agg(F.count_distinct("p").alias("chunk_pages"))
     cut = chunks.filter("chunk_type = 'table'").groupBy("source_file").agg(F.count_distinct("page_start", "table_metadata.table_index").alias("chunk_tables"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions.text import collapse, fold
-from foliant.session import checkpointed
+from foliant.session import checkpointed, stored
 
 MARGIN, INCHES, REPEATS = 0.08, 0.9, 5
 
@@ -125,7 +125,7 @@ def from_pages(documents: DataFrame, numbered: DataFrame, tables: DataFrame, par
     unit, lines (array of content and polygon); tables: source_file, table_pos, table; paragraphs: source_file, paragraph_index, role,
     content, boundingRegions, spans.
     """
-    once = checkpointed if materialize else (lambda df: df)
+    once = stored if materialize else (lambda df: df)
     tables = tables.withColumn("on_pages", _pages_of(F.col("table")))
     page_tables = once(tables.select("source_file", "table_pos", "table", "on_pages", F.explode("on_pages").alias("page_number")))
     per_page = page_tables.groupBy("source_file", "page_number").agg(F.count("*").alias("n_tables"))

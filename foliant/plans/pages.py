@@ -10,7 +10,7 @@ from foliant.operators.evaluation import artifacts
 from foliant.plans import chunk_sql
 from foliant.plans.registry import query, table
 from foliant.plans.texts import TOKENS, WHOLE
-from foliant.session import checkpointed
+from foliant.session import stored
 from foliant.sources import layout as files
 
 HEIGHT, LINE = 11.0, 0.5
@@ -81,7 +81,7 @@ def layout_chunk_stats(spark, sf_dir):
 @query(chunk_sql.layout_chunk_coverage(HEIGHT, LINE, WHOLE, TOKENS))
 def layout_chunk_coverage(spark, sf_dir):
     made = pages_layout(spark, sf_dir, materialize=True)
-    return artifacts.chunk_coverage(made, checkpointed(chunking.chunk_documents(made)))
+    return artifacts.chunk_coverage(made, stored(chunking.chunk_documents(made), "chunks"))
 
 
 @query(f"select source || '.pdf' source_file, count(*) pages, round(count(*) filter (n > 0 or f)::double / count(*), 6) non_empty_page_rate, 1::bigint tables from (select source, doc_id, doc_id = min(doc_id) over (partition by source) f from documents) d left join (select source, doc_id, count(*) filter (t <> '') n from ({_LINES}) group by all) l using (source, doc_id) group by source")
