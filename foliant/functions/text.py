@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPACE = r"(?U)\s+"
+#: White space that is not one space: what is one already need not be replaced by it.
+UNEVEN = r"(?U) \s+|[\s&&[^ ]]\s*"
 
 
 def _c(x: Column | str) -> Column:
@@ -14,7 +16,7 @@ def _c(x: Column | str) -> Column:
 
 def collapse(x: Column | str) -> Column:
     """White space, the non-breaking kind too, as single spaces; none at the ends; null is empty."""
-    return F.trim(F.regexp_replace(F.coalesce(_c(x), F.lit("")), SPACE, " "))
+    return F.trim(F.regexp_replace(F.coalesce(_c(x), F.lit("")), UNEVEN, " "))
 
 
 def collapse_hyphens(x: Column | str) -> Column:
