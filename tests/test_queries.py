@@ -64,3 +64,12 @@ def test_runs(spark, name):
 
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_chunks_are_numbered_without_an_order_of_all_texts(spark):
+    """Windows of the last plan order counts of pages, and no text is in one; numbers go from 1 through each source."""
+    made = QUERIES["layout_chunks"](spark, os.path.join(os.path.dirname(SF), "sf0.001"))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window [" in plan and "row_number()" not in plan
+    for r in made.groupBy("source_file").agg({"chunk_index": "max", "*": "count"}).collect():
+        assert r["max(chunk_index)"] == r["count(1)"]
