@@ -12,24 +12,29 @@ MOST_ROUNDS = 60
 LINKS_A_TASK, LEAST_TASKS = 1 << 16, 12
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, nodes: int | None = None) -> DataFrame:
     """node, root (the least node of its component) for all nodes of edges (a, b); no rows for none.
 
+    nodes, where it is known, is about how many there are: from it comes the number of tasks that hold the edges at first.
+
     Large star: each node links its larger neighbours to its least one. Small star: each node links
     itself and its smaller neighbours to the least. Both make at most a row for each link, also at a
     node that a third of all links have. Its rows are dealt to several tasks. Ends when a round changes nothing; the rounds grow
     with the logarithm of the longest path, and after MOST_ROUNDS an error is raised, so that no result lacks a link.
     """
-    links = checkpointed(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
+    links = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
+    links = checkpointed(links if nodes is None else links.coalesce(LEAST_TASKS + nodes // LINKS_A_TASK))
     seen = _state(links)
     for _ in range(MOST_ROUNDS):
         if not seen[0]:
             break
         few = LEAST_TASKS + seen[0] // LINKS_A_TASK  # no more rows are in any table of the round than twice the links; coalesce only lowers a number
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = _joined(both, both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("least"), F.count("*").alias("m")).coalesce(few), 2 * seen[0])
-        large = large.filter("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).coalesce(few).distinct().coalesce(few)
-        down = large.groupBy("a").agg(F.min("b").alias("least"), F.count("*").alias("m")).coalesce(few)
+        # each of these is read several times: as one plan it is repeated in it some twenty times, which the driver holds and explains anew at each step
+        near = checkpointed(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("least"), F.count("*").alias("m")).coalesce(few))
+        large = _joined(both, near, 2 * seen[0]).filter("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).coalesce(few)
+        large = checkpointed(large.distinct().coalesce(few))
+        down = checkpointed(large.groupBy("a").agg(F.min("b").alias("least"), F.count("*").alias("m")).coalesce(few))
         small = _joined(large, down, seen[0]).filter("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b")).coalesce(few)
         links = checkpointed(small.union(down.select("a", F.col("least").alias("b"))).distinct().coalesce(few))
         now = _state(links)

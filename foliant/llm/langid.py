@@ -30,6 +30,8 @@ ROUNDS, LEAST = 3, 1e-7
 PIECE = 1 << 16
 #: Words and bytes of words whose scores are kept, and numbers of a table of forward sums (of one word, if that needs more).
 CACHED, CACHED_BYTES, TABLE = 200_000, 32 << 20, 1 << 19
+#: In how many parts the counted words of the sample come to the driver.
+WORD_TASKS = 12
 LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*+")
 _B = 0x9E3779B97F4A7C15
 
@@ -233,7 +235,8 @@ def train(docs: DataFrame, path: str, text: str = "text", lang: str = "lang", sa
     # words are counted by tasks; the driver sees each word of a language once
     said = map_texts(texts, ["t"], ["g"], [StructField("w", ArrayType(StringType()))], lambda: lambda t: [[[w.decode() for w in parts(x)] for x in t.to_pylist()]])
     counts: dict[str, Counter] = {}
-    for g, w, n in said.select("g", F.explode("w").alias("w")).groupBy("g", "w").agg(F.count("*").alias("n")).toLocalIterator():
+    said = said.select("g", F.explode("w").alias("w")).groupBy("g", "w").agg(F.count("*").alias("n"))
+    for g, w, n in said.coalesce(WORD_TASKS).toLocalIterator():  # a job for each partition
         counts.setdefault(g, Counter())[w.encode()] = n
     if not counts:
         return Model([], tables([]), np.zeros((0, 0)))

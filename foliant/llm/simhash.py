@@ -186,19 +186,21 @@ def links(nodes: DataFrame, n: int, radius: int = RADIUS, bucket: int = BUCKET,
     own = ["fp"] if total is None else ["fp", "more"]
     blocks, r = scheme(n, radius, bucket)
     bits = lambda first, size: F.expr(f"shiftrightunsigned(fp, {first}) & {(1 << size) - 1}L" if size < 64 else "fp")
-    keys = []
+    keys, wide = [], max(sum(size for _, size in chosen) for chosen in combinations(blocks, r))
     for i, chosen in enumerate(combinations(blocks, r)):
-        value = F.lit(i).cast("long")
+        value = F.lit(i << (wide - sum(size for _, size in chosen))).cast("long")  # no two choices have a key in common
         for first, size in chosen:
             value = F.shiftleft(value, size).bitwiseOR(bits(first, size))
         keys.append(value)
     dealt = nodes.select(F.explode(F.array(*keys)).alias("key"), *own)
-    many = checkpointed(dealt.groupBy("key").agg(F.count("*").alias("m")).filter(F.col("m") > hot))
     spread = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     schema = "a long, b long" if total is None else "a long, a_more long, b long, b_more long"
     found = lambda df: df.repartition(spread, "key").sortWithinPartitions("key", "side").mapInArrow(_links(radius, tile, total), schema)
     made = lambda df: found(df) if total is None else found(df).select(_ident("a", "a_more").alias("a"), _ident("b", "b_more").alias("b"))
     plain = dealt.withColumn("side", F.lit(0).cast("byte")).select("key", "side", *own)
+    if n <= hot:  # no bucket holds a node twice
+        return made(plain)
+    many = checkpointed(dealt.groupBy("key").agg(F.count("*").alias("m")).filter(F.col("m") > hot))
     if many.isEmpty():
         return made(plain)
     out = made(plain.join(many, "key", "left_anti").select("key", "side", *own))
@@ -233,7 +235,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", ra
     ident, bits = ("fp", ["fp"]) if total is None else ("id", ["id", "fp", "more"])
     nodes = checkpointed(printed.groupBy(*bits).agg(F.min("doc_id").alias("least"), F.count("*").alias("m")))
     n, rows = nodes.agg(F.count("*"), F.coalesce(F.sum("m"), F.lit(0))).first()
-    root = components(links(nodes.select(*(c for c in bits if c != "id")), n, radius, bucket, hot, tile, total))
+    root = components(links(nodes.select(*(c for c in bits if c != "id")), n, radius, bucket, hot, tile, total), n)
     named = nodes.join(root.withColumnRenamed("node", ident), ident, "left").withColumn("root", F.coalesce("root", ident))
     lone = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("m"))
     named = dealt_join(named.select(ident, "root"), lone.select("root", "component_id"), "root", hot_keys(lone, "root", n), ident).select(ident, "component_id")
