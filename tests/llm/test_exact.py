@@ -378,3 +378,17 @@ def test_rounds_of_few_links_have_few_tasks(spark, monkeypatch):
             spark.conf.set(k, v)
     assert got == {i: 0 for i in range(21)} | {i: 100 for i in range(100, 140)}
     assert len(parts) > 2 and max(parts[1:]) <= components.LEAST_TASKS < 40
+
+
+def test_tables_of_rounds_have_the_size_of_their_files(spark, monkeypatch):
+    import os
+
+    from foliant.llm import common, components
+
+    sizes, folders, write, named = [], [], components.checkpointed, common.shared_folder
+    monkeypatch.setattr(components, "checkpointed", lambda df: sizes.append((out := write(df))._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) or out)
+    monkeypatch.setattr(common, "shared_folder", lambda *a: folders.append(named(*a)) or folders[-1])
+    made = components.components(spark.createDataFrame([(i, i + 1) for i in range(100)], "a long, b long"))
+    assert {r.node: r.root for r in made.collect()} == {i: 0 for i in range(101)}
+    assert len(sizes) > 9 and max(sizes) < 1 << 20
+    assert len(folders) == len(sizes) and sum(os.path.exists(x.removeprefix("file:")) for x in folders) == 1  # the last round's links
