@@ -281,11 +281,11 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = SHIN
 def links(docs: DataFrame, text: str, k: int, bands: Bands, hot: int = HOT, few: int = FEW) -> DataFrame:
     """Links a, b between nodes, enough of them to join all that link."""
     same = bands.same
-    shared = stored(shared_ranges(docs, text, k, bands), "ranges")
+    shared = stored(shared_ranges(docs, text, k, bands), "ranges", tidy=True)
     tiles = shared.groupBy("key").agg(F.count("*").alias("m"), F.expr("bit_xor(xxhash64(node))").alias("x"), F.expr("bit_xor(xxhash64(node, 1))").alias("y"))
     tiles = checkpointed(tiles.groupBy("m", "x", "y").agg(F.min("key").alias("key")).select("key", "m"))
     n = shared.count()
-    members = stored(dealt_join(shared, tiles, "key", hot_keys(tiles, "key", n), "node"), "tiles")
+    members = stored(dealt_join(shared, tiles, "key", hot_keys(tiles, "key", n), "node"), "tiles", tidy=True)
     sets = _sets(docs, text, k, members.select("node").distinct(), few)
 
     # a few members of each tile against all; a large tile in pieces, whose first members are compared to each other
@@ -367,7 +367,7 @@ def _sets(docs: DataFrame, text: str, k: int, wanted: DataFrame, few: int) -> Da
     rows = _each_set(docs, text, k, made, "node long, n long, map array<long>, hashes array<long>")
     if ids is None:
         rows = rows.join(wanted, "node", "left_semi")
-    return stored(rows.dropDuplicates(["node"]), "sets")
+    return stored(rows.dropDuplicates(["node"]), "sets", tidy=True)
 
 
 def _near_roots(edges: DataFrame) -> DataFrame:

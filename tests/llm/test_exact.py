@@ -392,3 +392,18 @@ def test_tables_of_rounds_have_the_size_of_their_files(spark, monkeypatch):
     assert {r.node: r.root for r in made.collect()} == {i: 0 for i in range(101)}
     assert len(sizes) > 9 and max(sizes) < 1 << 20
     assert len(folders) == len(sizes) and sum(os.path.exists(x.removeprefix("file:")) for x in folders) == 1  # the last round's links
+
+
+def test_tidy_tables_leave_no_shuffle_files(spark):
+    import time
+
+    from foliant.llm import common
+
+    def files():
+        return set(str(f.getName()) for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_"))
+
+    before, until = files(), time.time() + 10
+    made = common.stored(spark.range(1000).selectExpr("id % 7 k").repartition(3, "k"), tidy=True)
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before and made.count() == 1000 and spark.conf.get(common.TIDY, None) in (None, "false")
