@@ -19,6 +19,11 @@ def collapse(x: Column | str) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(_c(x), F.lit("")), UNEVEN, " "))
 
 
+def filled(x: Column | str) -> Column:
+    """Whether collapse() leaves something, told without it: as a filter on what it makes it would be made twice."""
+    return F.coalesce(_c(x).rlike(r"(?U)\S"), F.lit(False))
+
+
 def collapse_hyphens(x: Column | str) -> Column:
     """collapse() after soft hyphens are dropped and words cut by a hyphen and white space are joined."""
     whole = F.replace(F.coalesce(_c(x), F.lit("")), F.lit("\u00ad"), F.lit(""))

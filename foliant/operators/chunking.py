@@ -13,10 +13,10 @@ from dataclasses import dataclass
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.functions.text import collapse, fold, last_distinct, meaningful_title, slug, text_heavy
+from foliant.functions.text import collapse, filled, fold, last_distinct, meaningful_title, slug, text_heavy
 from foliant.operators.layout import Layout, inside, region_bounds
 from foliant.session import stored
 
@@ -56,11 +56,13 @@ def is_title(text: str) -> bool:
 
 
 def is_heading(text: str, lines: int = 1) -> bool:
+    if lines > 3:
+        return False
     t = squeeze(text)
-    words, letters = len(t.split()), [c for c in t if c.isalpha()]
-    if not is_title(t) or len(t) > 140 or words > 14 or t[-1] in ".!?" or lines > 3:
+    words = t.count(" ") + 1
+    if not t or len(t) > 140 or words > 14 or t[-1] in ".!?" or not is_title(t):
         return False
-    return words <= 8 or sum(c.isupper() for c in letters) >= 0.55 * len(letters)
+    return words <= 8 or sum(c.isalpha() and c.isupper() for c in t) >= 0.55 * sum(c.isalpha() for c in t)
 
 
 def boundary(text: str, most: int) -> int:
@@ -100,17 +102,20 @@ def group_lines(lines: list[dict], height: float | None, unit: str | None) -> li
     relative = height * 0.018 if height and height > 0 else 0.25
     gap = max(0.18, min(0.35, relative) if (unit or "").lower() == "inch" else relative)
     groups: list[list[dict]] = []
+    size = 0  # characters of the last group, with a line feed after each of its lines
     for x in lines:
         if groups:
             last = groups[-1][-1]
             if last["bottom"] is None or x["top"] is None:
                 new = is_heading(x["text"])
             else:
-                new = x["top"] - last["bottom"] > gap or (len("\n".join(y["text"] for y in groups[-1])) >= 60 and is_heading(x["text"]))
+                new = x["top"] - last["bottom"] > gap or (size > 60 and is_heading(x["text"]))
             if not new:
                 groups[-1].append(x)
+                size += len(x["text"]) + 1
                 continue
         groups.append([x])
+        size = len(x["text"]) + 1
     units, titles = [], []
     for g in groups:
         text = "\n".join(x["text"] for x in g)
@@ -155,9 +160,9 @@ def pack_units(units: list[dict], visual: bool, s: Sizes = Sizes()) -> list[dict
     for u in parts:
         if held and ((u["heading"] and size >= s.heading) or (size >= s.least_soft and size + len(u["text"]) > s.soft)):
             out.append(joined(held))
-            held = []
+            held, size = [], 0
         held.append(u)
-        size = len(joined(held)["text"])
+        size += len(u["text"]) + (2 if size and u["text"] else 0)  # as joined() has it
         if size >= s.target:
             out.append(joined(held))
             held, size = [], 0
@@ -243,7 +248,7 @@ def _page_fold(sizes: Sizes):
                 own = [{**u, "titles": _listed(u["titles"])} for u in _listed(units)] if usable else group_lines([{**x, "top": number(x["top"]), "bottom": number(x["bottom"])} for x in _listed(lines)], number(height), unit)
                 chunks.append(pack_units(own, kind in VISUAL, sizes))
                 headings.append(merge_titles([u["heading"] for u in own if u["heading"]], most=sizes.titles))
-            yield f[["source_file", "page_pos", "page_number", "page_type", "flag"]].assign(n=[len(x) for x in chunks], chunks=chunks, headings=headings)
+            yield f[["source_file", "page_pos", "page_number", "page_type", "flag", "height", "unit", "usable"]].assign(n=[len(x) for x in chunks], chunks=chunks, headings=headings)
 
     return run
 
@@ -252,15 +257,15 @@ def paragraph_units(layout: Layout) -> DataFrame:
     """source_file, page_number, units (in order) and usable: whether they, not the lines, tell what the page says."""
     none = F.expr("cast(array() as array<int>)")
     pages_of = F.array_distinct(F.filter(F.coalesce(F.transform("boundingRegions", lambda r: r["pageNumber"]), none), lambda p: p.isNotNull()))
-    p = layout.paragraphs.withColumn("text", collapse("content")).withColumn("on", pages_of).filter((F.col("text") != "") & (F.size("on") == 1)).withColumn("page_number", F.col("on")[0])
+    p = layout.paragraphs.filter(filled("content")).withColumn("text", collapse("content")).withColumn("on", pages_of).filter(F.size("on") == 1).withColumn("page_number", F.col("on")[0])
     role = F.coalesce("role", F.lit(""))
     heading = role.isin(*HEADINGS)
-    p = p.select("source_file", "page_number", "paragraph_index", "text", "boundingRegions", heading.alias("is_heading"), fold("text").alias("normalized_text"), role.alias("r")).filter(~F.col("r").isin(*LEFT_OUT)).drop("r")
+    p = p.select("source_file", "page_number", "paragraph_index", "text", "boundingRegions", heading.alias("is_heading"), F.lower("text").alias("normalized_text"), role.alias("r")).filter(~F.col("r").isin(*LEFT_OUT)).drop("r")
     # by text first, so that all that follows is by page
     p = p.join(layout.repeated.select("source_file", "normalized_text", F.col("page_occurrence_count").alias("times")), ["source_file", "normalized_text"], "left")
     p = p.filter(F.col("is_heading") | (F.coalesce("times", F.lit(0)) < 5)).drop("normalized_text", "times").join(table_areas(layout), ["source_file", "page_number"], "left")
     areas = F.coalesce("areas", F.expr("cast(array() as array<struct<left:double,right:double,top:double,bottom:double>>)"))
-    in_table = F.exists(region_bounds(F.col("boundingRegions"), F.col("page_number")), lambda b: inside(b, areas))
+    in_table = F.col("areas").isNotNull() & F.exists(region_bounds(F.col("boundingRegions"), F.col("page_number")), lambda b: inside(b, areas))
     p = p.filter(~in_table).withColumn("heading", F.when(F.col("is_heading") & meaningful_title("text"), F.col("text")))
     so_far = Window.partitionBy("source_file", "page_number").orderBy("paragraph_index").rowsBetween(Window.unboundedPreceding, 0)
     p = p.withColumn("titles", last_distinct(F.collect_list("heading").over(so_far), Sizes.titles))
@@ -285,10 +290,11 @@ def table_areas(layout: Layout) -> DataFrame:
     return layout.page_tables.groupBy("source_file", "page_number").agg(F.flatten(F.collect_list(region_bounds(F.col("table.boundingRegions"), F.col("page_number")))).alias("areas"))
 
 
-def kept_lines(layout: Layout) -> DataFrame:
-    """source_file, page_number, lines (in order) without those in tables and without repeated margin lines where at least 3 others stand."""
+def kept_lines(layout: Layout, only: DataFrame | None = None) -> DataFrame:
+    """source_file, page_number, lines (in order) without those in tables and without repeated margin lines where at least 3 others stand; of the pages of only, if it is given."""
     r = lambda c: F.round(c, 4)
-    x = layout.lines.select("source_file", "page_number", "line_pos", "text", "left", "right", "top", "bottom", F.when(F.col("margin_position").isNotNull(), fold("text")).alias("normalized_text"))
+    x = layout.lines if only is None else layout.lines.join(only, ["source_file", "page_number"], "left_semi")
+    x = x.select("source_file", "page_number", "line_pos", "text", "left", "right", "top", "bottom", F.when(F.col("margin_position").isNotNull(), fold("text")).alias("normalized_text"))
     x = x.join(layout.repeated.select("source_file", "normalized_text", F.col("page_occurrence_count").alias("own")), ["source_file", "normalized_text"], "left").drop("normalized_text")
     alike = Window.partitionBy("source_file", "page_number", "text", r("left"), r("right"), r("top"), r("bottom"))
     x = x.withColumn("times", F.max("own").over(alike)).withColumn("others", F.count_if(F.col("times").isNull()).over(Window.partitionBy("source_file", "page_number")))
@@ -296,7 +302,7 @@ def kept_lines(layout: Layout) -> DataFrame:
     areas = F.coalesce("areas", F.expr("cast(array() as array<struct<left:double,right:double,top:double,bottom:double>>)"))
     n = F.size(F.split("text", " "))
     drop = (F.col("others") >= 3) & (F.coalesce("times", F.lit(0)) >= 5) & (n <= 12) & (F.length("text") <= 120)
-    x = x.filter(~inside(F.struct("left", "right", "top", "bottom"), areas) & ~drop)
+    x = x.filter(~(F.col("areas").isNotNull() & inside(F.struct("left", "right", "top", "bottom"), areas)) & ~drop)
     return x.groupBy("source_file", "page_number").agg(F.sort_array(F.collect_list(F.struct("line_pos", F.struct("text", "top", "bottom").alias("x")))).alias("y")).select("source_file", "page_number", F.col("y.x").alias("lines"))
 
 
@@ -310,13 +316,21 @@ def distinct_tables(tables: DataFrame, order: list[str]) -> DataFrame:
 
 def chunk_documents(layout: Layout, sizes: Sizes = Sizes()) -> DataFrame:
     """The chunks of all documents, numbered through each document: texts of a page, then its tables that no page before had."""
-    pages = layout.pages.join(paragraph_units(layout), ["source_file", "page_number"], "left").join(kept_lines(layout), ["source_file", "page_number"], "left")
+    pages = layout.pages.join(paragraph_units(layout), ["source_file", "page_number"], "left")
     flags = layout.flagged.select("source_file", "page_number").distinct().withColumn("flag", F.lit(True))
     pages = pages.withColumn("usable", F.coalesce("usable", F.lit(False))).join(flags, ["source_file", "page_number"], "left").withColumn("flag", F.coalesce("flag", F.lit(False)))
-    used = F.when(F.col("usable"), F.col("units")).cast(f"array<{_UNIT}>"), F.when(~F.col("usable"), F.col("lines")).cast(f"array<{_LINE}>")
-    pages = pages.select("source_file", "page_pos", "page_number", "page_type", "flag", "height", "unit", "usable", used[0].alias("units"), used[1].alias("lines"))
-    # once, since numbers need the counts of all pages before, and tables the headings
-    folded = stored(pages.mapInPandas(_page_fold(sizes), f"source_file string, page_pos int, page_number int, page_type string, flag boolean, n int, chunks {_CHUNK}, headings array<string>"), "folded")
+    about_page = ["source_file", "page_pos", "page_number", "page_type", "flag", "height", "unit"]
+    made = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pages.select(*about_page, "usable").schema) + f", n int, chunks {_CHUNK}, headings array<string>"
+
+    def fold_pages(p: DataFrame, units: Column, lines: Column) -> DataFrame:
+        used = p.select(*about_page, "usable", units.cast(f"array<{_UNIT}>").alias("units"), lines.cast(f"array<{_LINE}>").alias("lines"))
+        return stored(used.mapInPandas(_page_fold(sizes), made), "folded")
+
+    # once, since numbers need the counts of all pages before, and tables the headings; lines are brought together for the pages that they tell only
+    by_units = fold_pages(pages, F.when(F.col("usable"), F.col("units")), F.lit(None))
+    rest = stored(by_units.filter("not usable").select(*about_page, "usable"), "rest")
+    by_lines = fold_pages(rest.join(kept_lines(layout, rest), ["source_file", "page_number"], "left"), F.lit(None), F.col("lines"))
+    folded = by_units.filter("usable").unionByName(by_lines)
     about = folded.select("source_file", "page_number", "page_type", "flag")
     texts = folded.filter("n > 0").select("source_file", "page_pos", "page_number", "page_type", "flag", F.posexplode("chunks").alias("i", "c"))
     texts = texts.select(

@@ -9,7 +9,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.functions.text import collapse, fold
+from foliant.functions.text import collapse, filled, fold
 from foliant.session import checkpointed, stored
 
 MARGIN, INCHES, REPEATS = 0.08, 0.9, 5
@@ -74,7 +74,7 @@ def repeated_lines(lines: DataFrame, pages: DataFrame, source: str = "source_fil
     lines: source, page_number, page_pos, line_pos, text, margin_position.
     """
     enough = pages.groupBy(source).agg(least_repeats(F.count("*")).alias("min_repeat_pages"))
-    marked = lines.filter("margin_position is not null").withColumn("normalized_text", fold("text")).filter("normalized_text <> ''")
+    marked = lines.filter(F.col("margin_position").isNotNull() & filled("text")).withColumn("normalized_text", fold("text"))
     found = marked.groupBy(source, "normalized_text").agg(
         F.min_by("text", F.struct("page_pos", "line_pos")).alias("text"), F.count_distinct("page_pos").alias("page_occurrence_count"), F.sort_array(F.collect_set("margin_position")).alias("margin_positions")
     )
@@ -113,7 +113,7 @@ def _pages_of(table: Column) -> Column:
 def page_lines(numbered: DataFrame) -> DataFrame:
     """Lines with text of pages as rows (source_file, page_pos, page_number, height, unit, lines), with their bounds and margin_position."""
     lines = numbered.select("source_file", "page_pos", "page_number", "height", "unit", F.posexplode("lines").alias("line_pos", "line"))
-    lines = lines.withColumn("text", collapse("line.content")).filter("text <> ''").withColumn("b", bounds(F.col("line.polygon")))
+    lines = lines.filter(filled("line.content")).withColumn("text", collapse("line.content")).withColumn("b", bounds(F.col("line.polygon")))
     lines = lines.select("source_file", "page_pos", "page_number", "height", "unit", "line_pos", "text", F.coalesce("line.polygon", F.expr("cast(array() as array<double>)")).alias("polygon"), "b.*")
     return lines.withColumn("margin_position", margin_position(F.col("top"), F.col("bottom"), F.col("height"), F.col("unit")))
 
@@ -131,7 +131,7 @@ def from_pages(documents: DataFrame, numbered: DataFrame, tables: DataFrame, par
     per_page = page_tables.groupBy("source_file", "page_number").agg(F.count("*").alias("n_tables"))
 
     lines = page_lines(numbered)
-    line_count = F.size(F.filter(F.coalesce(F.transform("lines", lambda x: collapse(x["content"])), F.expr("cast(array() as array<string>)")), lambda t: t != ""))
+    line_count = F.coalesce(F.array_size(F.filter("lines", lambda x: filled(x["content"]))), F.lit(0))
     pages = numbered.select("source_file", "page_pos", "page_number", "width", "height", "unit", line_count.alias("n_lines"))
     pages = pages.join(per_page, ["source_file", "page_number"], "left").withColumn("n_tables", F.coalesce("n_tables", F.lit(0)))
     pages = once(pages.withColumn("page_type", page_kind(F.col("n_lines"), F.col("n_tables"))))

@@ -339,6 +339,18 @@ def test_line_fallback(spark):
     assert [r.content_source for r in c] == ["clean_lines", "tables"] and c[0].text == "Risk report\nWords of a first line\nand of a second\n\nafter a wide gap" and c[0].chunk_type == "visual" and c[1].text.endswith("Included rows: 1 to 1.\nRow 1: [empty]")
 
 
+def test_lines_are_brought_together_for_pages_without_usable_paragraphs_only(spark, monkeypatch):
+    made = layout.normalize(raw(spark, [report(), {"source_file": "x.pdf", "pages": [{"pageNumber": 1, "height": 11.0, "unit": "inch", "lines": [line("Risk report", 1.0), line("two\u00ad words", 1.3)]}], "paragraphs": [{"role": "pageHeader", "content": "Risk", "boundingRegions": [region(1)]}]}]))
+    seen, kept = [], chunking.kept_lines
+    monkeypatch.setattr(chunking, "kept_lines", lambda *a: seen.append(kept(*a)) or seen[-1])
+    c = chunking.chunk_documents(made)
+    assert [(r.source_file, r.page_number) for r in seen[0].collect()] == [("x.pdf", 1)]
+    assert [r.text for r in c.filter("source_file = 'x.pdf'").collect()] == ["Risk report\ntwo\u00ad words"]
+    m = {r.source_file: r for r in artifacts.chunk_coverage(made, c).collect()}
+    assert m["x.pdf"].source_token_recall == m["x.pdf"].chunk_token_precision == 1 and m["x.pdf"].heading_coverage_rate is None
+    assert [r.text for r in artifacts.source_texts(made.pages, made.paragraphs, made.lines).filter("not from_paragraphs").collect()] == ["Risk report\ntwo words"]
+
+
 def unit(t, heading=None, titles=()):
     return {"text": t, "kind": "paragraph", "heading": heading, "titles": list(titles), "paragraphs": 1}
 

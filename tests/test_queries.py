@@ -86,3 +86,9 @@ def test_chunks_are_numbered_without_an_order_of_all_texts(spark):
     assert "Window [" in plan and "row_number()" not in plan
     for r in made.groupBy("source_file").agg({"chunk_index": "max", "*": "count"}).collect():
         assert r["max(chunk_index)"] == r["count(1)"]
+
+
+def test_coverage_counts_tokens_within_pages(spark):
+    """Tokens of a page's two texts are counted in its row: none is a row of its own that is sent to meet the others."""
+    plan = QUERIES["layout_chunk_coverage"](spark, os.path.join(os.path.dirname(SF), "sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "token#" not in plan and "MapInArrow" in plan
